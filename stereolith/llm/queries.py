@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, simhash, urls
+from . import media, packing, pieces, quality, sharding, simhash, topk, urls
 
 URL_RULES = (
     urls.Rule("com", "/en/", "block"),
@@ -34,6 +34,28 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary=vocabulary("byte_bpe_50k.json"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 100 == 0)
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+    shown = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("</p><p>"))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), F.sha2("text", 256), F.lit('" alt=""><figcaption>'), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
+    pages = docs.select("doc_id", "n_bytes", F.concat(F.lit("<article><p>"), shown, F.lit("</p>"), figure, F.lit("</article>")).alias("html"))
+    references = media.interleave(pages, id_col="doc_id", html_col="html", carry=("n_bytes",), text_items=False)
+    store = media.store_payloads(docs.select(F.col("text").cast("binary").alias("payload")), payload_col="payload")
+    return media.resolve(references, media.store_features(store)).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos"
+    )
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), model=vocabulary("piece_bpe_32k.model"), seed=17, dropout=0.1)
+    return encoded.select("doc_id", "n_bytes", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), "lossless")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +64,12 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), rules=URL_RULES)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn_from=fold != 0)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
@@ -53,8 +81,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op4_topk": op4_topk,
+    "op5_media": op5_media,
+    "op6_pieces": op6_pieces,
     "op7_simhash": op7_simhash,
     "op8_urls": op8_urls,
+    "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
 
