@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, pieces, quality, sharding, simhash, topk, urls
+from . import media, packing, pieces, private, quality, sharding, simhash, topk, urls
 
 URL_RULES = (
     urls.Rule("com", "/en/", "block"),
@@ -34,6 +34,17 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary=vocabulary("byte_bpe_50k.json"))
 
 
+def op3_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans, _ = private.detect(table(spark, sf_dir, "documents"))
+    base = [(k.name, F.col(f"__{k.name}")) for k in private.KINDS]
+    return spans.select(
+        "doc_id",
+        *[F.size(c).cast("long").alias(f"n_{name}") for name, c in base],
+        F.sha2(private.span_text(base), 256).alias("base_sha256"),
+        private.span_text([*base, ("id", F.col("__id"))]).alias("spans"),
+    )
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 100 == 0)
 
@@ -81,6 +92,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_private": op3_private,
     "op4_topk": op4_topk,
     "op5_media": op5_media,
     "op6_pieces": op6_pieces,

@@ -114,12 +114,13 @@ def train(labelled: DataFrame, *, sizes: Sequence[int] = (3, 4, 5), buckets: int
     return list(every.select(F.aggregate(repeated, zero, step).alias("w")).first().w)
 
 
-def judge(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: Sequence[Rule] = (), labelled: DataFrame | None = None, threshold: float = 0.5, sizes: Sequence[int] = (3, 4, 5), buckets: int = 4096) -> DataFrame:
+def judge(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: Sequence[Rule] = (), labelled: DataFrame | None = None, threshold: float = 0.85, sizes: Sequence[int] = (3, 4, 5), buckets: int = 4096) -> DataFrame:
     """``id_col``, ``host``, ``path``, ``rule``, ``verdict`` and the classifier's ``score`` of every row.
 
     The longest rule that fits decides: its host is the url's or a parent domain
     of it, and the url's path starts with the rule's. Where none fits, ``rule`` is
-    null and the classifier decides: ``block`` from ``threshold`` on. A null url, or
+    null and the classifier decides: ``block`` from ``threshold`` on, which is set
+    high, as a clean host that is blocked costs more. A null url, or
     one without ``://``, has an empty host and path and is judged on those. One row
     comes out for each that goes in; other columns are not read.
     """
