@@ -119,16 +119,18 @@ def context_vectors(df: DataFrame, *, text_col: str) -> np.ndarray:
 
 
 def pooled(df: DataFrame, vectors: np.ndarray, *, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, the ``carry`` columns and ``pool``: mean and mean square of the words' vectors, and the log of their number."""
-    rows = df.select(F.col(id_col), *[F.col(c) for c in carry if c != text_col], text_column(text_col).alias("__text"))
+    """``id_col``, the ``carry`` columns and ``__pool``: mean and mean square of the words' vectors, and the log of their number."""
+    carried = text_col in carry  # then it goes to Python once and comes back
+    name = text_col if carried else "__text"
+    rows = df.select(F.col(id_col), *[F.col(c) for c in carry], *([] if carried else [text_column(text_col).alias("__text")]))
     sent = df.sparkSession.sparkContext.broadcast(np.hstack([vectors, vectors**2]))
-    keep = rows.schema.fields[:-1]
-    schema = T.StructType([*keep, T.StructField("pool", T.BinaryType())])
+    keep = [f for f in rows.schema.fields if f.name != "__text"]
+    schema = T.StructType([*keep, T.StructField("__pool", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = sent.value
-        for batch in slices(batches, "__text"):
-            stream, ends = _streams(batch.column("__text"))
+        for batch in slices(batches, name):
+            stream, ends = _streams(pc.fill_null(batch.column(name), ""))
             starts = np.concatenate([[0], ends[:-1]])
             sums = np.zeros((len(ends), both.shape[1]))
             owner = np.repeat(np.arange(len(ends)), ends - starts)
@@ -138,7 +140,7 @@ def pooled(df: DataFrame, vectors: np.ndarray, *, id_col: str, text_col: str, ca
                 sums[own[heads]] += np.add.reduceat(both[stream[k : k + _RUN]], heads, axis=0)
             n = ends - starts
             pool = np.hstack([sums / np.maximum(n, 1)[:, None], np.log1p(n)[:, None]])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x.tobytes() for x in pool], pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x.tobytes() for x in pool], pa.binary())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -192,8 +194,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def score_quality(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn_from: Column | None = None, train_rows: int = TRAIN_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, the ``carry`` columns and ``score``, the probability of label 1, of every row of ``df``.
+def score_quality(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn_from: Column | None = None, train_rows: int = TRAIN_ROWS, carry: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:
+    """``id_col``, the ``carry`` columns and ``score_col``, the probability of label 1, of every row of ``df``.
 
     Word vectors come from all texts. The network is fitted on labelled rows for
     which ``learn_from`` (over ``labels``) holds, at most ``train_rows`` of them.
@@ -208,14 +210,14 @@ def score_quality(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     if learn_from is not None:
         known = known.where(learn_from)
     known = known.groupBy(id_col).agg(F.max(label_col).alias("__y")).select(F.col(id_col).alias("__id"), "__y")
-    sample = pools.join(known, pools[id_col] == known["__id"]).select("__y", "pool", F.xxhash64("__id").alias("__h"), "__id").orderBy("__h", "__id").limit(train_rows).toArrow()
-    x = np.frombuffer(b"".join(sample["pool"].to_pylist()), np.float64).reshape(-1, 2 * WIDTH + 1)
+    sample = pools.join(known, pools[id_col] == known["__id"]).select("__y", "__pool", F.xxhash64("__id").alias("__h"), "__id").orderBy("__h", "__id").limit(train_rows).toArrow()
+    x = np.frombuffer(b"".join(sample["__pool"].to_pylist()), np.float64).reshape(-1, 2 * WIDTH + 1)
     network = Network(x, sample["__y"].to_numpy().astype(np.float64))
-    schema = T.StructType([*[f for f in pools.schema.fields if f.name != "pool"], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*[f for f in pools.schema.fields if f.name != "__pool"], T.StructField(score_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pool = np.frombuffer(b"".join(batch.column("pool").to_pylist()), np.float64).reshape(-1, 2 * WIDTH + 1)
+            pool = np.frombuffer(b"".join(batch.column("__pool").to_pylist()), np.float64).reshape(-1, 2 * WIDTH + 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(network.probability(pool))], names=schema.names)
 
     return pools.mapInArrow(run, schema)

@@ -14,6 +14,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,15 +49,21 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``id_col`` and ``fp`` (the fingerprint's bits as a long) of every row, written down."""
-    rows = df.select(F.col(id_col).alias("__id"), text_column(text_col).cast("binary").alias("__text"))
-    schema = T.StructType([T.StructField(id_col, rows.schema[0].dataType), T.StructField("fp", T.LongType())])
+def fingerprints(df: DataFrame, *, id_col: str, text_col: str, shingle: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``__id``, the ``carry`` columns, ``fp`` (the fingerprint's bits as a long) and ``row`` (a number of its own) of every row, written down."""
+    carried = text_col in carry  # then it goes to Python once and comes back
+    name = text_col if carried else "__text"
+    rows = df.select(F.col(id_col).alias("__id"), *[F.col(c) for c in carry], *([] if carried else [text_column(text_col).cast("binary").alias("__text")]))
+    keep = [f for f in rows.schema.fields if f.name != "__text"]
+    schema = T.StructType([*keep, T.StructField("fp", T.LongType()), T.StructField("row", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
-            made = np.array([fingerprint(t, shingle) for t in batch.column("__text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(made)], names=schema.names)
+        row = TaskContext.get().partitionId() << 33
+        for batch in slices(batches, name):
+            texts = batch.column(name).cast(pa.binary()).to_pylist()
+            made = np.array([fingerprint(t or b"", shingle) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(made), pa.array(np.arange(row, row + len(texts)))], names=schema.names)
+            row += len(texts)
 
     return materialize(rows.mapInArrow(run, schema), "fingerprints")
 
@@ -95,10 +102,28 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     gives an empty result.
     """
     made = fingerprints(df, id_col=id_col, text_col=text_col, shingle=shingle)
-    classes = materialize(made.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
-    members = connected_components(links(classes, radius)).join(classes, F.col("node") == F.col("fp")).select("fp", "root", "least")
-    roots = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = members.join(roots, "root").select("fp", F.col("component_id").alias("linked"), F.lit(True).alias("is_linked"))
-    named = classes.join(linked, "fp", "left").select("fp", F.when(F.col("is_linked"), F.col("linked")).otherwise(F.col("least")).alias("component_id"))
+    named = _classes(made, "__id", radius)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return made.join(named, "fp").select(id_col, digits.alias("fingerprint"), "component_id")
+    return made.join(named, "fp").select(F.col("__id").alias(id_col), digits.alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def _classes(made: DataFrame, value: str, radius: int) -> DataFrame:
+    """Every ``fp`` with the ``least`` of ``value`` over all rows of its component."""
+    classes = materialize(made.groupBy("fp").agg(F.min(value).alias("own")), "classes")
+    members = connected_components(links(classes, radius)).join(classes, F.col("node") == F.col("fp")).select("fp", "root", "own")
+    roots = members.groupBy("root").agg(F.min("own").alias("shared"))
+    linked = members.join(roots, "root").select("fp", "shared", F.lit(True).alias("is_linked"))
+    return classes.join(linked, "fp", "left").select("fp", F.when(F.col("is_linked"), F.col("shared")).otherwise(F.col("own")).alias("least"))
+
+
+def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """``df`` with one row of each near-duplicate component: that of the smallest id.
+
+    Rows with a null id come after all others; of repeated rows one stays. Columns
+    and their order are kept.
+    """
+    columns = tuple(df.columns)
+    made = fingerprints(df, id_col=id_col, text_col=text_col, shingle=shingle, carry=columns)
+    keys = made.select("fp", F.struct(F.col("__id").isNull(), "__id", "row").alias("key"))
+    stay = _classes(keys, "key", radius).select(F.col("least.row").alias("row")).distinct()
+    return made.join(stay, "row", "left_semi").select(*columns)
