@@ -20,14 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, text_column
+from .common import SUM_SCHEMA, materialize, slices, sum_rows, text_column, tree_sum
 
 BUCKETS = 1 << 15
 WIDTH = 32
 TRAIN_ROWS = 20_000  # labelled rows that the network is fitted on, at most: those whose id hashes lowest
 _NONZERO = 4
 _SEED = 20_240_501
-_FAN_IN = 64
 _RUN = 1 << 16
 _PARTS = re.compile(r"\w+|[^\w\s]+")
 _REPEAT, _CAPITALS = 0, 1  # buckets of the two marks that aren't words
@@ -78,8 +77,6 @@ def context_vectors(df: DataFrame, *, text_col: str) -> np.ndarray:
     tree, so no task gets more than 64 tasks' sums.
     """
     rows = df.select(text_column(text_col).alias("__text"))
-    blocks = 64
-    cut = BUCKETS * WIDTH // blocks
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = _index_vectors()
@@ -93,26 +90,10 @@ def context_vectors(df: DataFrame, *, text_col: str) -> np.ndarray:
             for x, y in ((a, b), (b, a)):
                 for k in range(_NONZERO):
                     total += np.bincount(x * WIDTH + places[y, k], weights=signs[y, k], minlength=len(total)).astype(np.int64)
-        part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([part] * blocks, pa.int32()), pa.array([total[i * cut : (i + 1) * cut].tobytes() for i in range(blocks)], pa.binary())], names=["block", "part", "sums"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(cut, np.int64)
-        for x in table.column("sums"):
-            total += np.frombuffer(x.as_buffer(), np.int64)
-        return pa.table({"block": table.column("block")[:1], "part": table.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "block int, part int, sums binary"
-    n = rows.rdd.getNumPartitions()
-    sums = rows.mapInArrow(count, schema)
-    while True:
-        sums = sums.withColumn("part", F.expr(f"part div {_FAN_IN}").cast("int")).groupBy("block", "part").applyInArrow(add, schema)
-        n = math.ceil(n / _FAN_IN)
-        if n <= 1:
-            break
-    vectors = np.zeros(BUCKETS * WIDTH)
-    for r in sums.collect():
-        vectors[r.block * cut : (r.block + 1) * cut] = np.frombuffer(r.sums, np.int64)
+        yield from sum_rows("context", TaskContext.get().partitionId(), total)
+
+    found = tree_sum(rows.mapInArrow(count, SUM_SCHEMA), rows.rdd.getNumPartitions())
+    vectors = found.get("context", np.zeros(BUCKETS * WIDTH)).astype(np.float64)
     vectors = vectors.reshape(BUCKETS, WIDTH)
     size = np.sqrt((vectors**2).sum(1, keepdims=True))
     return (vectors / np.where(size > 0, size, 1)).astype(np.float32)

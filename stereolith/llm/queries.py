@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, pieces, private, quality, sharding, simhash, topk, urls
+from . import media, packing, pieces, private, quality, scoring, sharding, simhash, topk, urls
 
 URL_RULES = (
     urls.Rule("com", "/en/", "block"),
@@ -34,6 +34,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary=vocabulary("byte_bpe_50k.json"))
 
 
+def op2_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
+    return scoring.score_texts(table(spark, sf_dir, "documents"), held_out=fold == 2)
+
+
 def op3_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans, _ = private.detect(table(spark, sf_dir, "documents"))
     base = [(k.name, F.col(f"__{k.name}")) for k in private.KINDS]
@@ -92,6 +97,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_scoring": op2_scoring,
     "op3_private": op3_private,
     "op4_topk": op4_topk,
     "op5_media": op5_media,
