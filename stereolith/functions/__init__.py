@@ -1 +1 @@
-
+"""Column functions: time codes, text and geometry."""

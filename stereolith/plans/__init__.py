@@ -1 +1 @@
-
+"""Whole pipelines over the engine's tables."""

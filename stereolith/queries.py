@@ -1,10 +1,699 @@
-"""The queries of the engine by name, and their SQL."""
+"""The engine's queries by name, and their SQL.
+
+The test tables aren't camera tables, so each query binds an operator to columns
+that have its shape: events are points of a track (user) with x = value, y = the
+number in props and a time; order lines are clicks on clips, and so on.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import geometry, text, timecode
+from .operators import aggregates, changes, joins, sequences, solvers
+from .plans import measure
+from .sources import exports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            ORACLE[name or f.__name__] = sql.replace("{P}", _POINTS).replace("{V}", _VECTORS)
+        return f
+
+    return put
+
+
+_POINTS = "(SELECT event_id, user_id, event_type, epoch_us(ts) / 1000000.0 AS t, value AS x, CAST(regexp_extract(props, '([0-9.]+)', 1) AS DOUBLE) AS y FROM events)"
+_VECTORS = "(SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(6)) + " FROM embeddings)"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as points of tracks."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", (micros / 1000000.0).alias("t"), F.col("value").alias("x"), F.regexp_extract("props", "([0-9.]+)", 1).cast("double").alias("y"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(6)])
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+# Points in order
+
+
+@query("""WITH q AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(t) OVER w AS pt FROM {P} WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))
+SELECT user_id, event_id, round(sqrt((x-px)*(x-px)+(y-py)*(y-py)), 6) AS length, CASE WHEN t <> pt THEN round(sqrt((x-px)*(x-px)+(y-py)*(y-py)) / abs(t-pt), 6) END AS speed FROM q WHERE px IS NOT NULL""")
+def w3_segments(spark, d):
+    s = sequences.segments(points(spark, d), event="user_id", order=("t", "event_id"), coordinates=("x", "y"), t="t")
+    return s.select("user_id", "event_id", r6("length", "length"), r6("speed", "speed"))
+
+
+@query("SELECT user_id, CAST(coalesce(max(event_id), 0) + 1 AS BIGINT) AS next_index FROM events GROUP BY user_id")
+def w4_next_index(spark, d):
+    return sequences.next_index(points(spark, d), group="user_id", index="event_id")
+
+
+@query("""WITH q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS n FROM {P})
+SELECT user_id, event_id, CAST(floor(n / 5) AS INT) AS part, CAST(n % 5 + 1 AS INT) AS index FROM q""")
+def w5_roll_over(spark, d):
+    return sequences.roll_over(points(spark, d), event="user_id", order=("t", "event_id"), most=5).select("user_id", "event_id", "part", "index")
+
+
+@query("SELECT user_id, event_id, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY floor(t / 86400)) - 1 AS INT) AS part FROM {P}")
+def w5_roll_over_by_time(spark, d):
+    days = points(spark, d).withColumn("t", F.floor(F.col("t") / 86400))
+    return sequences.roll_over_by_time(days, event="user_id", t="t").select("user_id", "event_id", "part")
+
+
+@query("""SELECT l_orderkey, min_by(l_linenumber, l_linenumber) AS l_linenumber FROM lineitem l WHERE l_quantity > 20 AND NOT EXISTS
+(SELECT 1 FROM events e WHERE e.event_id = l.l_orderkey AND e.event_type = 'click') GROUP BY l_orderkey""")
+def w6_lowest_without(spark, d):
+    lines = table(spark, d, "lineitem")
+    clicks = table(spark, d, "events").select(F.col("event_id").alias("l_orderkey"), "event_type")
+    taken = clicks.where("event_type = 'click'").select("l_orderkey").distinct()
+    return lines.where("l_quantity > 20").join(taken, "l_orderkey", "left_anti").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("l_linenumber"))
+
+
+@query("""WITH s AS (SELECT p_brand, min(p_size) a, min(p_retailprice) b FROM part GROUP BY 1),
+g AS (SELECT p.p_brand, min(CASE WHEN p_size > a THEN p_size END) - min(a) AS da, min(CASE WHEN p_retailprice > b THEN p_retailprice END) - min(b) AS db FROM part p JOIN s USING (p_brand) GROUP BY 1)
+SELECT p_brand, round(least(CAST(da AS DOUBLE), db), 6) AS spacing FROM g""")
+def w7_grid_spacing(spark, d):
+    part = table(spark, d, "part").withColumn("p_size", F.col("p_size").cast("double"))
+    return sequences.grid_spacing(part, group="p_brand", axes=("p_size", "p_retailprice")).select("p_brand", r6("spacing", "spacing"))
+
+
+@query("""WITH q AS (SELECT user_id, min_by(x, event_id) ax, min_by(y, event_id) ay, max_by(x, event_id) bx, max_by(y, event_id) byy FROM {P} GROUP BY 1)
+SELECT user_id, ax AS a_x, ay AS a_y, bx AS b_x, byy AS b_y, round(sqrt((bx-ax)*(bx-ax)+(byy-ay)*(byy-ay)), 6) AS tip_distance FROM q""")
+def w8_tip_to_tip(spark, d):
+    return sequences.tip_to_tip(points(spark, d), line="user_id", order="event_id", x="x", y="y").withColumn("tip_distance", F.round("tip_distance", 6))
+
+
+@query("""WITH n AS (SELECT conv_id, count(*) AS length FROM conversations GROUP BY 1)
+SELECT conv_id, CAST(coalesce(sum(length) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, length FROM n""")
+def a5_portrait_ranges(spark, d):
+    return sequences.first_range(table(spark, d, "conversations"), group="conv_id", order=("turn",))
+
+
+# Filters and joins in time and space
+
+_SPINE = "(SELECT t0 + i * 3600.0 AS t FROM (SELECT floor(min(t)) AS t0 FROM {P}), range(0, 700, 7) AS r(i))"
+
+
+def _spine(spark, d):
+    first = points(spark, d).agg(F.floor(F.min("t")).alias("t0"))
+    return first.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(693), F.lit(7)), lambda i: F.col("t0") + i * 3600.0)).alias("at"))
+
+
+@query(f"SELECT event_id, s.t AS at, round(CASE WHEN s.t > p.t + 1800 THEN 1 - (s.t - p.t - 1800) / 900 ELSE 1.0 END, 6) AS opacity FROM {{P}} p JOIN {_SPINE} s ON p.t <= s.t AND s.t < p.t + 2700")
+def j8_visible_at(spark, d):
+    items = points(spark, d).withColumn("duration", F.lit(1800.0)).withColumn("fade", F.lit(900.0))
+    seen = joins.visible_at(items, _spine(spark, d), start="t", duration="duration", fade="fade", t="at", width=1800.0)
+    return seen.select("event_id", "at", r6(timecode.opacity(F.col("at"), F.col("t"), F.col("duration"), F.col("fade")), "opacity"))
+
+
+@query("SELECT event_id FROM {P} WHERE t <= 1705000000 AND 1705000000 < t + 86400 + 3600")
+def f1_visible_now(spark, d):
+    return points(spark, d).where(timecode.is_visible(F.lit(1705000000.0), F.col("t"), F.lit(86400.0), F.lit(3600.0))).select("event_id")
+
+
+@query("SELECT event_id FROM {P} WHERE abs(t - floor(t)) < 0.004")
+def f2_current_frame(spark, d):
+    return points(spark, d).where(timecode.same_time(F.col("t"), F.floor("t"))).select("event_id")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 10 AND p_retailprice IS NOT NULL")
+def f4_calibrated_points(spark, d):
+    parts = table(spark, d, "part").where("p_size > 10 AND p_retailprice IS NOT NULL")
+    return table(spark, d, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT event_id, CASE WHEN NOT (round(x) % 7 = 0 AND y >= 50) THEN x END AS screen_x, CASE WHEN NOT (round(x) % 7 = 0 AND y >= 50) THEN y END AS screen_y FROM {P}")
+def f7_null_sentinel(spark, d):
+    zero = (F.round("x") % 7 == 0) & (F.col("y") >= 50)
+    marked = points(spark, d).select("event_id", F.when(zero, 0.0).otherwise(F.col("x")).alias("screen_x"), F.when(zero, 0.0).otherwise(F.col("y")).alias("screen_y"))
+    return changes.null_origin(marked)
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 4")
+def f8_enough_points(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+
+
+@query("SELECT event_id FROM {P} WHERE x > 4 AND x < 400 - 4 AND y > 4 AND y < 90 - 4")
+def f16_inside_frame(spark, d):
+    return points(spark, d).where((F.col("x") > 4) & (F.col("x") < 396) & (F.col("y") > 4) & (F.col("y") < 86)).select("event_id")
+
+
+@query("""SELECT a.event_id AS a, b.event_id AS b FROM {P} a JOIN {P} b ON a.event_type = b.event_type AND abs(a.t - b.t) < 30 AND a.event_id < b.event_id""")
+def j9_same_time(spark, d):
+    p = points(spark, d)
+    left = p.select(F.col("event_id").alias("a"), "event_type", F.col("t").alias("ta"))
+    right = p.select(F.col("event_id").alias("b"), "event_type", F.col("t").alias("tb"))
+    return joins.within(left, right, "ta", "tb", 30.0, ("event_type",)).where("a < b").select("a", "b")
+
+
+@query("""SELECT c_custkey, o_orderkey, n_name || ' ' || c_custkey || CASE WHEN c_mktsegment <> 'BUILDING' THEN ' (' || c_name || ')' ELSE '' END AS label, o_orderstatus
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+def j1_labelled_points(spark, d):
+    both = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    name = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_name"))
+    return both.select("c_custkey", "o_orderkey", text.label(F.col("n_name"), F.col("c_custkey"), name).alias("label"), "o_orderstatus")
+
+
+@query("""WITH f AS (SELECT l_orderkey, l_suppkey, l_partkey FROM lineitem WHERE l_linenumber = 2 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey) = 1)
+SELECT o_orderkey, f.l_partkey AS l_partkey FROM orders LEFT JOIN f ON o_orderkey = l_orderkey""")
+def j3_screen_point_of_clip(spark, d):
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey")
+    orders = table(spark, d, "orders").select("o_orderkey")
+    return joins.screen_point_of(orders, lines, 2, point="o_orderkey", clip_col="l_linenumber", index="l_partkey").select("o_orderkey", "l_partkey")
+
+
+_CLIPS = "(SELECT range AS clip, 1 AS project FROM range(1, 8))"
+
+
+def _clicks(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("point"), F.col("l_linenumber").cast("long").alias("clip"), F.lit(1).alias("project"))
+
+
+def _clips(spark):
+    return spark.range(1, 8).select(F.col("id").alias("clip"), F.lit(1).alias("project"))
+
+
+@query(f"SELECT l_orderkey AS point, CAST(l_linenumber AS BIGINT) AS clip, c.clip AS other FROM lineitem JOIN {_CLIPS} c ON c.clip <> l_linenumber")
+def j4_hint_targets(spark, d):
+    return joins.other_clips(_clicks(spark, d), _clips(spark), clip="clip", project="project").select("point", "clip", "other")
+
+
+@query(f"SELECT l.l_orderkey AS point, CAST(l.l_linenumber AS BIGINT) AS clip, c.clip AS other FROM lineitem l JOIN {_CLIPS} c ON c.clip <> l.l_linenumber WHERE NOT EXISTS (SELECT 1 FROM lineitem m WHERE m.l_orderkey = l.l_orderkey AND m.l_linenumber = c.clip)")
+def j5_unpaired_hints(spark, d):
+    return joins.unpaired(_clicks(spark, d), _clips(spark), point="point", clip="clip", project="project").select("point", "clip", "other")
+
+
+@query("SELECT s_suppkey AS object_id FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey = 1)")
+def j6_not_attached(spark, d):
+    objects = table(spark, d, "supplier").select(F.col("s_suppkey").alias("object_id"))
+    bridge = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("object_id"))
+    return joins.not_attached(objects, bridge, 1)
+
+
+@query("SELECT a.s_suppkey AS s_suppkey, b.s_suppkey AS other FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey")
+def j7_same_type(spark, d):
+    return joins.same_type_others(table(spark, d, "supplier"), key="s_suppkey", kind="s_nationkey").select("s_suppkey", "other")
+
+
+@query("""WITH c AS (SELECT event_id, user_id, t - 3600.0 * (user_id % 3) AS clip_t FROM {P}) SELECT event_id, round(clip_t, 6) AS clip_time, round(clip_t + 3600.0 * (user_id % 3) - clip_t, 6) AS sync_offset FROM c""")
+def j10_sync_offset(spark, d):
+    p = points(spark, d).withColumn("offset", 3600.0 * (F.col("user_id") % 3)).withColumn("clip_t", timecode.clip_time(F.col("t"), F.col("offset")))
+    return p.select("event_id", r6("clip_t", "clip_time"), r6(timecode.sync_offset(F.col("clip_t") + F.col("offset"), F.col("clip_t")), "sync_offset"))
+
+
+@query("""SELECT a.vec_id AS query, min_by(b.vec_id, (sqrt(dd), b.vec_id)) AS vec_id, round(min(sqrt(dd)), 6) AS distance FROM
+(SELECT a.vec_id AS qid, b.vec_id AS bid, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS dd FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0) x
+JOIN embeddings a ON a.vec_id = qid JOIN embeddings b ON b.vec_id = bid WHERE sqrt(dd) > 0.0001 GROUP BY a.vec_id""")
+def j11_nearest_vector(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    found = joins.nearest_vector(rows, rows.where("vec_id % 10 = 0"), key="vec_id", vector="embedding")
+    return found.select("query", "vec_id", r6("distance", "distance"))
+
+
+@query("""WITH q AS (SELECT event_id AS query, x AS qx, y AS qy FROM {P} WHERE event_type = 'error'), c AS (SELECT event_id AS point, x, y FROM {P} WHERE event_type <> 'error'),
+p AS (SELECT query, point, sqrt((qx-x)*(qx-x)+(qy-y)*(qy-y)) AS dd FROM q, c) SELECT query, min_by(point, (dd, point)) AS point, round(min(dd), 6) AS distance FROM p WHERE dd > 0.0001 AND dd <= 10 GROUP BY query""")
+def j12_nearest_point(spark, d):
+    p = points(spark, d)
+    asked = p.where("event_type = 'error'").select(F.col("event_id").alias("query"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    rest = p.where("event_type <> 'error'").select(F.col("event_id").alias("point"), "x", "y")
+    return joins.nearest(asked, rest, query="query", point="point", coordinates=(("qx", "x"), ("qy", "y")), cell=10.0, reach=10.0).select("query", "point", r6("distance", "distance"))
+
+
+@query("""SELECT a.l_orderkey AS l_orderkey, a.l_linenumber AS line_a, b.l_linenumber AS line_b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND a.l_returnflag = b.l_returnflag""")
+def j16_both_ends(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber")
+    later = lines.select("l_orderkey", "l_returnflag", F.col("l_linenumber").alias("line_b"), (F.col("l_linenumber") - 1).alias("line_a"))
+    return lines.withColumnRenamed("l_linenumber", "line_a").join(later, ["l_orderkey", "l_returnflag", "line_a"]).select("l_orderkey", "line_a", "line_b")
+
+
+# Sums
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+def a1_points_per_event(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return aggregates.count_related(table(spark, d, "customer"), orders, "c_custkey", "n")
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1")
+def a4_type_counts(spark, d):
+    return aggregates.type_counts(table(spark, d, "events"), "event_type")
+
+
+@query("SELECT user_id, coalesce(CAST(CAST(min(t) AS BIGINT) AS VARCHAR), 'None') AS earliest FROM (SELECT user_id, floor(t) AS t FROM {P}) GROUP BY 1")
+def a7_earliest(spark, d):
+    p = points(spark, d).withColumn("t", F.floor("t"))
+    return aggregates.earliest(p, event="user_id", t="t", shown=F.col("t").cast("long").cast("string"))
+
+
+@query("""WITH c AS (SELECT label, avg(e0) cx, avg(e1) cy FROM {V} GROUP BY 1) SELECT label, round(min(cx), 6) AS cx, round(min(cy), 6) AS cy, round(sqrt(2.0) / avg(sqrt((e0-cx)*(e0-cx)+(e1-cy)*(e1-cy))), 6) AS scale FROM {V} v JOIN c USING (label) GROUP BY label""")
+def a9_centroid_scale(spark, d):
+    return aggregates.centroid_scale(vectors(spark, d), group="label", x="e0", y="e1").select("label", r6("cx", "cx"), r6("cy", "cy"), r6("scale", "scale"))
+
+
+@query("SELECT label, round(avg(sqrt((e0-e2)*(e0-e2)+(e1-e3)*(e1-e3))), 6) AS residual FROM {V} GROUP BY label")
+def a10_residual(spark, d):
+    return aggregates.mean_distance(vectors(spark, d), group="label", a=("e0", "e1"), b=("e2", "e3")).select("label", r6("residual", "residual"))
+
+
+_SSQ = """(SELECT user_id, n, greatest(0.0, (xx + yy - sqrt((xx-yy)*(xx-yy) + 4*xy*xy)) / 2) AS ssq FROM (SELECT user_id, n, sxx - sx*sx/n AS xx, syy - sy*sy/n AS yy, sxy - sx*sy/n AS xy FROM
+(SELECT p.user_id, count(*) AS n, sum(x-ox) sx, sum(y-oy) sy, sum((x-ox)*(x-ox)) sxx, sum((y-oy)*(y-oy)) syy, sum((x-ox)*(y-oy)) sxy FROM {P} p JOIN (SELECT user_id, min(x) ox, min(y) oy FROM {P} GROUP BY 1) o USING (user_id) GROUP BY 1)))"""
+
+
+@query(f"SELECT user_id, n, round(ssq, 3) AS ssq FROM {_SSQ}")
+def a15_line_residuals(spark, d):
+    return aggregates.line_residuals(points(spark, d), line=("user_id",), x="x", y="y").select("user_id", "n", F.round("ssq", 3).alias("ssq"))
+
+
+@query(f"SELECT count(*) AS lines, CAST(sum(n) AS BIGINT) AS points, round(sum(ssq), 2) AS total, round(sqrt(sum(ssq) / sum(n)), 6) AS rms FROM {_SSQ}")
+def a16_total_residual(spark, d):
+    each = aggregates.line_residuals(points(spark, d), line=("user_id",), x="x", y="y")
+    return each.agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("points"), F.round(F.sum("ssq"), 2).alias("total"), F.round(F.sqrt(F.sum("ssq") / F.sum("n")), 6).alias("rms"))
+
+
+_MEET = """(WITH l AS (SELECT label, e0 f0, e1 f1, e2 f2, e3 b0, e4 b1, e5 b2, sqrt((e3-e0)*(e3-e0)+(e4-e1)*(e4-e1)+(e5-e2)*(e5-e2)) AS len FROM {V}),
+u AS (SELECT *, (b0-f0)/len u0, (b1-f1)/len u1, (b2-f2)/len u2 FROM l),
+s AS (SELECT label, count(*) n, sum(1-u0*u0) a, sum(-u0*u1) b, sum(-u0*u2) c, sum(1-u1*u1) d, sum(-u1*u2) e, sum(1-u2*u2) f,
+ sum((1-u0*u0)*f0-u0*u1*f1-u0*u2*f2) p, sum(-u0*u1*f0+(1-u1*u1)*f1-u1*u2*f2) q, sum(-u0*u2*f0-u1*u2*f1+(1-u2*u2)*f2) r FROM u GROUP BY label),
+k AS (SELECT *, a*(d*f-e*e)-b*(b*f-c*e)+c*(b*e-c*d) AS det FROM s)
+SELECT label, n, (p*(d*f-e*e)+q*(c*e-b*f)+r*(b*e-c*d))/det AS x, (p*(c*e-b*f)+q*(a*f-c*c)+r*(b*c-a*e))/det AS y, (p*(b*e-c*d)+q*(b*c-a*e)+r*(a*d-b*b))/det AS z FROM k)"""
+
+
+@query(f"""SELECT m.label AS label, m.n AS n, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z, round(pld, 5) AS pld FROM {_MEET} m JOIN
+(SELECT v.label, avg(sqrt(greatest(0.0, (x-e0)*(x-e0)+(y-e1)*(y-e1)+(z-e2)*(z-e2) - ((x-e0)*(e3-e0)+(y-e1)*(e4-e1)+(z-e2)*(e5-e2))*((x-e0)*(e3-e0)+(y-e1)*(e4-e1)+(z-e2)*(e5-e2)) / ((e3-e0)*(e3-e0)+(e4-e1)*(e4-e1)+(e5-e2)*(e5-e2))))) AS pld
+FROM {{V}} v JOIN {_MEET} m ON v.label = m.label GROUP BY v.label) g ON g.label = m.label""")
+def a20_meet_lines(spark, d):
+    found = aggregates.meet_lines(vectors(spark, d), group="label", front=("e0", "e1", "e2"), back=("e3", "e4", "e5"))
+    return found.select("label", "n", *[F.round(c, 5).alias(c) for c in ("x", "y", "z", "pld")])
+
+
+@query("SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ', ' ORDER BY o_orderkey) AS objects FROM orders GROUP BY 1")
+def p11_other_objects(spark, d):
+    ordered = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(ordered, ", ").alias("objects"))
+
+
+@query("SELECT p_brand, min(p_size) AS min_x, max(p_size) AS max_x, min(p_retailprice) AS min_y, max(p_retailprice) AS max_y FROM part GROUP BY 1")
+def a22_box(spark, d):
+    return aggregates.box(table(spark, d, "part"), group="p_brand", x="p_size", y="p_retailprice")
+
+
+@query("SELECT s_nationkey, NOT coalesce(bool_or(CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal > 5000 END), false) AS none_synced FROM supplier GROUP BY 1")
+def a25_none_synced(spark, d):
+    clips = table(spark, d, "supplier").withColumn("m", F.col("s_suppkey") % 3 == 0).withColumn("synced", F.col("s_acctbal") > 5000)
+    return aggregates.none_synced(clips, project="s_nationkey", synced="synced", is_master="m")
+
+
+@query("SELECT v.vec_id AS vec_id, round(min(sqrt((e0-cx)*(e0-cx)+(e1-cy)*(e1-cy)+(e2-cz)*(e2-cz))), 6) AS camera_distance FROM {V} v JOIN (SELECT label, vec_id AS cid, e3 cx, e4 cy, e5 cz FROM {V} WHERE vec_id < 40) c ON c.label = v.label GROUP BY v.vec_id")
+def a13_nearest_camera(spark, d):
+    v = vectors(spark, d)
+    cameras = v.where("vec_id < 40").select("label", F.col("e3").alias("cx"), F.col("e4").alias("cy"), F.col("e5").alias("cz"))
+    rows = v.select("vec_id", "label", F.col("e0").alias("x"), F.col("e1").alias("y"), F.col("e2").alias("z"))
+    return aggregates.nearest_camera(rows, cameras, point="vec_id", key="label").select("vec_id", r6("camera_distance", "camera_distance"))
+
+
+# Order, sets and changes
+
+
+@query("SELECT n_name, s_suppkey, s_name, row_number() OVER (ORDER BY n_name, s_suppkey, s_name) AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def o1_by_type_index_name(spark, d):
+    both = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    ordered = both.select("n_name", "s_suppkey", "s_name").orderBy("n_name", "s_suppkey", "s_name")
+    placed = ordered.agg(F.array_sort(F.collect_list(F.struct("n_name", "s_suppkey", "s_name"))).alias("all"))
+    return placed.select(F.posexplode("all").alias("i", "r")).select("r.*", (F.col("i") + 1).cast("long").alias("place"))
+
+
+@query("""WITH x AS (SELECT n_name, list_sort(list_distinct(list(s_name))) AS names FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)
+SELECT n_name, array_to_string(names[1:10], ', ') AS first, CAST(greatest(len(names) - 10, 0) AS INT) AS more FROM x""")
+def o11_blocking(spark, d):
+    both = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return changes.blocking(both, key="n_name", shown="s_name").select("n_name", F.array_join("first", ", ").alias("first"), "more")
+
+
+_BRIDGE = "(SELECT DISTINCT user_id AS object_id, event_id FROM events)"
+
+
+def _bridge(spark, d):
+    return table(spark, d, "events").select(F.col("user_id").alias("object_id"), "event_id").distinct()
+
+
+@query(f"SELECT object_id, event_id FROM {_BRIDGE} UNION SELECT 7 AS object_id, event_id FROM events WHERE user_id = 3")
+def u1_add_links(spark, d):
+    more = table(spark, d, "events").where("user_id = 3").select(F.lit(7).cast("long").alias("object_id"), "event_id")
+    return changes.add_links(_bridge(spark, d), more)
+
+
+@query(f"SELECT object_id, event_id FROM {_BRIDGE} WHERE NOT (object_id = 3 AND event_id % 2 = 0)")
+def u2_remove_links(spark, d):
+    gone = _bridge(spark, d).where("object_id = 3 AND event_id % 2 = 0")
+    return changes.remove_links(_bridge(spark, d), gone)
+
+
+@query("""WITH n AS (SELECT c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'nil' ELSE c_mktsegment || '!' END AS notes, CASE WHEN c_custkey % 2 = 0 THEN true END AS show FROM customer WHERE c_custkey % 5 = 0
+UNION ALL SELECT s_name, 'new', NULL FROM supplier),
+o AS (SELECT c_name AS name, c_mktsegment AS notes, true AS show FROM customer)
+SELECT coalesce(o.name, n.name) AS name, CASE WHEN n.name IS NOT NULL AND n.notes <> 'nil' THEN n.notes ELSE o.notes END AS notes, CASE WHEN n.name IS NOT NULL THEN coalesce(n.show, false) ELSE o.show END AS show FROM o FULL JOIN n ON o.name = n.name""")
+def m3_upsert_types(spark, d):
+    customer = table(spark, d, "customer")
+    old = customer.select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("notes"), F.lit(True).alias("show"))
+    given = customer.where("c_custkey % 5 = 0").select(F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 3 == 0, "nil").otherwise(F.concat("c_mktsegment", F.lit("!"))).alias("notes"), F.when(F.col("c_custkey") % 2 == 0, True).alias("show"))
+    added = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.lit("new").alias("notes"), F.lit(None).cast("boolean").alias("show"))
+    return changes.upsert_types(old, given.unionByName(added), flags=("show",))
+
+
+@query("SELECT CASE WHEN user_id = 3 AND epoch_us(ts) / 1000000.0 > 1705000000 THEN 1000 ELSE user_id END AS object_id, event_id FROM events")
+def m4_split_object(spark, d):
+    p = points(spark, d)
+    bridge = p.select(F.col("user_id").alias("object_id"), "event_id")
+    return changes.split_object(bridge, p, 3, 1705000000.0, 1000).withColumn("object_id", F.col("object_id").cast("long"))
+
+
+@query("SELECT DISTINCT CASE WHEN l_suppkey = 2 THEN 1 ELSE l_suppkey END AS object_id, l_orderkey AS event_id FROM lineitem")
+def m5_merge_objects(spark, d):
+    bridge = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("object_id"), F.col("l_orderkey").alias("event_id"))
+    return changes.merge_objects(bridge, 1, 2)
+
+
+@query("SELECT o_orderkey AS event_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1 AND bool_or(l_suppkey = 1))")
+def m6_delete_cascades(spark, d):
+    bridge = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("object_id"), F.col("l_orderkey").alias("event_id"))
+    events = table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"))
+    return changes.delete_object(events, bridge, 1)[0]
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+def m7_deletable_types(spark, d):
+    suppliers = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
+    return changes.deletable(table(spark, d, "nation"), suppliers, "n_nationkey").select("n_nationkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def m2_prune_points(spark, d):
+    clicks = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return changes.prune_points(table(spark, d, "orders"), clicks, "o_orderkey").select("o_orderkey")
+
+
+@query("SELECT event_id, round(CASE WHEN user_id = 3 THEN x + 0.3 ELSE x END, 6) AS x, round(CASE WHEN user_id = 3 THEN y - 0.6 ELSE y END, 6) AS y FROM {P}")
+def m10_nudge(spark, d):
+    return changes.nudge(points(spark, d), F.col("user_id") == 3, 1, -2, x="x", y="y").select("event_id", r6("x", "x"), r6("y", "y"))
+
+
+@query("SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier WHERE s_acctbal < 0 OR s_suppkey % 4 = 0 GROUP BY 1")
+def m11_fill_next(spark, d):
+    rows = table(spark, d, "supplier").withColumn("screen_x", F.when(~((F.col("s_acctbal") < 0) | (F.col("s_suppkey") % 4 == 0)), 1.0))
+    return changes.fill_next(rows, "s_nationkey", "s_suppkey")
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey + 100, r_name FROM region WHERE r_regionkey < 2")
+def m13_clone(spark, d):
+    return changes.clone(table(spark, d, "region"), F.col("r_regionkey") < 2, key="r_regionkey", new_key=F.col("r_regionkey") + 100).select("r_regionkey", "r_name")
+
+
+@query("SELECT s_suppkey, s_suppkey = 3 AS is_master, CASE WHEN s_suppkey = 3 THEN 0.0 WHEN s_suppkey % 2 = 0 THEN 100.0 - s_acctbal ELSE 1.5 END AS sync_offset, s_suppkey % 2 = 0 AND s_suppkey <> 3 AS sync_is_locked FROM supplier")
+def m15_master_and_sync(spark, d):
+    clips = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.lit(1.5).alias("sync_offset"), F.lit(False).alias("sync_is_locked"))
+    locked = changes.lock_sync(clips, 100.0, clip_time="s_acctbal", where=F.col("s_suppkey") % 2 == 0)
+    return changes.set_master(locked, 3, clip="s_suppkey").select("s_suppkey", "is_master", "sync_offset", "sync_is_locked")
+
+
+# Time and text
+
+
+@query("""SELECT event_id, code, value, timescale, round(value / timescale, 6) AS seconds, CAST(round(value * 30.0 / timescale) AS BIGINT) AS frames FROM (SELECT event_id,
+CASE WHEN event_id % 5 = 0 THEN '-' ELSE '' END || (s // 3600) || ':' || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || '.' || f || '/600' AS code,
+CAST(CASE WHEN event_id % 5 = 0 THEN -1 ELSE 1 END * (s * 600 + f) AS BIGINT) AS value, 600 AS timescale FROM (SELECT event_id, CAST(floor(value * 60) AS BIGINT) AS s, CAST(event_id * 7 % 600 AS BIGINT) AS f FROM events)) WHERE value <> 0 OR event_id % 5 <> 0""")
+def t1_timecodes(spark, d):
+    whole, ticks = F.floor(F.col("value") * 60).cast("long"), F.col("event_id") * 7 % 600
+    sign = F.when(F.col("event_id") % 5 == 0, -1).otherwise(1)
+    codes = table(spark, d, "events").select("event_id", timecode.render(sign * (whole * 600 + ticks), F.lit(600)).alias("code"))
+    parsed = codes.select("event_id", "code", timecode.parse(F.col("code")).alias("p"))
+    value, scale = F.col("p.value"), F.col("p.timescale")
+    return parsed.select("event_id", "code", value.alias("value"), scale.alias("timescale"), r6(value / scale, "seconds"), timecode.rescale(value, scale, F.lit(30.0)).alias("frames"))
+
+
+@query("SELECT event_id, round(10 + x * 90 / 500, 6) AS scrubbed, round(t + 3 / 25.0 + 2 - 60, 6) AS stepped, CAST(round(x / 60) AS BIGINT) + 1 AS ticks, CAST(round(x / 0.04) AS BIGINT) AS frames, round(x - 2.5, 6) AS stop FROM {P}")
+def t7_time_arithmetic(spark, d):
+    x, t = F.col("x"), F.col("t")
+    return points(spark, d).select(
+        "event_id", r6(timecode.between_ranges(x, F.lit(0.0), F.lit(500.0), F.lit(10.0), F.lit(100.0)), "scrubbed"), r6(timecode.step(t, F.lit(3), F.lit(25.0), F.lit(2), F.lit(-1)), "stepped"),
+        timecode.scrubber_ticks(x).alias("ticks"), timecode.frame_count(x, F.lit(0.04)).alias("frames"), r6(timecode.stop_time(x, F.lit(2.5), F.lit(-1.0)), "stop"),
+    )
+
+
+@query("""SELECT page_id, regexp_replace(url, '[/\\\\?%*|"<>]', '', 'g') AS file_name, translate(url, ':/', '-+') AS readable FROM pages""")
+def x1_file_names(spark, d):
+    return table(spark, d, "pages").select("page_id", text.sanitize_file_name(F.col("url")).alias("file_name"), text.readable_time(F.col("url")).alias("readable"))
+
+
+@query("SELECT doc_id, coalesce(nullif(concat_ws(' - ', CASE WHEN doc_id % 2 = 0 THEN source END, CASE WHEN doc_id % 3 = 0 THEN lang END, CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id AS VARCHAR) END), ''), 'Untitled') AS name FROM documents")
+def k5_export_name(spark, d):
+    def some(k: int, c):
+        return F.when(F.col("doc_id") % k == 0, c)
+
+    parts = (some(2, F.col("source")), some(3, F.col("lang")), some(5, F.col("doc_id").cast("string")), F.lit(""))
+    return table(spark, d, "documents").select("doc_id", exports.export_name(*parts).alias("name"))
+
+
+@query("SELECT event_id, CASE WHEN y < 50 THEN '(slow motion)' WHEN y > 50 THEN '(fast forward/reverse)' ELSE '(normal speed playback)' END AS rate, CASE WHEN y >= 80 THEN '1080p' WHEN y >= 60 THEN '720p' WHEN y >= 40 THEN '540p' ELSE '480p' END AS preset FROM {P}")
+def p16_descriptions(spark, d):
+    width = F.when(F.col("y") >= 80, 1920).when(F.col("y") >= 60, 1280).when(F.col("y") >= 40, 960).otherwise(640)
+    return points(spark, d).select("event_id", text.rate_description(F.col("y") / 50).alias("rate"), text.export_preset(width).alias("preset"))
+
+
+@query("SELECT event_id, x + 0 AS h, y + 0 AS v FROM {P} WHERE event_id % 3 <> 0")
+def x4_node_lines(spark, d):
+    line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("x"), F.col("x").cast("string"))).otherwise(F.concat(F.col("x").cast("string"), F.lit(" , "), F.col("y").cast("string")))
+    parsed = points(spark, d).select("event_id", text.parse_node(line).alias("n")).where("n is not null")
+    return parsed.select("event_id", F.col("n.h").alias("h"), F.col("n.v").alias("v"))
+
+
+@query("SELECT user_id, CAST(i AS INT) AS frame, round(x + i * 0.5, 6) AS t FROM (SELECT user_id, min(x) AS x, min(x) + 5 AS e FROM {P} GROUP BY 1), range(0, 11) AS r(i)")
+def k14_frame_spine(spark, d):
+    spans = points(spark, d).groupBy("user_id").agg(F.min("x").alias("a")).withColumn("b", F.col("a") + 5).withColumn("s", F.lit(0.5))
+    return exports.frame_spine(spans, start="a", end="b", step="s").select("user_id", "frame", r6("t", "t"))
+
+
+# Geometry
+
+LENS = geometry.Distortion(250.0, 50.0, (1e-7, 2e-13), (1e-6, -2e-6, 1e-8, 0.0))
+MATRIX = (1.1, 0.02, 3.0, -0.03, 0.9, 5.0, 1e-4, 2e-4, 1.0)
+_UNDISTORT = """(SELECT event_id, x, y, x + dx*rad + (1e-6*(rs+2*dx*dx) + 2*-2e-6*dx*dy)*(1+1e-8*rs) AS ux, y + dy*rad + (2*1e-6*dx*dy + -2e-6*(rs+2*dy*dy))*(1+1e-8*rs) AS uy FROM
+(SELECT event_id, x, y, x-250.0 AS dx, y-50.0 AS dy, (x-250.0)*(x-250.0)+(y-50.0)*(y-50.0) AS rs, 1e-7*((x-250.0)*(x-250.0)+(y-50.0)*(y-50.0)) + 2e-13*((x-250.0)*(x-250.0)+(y-50.0)*(y-50.0))*((x-250.0)*(x-250.0)+(y-50.0)*(y-50.0)) AS rad FROM {P}))"""
+
+
+def _ideal(spark, d):
+    p = points(spark, d)
+    ux, uy = geometry.undistort(LENS, (F.col("x"), F.col("y")))
+    return p.select("*", ux.alias("ux"), uy.alias("uy"))
+
+
+@query(f"SELECT event_id, round(ux, 6) AS ux, round(uy, 6) AS uy FROM {_UNDISTORT}")
+def g6_undistort(spark, d):
+    return _ideal(spark, d).select("event_id", r6("ux", "ux"), r6("uy", "uy"))
+
+
+@query(f"SELECT event_id, round((1.1*ux+0.02*uy+3.0)/(1e-4*ux+2e-4*uy+1.0), 6) AS h, round((-0.03*ux+0.9*uy+5.0)/(1e-4*ux+2e-4*uy+1.0), 6) AS v FROM {_UNDISTORT}")
+def g3_screen_to_plane(spark, d):
+    h, v = geometry.project([F.lit(m) for m in MATRIX], (F.col("ux"), F.col("uy")))
+    return _ideal(spark, d).select("event_id", r6(h, "h"), r6(v, "v"))
+
+
+@query("SELECT event_id, round(x, 5) AS x, round(y, 5) AS y FROM {P}")
+def g4_plane_and_back(spark, d):
+    """A homography and its inverse expression give the point back."""
+    m = [F.lit(c) for c in MATRIX]
+    there = points(spark, d).select("event_id", *[c.alias(n) for n, c in zip("hv", geometry.project(m, (F.col("x"), F.col("y"))))])
+    back = geometry.project(geometry.inverse(m), (F.col("h"), F.col("v")))
+    return there.select("event_id", F.round(back[0], 5).alias("x"), F.round(back[1], 5).alias("y"))
+
+
+@query("SELECT event_id, round(x, 4) AS x, round(y, 4) AS y FROM {P}")
+def i2_redistort(spark, d):
+    """Undistorting and redistorting gives the point back."""
+    back = solvers.redistort_points(_ideal(spark, d).select("event_id", "ux", "uy"), LENS, x="ux", y="uy")
+    return back.select("event_id", F.round("redistorted_x", 4).alias("x"), F.round("redistorted_y", 4).alias("y"))
+
+
+@query("SELECT vec_id, round(e0 + (0.25-e2)/(e5-e2)*(e3-e0), 5) AS x, round(e1 + (0.25-e2)/(e5-e2)*(e4-e1), 5) AS y, 0.25 AS z FROM {V} WHERE abs(e5-e2) > 0.01")
+def g7_line_on_plane(spark, d):
+    x, y, z = geometry.on_plane(tuple(F.col(f"e{i}") for i in range(3)), tuple(F.col(f"e{i}") for i in range(3, 6)), F.lit(0.25))
+    return vectors(spark, d).where("abs(e5-e2) > 0.01").select("vec_id", F.round(x, 5).alias("x"), F.round(y, 5).alias("y"), F.round(z, 6).alias("z"))
+
+
+@query("SELECT vec_id, round(e1, 6) AS x, round(e2, 6) AS y, round(e0, 6) AS z, 'y' AS depth, round(e0, 6) AS h, round(e1, 6) AS v FROM {V}")
+def g2_axes(spark, d):
+    at = geometry.to_space("z,x", F.col("e0"), F.col("e1"), F.col("e2"))
+    h, v, _ = geometry.to_frame("z,x", at)
+    return vectors(spark, d).select("vec_id", *[r6(c, n) for n, c in zip("xyz", at)], geometry.depth_axis(F.lit("z"), F.lit("x")).alias("depth"), r6(h, "h"), r6(v, "v"))
+
+
+@query("SELECT vec_id, round(sqrt(greatest(0.0, e0*e0+e1*e1+e2*e2 - (e0*e3+e1*e4+e2*e5)*(e0*e3+e1*e4+e2*e5)/(e3*e3+e4*e4+e5*e5))), 6) AS distance FROM {V}")
+def g8_point_to_line(spark, d):
+    zero = (F.lit(0.0),) * 3
+    off = geometry.to_line(tuple(F.col(f"e{i}") for i in range(3)), zero, tuple(F.col(f"e{i}") for i in range(3, 6)))
+    return vectors(spark, d).select("vec_id", r6(off, "distance"))
+
+
+@query("SELECT vec_id, round(e0*e3+e1*e4+e2*e5, 6) AS dot, round(e1*e5-e2*e4, 6) AS cx, round(e2*e3-e0*e5, 6) AS cy, round(e0*e4-e1*e3, 6) AS cz, round(sqrt(e0*e0+e1*e1+e2*e2), 6) AS norm FROM {V}")
+def g17_vectors(spark, d):
+    a, b = tuple(F.col(f"e{i}") for i in range(3)), tuple(F.col(f"e{i}") for i in range(3, 6))
+    c = geometry.cross(a, b)
+    return vectors(spark, d).select("vec_id", r6(geometry.dot(a, b), "dot"), *[r6(v, n) for n, v in zip(("cx", "cy", "cz"), c)], r6(geometry.norm(a), "norm"))
+
+
+@query("SELECT event_id, round(x * 960.0 / 500, 6) AS ox, round(y * 540.0 / 100, 6) AS oy, least(x, 100.0) AS rx, 100.0 - greatest(y, 40.0) AS ry, abs(100.0 - x) AS rw, abs(40.0 - y) AS rh FROM {P}")
+def g18_overlay(spark, d):
+    x, y = F.col("x"), F.col("y")
+    ox, oy = geometry.to_overlay((x, y), (F.lit(500), F.lit(100)), (F.lit(960.0), F.lit(540.0)))
+    box = geometry.rectangle(x, y, F.lit(100.0), F.lit(40.0), F.lit(100.0))
+    return points(spark, d).select("event_id", r6(ox, "ox"), r6(oy, "oy"), "x", "y", box.alias("b")).select("event_id", "ox", "oy", F.col("b.x").alias("rx"), F.col("b.y").alias("ry"), F.col("b.width").alias("rw"), F.col("b.height").alias("rh"))
+
+
+@query("SELECT vec_id, 1.0 AS d0, 0.0 AS d1, 1.0 AS trace FROM embeddings")
+def r1_inverse(spark, d):
+    """A matrix times its inverse is the identity."""
+    m = [F.col(f"e{i}") + (2.0 if i in (0, 4) else 0.0) for i in range(6)] + [F.lit(0.1), F.lit(0.2), F.lit(1.5)]
+    unit = geometry.multiply(m, geometry.inverse(m))
+    clean = [F.abs(F.round(u, 6)) for u in unit]
+    return vectors(spark, d).select("vec_id", clean[0].alias("d0"), clean[1].alias("d1"), F.round((unit[0] + unit[4] + unit[8]) / 3, 6).alias("trace"))
+
+
+# Solvers
+
+
+def _projected(spark, d):
+    m = [F.lit(c) for c in MATRIX]
+    h, v = geometry.project(m, (F.col("x"), F.col("y")))
+    return points(spark, d).select("event_type", "x", "y", h.alias("h"), v.alias("v"))
+
+
+@query("SELECT DISTINCT event_type, 1.1 AS m00, 0.02 AS m01, 3.0 AS m02, -0.03 AS m10, 0.9 AS m11, 5.0 AS m12, 0.0001 AS m20, 0.0002 AS m21 FROM events")
+def i6_homography(spark, d):
+    """The matrix that projected the points, found again from them."""
+    found = solvers.homographies(_projected(spark, d), group="event_type", source=("x", "y"), target=("h", "v"))
+    last = F.col("matrix")[2][2]
+    return found.select("event_type", *[F.round(F.col("matrix")[i][j] / last, 5).alias(f"m{i}{j}") for i in range(3) for j in range(3) if (i, j) != (2, 2)])
+
+
+FRAME = solvers.Frame(0.0, 0.44, 0.0095, 1.3364, 1.585, True)
+CAMERAS = ((0.1, 0.2, -1.5), (0.7, 0.1, -1.4), (0.4, -0.3, -1.6))
+
+
+def _to_screen(i: int) -> np.ndarray:
+    """The front plane's projection on the screen of clip ``i``: a synthetic camera."""
+    return np.array([[900.0 + 20 * i, 5.0 * i, 300.0], [-4.0 * i, -880.0, 600.0 + 10 * i], [0.02 * i, 0.01, 1.0]])
+
+
+def _views(spark, d) -> DataFrame:
+    """Every point of the tracks, scaled into the frame, as three cameras see it."""
+    p = points(spark, d).select("event_id", (F.col("x") / 500).alias("h"), (F.col("y") / 100).alias("v"), (0.05 + (F.col("event_id") % 7) * 0.05).alias("d"))
+    views = []
+    for i, (ch, cv, cd) in enumerate(CAMERAS):
+        t = (FRAME.front - cd) / (F.col("d") - cd)
+        sx, sy = geometry.project([F.lit(float(c)) for c in _to_screen(i).ravel()], (ch + t * (F.col("h") - ch), cv + t * (F.col("v") - cv)))
+        views.append(p.select(F.col("event_id").alias("point_id"), F.lit(i).cast("long").alias("clip_id"), sx.alias("screen_x"), sy.alias("screen_y")))
+    return views[0].unionByName(views[1]).unionByName(views[2])
+
+
+def _calibration_points(spark) -> DataFrame:
+    """A frame's nodes as the synthetic cameras see them, through the refracting slab for the back plane."""
+    grid = np.array([(h, v) for h in np.linspace(0, 0.8, 5) for v in np.linspace(0, 0.6, 4)])
+    rows = []
+    for i, c in enumerate(CAMERAS):
+        camera, matrix = np.array(c), _to_screen(i)
+        seen = solvers.apparent_position(grid, camera, FRAME.front, FRAME.thickness, FRAME.n_medium, FRAME.n_surface, FRAME.back)
+        t = (FRAME.front - camera[2]) / (FRAME.back - camera[2])
+        for side, at in (("front", grid), ("back", camera[:2] + t * (seen - camera[:2]))):
+            screen = solvers.apply_homography(matrix, at)
+            rows += [(i, side, float(s[0]), float(s[1]), float(g[0]), float(g[1])) for s, g in zip(screen, grid)]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["clip_id", "surface", "screen_x", "screen_y", "world_h", "world_v"]))
+
+
+@query("SELECT * FROM (VALUES (0, 0.1, 0.2, -1.5), (1, 0.7, 0.1, -1.4), (2, 0.4, -0.3, -1.6)) t(clip_id, camera_h, camera_v, camera_d)".replace("SELECT *", "SELECT CAST(clip_id AS BIGINT) AS clip_id, CAST(camera_h AS DOUBLE) AS camera_h, CAST(camera_v AS DOUBLE) AS camera_v, CAST(camera_d AS DOUBLE) AS camera_d"))
+def i8_calibrate(spark, d):
+    """The synthetic cameras' positions, found again with refraction in four passes."""
+    cameras = measure.calibrate_clips(_calibration_points(spark), FRAME)
+    return cameras.select("clip_id", *[F.round(c, 3).alias(c) for c in ("camera_h", "camera_v", "camera_d")])
+
+
+_TRUTH = "SELECT event_id AS point_id, 3 AS n, round(x, 2) AS x, round(y, 2) AS y, round(0.05 + (event_id % 7) * 0.05, 3) AS depth FROM {P}"
+
+
+def _plain_cameras(spark) -> DataFrame:
+    """The synthetic cameras' exact calibrations, without refraction."""
+    rows = []
+    for i, c in enumerate(CAMERAS):
+        screen = _to_screen(i)
+        camera = np.array(c)
+        t = (FRAME.back - camera[2]) / (FRAME.front - camera[2])
+        out = np.array([[t, 0, (1 - t) * camera[0]], [0, t, (1 - t) * camera[1]], [0, 0, 1]])
+        to_front = np.linalg.inv(screen)
+        rows.append((i, to_front.ravel().tolist(), (out @ to_front).ravel().tolist(), screen.ravel().tolist(), *c, 0.0, 0.0, 0.0, 0.0, 0.0))
+    return spark.createDataFrame(rows, measure.CAMERA)
+
+
+@query(_TRUTH.replace("3 AS n", "CAST(3 AS BIGINT) AS n"))
+def i4_linear_points(spark, d):
+    """The true points, found again from three views by the nearest point to their lines of sight."""
+    found = measure.recalculate(_views(spark, d), _plain_cameras(spark), FRAME, iterative=False)
+    return found.select("point_id", "n", F.round(F.col("h") * 500, 2).alias("x"), F.round(F.col("v") * 100, 2).alias("y"), F.round("depth", 3).alias("depth"))
+
+
+@query(_TRUTH.replace("3 AS n", "CAST(3 AS BIGINT) AS n"))
+def i3_iterative_points(spark, d):
+    """The true points, found again by least reprojection error."""
+    found = measure.recalculate(_views(spark, d), _plain_cameras(spark), FRAME)
+    return found.select("point_id", "n", F.round(F.col("h") * 500, 2).alias("x"), F.round(F.col("v") * 100, 2).alias("y"), F.round("depth", 3).alias("depth"))
+
+
+def _plumb_points(spark) -> DataFrame:
+    """Straight lines on two screens, bent by a known lens."""
+    lens = geometry.Distortion(960.0, 540.0, (5e-8, 1e-14), (1e-6,))
+    rows = []
+    for clip in (0, 1):
+        for line, y in enumerate(np.linspace(80, 1000, 12)):
+            x = np.linspace(60, 1860, 20)
+            ideal = np.column_stack([x, y + (x - 960) * 0.01 * (clip + 1)])
+            rows += [(clip, line, float(px), float(py)) for px, py in solvers.redistort(lens, ideal)]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["clip_id", "line", "x", "y"]))
+
+
+@query()
+def i1_fit_distortion(spark, d):
+    """The lens that straightens plumb lines. The surface is flat in 13 dimensions, so the reduction is shown, not the parameters."""
+    fit = solvers.fit_distortions(_plumb_points(spark), clip="clip_id", line="line", x="x", y="y", centre=(960.0, 540.0), most=3000)
+    return fit.select("clip_id", (F.col("reduction") > 0.99).alias("straight"), (F.col("rms") < 0.1).alias("close"))
+
+
+@query("SELECT CAST(i AS INT) AS frame, CAST(0 AS INT) AS line, CAST(6 AS BIGINT) AS points FROM range(0, 4) AS r(i)")
+def w9_grow_lines(spark, d):
+    """A row of nine corners in each frame, the fifth missing; once the line has jumped it, its step stays twice as long."""
+    cells = [(f, 20.0 + 30 * c + 0.3 * r, 20.0 + 30 * r) for f in range(4) for r in range(5) for c in range(9) if (r, c) != (2, 4)]
+    corners = spark.createDataFrame(cells, "frame int, x double, y double")
+    seeds = spark.createDataFrame([(f, 50.6, 80.0, 80.6, 80.0) for f in range(4)], "frame int, ax double, ay double, bx double, by double")
+    return solvers.grow_lines(corners, seeds, frame="frame", x="x", y="y").groupBy("frame", "line").agg(F.count(F.lit(1)).alias("points"))
