@@ -697,3 +697,90 @@ def w9_grow_lines(spark, d):
     corners = spark.createDataFrame(cells, "frame int, x double, y double")
     seeds = spark.createDataFrame([(f, 50.6, 80.0, 80.6, 80.0) for f in range(4)], "frame int, ax double, ay double, bx double, by double")
     return solvers.grow_lines(corners, seeds, frame="frame", x="x", y="y").groupBy("frame", "line").agg(F.count(F.lit(1)).alias("points"))
+
+
+# More of the inventory
+
+
+@query("""SELECT o_orderkey, string_agg(s_name, ', ' ORDER BY s_name) AS objects, any_value(o_orderpriority) AS event, CAST(floor(any_value(epoch_us(o_orderdate)) / 1000000) AS BIGINT) AS seconds
+FROM orders JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) l ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY o_orderkey""")
+def p1_wide_export(spark, d):
+    bridge = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    names = bridge.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("s_name")), ", ").alias("objects"))
+    seconds = F.floor(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1000000).cast("long")
+    return table(spark, d, "orders").join(names, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "objects", F.col("o_orderpriority").alias("event"), seconds.alias("seconds"))
+
+
+@query("""SELECT c_custkey, count(o_orderkey) AS n, coalesce(string_agg(CAST(o_orderkey AS VARCHAR) || ':' || o_orderstatus, ';' ORDER BY o_orderkey), '') AS events FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1""")
+def k4_nested_documents(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
+    nested = exports.nest(table(spark, d, "customer").select("c_custkey"), orders, "c_custkey", "events", "o_orderkey")
+    shown = F.array_join(F.transform("events", lambda e: F.concat(e["o_orderkey"].cast("string"), F.lit(":"), e["o_orderstatus"])), ";")
+    return nested.select("c_custkey", F.size("events").cast("long").alias("n"), shown.alias("events"))
+
+
+@query("SELECT user_id, event_id FROM {P} WHERE t <= 1705000000")
+def f6_not_in_the_future(spark, d):
+    return points(spark, d).where(F.col("t") <= 1705000000).select("user_id", "event_id")
+
+
+@query("SELECT s_nationkey, count(*) AS n, count_if(s_acctbal < 0) AS incomplete, coalesce(max(s_suppkey), 0) AS highest FROM supplier GROUP BY 1")
+def a24_incomplete_points(spark, d):
+    return table(spark, d, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("s_acctbal") < 0).alias("incomplete"), F.coalesce(F.max("s_suppkey"), F.lit(0)).alias("highest"))
+
+
+@query("SELECT l_suppkey AS object_id, count(DISTINCT l_orderkey) AS events FROM lineitem GROUP BY 1")
+def a2_events_per_object(spark, d):
+    bridge = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("object_id"), F.col("l_orderkey").alias("event_id")).distinct()
+    return bridge.groupBy("object_id").agg(F.count(F.lit(1)).alias("events"))
+
+
+_CAMERA0 = (0.1, 0.2, -1.5)
+
+
+@query("""SELECT event_id, round((900.0*h + 300.0) / (0.01*v + 1.0), 5) AS screen_x, round((-880.0*v + 600.0) / (0.01*v + 1.0), 5) AS screen_y FROM
+(SELECT event_id, 0.1 + (1.5 / (0.25 + 1.5)) * (x/500 - 0.1) AS h, 0.2 + (1.5 / (0.25 + 1.5)) * (y/100 - 0.2) AS v FROM {P})""")
+def g12_reproject(spark, d):
+    """A point in space on a clip's screen: the line from the camera meets the front plane, which is projected."""
+    here = (F.col("x") / 500, F.col("y") / 100, F.lit(0.25))
+    h, v, _ = geometry.on_plane(tuple(F.lit(c) for c in _CAMERA0), here, F.lit(0.0))
+    sx, sy = geometry.project([F.lit(float(c)) for c in _to_screen(0).ravel()], (h, v))
+    return points(spark, d).select("event_id", F.round(sx, 5).alias("screen_x"), F.round(sy, 5).alias("screen_y"))
+
+
+@query("""SELECT vec_id, CAST(i AS INT) AS step, round(e0 + (e3 - e0) * i / 10.0, 6) AS x, round(e1 + (e4 - e1) * i / 10.0, 6) AS y FROM {V}, range(0, 11) AS r(i)""")
+def g14_hint_line_samples(spark, d):
+    """A hint line between its ends on two planes, sampled by its parameter, so upright lines need no slope."""
+    steps = F.explode(F.sequence(F.lit(0), F.lit(10))).alias("step")
+    at = F.col("step") / 10.0
+    return vectors(spark, d).select("*", steps).select("vec_id", "step", r6(F.col("e0") + (F.col("e3") - F.col("e0")) * at, "x"), r6(F.col("e1") + (F.col("e4") - F.col("e1")) * at, "y"))
+
+
+@query("""WITH b AS (SELECT label, floor(min(e0) / 0.25) AS x0, ceil(max(e0) / 0.25) AS x1, min(e1) AS y0, max(e1) AS y1 FROM {V} GROUP BY 1)
+SELECT label, CAST(i AS INT) AS line, CAST(s AS INT) AS step, round((x0 + i) * 0.25, 6) AS h, round(floor(y0 / 0.25) * 0.25 + s * (ceil(y1 / 0.25) - floor(y0 / 0.25)) * 0.25 / 100, 6) AS v, abs((x0 + i) * 0.25) < 0.025 AS is_axis
+FROM b, range(0, 40) AS l(i), range(0, 101) AS r(s) WHERE x0 + i <= x1""")
+def g16_plane_grid(spark, d):
+    """Grid lines over each group's box, snapped outwards to the spacing; a line has 100 steps, the one through zero is the axis."""
+    gap = 0.25
+    box = vectors(spark, d).groupBy("label").agg(F.min("e0").alias("a"), F.max("e0").alias("b"), F.min("e1").alias("c"), F.max("e1").alias("e"))
+    cells = box.select("label", F.floor(F.col("a") / gap).alias("x0"), F.ceil(F.col("b") / gap).alias("x1"), F.floor(F.col("c") / gap).alias("y0"), F.ceil(F.col("e") / gap).alias("y1"))
+    lines = cells.withColumn("line", F.explode(F.sequence(F.lit(0), (F.col("x1") - F.col("x0")).cast("int")))).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(100))))
+    h = (F.col("x0") + F.col("line")) * gap
+    return lines.select("label", "line", "step", r6(h, "h"), r6(F.col("y0") * gap + F.col("step") * (F.col("y1") - F.col("y0")) * gap / 100, "v"), (F.abs(h) < 0.1 * gap).alias("is_axis"))
+
+
+@query("SELECT vec_id, round(CASE WHEN e3 - e0 = 0 THEN 90.0 ELSE degrees(atan((e4 - e1) / (e3 - e0))) END, 4) AS angle FROM {V}")
+def g21_label_angle(spark, d):
+    return vectors(spark, d).select("vec_id", F.round(geometry.label_angle(F.col("e3") - F.col("e0"), F.col("e4") - F.col("e1")), 4).alias("angle"))
+
+
+@query("SELECT o_orderkey, CAST(epoch_us(o_orderdate) // 1000000 // 86400 AS BIGINT) AS day FROM orders")
+def t13_dates(spark, d):
+    text_date = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+    return table(spark, d, "orders").select("o_orderkey", F.unix_date(F.to_date(F.to_timestamp(text_date, "yyyy-MM-dd HH:mm:ss"))).cast("long").alias("day"))
+
+
+@query("SELECT user_id, event_id FROM {P} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) = 1")
+def o5_first_events(spark, d):
+    first = F.min(F.struct("t", "event_id")).alias("m")
+    return points(spark, d).groupBy("user_id").agg(first).select("user_id", F.col("m.event_id").alias("event_id"))
