@@ -6,7 +6,7 @@ import math
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,33 +79,37 @@ FAN_IN = 64
 SUM_SCHEMA = "name string, block int, part int, sums binary"
 
 
-def sum_rows(name: str, part: int, total: np.ndarray, cut: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+def sum_rows(name: str, part: int, total: np.ndarray, cut: int = 1 << 16, kind: type = np.int64) -> Iterator[pa.RecordBatch]:
     """One task's integer sums as rows for :func:`tree_sum`, a row for each ``cut`` cells."""
-    flat = total.ravel().astype(np.int64)
+    flat = total.ravel().astype(kind)
     for block, k in enumerate(range(0, len(flat), cut)):
         packed = zlib.compress(flat[k : k + cut].tobytes(), 1)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([packed], pa.binary())], names=["name", "block", "part", "sums"])
 
 
-def tree_sum(rows: DataFrame, parts: int) -> dict[str, np.ndarray]:
-    """The sums of all tasks' arrays by name.
+def tree_sum(rows: DataFrame, parts: int, merge: dict[str, Callable[[list[np.ndarray]], np.ndarray]] | None = None) -> dict[str, np.ndarray]:
+    """The sums of all tasks' arrays by name; ``merge`` has other ways for names of 32-bit arrays, applied in the order of the parts.
 
     They are added up in a tree: no task gets more than ``FAN_IN`` tasks' blocks,
     and the driver gets arrays whose size the caller fixes, whatever the input.
     """
 
+    ways = merge or {}
+    kind_of = lambda name: np.uint32 if name in ways else np.int64
+
     def add(table: pa.Table) -> pa.Table:
-        total = 0
-        for x in table.column("sums").to_pylist():
-            total = total + np.frombuffer(zlib.decompress(x), np.int64)
-        return pa.table({"name": table.column("name")[:1], "block": table.column("block")[:1], "part": table.column("part")[:1], "sums": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+        name = table.column("name")[0].as_py()
+        arrays = (np.frombuffer(zlib.decompress(x), kind_of(name)) for _, x in sorted(zip(table.column("part").to_pylist(), table.column("sums").to_pylist(), strict=True), key=lambda r: r[0]))
+        total = ways[name](list(arrays)) if name in ways else sum(arrays)
+        group = table.column("part")[0].as_py() // FAN_IN
+        return pa.table({"name": table.column("name")[:1], "block": table.column("block")[:1], "part": pa.array([group], pa.int32()), "sums": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     while True:
-        rows = rows.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("name", "block", "part").applyInArrow(add, SUM_SCHEMA)
+        rows = rows.groupBy("name", "block", F.expr(f"part div {FAN_IN}")).applyInArrow(add, SUM_SCHEMA)
         parts = math.ceil(parts / FAN_IN)
         if parts <= 1:
             break
     found: dict[str, list] = {}
     for r in rows.collect():
-        found.setdefault(r.name, []).append((r.block, np.frombuffer(zlib.decompress(r.sums), np.int64)))
+        found.setdefault(r.name, []).append((r.block, np.frombuffer(zlib.decompress(r.sums), kind_of(r.name))))
     return {name: np.concatenate([x for _, x in sorted(blocks, key=lambda b: b[0])]) for name, blocks in found.items()}

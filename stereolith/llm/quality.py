@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SUM_SCHEMA, materialize, slices, sum_rows, text_column, tree_sum
+from .common import SUM_SCHEMA, slices, sum_rows, text_column, tree_sum
 
 BUCKETS = 1 << 15
 WIDTH = 32
@@ -99,19 +99,20 @@ def context_vectors(df: DataFrame, *, text_col: str) -> np.ndarray:
     return (vectors / np.where(size > 0, size, 1)).astype(np.float32)
 
 
-def pooled(df: DataFrame, vectors: np.ndarray, *, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, the ``carry`` columns and ``__pool``: mean and mean square of the words' vectors, and the log of their number."""
-    carried = text_col in carry  # then it goes to Python once and comes back
-    name = text_col if carried else "__text"
-    rows = df.select(F.col(id_col), *[F.col(c) for c in carry], *([] if carried else [text_column(text_col).alias("__text")]))
-    sent = df.sparkSession.sparkContext.broadcast(np.hstack([vectors, vectors**2]))
-    keep = [f for f in rows.schema.fields if f.name != "__text"]
-    schema = T.StructType([*keep, T.StructField("__pool", T.BinaryType())])
+def _pooled(rows: DataFrame, vectors: np.ndarray, *, text_col: str, schema: str | None, network: Network | None = None, drop_text: bool = True) -> DataFrame:
+    """``rows`` with each text's pool in ``__pool``, or, given a network, its score in the column that ``schema`` names.
+
+    A pool is the mean and the mean square of the words' vectors and the log of
+    their number. The text goes to Python once, and back only if it is kept.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(np.hstack([vectors, vectors**2]))
+    keep = [f for f in rows.schema.fields if f.name != text_col or not drop_text]
+    out = T.StructType([*keep, T.StructField("__pool", T.BinaryType()) if network is None else T.StructField(schema, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = sent.value
-        for batch in slices(batches, name):
-            stream, ends = _streams(pc.fill_null(batch.column(name), ""))
+        for batch in slices(batches, text_col):
+            stream, ends = _streams(pc.fill_null(batch.column(text_col), ""))
             starts = np.concatenate([[0], ends[:-1]])
             sums = np.zeros((len(ends), both.shape[1]))
             owner = np.repeat(np.arange(len(ends)), ends - starts)
@@ -121,9 +122,10 @@ def pooled(df: DataFrame, vectors: np.ndarray, *, id_col: str, text_col: str, ca
                 sums[own[heads]] += np.add.reduceat(both[stream[k : k + _RUN]], heads, axis=0)
             n = ends - starts
             pool = np.hstack([sums / np.maximum(n, 1)[:, None], np.log1p(n)[:, None]])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x.tobytes() for x in pool], pa.binary())], names=schema.names)
+            last = pa.array([x.tobytes() for x in pool], pa.binary()) if network is None else pa.array(network.probability(pool))
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keep], last], names=out.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, out)
 
 
 class Network:
@@ -186,19 +188,14 @@ def score_quality(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     goes in; columns not named are not read. An empty table gives no rows.
     """
     vectors = context_vectors(df, text_col=text_col)
-    pools = materialize(pooled(df, vectors, id_col=id_col, text_col=text_col, carry=carry), "pools")
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if learn_from is not None:
         known = known.where(learn_from)
     known = known.groupBy(id_col).agg(F.max(label_col).alias("__y")).select(F.col(id_col).alias("__id"), "__y")
-    sample = pools.join(known, pools[id_col] == known["__id"]).select("__y", "__pool", F.xxhash64("__id").alias("__h"), "__id").orderBy("__h", "__id").limit(train_rows).toArrow()
-    x = np.frombuffer(b"".join(sample["__pool"].to_pylist()), np.float64).reshape(-1, 2 * WIDTH + 1)
-    network = Network(x, sample["__y"].to_numpy().astype(np.float64))
-    schema = T.StructType([*[f for f in pools.schema.fields if f.name != "__pool"], T.StructField(score_col, T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pool = np.frombuffer(b"".join(batch.column("__pool").to_pylist()), np.float64).reshape(-1, 2 * WIDTH + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(network.probability(pool))], names=schema.names)
-
-    return pools.mapInArrow(run, schema)
+    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
+    learnt = df.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))  # train_rows rows at most
+    sample = _pooled(learnt.select("__id", "__y", text_col), vectors, text_col=text_col, schema=None).toArrow()
+    order = np.lexsort((pc.cast(pc.binary_length(sample["__pool"]), pa.int64()).to_numpy(), sample["__id"].to_numpy()))
+    x = np.frombuffer(b"".join(sample["__pool"].to_pylist()), np.float64).reshape(-1, 2 * WIDTH + 1)[order]
+    network = Network(x, sample["__y"].to_numpy().astype(np.float64)[order])
+    return _pooled(df.select(id_col, *[c for c in carry if c != id_col], *([] if text_col in carry else [text_col])), vectors, text_col=text_col, schema=score_col, network=network, drop_text=text_col not in carry)

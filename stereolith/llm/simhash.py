@@ -14,7 +14,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,20 +50,15 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(df: DataFrame, *, id_col: str, text_col: str, shingle: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``__id``, the ``carry`` columns, ``fp`` (the fingerprint's bits as a long) and ``row`` (a number of its own) of every row, written down."""
-    carried = text_col in carry  # then it goes to Python once and comes back
-    name = text_col if carried else "__text"
-    rows = df.select(F.col(id_col).alias("__id"), *[F.col(c) for c in carry], *([] if carried else [text_column(text_col).cast("binary").alias("__text")]))
-    keep = [f for f in rows.schema.fields if f.name != "__text"]
-    schema = T.StructType([*keep, T.StructField("fp", T.LongType()), T.StructField("row", T.LongType())])
+    """``__id``, the ``carry`` columns and ``fp`` (the fingerprint's bits as a long) of every row, written down."""
+    rows = df.select(F.col(id_col).alias("__id"), *[F.col(c) for c in carry], text_column(text_col).cast("binary").alias("__text"))
+    keep = rows.schema.fields[:-1]
+    schema = T.StructType([*keep, T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
-        for batch in slices(batches, name):
-            texts = batch.column(name).cast(pa.binary()).to_pylist()
-            made = np.array([fingerprint(t or b"", shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(made), pa.array(np.arange(row, row + len(texts)))], names=schema.names)
-            row += len(texts)
+        for batch in slices(batches, "__text"):
+            made = np.array([fingerprint(t, shingle) for t in batch.column("__text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made)], names=schema.names)
 
     return materialize(rows.mapInArrow(run, schema), "fingerprints")
 
@@ -113,7 +108,7 @@ def _classes(made: DataFrame, value: str, radius: int) -> DataFrame:
     members = connected_components(links(classes, radius)).join(classes, F.col("node") == F.col("fp")).select("fp", "root", "own")
     roots = members.groupBy("root").agg(F.min("own").alias("shared"))
     linked = members.join(roots, "root").select("fp", "shared", F.lit(True).alias("is_linked"))
-    return classes.join(linked, "fp", "left").select("fp", F.when(F.col("is_linked"), F.col("shared")).otherwise(F.col("own")).alias("least"))
+    return materialize(classes.join(linked, "fp", "left").select("fp", F.when(F.col("is_linked"), F.col("shared")).otherwise(F.col("own")).alias("least")), "named")
 
 
 def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -122,8 +117,17 @@ def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     Rows with a null id come after all others; of repeated rows one stays. Columns
     and their order are kept.
     """
-    columns = tuple(df.columns)
-    made = fingerprints(df, id_col=id_col, text_col=text_col, shingle=shingle, carry=columns)
-    keys = made.select("fp", F.struct(F.col("__id").isNull(), "__id", "row").alias("key"))
-    stay = _classes(keys, "key", radius).select(F.col("least.row").alias("row")).distinct()
-    return made.join(stay, "row", "left_semi").select(*columns)
+    columns = df.columns
+    try:
+        placed = _placed(df)
+    except AnalysisException:  # not rows as they lie in files
+        placed = _placed(materialize(df, "rows"))
+    made = fingerprints(placed, id_col=id_col, text_col=text_col, shingle=shingle, carry=("__file", "__row"))
+    keys = made.select("fp", F.struct(F.col("__id").isNull(), "__id", "__file", "__row").alias("key"))
+    stay = _classes(keys, "key", radius).select("least.__file", "least.__row").distinct()
+    return placed.join(stay, ["__file", "__row"], "left_semi").select(*columns)
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """``df`` with each row's place, the hash of its file's name and its number there, which is the same however often it is read."""
+    return df.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
