@@ -79,11 +79,22 @@ FAN_IN = 64
 SUM_SCHEMA = "name string, block int, part int, sums binary"
 
 
+def pack_integers(values: np.ndarray) -> bytes:
+    """Integers by their bytes, the high ones of which are mostly zero, compressed."""
+    width = values.dtype.itemsize
+    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T), 1)
+
+
+def unpack_integers(packed: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 def sum_rows(name: str, part: int, total: np.ndarray, cut: int = 1 << 16, kind: type = np.int64) -> Iterator[pa.RecordBatch]:
     """One task's integer sums as rows for :func:`tree_sum`, a row for each ``cut`` cells."""
     flat = total.ravel().astype(kind)
     for block, k in enumerate(range(0, len(flat), cut)):
-        packed = zlib.compress(flat[k : k + cut].tobytes(), 1)
+        packed = pack_integers(flat[k : k + cut])
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([packed], pa.binary())], names=["name", "block", "part", "sums"])
 
 
@@ -99,10 +110,10 @@ def tree_sum(rows: DataFrame, parts: int, merge: dict[str, Callable[[list[np.nda
 
     def add(table: pa.Table) -> pa.Table:
         name = table.column("name")[0].as_py()
-        arrays = (np.frombuffer(zlib.decompress(x), kind_of(name)) for _, x in sorted(zip(table.column("part").to_pylist(), table.column("sums").to_pylist(), strict=True), key=lambda r: r[0]))
+        arrays = (unpack_integers(x, kind_of(name)) for _, x in sorted(zip(table.column("part").to_pylist(), table.column("sums").to_pylist(), strict=True), key=lambda r: r[0]))
         total = ways[name](list(arrays)) if name in ways else sum(arrays)
         group = table.column("part")[0].as_py() // FAN_IN
-        return pa.table({"name": table.column("name")[:1], "block": table.column("block")[:1], "part": pa.array([group], pa.int32()), "sums": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+        return pa.table({"name": table.column("name")[:1], "block": table.column("block")[:1], "part": pa.array([group], pa.int32()), "sums": pa.array([pack_integers(total)], pa.binary())})
 
     while True:
         rows = rows.groupBy("name", "block", F.expr(f"part div {FAN_IN}")).applyInArrow(add, SUM_SCHEMA)
@@ -111,5 +122,5 @@ def tree_sum(rows: DataFrame, parts: int, merge: dict[str, Callable[[list[np.nda
             break
     found: dict[str, list] = {}
     for r in rows.collect():
-        found.setdefault(r.name, []).append((r.block, np.frombuffer(zlib.decompress(r.sums), kind_of(r.name))))
+        found.setdefault(r.name, []).append((r.block, unpack_integers(r.sums, kind_of(r.name))))
     return {name: np.concatenate([x for _, x in sorted(blocks, key=lambda b: b[0])]) for name, blocks in found.items()}
