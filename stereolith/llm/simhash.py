@@ -119,15 +119,15 @@ def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """
     columns = df.columns
     try:
-        placed = _placed(df)
+        placed = placed_rows(df)
     except AnalysisException:  # not rows as they lie in files
-        placed = _placed(materialize(df, "rows"))
+        placed = placed_rows(materialize(df, "rows"))
     made = fingerprints(placed, id_col=id_col, text_col=text_col, shingle=shingle, carry=("__file", "__row"))
     keys = made.select("fp", F.struct(F.col("__id").isNull(), "__id", "__file", "__row").alias("key"))
     stay = _classes(keys, "key", radius).select("least.__file", "least.__row").distinct()
     return placed.join(stay, ["__file", "__row"], "left_semi").select(*columns)
 
 
-def _placed(df: DataFrame) -> DataFrame:
+def placed_rows(df: DataFrame) -> DataFrame:
     """``df`` with each row's place, the hash of its file's name and its number there, which is the same however often it is read."""
     return df.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
