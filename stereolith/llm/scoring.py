@@ -126,13 +126,13 @@ class Mixer:
     def learn(self, tables: list[BitTable], slots: list[np.ndarray], symbols: np.ndarray, seen: np.ndarray, rate: float = 0.2) -> None:
         """Move the weights online, block by block, and count outcomes by bit and bin in ``seen`` (8 x bins x 2).
 
-        Each block teaches two of the eight bits, blocks in turn.
+        Each block teaches all eight bits.
         The symbols are those that the tables were counted from, so each is left out
         of the counts that predict it.
         """
         for k in range(0, len(symbols), _BLOCK):
             own, own_slots = symbols[k : k + _BLOCK], [s[k : k + _BLOCK] * 256 for s in slots]
-            for bit in (k // _BLOCK % 4, k // _BLOCK % 4 + 4):
+            for bit in range(8):
                 inputs, gate, outcome = self._parts(tables, own_slots, own, bit, True)
                 w = self.weights[bit]
                 dot = sum(x * w[:, i].take(gate, mode="clip") for i, x in enumerate(inputs))
