@@ -9,6 +9,7 @@ a document that lies across a cut gives a piece on either side.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -41,16 +42,21 @@ class ByteLevelEncoder:
     A space between two other characters always starts a new pre-token, so the
     ids of a text are those of its space-separated words put together. Each
     distinct word of a batch is encoded once; the texts are then gathered from
-    these ids. Texts with uneven white space are encoded as they are.
+    these ids. Texts with uneven white space, or with an added token of the file,
+    are encoded as they are.
     """
 
     def __init__(self, vocabulary: bytes):
         import tiktoken
 
         file = json.loads(vocabulary)
-        special = {x["content"] for x in file["added_tokens"]}
+        self.added = {x["content"]: x["id"] for x in file["added_tokens"]}
+        if any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in file["added_tokens"]):
+            raise ValueError("added tokens that take in what stands beside them are not supported")
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         back = _byte_of()
-        ranks = {bytes(back[c] for c in piece): i for piece, i in file["model"]["vocab"].items() if piece not in special}
+        ranks = {bytes(back[c] for c in piece): i for piece, i in file["model"]["vocab"].items() if piece not in self.added}
         self.core = tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.widths = np.zeros(max(ranks.values()) + 1, np.int64)
         for piece, i in ranks.items():
@@ -59,12 +65,19 @@ class ByteLevelEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.asarray(self.core.encode_to_numpy(text, disallowed_special=()), np.uint32)
 
+    def _with_added(self, text: str) -> np.ndarray:
+        """Ids of a text in which the file's added tokens may stand: each is its own id, and what lies between is encoded by itself."""
+        parts = self.cut.split(text) if self.cut else [text]
+        return np.concatenate([np.array([self.added[p]], np.uint32) if i % 2 else self._ids(p) for i, p in enumerate(parts)])
+
     def encode(self, texts: pa.Array, end: int) -> list[np.ndarray]:
         """Each text's ids with ``end`` after them."""
         uneven = pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False)
+        for token in self.added:
+            uneven = uneven | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
         for i in np.flatnonzero(uneven):
-            out[i] = np.append(self._ids(texts[int(i)].as_py()), np.uint32(end))
+            out[i] = np.append(self._with_added(texts[int(i)].as_py()), np.uint32(end))
         even = np.flatnonzero(~uneven)
         if len(even):
             for i, ids in zip(even, self._encode_even(texts.take(pa.array(even)), end), strict=True):
