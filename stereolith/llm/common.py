@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
 import zlib
@@ -28,6 +30,7 @@ def work_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="stereolith-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")
 
@@ -40,20 +43,50 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/stereolith/{tag}-{uuid.uuid4().hex}"
+    _kept.add(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return tied(spark.read.schema(df.schema).parquet(path), path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a table from :func:`materialize` that nothing reads any more."""
-    spark = df.sparkSession
-    root = f"{work_dir(spark)}/stereolith/"
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root.removeprefix("file://").lstrip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+_kept: set[str] = set()  # folders of tables that have not been released
+
+
+def tied(df: DataFrame, *owners: str | DataFrame) -> DataFrame:
+    """``df``, which reads the folders of ``owners``: :func:`release` of it deletes them."""
+    df._folders = [f for o in owners for f in ([o] if isinstance(o, str) else getattr(o, "_folders", []))]
+    return df
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables from :func:`materialize` that nothing reads any more."""
+    for df in tables:
+        for folder in getattr(df, "_folders", []):
+            _delete(df.sparkSession, folder)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete whatever operators have written for results that are lazily read; call it once those results are stored."""
+    for folder in list(_kept):
+        _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _kept.discard(folder)
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named ``c0``, ``c1`` and so on, so that no helper's name clashes with one of them."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores after it as it takes to differ from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_column(name: str):

@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, release, tied
 
 
 def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """``node, root`` for every node of ``edges(a, b)``; the root is the least node reachable.
 
     Self-loops, repeated and reversed edges are allowed. Nodes without edges
-    don't appear. An empty table gives an empty result.
+    don't appear. An empty table gives an empty result. Whoever has read it may
+    release it.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(now)
@@ -38,7 +39,8 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
         mark = new
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    found = now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return tied(found, now)
 
 
 def _mark(edges: DataFrame) -> tuple[int, int | None]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, text_column
+from .common import materialize, slices, text_column, tied
 
 ROW = 64  # samples in a row of a stored image
 ITEM = "struct<pos:int,kind:string,text:string,media:string,caption:string>"
@@ -92,11 +92,10 @@ def parse_page(html: str) -> list[dict]:
     return [{"pos": i} | item for i, item in enumerate(reader.items)]
 
 
-def interleave(df: DataFrame, *, id_col: str, html_col: str, carry: tuple[str, ...] = (), text_items: bool = True) -> DataFrame:
-    """``id_col``, the ``carry`` columns and ``items`` of every row.
+def interleave(df: DataFrame, *, id_col: str, html_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, the ``carry`` columns and ``items`` of every row: its text and its references in order.
 
-    Without ``text_items`` only references are kept; their positions still count
-    the text between them. A null or empty page has no items; malformed HTML is
+    A null or empty page has no items; malformed HTML is
     read as far as it goes. Columns not named are not read.
     """
     rows = df.select(F.col(id_col), *[F.col(c) for c in carry], text_column(html_col).alias("__html"))
@@ -104,7 +103,7 @@ def interleave(df: DataFrame, *, id_col: str, html_col: str, carry: tuple[str, .
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__html"):
-            items = [[x for x in parse_page(h) if text_items or x["media"] is not None] for h in batch.column("__html").to_pylist()]
+            items = [parse_page(h) for h in batch.column("__html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(items, pa.list_(_ITEM))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -169,7 +168,8 @@ def store_features(store: DataFrame, feature: Callable[[bytes], str] = image_fea
     """What the stored bytes say, a row for each digest.
 
     ``payload_bytes``, ``payload_sha256``, ``tail_crc32``, ``media_bytes``,
-    ``media_sha256`` and ``feature``, all from the media read back.
+    ``media_sha256`` and ``feature``, all from the media read back. Written down, so
+    that a join with them can split a digest that many documents share.
     """
     names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
@@ -181,7 +181,8 @@ def store_features(store: DataFrame, feature: Callable[[bytes], str] = image_fea
                 rows.append((digest, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=names)
 
-    return store.mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").dropDuplicates(["digest"])
+    made = store.mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return materialize(made.dropDuplicates(["digest"]), "features")
 
 
 def resolve(items: DataFrame, features: DataFrame, *, scheme: str = "sha256:") -> DataFrame:
@@ -192,4 +193,5 @@ def resolve(items: DataFrame, features: DataFrame, *, scheme: str = "sha256:") -
     """
     flat = items.withColumn("item", F.explode("items")).where("item.media is not null").drop("items")
     flat = flat.withColumn("digest", F.when(F.col("item.media").startswith(scheme), F.substring("item.media", len(scheme) + 1, 64)))
-    return flat.select("*", F.col("item.pos").alias("pos"), F.col("item.kind").alias("kind"), F.col("item.caption").alias("caption")).drop("item").join(features, "digest", "left")
+    named = flat.select("*", F.col("item.pos").alias("pos"), F.col("item.kind").alias("kind"), F.col("item.caption").alias("caption")).drop("item")
+    return tied(named.join(features, "digest", "left"), features)

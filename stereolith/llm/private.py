@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_column
+from .common import materialize, plain_names, release, text_column, tied
 
 MARK = "\u0001"
 _STAND_IN = "\u0003"  # takes the place of a mark that a text has itself; no pattern matches either
@@ -93,12 +93,15 @@ def _cut(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(safe, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
 
 
-def _left_word(before: Column) -> Column:
-    return F.lower(F.regexp_extract(F.right(before, F.lit(40)), r"(\S+)\s*$", 1))
+def _words_before(before: Column) -> Column:
+    """The last word of what stands before, and the last two, in lower case; empty where there are none."""
+    ends = r"(?<!\S)(?:(\S++)\s++)?(\S++)\s*+$"  # begins at words only, so that long runs cost no more
+    one, other = F.lower(F.regexp_extract(before, ends, 2)), F.lower(F.regexp_extract(before, ends, 1))
+    return F.struct(one.alias("left"), F.when(other != "", F.concat(other, F.lit(" "), one)).otherwise("").alias("left2"))
 
 
-def _right_word(after: Column) -> Column:
-    return F.lower(F.regexp_extract(F.left(after, F.lit(40)), r"^\s*(\S+)", 1))
+def _word_after(after: Column) -> Column:
+    return F.lower(F.regexp_extract(after, r"^\s*+(\S++)", 1))
 
 
 def _with_spans(rows: DataFrame, min_digits: int) -> DataFrame:
@@ -128,14 +131,14 @@ def _spans(parts: Column, starts: Column, keep, context: bool) -> Column:
     def show(x: Column) -> Column:
         span = [x["start"].alias("start"), (x["start"] + F.length(x["match"])).alias("end")]
         if context:
-            span += [x["match"].alias("value"), _left_word(F.element_at(parts, x["i"])).alias("left"), _right_word(F.element_at(parts, x["i"] + 2)).alias("right")]
+            span += [x["match"].alias("value"), _words_before(F.element_at(parts, x["i"])).alias("before"), _word_after(F.element_at(parts, x["i"] + 2)).alias("right")]
         return F.struct(*span)
 
-    empty = "array<struct<start:int,end:int,value:string,left:string,right:string>>" if context else "array<struct<start:int,end:int>>"
+    empty = "array<struct<start:int,end:int,value:string,before:struct<left:string,left2:string>,right:string>>" if context else "array<struct<start:int,end:int>>"
     return F.coalesce(F.transform(found, show), F.array().cast(empty))
 
 
-def detect(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_digits: int = 5, min_support: int = 3, min_reliability: float = 0.6, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def detect(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_digits: int = 5, min_support: int = 3, min_reliability: float = 0.6, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
     """Spans of every row, and the identifiers that were discovered.
 
     The first table has ``id_col``, the row's number ``row``, and for each of
@@ -143,11 +146,14 @@ def detect(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min
     ``start, end``. The second has ``digest`` (SHA-256 of a text in which the
     bootstrap found something), ``value`` and ``reliability``.
 
-    An instance is a text form with ``min_digits`` digits or an at sign; a pattern is the word to its
-    left or right. A pattern's reliability is the mean of its distinct instances',
-    a seed's is 1, and that of any other instance is the mean of its patterns',
-    over ``rounds`` turns. An instance is discovered if it reaches
-    ``min_reliability`` over patterns that have ``min_support`` seeds at least.
+    An instance is a text form with ``min_digits`` digits or an at sign. Its patterns are the
+    word to its left, the two words there, the word to its right, and both sides together. A
+    pattern's reliability is the mean of its distinct instances'; one with fewer than
+    ``min_support`` instances says nothing. A seed's reliability is 1. That of any other
+    instance is the sum over its patterns that have ``min_support`` trusted instances,
+    divided by the number of its patterns that say something, two at least. Trusted are the
+    seeds and, from the second of ``rounds`` turns on, the instances that have reached
+    ``min_reliability``, so that what was discovered supports patterns of its own.
 
     A null text counts as empty. One row comes out for each that goes in; other
     columns are not read. An empty table gives empty results.
@@ -158,33 +164,50 @@ def detect(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min
     base = F.concat(*[F.col(f"__{k.name}") for k in KINDS])
     each = found.where(F.size(f"__{CANDIDATES}") > 0).select("row", base.alias("base"), F.explode(f"__{CANDIDATES}").alias("s"), "digest")
     seed = F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (F.col("s.start") < b["end"]))
-    each = each.select("row", "digest", "s.start", "s.end", "s.value", "s.left", "s.right", seed.alias("seed"))
-    beside = F.explode(F.array(F.concat(F.lit("< "), "left"), F.concat(F.lit("> "), "right"))).alias("pattern")
+    each = each.select("row", "digest", "s.start", "s.end", "s.value", "s.before", "s.right", seed.alias("seed"))
+    left, left2, right = F.col("before.left"), F.col("before.left2"), F.col("right")
+    sides = [F.when(left != "", F.concat(F.lit("< "), left)), F.when(left2 != "", F.concat(F.lit("<< "), left2)), F.when(right != "", F.concat(F.lit("> "), right)), F.when((left != "") & (right != ""), F.concat_ws(" ", F.lit("<>"), left, right))]
+    beside = F.explode(F.array_compact(F.array(*sides))).alias("pattern")
     edges = materialize(each.select("value", "seed", beside).groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "graph")
-    values = _score(edges, min_support, rounds).where(F.col("reliability") >= min_reliability)
+    values = _score(edges, min_support, min_reliability, rounds)
+    release(edges)
     hits = each.where(~F.col("seed")).join(values, "value")
     more = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__id"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     spans = found.join(more, "row", "left").select("row", id_col, *[f"__{k.name}" for k in KINDS], F.coalesce("__id", none).alias("__id"))
-    return spans, hits.select("digest", "value", "reliability").distinct()
+    return tied(spans, found, values), tied(hits.select("digest", "value", "reliability").distinct(), found, values)
 
 
-def _score(edges: DataFrame, min_support: int, rounds: int) -> DataFrame:
-    """``value`` and ``reliability`` of the instances that aren't seeds, after some turns over the graph.
+def discover(df: DataFrame, **options) -> DataFrame:
+    """The second table of :func:`detect`, written down; nothing else stays in the work folder."""
+    _, discovered = detect(df, **options)
+    found = materialize(discovered, "discovered")
+    release(discovered)
+    return found
 
-    Both sides are means, summed before they are shuffled, so a pattern or an
-    instance with a third of all edges is no task's alone.
+
+def _score(edges: DataFrame, min_support: int, min_reliability: float, rounds: int) -> DataFrame:
+    """``value`` and ``reliability`` of the instances that were discovered, after some turns over the graph.
+
+    Both sides are sums, made before they are shuffled, and both are written down
+    before they are joined with the edges, so that a pattern or an instance with a
+    third of all edges can be split.
     """
+    if rounds < 1:
+        raise ValueError("there must be one round at least")
     scored = edges.withColumn("r", F.col("seed").cast("double"))
-    for turn in range(rounds):
-        patterns = scored.groupBy("pattern").agg(F.avg("r").alias("p"), F.sum(F.col("seed").cast("long")).alias("support"))
-        patterns = patterns.select("pattern", F.when(F.col("support") >= min_support, F.col("p")).otherwise(0.0).alias("p"))
-        on_edges = edges.join(patterns, "pattern")
-        values = on_edges.groupBy("value").agg(F.max("seed").alias("known"), F.avg("p").alias("m"))
-        if turn + 1 == rounds:
-            return materialize(values.where(~F.col("known")).select("value", F.col("m").alias("reliability")), "discovered")
-        scored = edges.join(values, "value").select("pattern", "value", "seed", F.when(F.col("known"), 1.0).otherwise(F.col("m")).alias("r"))
-    raise ValueError("there must be one round at least")
+    values = None
+    for _ in range(rounds):
+        trusted = F.count_if(F.col("seed") | (F.col("r") >= min_reliability))
+        patterns = scored.groupBy("pattern").agg(F.avg("r").alias("p"), trusted.alias("trusted"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_support)
+        patterns = materialize(patterns.select("pattern", F.when(F.col("trusted") >= min_support, F.col("p")).otherwise(0.0).alias("p")), "patterns")
+        size = patterns.agg(F.sum(F.octet_length("pattern") + 64)).first()[0] or 0
+        on_edges = edges.where(~F.col("seed")).join(F.broadcast(patterns) if size <= BROADCAST_BYTES else patterns, "pattern")
+        m = F.sum("p") / F.greatest(F.count(F.lit(1)), F.lit(2))
+        before, values = values, materialize(on_edges.groupBy("value").agg(m.alias("m")).where("m > 0"), "values")
+        release(patterns, *([before] if before is not None else []))
+        scored = edges.join(values, "value", "left").select("pattern", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("m", F.lit(0.0))).alias("r"))
+    return tied(values.where(F.col("m") >= min_reliability).select("value", F.col("m").alias("reliability")), values)
 
 
 def span_text(arrays: list[tuple[str, Column]]) -> Column:
@@ -201,7 +224,7 @@ def mask(df: DataFrame, discovered: DataFrame, *, text_col: str = "text") -> Dat
 
     Masks what ``discovered`` (of :func:`detect`) has for a text, as ``[ID]``, then
     the fixed kinds in order. All other characters stay, nulls stay null, and every
-    column is kept. Only texts in which something was discovered are joined by
+    column is kept, whatever its name. Only texts in which something was discovered are joined by
     their digest; copies share it.
     """
     values = discovered.groupBy("digest").agg(F.collect_set("value").alias("__values")).withColumnRenamed("digest", "__digest")
@@ -209,15 +232,16 @@ def mask(df: DataFrame, discovered: DataFrame, *, text_col: str = "text") -> Dat
     if size <= BROADCAST_BYTES:  # else both sides are shuffled
         values = F.broadcast(values)
     kept = df.columns
-    digest = F.when(F.col(text_col).rlike("[0-9]"), F.sha2(text_col, 256))
-    joined = df.join(values, digest == F.col("__digest"), "left")
-    cut = joined.withColumn("__parts", F.when(F.col("__values").isNotNull(), _cut(F.col(text_col), CANDIDATE)))
+    target = f"c{kept.index(text_col)}"
+    digest = F.when(F.col(target).rlike("[0-9]"), F.sha2(target, 256))
+    joined = plain_names(df).join(values, digest == F.col("__digest"), "left")
+    cut = joined.withColumn("__parts", F.when(F.col("__values").isNotNull(), _cut(F.col(target), CANDIDATE)))
     shown = F.array_join(F.transform("__parts", lambda p, i: F.when((i % 2 == 1) & F.array_contains("__values", p), F.lit("[ID]")).otherwise(p)), "")
-    text = F.coalesce(shown, F.col(text_col))
+    text = F.coalesce(shown, F.col(target))
     for kind in KINDS:
-        cut = cut.withColumn(text_col, text)
-        text = _masked(F.col(text_col), kind)
-    return cut.withColumn(text_col, text).select(*kept)
+        cut = cut.withColumn(target, text)
+        text = _masked(F.col(target), kind)
+    return cut.withColumn(target, text).select(*[f"c{i}" for i in range(len(kept))]).toDF(*kept)
 
 
 def _masked(text: Column, kind: Kind) -> Column:

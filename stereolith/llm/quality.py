@@ -193,9 +193,11 @@ def score_quality(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
         known = known.where(learn_from)
     known = known.groupBy(id_col).agg(F.max(label_col).alias("__y")).select(F.col(id_col).alias("__id"), "__y")
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
-    learnt = df.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))  # train_rows rows at most
-    sample = _pooled(learnt.select("__id", "__y", text_col), vectors, text_col=text_col, schema=None).toArrow()
-    order = np.lexsort((pc.cast(pc.binary_length(sample["__pool"]), pa.int64()).to_numpy(), sample["__id"].to_numpy()))
-    x = np.frombuffer(b"".join(sample["__pool"].to_pylist()), np.float64).reshape(-1, 2 * WIDTH + 1)[order]
+    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    learnt = rows.join(F.broadcast(chosen), "__id")  # train_rows rows at most
+    sample = _pooled(learnt.select("__id", "__y", "__text"), vectors, text_col="__text", schema=None).toArrow()
+    ids, pools = sample["__id"].to_pylist(), sample["__pool"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], pools[i]))  # rows that tie in both are alike
+    x = np.frombuffer(b"".join(pools), np.float64).reshape(-1, 2 * WIDTH + 1)[order]
     network = Network(x, sample["__y"].to_numpy().astype(np.float64)[order])
     return _pooled(df.select(id_col, *[c for c in carry if c != id_col], *([] if text_col in carry else [text_col])), vectors, text_col=text_col, schema=score_col, network=network, drop_text=text_col not in carry)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, pieces, private, quality, scoring, sharding, simhash, topk, urls
+from . import common, media, packing, pieces, private, quality, scoring, sharding, simhash, topk, urls
 
 URL_RULES = (
     urls.Rule("com", "/en/", "block"),
@@ -60,10 +60,15 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("</p><p>"))
     figure = F.concat(F.lit('<figure><img src="sha256:'), F.sha2("text", 256), F.lit('" alt=""><figcaption>'), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
     pages = docs.select("doc_id", "n_bytes", F.concat(F.lit("<article><p>"), shown, F.lit("</p>"), figure, F.lit("</article>")).alias("html"))
-    references = media.interleave(pages, id_col="doc_id", html_col="html", carry=("n_bytes",), text_items=False)
+    items = media.interleave(pages, id_col="doc_id", html_col="html", carry=("n_bytes",))
+    texts = F.filter("items", lambda x: x["kind"] == "text")
+    shown_chars = F.aggregate(texts, F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"]))
+    references = items.select("doc_id", "n_bytes", F.size(texts).alias("text_items"), shown_chars.alias("text_chars"), F.filter("items", lambda x: x["kind"] != "text").alias("items"))
     store = media.store_payloads(docs.select(F.col("text").cast("binary").alias("payload")), payload_col="payload")
-    return media.resolve(references, media.store_features(store)).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos"
+    features = media.store_features(store)
+    common.release(store)
+    return media.resolve(references, features).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption", "text_items", "text_chars"
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, tied
 
 _STEP = np.uint64(2862933555777941757)  # the multiplier of the published generator
 
@@ -81,6 +81,7 @@ def assign_shards(df: DataFrame, *, key: str, shards: int, carry: tuple[str, ...
     counts = placed.groupBy("__part", "shard").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", "shard", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    return placed.join(offsets, ["__part", "shard"]).select(
+    slots = placed.join(offsets, ["__part", "shard"]).select(
         *[f.name for f in kept], "shard", (F.col("__before") + F.col("__local")).alias("slot"), "grown_shard"
     )
+    return tied(slots, placed)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, text_column
+from .common import materialize, plain_names, release, slices, text_column, tied
 from .components import connected_components
 
 SEED = 42
@@ -99,35 +99,59 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     made = fingerprints(df, id_col=id_col, text_col=text_col, shingle=shingle)
     named = _classes(made, "__id", radius)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return made.join(named, "fp").select(F.col("__id").alias(id_col), digits.alias("fingerprint"), F.col("least").alias("component_id"))
+    return tied(made.join(named, "fp").select(F.col("__id").alias(id_col), digits.alias("fingerprint"), F.col("least").alias("component_id")), made, named)
 
 
 def _classes(made: DataFrame, value: str, radius: int) -> DataFrame:
     """Every ``fp`` with the ``least`` of ``value`` over all rows of its component."""
     classes = materialize(made.groupBy("fp").agg(F.min(value).alias("own")), "classes")
-    members = connected_components(links(classes, radius)).join(classes, F.col("node") == F.col("fp")).select("fp", "root", "own")
+    components = connected_components(links(classes, radius))
+    members = components.join(classes, F.col("node") == F.col("fp")).select("fp", "root", "own")
     roots = members.groupBy("root").agg(F.min("own").alias("shared"))
     linked = members.join(roots, "root").select("fp", "shared", F.lit(True).alias("is_linked"))
-    return materialize(classes.join(linked, "fp", "left").select("fp", F.when(F.col("is_linked"), F.col("shared")).otherwise(F.col("own")).alias("least")), "named")
+    named = materialize(classes.join(linked, "fp", "left").select("fp", F.when(F.col("is_linked"), F.col("shared")).otherwise(F.col("own")).alias("least")), "named")
+    release(classes, components)
+    return named
 
 
 def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """``df`` with one row of each near-duplicate component: that of the smallest id.
 
     Rows with a null id come after all others; of repeated rows one stays. Columns
-    and their order are kept.
+    and their order are kept, whatever their names. An empty table stays empty.
     """
     columns = df.columns
-    try:
-        placed = placed_rows(df)
-    except AnalysisException:  # not rows as they lie in files
-        placed = placed_rows(materialize(df, "rows"))
-    made = fingerprints(placed, id_col=id_col, text_col=text_col, shingle=shingle, carry=("__file", "__row"))
+    placed = placed_rows(df)
+    made = fingerprints(placed, id_col=f"c{columns.index(id_col)}", text_col=f"c{columns.index(text_col)}", shingle=shingle, carry=("__file", "__row"))
     keys = made.select("fp", F.struct(F.col("__id").isNull(), "__id", "__file", "__row").alias("key"))
-    stay = _classes(keys, "key", radius).select("least.__file", "least.__row").distinct()
-    return placed.join(stay, ["__file", "__row"], "left_semi").select(*columns)
+    named = _classes(keys, "key", radius)
+    stay = materialize(named.select("least.__file", "least.__row").distinct(), "stay")
+    release(made, named)
+    return kept_rows(placed, stay, columns)
 
 
 def placed_rows(df: DataFrame) -> DataFrame:
-    """``df`` with each row's place, the hash of its file's name and its number there, which is the same however often it is read."""
-    return df.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    """``df`` with columns ``c0``, ``c1`` ... and each row's place: the hash of its file's name and its number there, which stay however often it is read.
+
+    Rows that don't lie in files are written down first.
+    """
+    place = [F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+    renamed = [F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(df.columns)]
+    if "_metadata" not in {c.lower() for c in df.columns} and _in_files(df):
+        return df.select(*renamed, *place)
+    made = materialize(plain_names(df), "rows")
+    return tied(made.select("*", *place), made)
+
+
+def _in_files(df: DataFrame) -> bool:
+    """Whether the rows have a place in files, which the analyser alone can tell."""
+    try:
+        return bool(df.select("_metadata.file_path", "_metadata.row_index").columns)
+    except AnalysisException:
+        return False
+
+
+def kept_rows(placed: DataFrame, stay: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of :func:`placed_rows` whose place is in ``stay``, under their own names."""
+    rows = placed.join(stay, ["__file", "__row"], "left_semi").select(*[f"c{i}" for i in range(len(columns))])
+    return tied(rows.toDF(*columns), placed, stay)

@@ -1,10 +1,11 @@
 """Exact top-k inner products over norm-sorted, rotated vectors.
 
 An orthogonal rotation from the singular vectors of the whole table moves most
-of each vector's length into its leading components. Candidates are taken by
-descending length; a partial product over the leading components plus the
-Cauchy-Schwarz bound on the rest rules most pairs out, and what is left is
-scored exactly. Queries come in blocks, each scanned against all rows.
+of each vector's length into its leading components. The table is dealt by ranges
+of length and each part lies by descending length, so a task can stop where the
+lengths alone rule out all that follows. A partial product over the leading components plus the
+Cauchy-Schwarz bound on the rest rules most other pairs out, and what is left is
+scored exactly. Queries come in blocks of a fixed number of bytes, each scanned against all rows.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, work_dir
+from .common import materialize, release, tied, work_dir
 
-QUERY_BLOCK = 4096  # queries that one scan answers: at most this many vectors are sent to the executors
+QUERY_BYTES = 16 << 20  # of query vectors that one scan answers and every executor gets
 SEEDS = 4096  # longest vectors that give each query its first threshold
 _ROWS = 1024
 _QUERIES = 1024
@@ -96,6 +97,10 @@ class Block:
             return none, none, none
         return tuple(np.concatenate(x) for x in zip(*found))
 
+    def done(self, length: float | None) -> bool:
+        """Whether no vector of this squared length or less can be among any query's best."""
+        return length is not None and bool(np.all(self.rest[0] * np.sqrt(length) < self.floor - 0.5))
+
     def raise_floor(self, query: np.ndarray, score: np.ndarray) -> None:
         """Take what are k candidates' scores of a query, at most, as its threshold where there are k."""
         count = np.bincount(query, minlength=len(self.ids))
@@ -112,23 +117,29 @@ def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
     another id; ties go to the smaller id. Rows whose id or vector is null, or
     whose vector holds a null or non-finite component, take no part; a vector that
     is shorter than the longest counts as filled up with zeros. Each query row is
-    answered, repeated ones too. Exact while ``width * (scale * x) ** 2`` stays
-    under 2**53. Other columns are not read; an empty table gives no rows.
+    answered, repeated ones too. Scores are exact: where ``width * (scale * x) ** 2``
+    could reach 2**52 a ``ValueError`` says so. Other columns are not read; an empty
+    table gives no rows.
     """
     spark = df.sparkSession
     vector = F.col(vector_col)
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     cells = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double"))
     rows = df.where(F.col(id_col).isNotNull() & vector.isNotNull() & ~bad).select(F.col(id_col).cast("long").alias("id"), cells.alias("v"), is_query.alias("ask"))
-    rows = materialize(rows, "vectors")
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    head = rows.agg(F.max(F.size("v")).alias("width")).first()
+    rows = rows.withColumn("length", length)
+    # Without a count the range shuffle follows the session's number of parts and what AQE makes of it.
+    rows = materialize(rows.repartitionByRange(F.col("length").desc(), "id").sortWithinPartitions(F.col("length").desc(), "id"), "vectors")
+    head = rows.agg(F.max(F.size("v")).alias("width"), F.max(F.greatest(F.array_max("v"), -F.array_min("v"))).alias("most")).first()
     width = head.width or 0
+    if width * (head.most or 0.0) ** 2 >= 2.0**52:
+        raise ValueError("inner products of these vectors go past what doubles hold exactly")
+    block_rows = max(1, QUERY_BYTES // (8 * max(1, width)))
     out = T.StructType([T.StructField("at", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
     path = f"{work_dir(spark)}/stereolith/topk-{uuid.uuid4().hex}"
     spark.createDataFrame([], out).write.parquet(path)
     rotation = _rotation(rows, width)
-    longest = rows.orderBy(length.desc(), "id").select("id", "v").limit(SEEDS).toArrow() if width else None
+    longest = rows.orderBy(F.col("length").desc(), "id").select("id", "v").limit(SEEDS).toArrow() if width else None
     asked = rows.where("ask").select("id", "v")
     held: list = []
     at = 0
@@ -152,12 +163,13 @@ def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
 
     for row in asked.toLocalIterator():
         held.append(row)
-        if len(held) == QUERY_BLOCK:
+        if len(held) == block_rows:
             answer()
     if held:
         answer()
     by = Window.partitionBy("at").orderBy(F.col("score").desc(), "vec_id")
-    return spark.read.schema(out).parquet(path).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    release(rows)
+    return tied(spark.read.schema(out).parquet(path).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), path)
 
 
 def _rotation(rows: DataFrame, width: int) -> np.ndarray:
@@ -190,14 +202,17 @@ def _scan(rows: DataFrame, block: Block, at: int, width: int, schema: T.StructTy
         for batch in batches:
             ids = batch.column("id").to_numpy()
             vectors = _matrix(batch.column("v"), width)
-            order = np.argsort(-(vectors**2).sum(1), kind="stable")
-            for low in range(0, len(order), _ROWS):
-                part = order[low : low + _ROWS]
+            for low in range(0, len(ids), _ROWS):
+                part = slice(low, low + _ROWS)
                 q, c, s = block.scores(ids[part], vectors[part])
+                if not len(q):
+                    continue
                 kept = [np.concatenate(x) for x in zip(kept, (q, ids[part][c], s))]
                 best = _best(kept[0], kept[2], kept[1], block.k)
                 kept = [x[best] for x in kept]
                 block.raise_floor(kept[0], kept[2])
+            if block.done(float(batch.column("length")[-1].as_py()) if len(ids) else None):
+                break  # the rest of this part is shorter still
         yield pa.RecordBatch.from_arrays([pa.array(kept[0] + at), pa.array(block.ids[kept[0]]), pa.array(kept[1]), pa.array(kept[2])], names=schema.names)
 
-    return rows.select("id", "v").mapInArrow(run, schema)
+    return rows.select("id", "v", "length").mapInArrow(run, schema)
