@@ -92,14 +92,18 @@ def ngram_buckets(host: Column, path: Column, sizes: Sequence[int], buckets: int
 
 
 def _hashed(field: str, value: Column, n: int, buckets: int) -> Column:
-    """The buckets of one field's n-grams; its letters are split once, so that a gram costs the same at any place."""
-    letters = F.split(F.concat(F.lit("^"), value, F.lit("$")), "")
-    last = F.size(letters) - n
+    """The buckets of one field's n-grams; its letters are split once and bound, so that a gram costs the same at any place."""
+    split = F.split(F.concat(F.lit("^"), value, F.lit("$")), "")
 
-    def bucket(i: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(field), F.concat(*[letters[i + k] for k in range(n)])), F.lit(buckets)).cast("int")
+    def of(letters: Column) -> Column:
+        last = F.size(letters) - n
 
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), bucket)).otherwise(F.array().cast("array<int>"))
+        def bucket(i: Column) -> Column:
+            return F.pmod(F.xxhash64(F.lit(field), F.concat(*[letters[i + k] for k in range(n)])), F.lit(buckets)).cast("int")
+
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), bucket)).otherwise(F.array().cast("array<int>"))
+
+    return F.transform(F.array(split), of)[0]
 
 
 def train(labelled: DataFrame, *, sizes: Sequence[int] = (3, 4, 5), buckets: int = BUCKETS, epochs: int = 20, rate: float = 0.3, decay: float = 1e-4) -> list[float]:
@@ -146,7 +150,7 @@ def judge(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules
     for r in reversed(ordered):
         fits = ((F.col("host") == r.host) | F.col("host").endswith("." + r.host)) & F.col("path").startswith(r.path)
         rule, verdict = F.when(fits, r.text).otherwise(rule), F.when(fits, r.verdict).otherwise(verdict)
-    table = F.array(*[F.lit(float(w)) for w in weights])
+    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # a constant, folded once
     z = F.aggregate(ngram_buckets(F.col("host"), F.col("path"), sizes, buckets), F.lit(float(weights[-1])), lambda acc, i: acc + table[i])
     judged = rows.select("*", rule.alias("rule"), verdict.alias("__by_rule"), (1 / (1 + F.exp(-z))).alias("score"))
     return judged.select(id_col, "host", "path", "rule", F.coalesce("__by_rule", F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"), "score")
