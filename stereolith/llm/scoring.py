@@ -1,25 +1,29 @@
 """Language-model scoring by logistic mixing of hashed-context bit predictors.
 
 A text is coded as binary decisions, and the score is the sum of their log
-probabilities. For each token these are: whether it is the word that the longest
-known context predicts; whether training has seen it; if so, the bits of its word's class,
-a hash of its outer letters,
-each from several predictors, and its share of that class; if not, the bits of
-its letters, so texts of any words have a probability.
-
-A bit predictor is a table of counts under a hashed context. The predictors'
-log-odds are combined by weights that a gate picks; the weights were learnt online
-over the training texts, block by block, and a last table corrects the mix
-adaptively. Counts, weights and corrections come from all training texts; their
-tables have fixed sizes, while the word counts grow with the corpus and stay
-distributed.
+probabilities. For each token these are: has training seen it after the two words
+before; if not, after the word before; if not, has training seen it at all. A yes to the
+first or second leaves the word's share of what followed there; a yes to the third, eight
+bits of the word's class, a hash of its outer letters, and its share of the class;
+three times no, the bits of its letters, so texts of any words have a probability.
+
+A bit predictor is a table of counts under a hashed context, or a text's own
+history so far. The predictors' log-odds are combined by weights that a gate picks.
+Weights are learnt online in a few large blocks of texts, in an order that hashes of
+the texts fix, and a last table corrects the mix adaptively.
+
+What is counted after one word and after two grows with the corpus and stays
+distributed: each chunk of texts sends its distinct keys with their counts to the
+buckets that their hashes name, and gets back the sums. The tables of the bit
+predictors have fixed sizes. All counts are sums of integers, so scores depend on
+neither the order of rows nor the number of parts, but for rounding.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +32,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SUM_SCHEMA, materialize, pack_integers, slices, sum_rows, text_column, tree_sum, unpack_integers
+from .common import SUM_SCHEMA, materialize, pack_integers, release, slices, sum_rows, text_column, tied, tree_sum, unpack_integers
 
-_SEED = 42  # that of Spark's xxhash64, so that both sides put a word into one class
+_SEED = 42
 _CHUNK = 4 << 20  # bytes of text in a row of the chunk table, unless one text is longer
 _ONE, _TWO, _SHAPE = 1 << 13, 1 << 12, 1 << 12  # slots of the contexts of the word before, of the one before that, and of the former's letters
 _LETTERS = 1 << 12  # slots of the contexts of two and of three letters
-_MATCH = 1 << 19  # slots of the table of repeated contexts
+_BUCKET = 1 << 20  # keys that a bucket gets, about
 _BLOCK = 1 << 13
 _BINS = 33
-_HITS = 512  # contexts of the match decision
+_SCALE = 1 << 14  # sums of fractions travel as integers of this unit
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,8 +81,13 @@ class BitTable:
         if self.stretch is not None:
             return self.stretch.take(at, mode="clip")
         pair = self.pairs.take(at, mode="clip")
-        ones, zeros = (pair.imag, pair.real) if without is None else (pair.imag - without, pair.real - (1 - without))
-        return np.log((np.maximum(ones, 0) + np.float32(0.4)) / (np.maximum(zeros, 0) + np.float32(0.4)))
+        return _stretch(pair.imag, pair.real, without)
+
+
+def _stretch(ones: np.ndarray, zeros: np.ndarray, without: np.ndarray | None) -> np.ndarray:
+    if without is not None:
+        ones, zeros = np.maximum(ones - without, 0), np.maximum(zeros - (1 - without), 0)
+    return np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)))
 
 
 def _level(seen: np.ndarray) -> np.ndarray:
@@ -93,54 +103,100 @@ def _log2_cost(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Mixer:
-    """Weights by bit and gate, and the corrections of the mix by bit and bin."""
+    """Weights by bit and gate, the last of a constant, and the corrections of the mix by bit and bin."""
 
-    weights: np.ndarray  # 8 x 4 x predictors
-    corrections: np.ndarray | None = None  # 8 x _BINS, log-odds
+    weights: np.ndarray  # bits x 4 x (predictors + 1)
+    corrections: np.ndarray | None = None  # bits x _BINS, log-odds
 
     @classmethod
-    def fresh(cls, predictors: int) -> Mixer:
-        return cls(np.full((8, 4, predictors), 1.2 / predictors, np.float32))
-
-    def _parts(self, tables: list[BitTable], slots: list[np.ndarray], symbols: np.ndarray, bit: int, leave_out: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        node = (1 << bit) | (symbols >> (8 - bit))
-        outcome = (symbols >> (7 - bit)) & 1
-        at = [s + node for s in slots]
-        without = outcome.astype(np.float32) if leave_out else None
-        return [t.inputs(k, without) for t, k in zip(tables, at)], tables[-1].level.take(at[-1], mode="clip"), outcome
+    def fresh(cls, predictors: int, bits: int = 8) -> Mixer:
+        weights = np.full((bits, 4, predictors + 1), 1.2 / predictors, np.float32)
+        weights[:, :, -1] = 0
+        return cls(weights)
+
+    def dot(self, bit: int, inputs: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        w = self.weights[bit]
+        return sum((x * w[:, i].take(gate, mode="clip") for i, x in enumerate(inputs)), w[:, -1].take(gate, mode="clip"))
+
+    def bits(self, bit: int, inputs: list[np.ndarray], gate: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+        """Bits of each outcome."""
+        dot = self.dot(bit, inputs, gate)
+        if self.corrections is not None:
+            dot = (dot + self.corrections[bit].take(_bin(dot), mode="clip")) / 2
+        return _log2_cost(np.where(outcome == 1, dot, -dot))
 
     def costs(self, tables: list[BitTable], slots: list[np.ndarray], symbols: np.ndarray) -> np.ndarray:
-        """Bits of each symbol."""
+        """Bits of each symbol of eight bits."""
         total = np.zeros(len(symbols), np.float32)
-        for k in range(0, len(symbols), _BLOCK):
-            own, own_slots = symbols[k : k + _BLOCK], [s[k : k + _BLOCK] * 256 for s in slots]
+        for own, own_slots, k in _blocks(slots, symbols):
             for bit in range(8):
-                inputs, gate, outcome = self._parts(tables, own_slots, own, bit, False)
-                w = self.weights[bit]
-                dot = sum(x * w[:, i].take(gate, mode="clip") for i, x in enumerate(inputs))
-                if self.corrections is not None:
-                    dot = (dot + self.corrections[bit].take(_bin(dot), mode="clip")) / 2
-                total[k : k + _BLOCK] += _log2_cost(np.where(outcome == 1, dot, -dot))
+                total[k : k + _BLOCK] += self.bits(bit, *_inputs(tables, own_slots, own, bit, False))
         return total
 
-    def learn(self, tables: list[BitTable], slots: list[np.ndarray], symbols: np.ndarray, seen: np.ndarray, rate: float = 0.2) -> None:
-        """Move the weights online, block by block, and count outcomes by bit and bin in ``seen`` (8 x bins x 2).
 
-        Each block teaches all eight bits.
-        The symbols are those that the tables were counted from, so each is left out
-        of the counts that predict it.
-        """
-        for k in range(0, len(symbols), _BLOCK):
-            own, own_slots = symbols[k : k + _BLOCK], [s[k : k + _BLOCK] * 256 for s in slots]
+def _blocks(slots: list[np.ndarray], symbols: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], int]]:
+    for k in range(0, len(symbols), _BLOCK):
+        yield symbols[k : k + _BLOCK], [s[k : k + _BLOCK] * 256 for s in slots], k
+
+
+def _inputs(tables: list[BitTable], slots: list[np.ndarray], symbols: np.ndarray, bit: int, leave_out: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The predictors' log-odds, the gate and the outcome of one bit of each symbol."""
+    node = (1 << bit) | (symbols >> (8 - bit))
+    outcome = (symbols >> (7 - bit)) & 1
+    at = [s + node for s in slots]
+    without = outcome.astype(np.float32) if leave_out else None
+    return [t.inputs(k, without) for t, k in zip(tables, at)], tables[-1].level.take(at[-1], mode="clip"), outcome
+
+
+class Lesson:
+    """What some outcomes teach a mixer: slopes and curvatures of its cost by its weights, and outcomes by bin.
+
+    All are sums, so it doesn't matter in what order or in which task the outcomes come.
+    """
+
+    def __init__(self, mixer: Mixer):
+        self.mixer = mixer
+        bits, gates, width = mixer.weights.shape
+        self.slopes, self.curves = np.zeros((bits, gates, width)), np.zeros((bits, gates, width, width))
+        self.seen = np.zeros((bits, _BINS, 2), np.int64)
+
+    def take(self, bit: int, inputs: list[np.ndarray], gate: np.ndarray, outcome: np.ndarray) -> None:
+        dot = self.mixer.dot(bit, inputs, gate)
+        p = 1 / (1 + np.exp(-dot))
+        self.seen[bit] += np.bincount(_bin(dot) * 2 + outcome, minlength=2 * _BINS).reshape(_BINS, 2)
+        order = np.argsort(gate.astype(np.int8), kind="stable")
+        x = np.empty((len(inputs) + 1, len(dot)))
+        for i, column in enumerate(inputs):
+            column.take(order, out=x[i]) if column.dtype == x.dtype else np.copyto(x[i], column.take(order))
+        x[-1] = 1
+        p = p.take(order)
+        error, spread = outcome.take(order) - p, p * (1 - p)
+        for g, (a, b) in enumerate(zip(*(np.searchsorted(gate, range(5), sorter=order)[k : k + 4] for k in (0, 1)))):
+            if b > a:
+                own = x[:, a:b]
+                self.slopes[bit, g] += own @ error[a:b]
+                self.curves[bit, g] += (own * spread[a:b]) @ own.T
+
+    def symbols(self, tables: list[BitTable], slots: list[np.ndarray], symbols: np.ndarray) -> None:
+        """All eight bits of symbols that the tables were counted from, so each is left out of the counts that predict it."""
+        for own, own_slots, _ in _blocks(slots, symbols):
             for bit in range(8):
-                inputs, gate, outcome = self._parts(tables, own_slots, own, bit, True)
-                w = self.weights[bit]
-                dot = sum(x * w[:, i].take(gate, mode="clip") for i, x in enumerate(inputs))
-                p = 1 / (1 + np.exp(-dot))
-                error, spread = outcome.astype(np.float32) - p, p * (1 - p)
-                seen[bit] += np.bincount(_bin(dot) * 2 + outcome, minlength=2 * _BINS).reshape(_BINS, 2)
-                for i, x in enumerate(inputs):  # a part of each weight's own Newton step
-                    w[:, i] += rate * np.bincount(gate, weights=error * x, minlength=4) / (np.bincount(gate, weights=spread * x * x, minlength=4) + 8)
+                self.take(bit, *_inputs(tables, own_slots, own, bit, True))
+
+    def rows(self, name: str, part: int) -> Iterator[pa.RecordBatch]:
+        for kind, values in (("slopes", np.rint(self.slopes * _SCALE)), ("curves", np.rint(self.curves * _SCALE)), ("seen", self.seen)):
+            yield from sum_rows(f"{name}-{kind}", part, values)
+
+    @staticmethod
+    def apply(mixer: Mixer, sums: dict[str, np.ndarray], name: str) -> Mixer:
+        """The mixer after a step of Newton's on the sums of all tasks' lessons, drawn towards no step."""
+        if f"{name}-slopes" not in sums:
+            return mixer
+        shape = mixer.weights.shape
+        slopes = sums[f"{name}-slopes"].reshape(shape) / _SCALE
+        curves = sums[f"{name}-curves"].reshape(*shape, shape[-1]) / _SCALE
+        step = np.linalg.solve(curves + 16 * np.eye(shape[-1]), slopes[..., None])[..., 0]
+        return Mixer((mixer.weights + np.clip(step, -1, 1)).astype(np.float32), _corrections(sums[f"{name}-seen"].reshape(shape[0], _BINS, 2)))
 
 
 def _bin(dot: np.ndarray) -> np.ndarray:
@@ -157,125 +213,388 @@ def _corrections(seen: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p)).astype(np.float32)
 
 
+# Chunks of texts.
+
+
 class Chunk:
-    """A row of the chunk table, as arrays over its tokens."""
+    """A row of the chunk table, as arrays over its tokens. ``hashes`` are those of its distinct words."""
 
-    def __init__(self, words: list[bytes], codes: bytes, ends: list[int]):
+    def __init__(self, hashes: np.ndarray, codes: bytes, ends: np.ndarray, held: np.ndarray):
         import xxhash
 
-        digest = xxhash.xxh64_intdigest
-        self.words = words
         self.codes = unpack_integers(codes, np.int32)
-        self.ends = np.array(ends, np.int64)
-        self.hashes = np.array([digest(w, _SEED) for w in words], np.uint64)
-        end = np.uint64(digest(b"", _SEED))
-        own = self.hashes[self.codes]
+        self.ends = ends
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
-        self.before = self._shift(own, 1, end)
-        self.two_before = self._shift(own, 2, end)
-        shapes = np.array([digest(w[:1] + w[-2:], _SEED) for w in words], np.uint64)
-        self.shape_before = self._shift(shapes[self.codes], 1, end)
-        self.own = own
-        self.word_classes = (shapes >> np.uint64(56)).astype(np.int64)
-        self.classes = self.word_classes[self.codes]
-
-    def _shift(self, x: np.ndarray, n: int, fill: np.uint64) -> np.ndarray:
-        out = np.concatenate([np.full(n, fill), x[:-n]])[: len(x)] if len(x) else x
+        self.hashes = hashes
+        self.end = np.uint64(xxhash.xxh64_intdigest(b"", _SEED))
+        self.own = self.hashes[self.codes]
+        self.before = self.shift(self.own, 1, self.end)
+        self.two_before = self.shift(self.own, 2, self.end)
+        self.learns = np.repeat(~held, self.ends - self.starts)
+
+    def shift(self, x: np.ndarray, n: int, fill) -> np.ndarray:
+        """What stands ``n`` tokens before in the same text, else ``fill``."""
+        out = np.concatenate([np.full(n, fill, x.dtype), x[:-n]])[: len(x)] if len(x) else x
         for k in range(n):
             at = self.starts + k
             out[at[at < np.minimum(self.ends, len(x))]] = fill
         return out
 
-    def of_docs(self, docs: np.ndarray) -> np.ndarray:
-        """A mask of the tokens of the documents of a mask."""
-        return np.repeat(docs, self.ends - self.starts)
+    def pairs(self) -> np.ndarray:
+        """The keys of each token after the word before, then of each after the two words before."""
+        return np.concatenate([_mix(self.before, self.own), _mix(_mix(self.before, self.two_before), self.own)])
 
-    def slots(self) -> list[np.ndarray]:
-        return [np.zeros(len(self.codes), np.int64), _slot(self.two_before, _TWO), _slot(self.shape_before, _SHAPE), _slot(self.before, _ONE)]
+    def trained(self) -> np.ndarray:
+        """How often each word comes in the chunk's training texts."""
+        return np.bincount(self.codes[self.learns], minlength=len(self.hashes))
 
-    def contexts(self) -> np.ndarray:
-        return _mix(self.before, self.two_before)
 
-    def guesses(self, table: Match, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The hash guessed for each token (0: none), and the context of the decision whether it is right.
+def _hashes(words: list[bytes]) -> np.ndarray:
+    import xxhash
 
-        The guess is what followed the same two words before in this text; else
-        what the corpus table holds for them.
-        """
-        n = len(self.codes)
-        text = np.repeat(np.arange(len(self.ends), dtype=np.uint64), self.ends - self.starts)
-        keys = _mix(contexts, text)
-        if n < 1 << 24:  # the place fits under 40 bits of the key, and plain sorting is fast
-            low = np.sort((keys & ~np.uint64(0xFFFFFF)) | np.arange(n, dtype=np.uint64))
-            order = (low & np.uint64(0xFFFFFF)).astype(np.int64)
-            same = (low[1:] >> np.uint64(24)) == (low[:-1] >> np.uint64(24))
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(w, _SEED) for w in words], np.uint64)
+
+
+def _checks(words: list[bytes]) -> np.ndarray:
+    """A second hash, by which words of one hash differ."""
+    import xxhash
+
+    digest = xxhash.xxh32_intdigest
+    return np.array([digest(w, _SEED) for w in words], np.uint32)
+
+
+def _shapes(words: list[bytes]) -> np.ndarray:
+    """A hash of the outer letters of each word; its high byte is the word's class."""
+    import xxhash
+
+    digest = xxhash.xxh32_intdigest
+    return np.array([digest(w[:1] + w[-2:], _SEED) for w in words], np.uint32)
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Each row of a batch by itself, with its ends and whether its texts are held out."""
+    for i in range(batch.num_rows):
+        one = batch.slice(i, 1)
+        yield one, one.column("ends").flatten().to_numpy(), one.column("held").flatten().to_numpy(zero_copy_only=False).astype(bool)
+
+
+def chunk_table(df: DataFrame, *, id_col: str, text_col: str, held_out: Column) -> DataFrame:
+    """Texts by the chunk, written down: ``chunk``, ``n_tokens``, ``ids``, ``held``, ``n_bytes``, ``ends``, ``words``, ``codes``.
+
+    ``words`` are the chunk's distinct words, the empty one standing for the end of
+    a text; ``codes`` are the tokens as packed places in ``words``, and ``ends`` say
+    where each text's stop.
+    """
+    rows = df.select(F.col(id_col).alias("__id"), F.coalesce(held_out, F.lit(False)).alias("__held"), text_column(text_col).alias("__text"))
+    ids = T.ArrayType(rows.schema[0].dataType)
+    schema = T.StructType(
+        [T.StructField("chunk", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", ids), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("n_bytes", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("codes", T.BinaryType())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for piece in slices(batches, "__text", 1 << 20):
+            n = piece.column("__text").nbytes
+            if held and size + n > _CHUNK:
+                yield _chunk(number, held, schema.names)
+                number, held, size = number + 1, [], 0
+            held.append(piece)
+            size += n
+        if held:
+            yield _chunk(number, held, schema.names)
+
+    return materialize(rows.mapInArrow(run, schema), "chunks")
+
+
+def _chunk(number: int, pieces: list[pa.RecordBatch], names: list[str]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(pieces)
+    texts = table.column("__text").combine_chunks()
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    flat = split.flatten()
+    full = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+    ends = np.concatenate([[0], np.cumsum(full)])[offsets[1:]]
+    words = pc.dictionary_encode(flat.filter(pa.array(full)))
+    codes = words.indices.to_numpy().astype(np.int32)
+    codes = np.insert(codes, ends, np.int32(len(words.dictionary)))
+    ends = ends + np.arange(1, len(ends) + 1)
+    vocabulary = pa.concat_arrays([words.dictionary.cast(pa.large_binary()).cast(pa.binary()), pa.array([b""], pa.binary())])
+
+    def whole(values: pa.Array) -> pa.Array:
+        values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+    bytes_ = pc.binary_length(texts).cast(pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number]), pa.array([len(codes)]), whole(table.column("__id")), whole(table.column("__held")), whole(bytes_), whole(pa.array(ends, pa.int64())), whole(vocabulary), pa.array([pack_integers(codes)], pa.binary())],
+        names=names,
+    )
+
+
+# Counts that grow with the corpus.
+
+
+class Distinct:
+    """The distinct ones of an array of keys in order, and the way back."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys)
+        ranked = keys[self.order]
+        head = np.ones(len(keys), bool)
+        head[1:] = ranked[1:] != ranked[:-1]
+        self.heads = np.flatnonzero(head)
+        self.keys = ranked[self.heads]
+        self._head = head
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values[self.order].astype(np.int64), self.heads) if len(self.heads) else np.zeros(0, np.int64)
+
+    def back(self, values: np.ndarray) -> np.ndarray:
+        """A value of each distinct key at all places of that key."""
+        out = np.empty(len(self.order), values.dtype)
+        out[self.order] = values[np.cumsum(self._head) - 1]
+        return out
+
+
+def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of equal width of the hashes, so that sorted keys are sorted by bucket."""
+    high = keys >> np.uint64(32)
+    if buckets <= 1 << 31:
+        return ((high * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    raise ValueError("too many buckets")
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their gaps, in as few bytes each as the widest takes."""
+    if not len(keys):
+        return b""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    first, gaps = gaps[:1], gaps[1:]
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + first.tobytes() + planes.tobytes()
+
+
+def _unpack_keys(packed: bytes) -> np.ndarray:
+    if not packed:
+        return np.empty(0, np.uint64)
+    width = packed[0]
+    planes = np.frombuffer(packed, np.uint8, offset=9).reshape(width, -1)
+    gaps = np.zeros((planes.shape[1] + 1, 8), np.uint8)
+    gaps[1:, :width] = planes.T
+    gaps = gaps.view(np.uint64).ravel()
+    gaps[0] = np.frombuffer(packed, np.uint64, 1, 1)[0]
+    return np.cumsum(gaps, dtype=np.uint64)
+
+
+_SENT = "kind int, bucket long, chunk long, keys binary, checks binary, counts binary"
+_ANSWERS = "kind int, bucket long, chunk long, totals binary, n_distinct long, n_once long"
+_WORDS, _PAIRS = 0, 1
+
+
+def _by_bucket(kind: int, chunk: int, keys: np.ndarray, checks: np.ndarray | None, counts: np.ndarray, buckets: int, shift: int) -> Iterator[tuple]:
+    """A chunk's sorted keys as rows for their buckets."""
+    at = _bucket_of(keys, buckets)
+    cuts = np.flatnonzero(np.diff(at, prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(keys)]):
+        yield kind, int(at[a]), chunk, _pack_keys(keys[a:b] >> np.uint64(shift)), None if checks is None else checks[a:b].tobytes(), pack_integers(counts[a:b].astype(np.uint32))
+
+
+def corpus_counts(chunks: DataFrame) -> DataFrame:
+    """For each chunk the counts in all training texts of its words and of its pairs, written down.
+
+    Pairs are hashes of 40 bits beyond those that name the bucket, so that one in
+    about a million is taken for another; words have 96 bits in all. A bucket gets about a
+    million keys, however large the corpus; a key that a third of all tokens have comes once from
+    each chunk.
+    """
+    total = chunks.agg(F.sum("n_tokens")).first()[0] or 0
+    pair_buckets = max(1, -(-2 * total // _BUCKET))
+    word_buckets = max(1, pair_buckets // 8)
+    shift = max(0, 24 - (pair_buckets - 1).bit_length())
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one, ends, held in (r for batch in batches for r in _read(batch)):
+            words, number = one.column("words")[0].as_py(), one.column("chunk")[0].as_py()
+            chunk = Chunk(_hashes(words), one.column("codes")[0].as_py(), ends, held)
+            order = np.argsort(chunk.hashes, kind="stable")
+            out = list(_by_bucket(_WORDS, number, chunk.hashes[order], _checks(words)[order], chunk.trained()[order], word_buckets, 0))
+            found = Distinct(chunk.pairs())
+            out += _by_bucket(_PAIRS, number, found.keys, None, found.sums(np.tile(chunk.learns, 2)), pair_buckets, shift)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=[x.split()[0] for x in _SENT.split(", ")])
+
+    def add(table: pa.Table) -> pa.Table:
+        kind, packed = table.column("kind")[0].as_py(), table.column("keys").to_pylist()
+        keys = [_unpack_keys(k) for k in packed]
+        sizes = np.cumsum([0, *map(len, keys)])
+        counts = np.concatenate([unpack_integers(c, np.uint32) for c in table.column("counts").to_pylist()]).astype(np.int64)
+        keys = np.concatenate(keys)
+        if kind == _WORDS:
+            checks = np.frombuffer(b"".join(table.column("checks").to_pylist()), np.uint32)
+            order = np.lexsort((checks, keys))
+            head = np.ones(len(keys), bool)
+            head[1:] = (np.diff(keys[order]) != 0) | (np.diff(checks[order]) != 0)
         else:
-            order = np.argsort(keys, kind="stable")
-            same = keys[order[1:]] == keys[order[:-1]]
-        last = np.full(n, -1, np.int64)
-        last[order[1:][same]] = order[:-1][same]
-        guess = np.where(last >= 0, self.own[last] >> np.uint64(32), np.uint64(0))
-        slot = _slot(contexts, _MATCH)
-        held, votes = table.word[slot].astype(np.uint64), table.votes[slot].astype(np.int64)
-        votes = votes - ((held == self.own >> np.uint64(32)) & self.trained if hasattr(self, "trained") else 0)  # a training token's own vote doesn't speak for it
-        known = (held > 0) & (votes > 0)
-        agree = known & (guess == held)
-        source = np.where(last >= 0, np.where(agree, 3, np.where(known, 2, 1)), 0)
-        guess = np.where(last >= 0, guess, np.where(known, held, 0))
-        hit = (guess == self.own >> np.uint64(32)) & (guess > 0)
-        at = np.arange(n)
-        miss = np.where(hit, -1, at)
-        miss[self.starts[self.starts < n]] = self.starts[self.starts < n] if n else 0
-        run = np.zeros(n, np.int64)
-        if n:
-            reached = np.maximum.accumulate(np.where(miss >= 0, at, -1))
-            run[1:] = at[:-1] - reached[:-1]
-        run = np.minimum(run, 7)
-        strength = np.minimum(np.log2(np.maximum(votes, 1)).astype(np.int64), 7)
-        return guess, source * 64 + run * 8 + np.where(known, strength, 0)
+            order = np.argsort(keys)
+            head = np.ones(len(keys), bool)
+            head[1:] = np.diff(keys[order]) != 0
+        sums = np.add.reduceat(counts[order], np.flatnonzero(head))
+        totals = np.empty(len(keys), np.int64)
+        totals[order] = sums[np.cumsum(head) - 1]
+        parts = [pack_integers(np.minimum(totals[a:b], np.iinfo(np.int64).max)) for a, b in zip(sizes[:-1], sizes[1:])]
+        n = len(parts)
+        once = lambda x: pa.array([int(x)] + [0] * (n - 1), pa.int64())
+        return pa.table([table.column("kind"), table.column("bucket"), table.column("chunk"), pa.array(parts, pa.binary()), once((sums > 0).sum()), once((sums == 1).sum())], names=[x.split()[0] for x in _ANSWERS.split(", ")])
 
+    sent = chunks.select("chunk", "held", "ends", "words", "codes").mapInArrow(send, _SENT)
+    return materialize(sent.groupBy("kind", "bucket").applyInArrow(add, _ANSWERS), "answers")
 
-@dataclass
-class Match:
-    """The word most often seen after each hashed context of two words, and its lead in votes."""
 
-    word: np.ndarray
-    votes: np.ndarray
+_COUNTED = "held array<boolean>, n_bytes array<bigint>, ends array<bigint>, codes binary, hashes binary, shapes binary, c binary, after binary, rare array<binary>, " + SUM_SCHEMA
 
-    @classmethod
-    def empty(cls) -> Match:
-        return cls(np.zeros(_MATCH, np.uint32), np.zeros(_MATCH, np.uint32))
-
-    def vote(self, slot: np.ndarray, word: np.ndarray, votes: np.ndarray) -> None:
-        """Take in one candidate for each slot: agreement adds, the stronger of two others stays with the difference."""
-        held, had = self.word[slot], self.votes[slot].astype(np.int64)
-        same = held == word
-        new = np.where(same, had + votes, np.abs(had - votes))
-        self.word[slot] = np.where(same | (had >= votes), held, word)
-        self.votes[slot] = np.minimum(new, np.iinfo(np.uint32).max)
-
-    def add(self, contexts: np.ndarray, own: np.ndarray) -> None:
-        """Each slot's most frequent follower in one chunk votes."""
-        pair = (_slot(contexts, _MATCH).astype(np.uint64) << np.uint64(32)) | (own >> np.uint64(32))
-        values, counts = np.unique(pair, return_counts=True)
-        slot = (values >> np.uint64(32)).astype(np.int64)
-        order = np.lexsort((values, counts, slot))
-        last = order[np.flatnonzero(np.diff(slot[order], append=-1))]
-        self.vote(slot[last], (values[last] & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts[last])
 
-    def rows(self, part: int) -> Iterator[pa.RecordBatch]:
-        """The table as a row for :func:`tree_sum`."""
-        return sum_rows("match", part, np.concatenate([self.word, self.votes]), 2 * _MATCH, np.uint32)
+def with_counts(chunks: DataFrame, answers: DataFrame) -> DataFrame:
+    """The chunk table with what the corpus says, and what the predictors' tables count; written down.
 
-    @classmethod
-    def merge(cls, tables: list[np.ndarray]) -> np.ndarray:
-        """Tables of :meth:`rows` in one, in the order given."""
-        total = cls.empty()
-        for both in tables:
-            word, votes = both[:_MATCH], both[_MATCH:].astype(np.int64)
-            on = np.flatnonzero(votes)
-            total.vote(on, word[on], votes[on])
-        return np.concatenate([total.word, total.votes])
+    Rows with ``ids`` are chunks: ``hashes`` and ``shapes`` of their words, ``c``, the words'
+    counts in training, ``after``, the tokens' counts after one and after two words, and
+    ``rare``, the words that training has once or never. Rows with ``name`` are the
+    sums of a task for :func:`tree_sum`.
+    """
+    mine = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("kind", "bucket", "totals"))).alias("answers"))
+    rows = chunks.join(mine, "chunk").select("ids", "held", "n_bytes", "ends", "words", "codes", "answers")
+    schema = T.StructType([rows.schema[0], *T._parse_datatype_string(_COUNTED).fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
+        for one, ends, held in (r for batch in batches for r in _read(batch)):
+            words = one.column("words")[0].as_py()
+            chunk = Chunk(_hashes(words), one.column("codes")[0].as_py(), ends, held)
+            parts = one.column("answers")[0].as_py()
+            totals = {kind: np.concatenate([unpack_integers(a["totals"], np.int64) for a in parts if a["kind"] == kind]) for kind in (_WORDS, _PAIRS)}
+            c = np.empty(len(words), np.int64)
+            c[np.argsort(chunk.hashes, kind="stable")] = totals[_WORDS]
+            after = Distinct(chunk.pairs()).back(totals[_PAIRS])
+            shapes = _shapes(words)
+            rare = [words[i] for i in np.flatnonzero(c <= 1)]
+            counts.take(chunk, c, after, shapes, rare)
+            made = [chunk.hashes.tobytes(), shapes.tobytes(), pack_integers(c), pack_integers(after)]
+            columns = [*[one.column(n) for n in ("ids", "held", "n_bytes", "ends", "codes")], *[pa.array([x], pa.binary()) for x in made], pa.array([rare], pa.list_(pa.binary())), *[pa.nulls(1, f.type) for f in arrow][10:]]
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, arrow)], names=schema.names)
+        for sums in counts.rows(TaskContext.get().partitionId()):
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(sums.num_rows, f.type) for f in arrow][:10], *sums.columns], names=schema.names)
+
+    return materialize(rows.mapInArrow(run, schema), "counted")
+
+
+# Decisions and the tables that predict them.
+
+_DECISION_SLOTS = (128, 256, 1 << 12)
+_WORD_SLOTS = (1, _TWO, _SHAPE, _ONE)
+_LETTER_SLOTS = (256, _LETTERS, _LETTERS)
+
+
+def _size(n: np.ndarray) -> np.ndarray:
+    """0 for 0, else the number of bits of a count, 7 at most."""
+    return np.minimum(np.frexp(np.maximum(n, 0).astype(np.float64))[1], 7).astype(np.int64)
+
+
+class Facts:
+    """What the corpus says of each token of a chunk, and the decisions that this leaves.
+
+    With ``leave_out`` a training token's own count is taken out of all counts.
+    """
+
+    def __init__(self, chunk: Chunk, c: np.ndarray, after: np.ndarray, leave_out: bool):
+        self.chunk = chunk
+        n = len(chunk.codes)
+        own = chunk.learns.astype(np.int64) if leave_out else np.zeros(n, np.int64)
+        texts = int(c[-1])  # each training text has one end
+        known, one, two = c[chunk.codes], after[:n], after[n:]
+        self.n1 = np.maximum(chunk.shift(known, 1, texts) - own, 0)
+        self.n2 = np.maximum(chunk.shift(one, 1, texts) - own, 0)
+        self.c0 = np.maximum(known - own, 0)
+        self.c1 = np.clip(one - own, 0, self.n1)
+        self.c2 = np.clip(two - own, 0, self.n2)
+        self.own = own
+        self.depth = np.where(self.c2 > 0, 3, np.where(self.c1 > 0, 2, np.where(self.c0 > 0, 1, 0)))
+        at = np.arange(n)
+        miss = np.where(self.depth == 3, -1, at)
+        first = chunk.starts[chunk.starts < n]
+        miss[first] = np.maximum(miss[first], first - 1)
+        reached = np.maximum.accumulate(miss) if n else miss
+        run = np.minimum(at - reached, 3)
+        self.run = chunk.shift(np.where(self.depth == 3, run, 0), 1, 0)
+        self.last = chunk.shift(self.depth, 1, 0) * 4 + chunk.shift(self.depth, 2, 0)
+        self._l1, self._l2 = _size(self.n1), _size(self.n2)
+        self._before = _slot(chunk.before, _DECISION_SLOTS[2])
+
+    def decision(self, k: int, among: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens at which decision ``k`` (2: seen after two words, 1: after one, 0: at all) is taken, its contexts, the log-odds of the text's own history, the gate and the outcome.
+
+        ``among`` restricts the tokens that are given, not those that make the history.
+        """
+        offered = (self.n2 > 0, (self.depth < 3) & (self.n1 > 0), self.depth < 2)[2 - k]
+        hit = self.depth == k + 1
+        history = self._so_far(hit & offered, offered)
+        at = np.flatnonzero(offered if among is None else offered & among)
+        level = (np.zeros_like(self._l1), self._l1, self._l2)[k][at]
+        slots = [level * 16 + self.last[at], (self._l1[at] * 8 + self._l2[at]) * 4 + self.run[at], self._before[at]]
+        gate = self.last[at] // 4 if k == 0 else np.clip((level - 1) // (3 - k), 0, 3)
+        return at, slots, history[at], gate, hit[at].astype(np.int64)
+
+    def _so_far(self, hit: np.ndarray, offered: np.ndarray) -> np.ndarray:
+        """Log-odds of a decision from its outcomes earlier in the same text."""
+        chunk = self.chunk
+        sums = []
+        for x in (hit, offered):
+            total = np.cumsum(x) - x
+            begin = np.zeros(len(chunk.ends), np.int64)
+            inside = chunk.starts < len(x)
+            begin[inside] = total[chunk.starts[inside]]
+            sums.append((total - np.repeat(begin, chunk.ends - chunk.starts)).astype(np.float32))
+        return _stretch(sums[0], sums[1] - sums[0], None)
+
+
+def _class_slots(chunk: Chunk, shapes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    before = chunk.shift(shapes[chunk.codes], 1, 0)
+    return [np.zeros(len(at), np.int64), _slot(chunk.two_before[at], _TWO), _slot(before[at].astype(np.uint64), _SHAPE), _slot(chunk.before[at], _ONE)]
+
+
+class Counts:
+    """What the predictors' tables count in one task's training texts, each token's own count left out of what decides."""
+
+    def __init__(self) -> None:
+        self.words = [np.zeros(n * 256, np.int32) for n in _WORD_SLOTS]
+        self.letters = [np.zeros(n * 256, np.int32) for n in _LETTER_SLOTS]
+        self.decisions = [[np.zeros(2 * n, np.int64) for n in _DECISION_SLOTS] for _ in range(3)]
+        self.classes = np.zeros(256, np.int64)
+
+    def take(self, chunk: Chunk, c: np.ndarray, after: np.ndarray, shapes: np.ndarray, rare: list[bytes]) -> None:
+        facts = Facts(chunk, c, after, True)
+        for k in range(3):
+            _, slots, _, _, outcome = facts.decision(k, chunk.learns)
+            for total, slot in zip(self.decisions[k], slots):
+                total += np.bincount(slot * 2 + outcome, minlength=len(total))
+        kinds = (shapes >> np.uint32(24)).astype(np.int64)[chunk.codes]
+        self.classes += np.bincount(kinds[chunk.learns], minlength=256)
+        at = np.flatnonzero(chunk.learns & (facts.depth == 1))
+        for total, slot in zip(self.words, _class_slots(chunk, shapes, at)):
+            total += np.bincount(slot * 256 + kinds[at], minlength=len(total)).astype(np.int32)
+        contexts, symbols, _ = _letters([rare[i] for i in _spelling(chunk, c)[0]])
+        for total, slot in zip(self.letters, contexts):
+            total += np.bincount(slot * 256 + symbols, minlength=len(total)).astype(np.int32)
+
+    def rows(self, part: int) -> Iterator[pa.RecordBatch]:
+        for kind, totals in (("w", self.words), ("l", self.letters), *((f"d{k}", t) for k, t in enumerate(self.decisions))):
+            for i, total in enumerate(totals):
+                yield from sum_rows(f"{kind}{i}", part, total, 1 << 18)
+        yield from sum_rows("classes", part, self.classes)
 
 
 def _letters(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -289,23 +608,18 @@ def _letters(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
     return [past[0], _slot(two, _LETTERS), _slot(three, _LETTERS)], letters, np.repeat(np.arange(len(words)), sizes)
 
 
-_WORD_SLOTS = (1, _TWO, _SHAPE, _ONE)
-_LETTER_SLOTS = (256, _LETTERS, _LETTERS)
-
-
 class Tables:
     """The tables of counts, as an executor builds them from what it was sent."""
 
     _built: tuple[tuple[str, bool], Tables] | None = None
 
     def __init__(self, sent: dict[str, bytes], learning: bool):
-        def leaves(name: str, slots: int) -> np.ndarray:
-            return unpack_integers(sent[name], np.uint32) if name in sent else np.zeros(slots * 256, np.uint32)
+        def leaves(name: str, cells: int) -> np.ndarray:
+            return unpack_integers(sent[name], np.uint32) if name in sent else np.zeros(cells, np.uint32)
 
-        self.words = [BitTable(leaves(f"w{i}", n), learning) for i, n in enumerate(_WORD_SLOTS)]
-        self.letters = [BitTable(leaves(f"l{i}", n), learning) for i, n in enumerate(_LETTER_SLOTS)]
-        both = unpack_integers(sent["match"], np.uint32) if "match" in sent else np.zeros(2 * _MATCH, np.uint32)
-        self.match = Match(both[:_MATCH], both[_MATCH:])
+        self.words = [BitTable(leaves(f"w{i}", n * 256), learning) for i, n in enumerate(_WORD_SLOTS)]
+        self.letters = [BitTable(leaves(f"l{i}", n * 256), learning) for i, n in enumerate(_LETTER_SLOTS)]
+        self.decisions = [[leaves(f"d{k}{i}", 2 * n).astype(np.float32).reshape(-1, 2) for i, n in enumerate(_DECISION_SLOTS)] for k in range(3)]
 
     @classmethod
     def of(cls, sent: Sent, learning: bool) -> Tables:
@@ -315,6 +629,10 @@ class Tables:
             cls._built = ((sent.id, learning), cls(sent.value, learning))
         return cls._built[1]
 
+    def about(self, k: int, slots: list[np.ndarray], history: np.ndarray, without: np.ndarray | None) -> list[np.ndarray]:
+        """The predictors' log-odds of decision ``k``; the outcomes of ``without`` are taken out of the counts."""
+        return [*[_stretch(t[s, 1], t[s, 0], without) for t, s in zip(self.decisions[k], slots)], history]
+
 
 @dataclass
 class Sent:
@@ -330,144 +648,83 @@ class Sent:
 
 @dataclass
 class Model:
-    """All that the executors get: tables of fixed sizes, sent compressed and once, and the mixers."""
+    """All that the executors get: tables of fixed sizes, sent compressed and once, the mixers and the classes' sizes."""
 
     sent: Sent
-    word_mixer: Mixer
-    letter_mixer: Mixer
-    hits: np.ndarray | None = None  # log-odds of the match decision by its context
+    total: int  # training tokens
+    classes: np.ndarray  # training tokens of each class
+    decisions: Mixer = field(default_factory=lambda: Mixer.fresh(len(_DECISION_SLOTS) + 1, 3))
+    words: Mixer = field(default_factory=lambda: Mixer.fresh(len(_WORD_SLOTS)))
+    letters: Mixer = field(default_factory=lambda: Mixer.fresh(len(_LETTER_SLOTS)))
+    learning: bool = True
 
     @property
     def tables(self) -> Tables:
-        return Tables.of(self.sent, learning=self.hits is None)
+        return Tables.of(self.sent, self.learning)
 
 
-def chunk_table(df: DataFrame, *, id_col: str, text_col: str, held_out: Column) -> DataFrame:
-    """Texts by the chunk, written down: ``chunk``, ``ids``, ``held``, ``ends``, ``words``, ``trained``, ``codes``.
+_ROUNDS = 2  # blocks of texts that teach one after the other: a quarter of them, then the rest
 
-    ``words`` are the chunk's distinct words, the empty one standing for the end of
-    a text; ``trained`` counts them in training texts; ``codes`` are the tokens as
-    packed places in ``words``, and ``ends`` say where each text's stop.
-    """
-    rows = df.select(F.col(id_col).alias("__id"), F.coalesce(held_out, F.lit(False)).alias("__held"), text_column(text_col).alias("__text"))
-    ids = T.ArrayType(rows.schema[0].dataType)
-    schema = T.StructType(
-        [T.StructField("chunk", T.LongType()), T.StructField("ids", ids), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("n_bytes", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("trained", T.ArrayType(T.LongType())), T.StructField("codes", T.BinaryType())]
-    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for piece in slices(batches, "__text", 1 << 20):
-            n = piece.column("__text").nbytes
-            if held and size + n > _CHUNK:
-                yield _chunk(number, held, schema.names)
-                number, held, size = number + 1, [], 0
-            held.append(piece)
-            size += n
-        if held:
-            yield _chunk(number, held, schema.names)
+def _round_of(hashes: np.ndarray) -> np.ndarray:
+    return (_mix(hashes, hashes) >> np.uint64(40)) % np.uint64(4) != 0
 
-    return materialize(rows.mapInArrow(run, schema), "chunks")
 
+def _spelling(chunk: Chunk, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that training has once, in this chunk, as places among its rare words and among all: each teaches its spelling."""
+    rare = np.flatnonzero(c <= 1)
+    trained = chunk.trained()[rare]
+    at = np.flatnonzero((c[rare] == 1) & (trained == 1) & (rare < len(c) - 1))  # the end of a text, which is last, isn't spelt
+    return at, rare[at]
 
-def _chunk(number: int, pieces: list[pa.RecordBatch], names: list[str]) -> pa.RecordBatch:
-    table = pa.Table.from_batches(pieces)
-    texts = table.column("__text").combine_chunks()
-    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
-    flat = split.flatten()
-    full = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-    ends = np.concatenate([[0], np.cumsum(full)])[offsets[1:]]
-    words = pc.dictionary_encode(flat.filter(pa.array(full)))
-    codes = words.indices.to_numpy().astype(np.int32)
-    size = len(words.dictionary)
-    codes = np.insert(codes, ends, np.int32(size))
-    ends = ends + np.arange(1, len(ends) + 1)
-    held = table.column("__held").to_numpy()
-    learns = np.repeat(~held.astype(bool), np.diff(ends, prepend=0))
-    trained = np.bincount(codes[learns], minlength=size + 1)
-    vocabulary = pa.concat_arrays([words.dictionary.cast(pa.large_binary()).cast(pa.binary()), pa.array([b""], pa.binary())])
 
-    def whole(values: pa.Array) -> pa.Array:
-        values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
-        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def _counted(one: pa.RecordBatch, ends: np.ndarray, held: np.ndarray) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """The chunk of a row of :func:`with_counts`, its words' counts, its tokens' counts, its words' shapes and its rare words."""
+    hashes, codes, shapes, c, after = (one.column(n)[0].as_py() for n in ("hashes", "codes", "shapes", "c", "after"))
+    chunk = Chunk(np.frombuffer(hashes, np.uint64), codes, ends, held)
+    return chunk, unpack_integers(c, np.int64), unpack_integers(after, np.int64), np.frombuffer(shapes, np.uint32), one.column("rare")[0].as_py()
 
-    bytes_ = pc.binary_length(texts).cast(pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [pa.array([number]), whole(table.column("__id")), whole(table.column("__held")), whole(bytes_), whole(pa.array(ends, pa.int64())), whole(vocabulary), whole(pa.array(trained, pa.int64())), pa.array([pack_integers(codes)], pa.binary())],
-        names=names,
-    )
 
+def train(counted: DataFrame) -> Model:
+    """The model of the texts of :func:`with_counts` that aren't held out: a pass over them for each round of learning."""
+    sums = counted.where("name is not null").select("name", "block", "part", "sums")
+    sums = tree_sum(sums, (sums.agg(F.max("part")).first()[0] or 0) + 1)
+    classes = sums.pop("classes", np.zeros(256, np.int64))
+    packed = counted.sparkSession.sparkContext.broadcast({name: pack_integers(np.minimum(x, np.iinfo(np.uint32).max).astype(np.uint32)) for name, x in sums.items()})
+    model = Model(Sent(uuid.uuid4().hex, packed), int(classes.sum()), classes)
+    rows = counted.where("ids is not null").select("held", "ends", "codes", "hashes", "shapes", "c", "after", "rare")
+    parts = rows.rdd.getNumPartitions()
+    for turn in range(_ROUNDS):
+        taught = tree_sum(rows.mapInArrow(_teach(model, turn), SUM_SCHEMA), parts)
+        for name in ("decisions", "words", "letters"):
+            setattr(model, name, Lesson.apply(getattr(model, name), taught, name))
+    model.learning = False
+    return model
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Chunk]]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-            yield row, Chunk(row.pop("words"), row.pop("codes"), row["ends"])
-
-
-def train(chunks: DataFrame) -> Model:
-    """The model of the texts of a chunk table that aren't held out: two passes over it."""
-    parts = chunks.rdd.getNumPartitions()
-    rows = chunks.select("held", "ends", "words", "trained", "codes")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = [np.zeros(n * 256, np.int32) for n in _WORD_SLOTS]
-        letters = [np.zeros(n * 256, np.int32) for n in _LETTER_SLOTS]
-        match = Match.empty()
-        for row, chunk in _chunks(batches):
-            learns = chunk.of_docs(~np.array(row["held"], bool))
-            for total, slot in zip(words, chunk.slots()):
-                total += np.bincount(slot[learns] * 256 + chunk.classes[learns], minlength=len(total)).astype(np.int32)
-            match.add(chunk.contexts()[learns], chunk.own[learns])
-            rare = [w for w, n in zip(chunk.words, row["trained"]) if n == 1 and w]
-            contexts, symbols, _ = _letters(rare)
-            for total, slot in zip(letters, contexts):
-                total += np.bincount(slot * 256 + symbols, minlength=len(total)).astype(np.int32)
-        part = TaskContext.get().partitionId()
-        for kind, totals in (("w", words), ("l", letters)):
-            for i, total in enumerate(totals):
-                yield from sum_rows(f"{kind}{i}", part, total, 1 << 18)
-        yield from match.rows(part)
 
-    sums = tree_sum(rows.mapInArrow(count, SUM_SCHEMA), parts, merge={"match": Match.merge})
-    packed = chunks.sparkSession.sparkContext.broadcast({name: pack_integers(x.astype(np.uint32)) for name, x in sums.items()})
-    model = Model(Sent(uuid.uuid4().hex, packed), Mixer.fresh(len(_WORD_SLOTS)), Mixer.fresh(len(_LETTER_SLOTS)))
-    scale = 1 << 20  # weights travel as integers, so that their sum has no order
+def _teach(model: Model, turn: int):
+    """What the texts of one round teach the mixers."""
 
-    def tune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables
-        mixers = [Mixer(model.word_mixer.weights.copy()), Mixer(model.letter_mixer.weights.copy())]
-        seen = [np.zeros((8, _BINS, 2), np.int64) for _ in mixers]
-        hits = np.zeros((_HITS, 2), np.int64)
-        learnt = 0
-        for row, chunk in _chunks(batches):
-            chunk.trained = learns = chunk.of_docs(~np.array(row["held"], bool))
-            learnt += int(learns.sum())
-            guess, at = chunk.guesses(tables.match, chunk.contexts())
-            hit = guess == chunk.own >> np.uint64(32)
-            offered = learns & (guess > 0)
-            hits += np.bincount(at[offered] * 2 + hit[offered], minlength=2 * _HITS).reshape(_HITS, 2)
-            coded = learns & ~((guess > 0) & hit)
-            mixers[0].learn(tables.words, [s[coded] for s in chunk.slots()], chunk.classes[coded], seen[0])
-            contexts, symbols, _ = _letters([w for w, n in zip(chunk.words, row["trained"]) if n == 1 and w])
-            mixers[1].learn(tables.letters, contexts, symbols, seen[1])
+        lessons = {name: Lesson(getattr(model, name)) for name in ("decisions", "words", "letters")}
+        for chunk, c, after, shapes, words in (_counted(*r) for batch in batches for r in _read(batch)):
+            facts = Facts(chunk, c, after, True)
+            of_text = _round_of(np.add.reduceat(chunk.own, chunk.starts)) if len(chunk.own) else np.zeros(0, bool)
+            learns = chunk.learns & (np.repeat(of_text, chunk.ends - chunk.starts) == bool(turn))
+            for k in range(3):
+                _, slots, history, gate, outcome = facts.decision(k, learns)
+                lessons["decisions"].take(k, tables.about(k, slots, history, outcome.astype(np.float32)), gate, outcome)
+            at = np.flatnonzero(learns & (facts.depth == 1))
+            lessons["words"].symbols(tables.words, _class_slots(chunk, shapes, at), (shapes >> np.uint32(24)).astype(np.int64)[chunk.codes[at]])
+            places, rare = _spelling(chunk, c)
+            contexts, symbols, _ = _letters([words[i] for i in places[_round_of(chunk.hashes[rare]) == bool(turn)]])
+            lessons["letters"].symbols(tables.letters, contexts, symbols)
         part = TaskContext.get().partitionId()
-        for name, total in (("hits", hits), ("seen0", seen[0]), ("seen1", seen[1]), ("n", np.array([learnt])), *((f"weights{i}", np.rint(m.weights.astype(np.float64) * scale) * learnt) for i, m in enumerate(mixers))):
-            yield from sum_rows(name, part, total)
-
-    tuned = tree_sum(rows.mapInArrow(tune, SUM_SCHEMA), parts)
-    if tuned and tuned["n"][0]:
-        for i, mixer in enumerate((model.word_mixer, model.letter_mixer)):
-            mixer.weights = (tuned[f"weights{i}"] / (tuned["n"][0] * scale)).reshape(mixer.weights.shape).astype(np.float32)
-            mixer.corrections = _corrections(tuned[f"seen{i}"].reshape(8, _BINS, 2))
-    hits = tuned["hits"].reshape(_HITS, 2) if tuned else np.zeros((_HITS, 2))
-    p = (hits[:, 1] + 0.4) / (hits.sum(1) + 0.8)
-    model.hits = np.log(p / (1 - p)).astype(np.float32)
-    return model
+        for name, lesson in lessons.items():
+            yield from lesson.rows(name, part)
+
+    return run
 
 
 def score_texts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: Column) -> DataFrame:
@@ -477,75 +734,73 @@ def score_texts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     ASCII white space with A-Z in lower case, then one end of text. Returns
     ``id_col``, ``held_out``, ``n_tokens``, ``n_known`` (tokens that training has),
     ``train_tokens``, ``base_score`` (unigram with one added to each count),
-    ``score`` and ``bits_per_byte`` (null for a text without bytes). A null or empty
+    ``score``, and ``bits_per_byte``: the cost of the text when each training token's own
+    count is left out, which tells texts that occur again from those that don't (null for a
+    text without bytes). Equal texts have equal scores. A null or empty
     text is the end alone. Without training texts every word is spelt. One row
     comes out for each that goes in; other columns are not read.
 
-    Word counts are summed and joined by Spark over all distinct words; a chunk
-    gets back only those of its own words. Each task holds one chunk of about 4 MB
-    of text, or one text if that is longer.
+    Counts of words and pairs are summed over all texts and stay distributed. Each task
+    holds one chunk of about 4 MB of text, or one text if that is longer.
     """
     chunks = chunk_table(df, id_col=id_col, text_col=text_col, held_out=held_out)
-    words = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "trained")).alias("pos", "w")).select("chunk", "pos", F.col("w.words").alias("word"), F.col("w.trained").alias("n"))
-    counts = materialize(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "words")
-    classes = counts.groupBy(F.shiftrightunsigned(F.xxhash64(F.concat(F.substring("word", 1, 1), F.substring("word", -2, 2))), 56).cast("int").alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once")).collect()
-    total, distinct = sum(r.c for r in classes), sum(r.v for r in classes)
-    shares = Shares(np.ones(256), (sum(r.once for r in classes) + 1) / (total + 2))
-    for r in classes:
-        shares.seen[r.k] = r.c
-    found = words.join(counts, "word").groupBy("chunk").agg(F.collect_list("pos").alias("at"), F.collect_list("c").alias("c"))  # one aggregate: both lists take the rows in one order
-    model = train(chunks)
-    rows = chunks.drop("trained").join(found, "chunk", "left")
-    id_type = chunks.schema["ids"].dataType.elementType
+    answers = corpus_counts(chunks)
+    distinct = answers.where(f"kind = {_WORDS}").agg(F.sum("n_distinct")).first()[0] or 0
+    counted = with_counts(chunks, answers)
+    release(chunks, answers)
+    model = train(counted)
+    id_type = counted.schema["ids"].dataType.elementType
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     kinds = [id_type, T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType()]
     schema = T.StructType([T.StructField(n, t) for n, t in zip(names, kinds)])
-    rows = rows.select("ids", "held", "n_bytes", "ends", "words", "codes", "at", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                chunk = Chunk(one.column("words")[0].as_py(), one.column("codes")[0].as_py(), one.column("ends")[0].as_py())
-                c = np.zeros(len(chunk.words), np.int64)
-                c[one.column("at").flatten().to_numpy()] = one.column("c").flatten().to_numpy()
-                bits = _bits(model, chunk, c, shares)
-                base = np.log10((c + 1) / (total + distinct + 1))[chunk.codes]
-                at = chunk.starts
-                n = chunk.ends - at
-                size = one.column("n_bytes").flatten().to_numpy()
-                spent = np.add.reduceat(bits, at)
-                rate = np.divide(spent, size, out=np.full(len(size), np.nan), where=size > 0)
-                yield pa.RecordBatch.from_arrays(
-                    [one.column("ids").flatten(), one.column("held").flatten(), pa.array(n), pa.array(np.add.reduceat((c > 0).astype(np.int64)[chunk.codes], at)), pa.array(np.full(len(n), total, np.int64)), pa.array(np.add.reduceat(base, at)), pa.array(-spent * np.log10(2)), pa.array(rate, mask=np.isnan(rate))],
-                    names=names,
-                )
-
-    return rows.mapInArrow(run, schema)
-
-
-@dataclass
-class Shares:
-    """The training tokens of each class, and how probable a word is that training has not seen (Good and Turing's estimate)."""
-
-    seen: np.ndarray
-    new: float
-
-
-def _bits(model: Model, chunk: Chunk, c: np.ndarray, shares: Shares) -> np.ndarray:
-    """Bits of each token of a chunk; ``c`` has its words' counts in training."""
-    known = c > 0
-    leaf = np.where(known, -np.log2(np.maximum(c, 1) / shares.seen[chunk.word_classes]) - np.log2(1 - shares.new), -np.log2(shares.new))
-    spelt = np.flatnonzero(~known)
-    if len(spelt):
-        contexts, symbols, owner = _letters([chunk.words[i] for i in spelt])
-        leaf[spelt] += np.bincount(owner, weights=model.letter_mixer.costs(model.tables.letters, contexts, symbols), minlength=len(spelt))
-    guess, at = chunk.guesses(model.tables.match, chunk.contexts())
-    offered = guess > 0
-    hit = offered & (guess == chunk.own >> np.uint64(32))
-    odds = model.hits[at]
-    bits = np.where(offered, _log2_cost(np.where(hit, odds, -odds)), 0.0).astype(np.float64)
-    bits[~hit] += leaf[chunk.codes[~hit]]
-    coded = np.flatnonzero(~hit & known[chunk.codes])
-    bits[coded] += model.word_mixer.costs(model.tables.words, [x[coded] for x in chunk.slots()], chunk.classes[coded])
+        for one, ends, held in (r for batch in batches for r in _read(batch)):
+            chunk, c, after, shapes, words = _counted(one, ends, held)
+            at = chunk.starts
+            spelt = _spelt(model, c, words)
+            bits = _bits(model, Facts(chunk, c, after, False), shapes, spelt)
+            apart = np.where(chunk.learns, _bits(model, Facts(chunk, c, after, True), shapes, spelt, chunk.learns), bits)
+            base = np.log10((c + 1) / (model.total + distinct + 1))[chunk.codes]
+            n = chunk.ends - at
+            size = one.column("n_bytes").flatten().to_numpy()
+            rate = np.divide(np.add.reduceat(apart, at), size, out=np.full(len(size), np.nan), where=size > 0)
+            yield pa.RecordBatch.from_arrays(
+                [one.column("ids").flatten(), one.column("held").flatten(), pa.array(n), pa.array(np.add.reduceat((c > 0).astype(np.int64)[chunk.codes], at)), pa.array(np.full(len(n), model.total, np.int64)), pa.array(np.add.reduceat(base, at)), pa.array(-np.add.reduceat(bits, at) * np.log10(2)), pa.array(rate, mask=np.isnan(rate))],
+                names=names,
+            )
+
+    rows = counted.where("ids is not null").select("ids", "held", "n_bytes", "ends", "codes", "hashes", "shapes", "c", "after", "rare")
+    return tied(rows.mapInArrow(run, schema), counted)
+
+
+def _spelt(model: Model, c: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Bits of the letters of each word that training has once or never; the end of a text has one to spell."""
+    out = np.zeros(len(c))
+    rare = np.flatnonzero(c <= 1)
+    if len(rare):
+        contexts, symbols, owner = _letters(words)
+        out[rare] = np.bincount(owner, weights=model.letters.costs(model.tables.letters, contexts, symbols), minlength=len(rare))
+    return out
+
+
+def _bits(model: Model, facts: Facts, shapes: np.ndarray, spelt: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
+    """Bits of each token, or of those ``among`` alone."""
+    chunk, tables = facts.chunk, model.tables
+    bits = np.zeros(len(chunk.codes))
+    chosen = np.ones(len(bits), bool) if among is None else among
+    for k in range(3):
+        at, slots, history, gate, outcome = facts.decision(k, among)
+        own = facts.own[at]
+        without = outcome.astype(np.float32) if own.any() else None
+        bits[at] += model.decisions.bits(k, tables.about(k, slots, history, without), gate, outcome)
+    for depth, mine, all_ in ((3, facts.c2, facts.n2), (2, facts.c1, facts.n1)):
+        at = np.flatnonzero(chosen & (facts.depth == depth))
+        bits[at] -= np.log2(mine[at] / all_[at])
+    at = np.flatnonzero(chosen & (facts.depth == 1))
+    kinds = (shapes >> np.uint32(24)).astype(np.int64)[chunk.codes[at]]
+    bits[at] += model.words.costs(tables.words, _class_slots(chunk, shapes, at), kinds)
+    bits[at] -= np.log2(facts.c0[at] / np.maximum(model.classes[kinds] - facts.own[at], 1))
+    at = np.flatnonzero(chosen & (facts.depth == 0))
+    bits[at] += spelt[chunk.codes[at]]
     return bits

@@ -105,17 +105,6 @@ def test_score_nothing_and_without_training(spark, empty):
     assert all(math.isfinite(r.score) and r.n_known == 0 and r.train_tokens == 0 for r in rows)
 
 
-def test_bits_of_all_symbols_are_a_distribution():
-    rng = np.random.default_rng(0)
-    tables = [scoring.BitTable(rng.integers(0, 50, n * 256)) for n in (1, 4)]
-    mixer = scoring.Mixer.fresh(2)
-    symbols = np.arange(256)
-    mixer.learn(tables, [np.zeros(256, np.int64), np.ones(256, np.int64)], symbols, np.zeros((8, 33, 2), np.int64))
-    mixer.corrections = scoring._corrections(rng.integers(0, 50, (8, 33, 2)))
-    bits = mixer.costs(tables, [np.zeros(256, np.int64), np.full(256, 3)], symbols)
-    assert np.isclose(np.exp2(-bits.astype(float)).sum(), 1, atol=1e-4)
-
-
 # 3 personal data
 
 KINDS = {
