@@ -22,6 +22,7 @@ neither the order of rows nor the number of parts, but for rounding.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -220,13 +221,11 @@ class Chunk:
     """A row of the chunk table, as arrays over its tokens. ``hashes`` are those of its distinct words."""
 
     def __init__(self, hashes: np.ndarray, codes: bytes, ends: np.ndarray, held: np.ndarray):
-        import xxhash
-
         self.codes = unpack_integers(codes, np.int32)
         self.ends = ends
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
         self.hashes = hashes
-        self.end = np.uint64(xxhash.xxh64_intdigest(b"", _SEED))
+        self.end = hashes[-1]
         self.own = self.hashes[self.codes]
         self.before = self.shift(self.own, 1, self.end)
         self.two_before = self.shift(self.own, 2, self.end)
@@ -249,27 +248,47 @@ class Chunk:
         return np.bincount(self.codes[self.learns], minlength=len(self.hashes))
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
+class Words:
+    """Distinct words from the bytes in which each has a space after it; the last is empty and stands for the end of a text."""
 
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w, _SEED) for w in words], np.uint64)
+    _draw = np.random.default_rng(_SEED)
+    _TABLES = _draw.integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + _draw.integers(0, 2, (2, 256), np.uint64)
+    _FACTORS = np.array([0x9E3779B97F4A7C17, 0xC2B2AE3D27D4EB4F], np.uint64)
 
+    def __init__(self, blob: bytes):
+        self.bytes = np.frombuffer(blob, np.uint8)
+        self.stops = np.flatnonzero(self.bytes == 32)
+        self.starts = np.concatenate([[0], self.stops[:-1] + 1]).astype(np.int64)
 
-def _checks(words: list[bytes]) -> np.ndarray:
-    """A second hash, by which words of one hash differ."""
-    import xxhash
+    def __len__(self) -> int:
+        return len(self.stops)
 
-    digest = xxhash.xxh32_intdigest
-    return np.array([digest(w, _SEED) for w in words], np.uint32)
+    def hashes(self, which: int = 0) -> np.ndarray:
+        """A hash of each word: its letters' random numbers, each times a power of its place."""
+        if not len(self):
+            return np.zeros(0, np.uint64)
+        sizes = self.stops - self.starts + 1
+        place = np.arange(len(self.bytes)) - np.repeat(self.starts, sizes)
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.full(int(sizes.max()), self._FACTORS[which]))
+            total = np.add.reduceat(self._TABLES[which][self.bytes] * powers[place], self.starts)
+        return _mix(total, self._FACTORS[1 - which : 2 - which])
 
+    def checks(self) -> np.ndarray:
+        """A second hash, by which words of one hash differ."""
+        return (self.hashes(1) >> np.uint64(48)).astype(np.uint16)
 
-def _shapes(words: list[bytes]) -> np.ndarray:
-    """A hash of the outer letters of each word; its high byte is the word's class."""
-    import xxhash
+    def shapes(self) -> np.ndarray:
+        """A hash of the outer letters of each word; its high byte is the word's class."""
+        last = self.bytes[np.maximum(self.stops - 1, 0)].astype(np.uint64)
+        last2 = self.bytes[np.maximum(self.stops - 2, 0)].astype(np.uint64)
+        size = self.stops - self.starts
+        key = self.bytes[self.starts] + (np.where(size > 0, last, 0) << np.uint64(8)) + (np.where(size > 1, last2, 0) << np.uint64(16))
+        return (_mix(key.astype(np.uint64), self._FACTORS[:1]) >> np.uint64(32)).astype(np.uint32)
 
-    digest = xxhash.xxh32_intdigest
-    return np.array([digest(w[:1] + w[-2:], _SEED) for w in words], np.uint32)
+    def only(self, which: np.ndarray) -> bytes:
+        """Those of a mask."""
+        return self.bytes[np.repeat(which, self.stops - self.starts + 1)].tobytes()
 
 
 def _read(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -282,14 +301,14 @@ def _read(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, n
 def chunk_table(df: DataFrame, *, id_col: str, text_col: str, held_out: Column) -> DataFrame:
     """Texts by the chunk, written down: ``chunk``, ``n_tokens``, ``ids``, ``held``, ``n_bytes``, ``ends``, ``words``, ``codes``.
 
-    ``words`` are the chunk's distinct words, the empty one standing for the end of
-    a text; ``codes`` are the tokens as packed places in ``words``, and ``ends`` say
+    ``words`` are the chunk's distinct words, each with a space after it, the empty one, which
+    is last, standing for the end of a text; ``codes`` are the tokens as packed places in ``words``, and ``ends`` say
     where each text's stop.
     """
     rows = df.select(F.col(id_col).alias("__id"), F.coalesce(held_out, F.lit(False)).alias("__held"), text_column(text_col).alias("__text"))
     ids = T.ArrayType(rows.schema[0].dataType)
     schema = T.StructType(
-        [T.StructField("chunk", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", ids), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("n_bytes", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("codes", T.BinaryType())]
+        [T.StructField("chunk", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", ids), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("n_bytes", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("words", T.BinaryType()), T.StructField("codes", T.BinaryType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +341,7 @@ def _chunk(number: int, pieces: list[pa.RecordBatch], names: list[str]) -> pa.Re
     codes = words.indices.to_numpy().astype(np.int32)
     codes = np.insert(codes, ends, np.int32(len(words.dictionary)))
     ends = ends + np.arange(1, len(ends) + 1)
-    vocabulary = pa.concat_arrays([words.dictionary.cast(pa.large_binary()).cast(pa.binary()), pa.array([b""], pa.binary())])
+    vocabulary = b" ".join([*words.dictionary.cast(pa.large_binary()).to_pylist(), b"", b""])
 
     def whole(values: pa.Array) -> pa.Array:
         values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
@@ -330,7 +349,7 @@ def _chunk(number: int, pieces: list[pa.RecordBatch], names: list[str]) -> pa.Re
 
     bytes_ = pc.binary_length(texts).cast(pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array([number]), pa.array([len(codes)]), whole(table.column("__id")), whole(table.column("__held")), whole(bytes_), whole(pa.array(ends, pa.int64())), whole(vocabulary), pa.array([pack_integers(codes)], pa.binary())],
+        [pa.array([number]), pa.array([len(codes)]), whole(table.column("__id")), whole(table.column("__held")), whole(bytes_), whole(pa.array(ends, pa.int64())), pa.array([vocabulary], pa.binary()), pa.array([pack_integers(codes)], pa.binary())],
         names=names,
     )
 
@@ -369,23 +388,24 @@ def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as their gaps, in as few bytes each as the widest takes."""
+    """Sorted keys as their gaps, in as few bytes each as the widest takes, the high bytes compressed."""
     if not len(keys):
         return b""
     gaps = np.diff(keys, prepend=np.uint64(0))
     first, gaps = gaps[:1], gaps[1:]
     width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
     planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + first.tobytes() + planes.tobytes()
+    return bytes([width]) + first.tobytes() + planes[:-1].tobytes() + zlib.compress(planes[-1].tobytes(), 1)
 
 
-def _unpack_keys(packed: bytes) -> np.ndarray:
-    if not packed:
+def _unpack_keys(packed: bytes, n: int) -> np.ndarray:
+    if not n:
         return np.empty(0, np.uint64)
     width = packed[0]
-    planes = np.frombuffer(packed, np.uint8, offset=9).reshape(width, -1)
-    gaps = np.zeros((planes.shape[1] + 1, 8), np.uint8)
-    gaps[1:, :width] = planes.T
+    gaps = np.zeros((n, 8), np.uint8)
+    low = (n - 1) * (width - 1)
+    gaps[1:, : width - 1] = np.frombuffer(packed, np.uint8, low, 9).reshape(width - 1, n - 1).T
+    gaps[1:, width - 1] = np.frombuffer(zlib.decompress(packed[9 + low :]), np.uint8)
     gaps = gaps.view(np.uint64).ravel()
     gaps[0] = np.frombuffer(packed, np.uint64, 1, 1)[0]
     return np.cumsum(gaps, dtype=np.uint64)
@@ -407,34 +427,34 @@ def _by_bucket(kind: int, chunk: int, keys: np.ndarray, checks: np.ndarray | Non
 def corpus_counts(chunks: DataFrame) -> DataFrame:
     """For each chunk the counts in all training texts of its words and of its pairs, written down.
 
-    Pairs are hashes of 40 bits beyond those that name the bucket, so that one in
-    about a million is taken for another; words have 96 bits in all. A bucket gets about a
+    Pairs are hashes of 36 bits beyond those that name the bucket, so that one in
+    about sixty thousand is taken for another; words have 80 bits in all. A bucket gets about a
     million keys, however large the corpus; a key that a third of all tokens have comes once from
     each chunk.
     """
     total = chunks.agg(F.sum("n_tokens")).first()[0] or 0
     pair_buckets = max(1, -(-2 * total // _BUCKET))
     word_buckets = max(1, pair_buckets // 8)
-    shift = max(0, 24 - (pair_buckets - 1).bit_length())
+    shift = max(0, 28 - (pair_buckets - 1).bit_length())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one, ends, held in (r for batch in batches for r in _read(batch)):
-            words, number = one.column("words")[0].as_py(), one.column("chunk")[0].as_py()
-            chunk = Chunk(_hashes(words), one.column("codes")[0].as_py(), ends, held)
+            words, number = Words(one.column("words")[0].as_py()), one.column("chunk")[0].as_py()
+            chunk = Chunk(words.hashes(), one.column("codes")[0].as_py(), ends, held)
             order = np.argsort(chunk.hashes, kind="stable")
-            out = list(_by_bucket(_WORDS, number, chunk.hashes[order], _checks(words)[order], chunk.trained()[order], word_buckets, 0))
+            out = list(_by_bucket(_WORDS, number, chunk.hashes[order], words.checks()[order], chunk.trained()[order], word_buckets, 0))
             found = Distinct(chunk.pairs())
             out += _by_bucket(_PAIRS, number, found.keys, None, found.sums(np.tile(chunk.learns, 2)), pair_buckets, shift)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=[x.split()[0] for x in _SENT.split(", ")])
 
     def add(table: pa.Table) -> pa.Table:
         kind, packed = table.column("kind")[0].as_py(), table.column("keys").to_pylist()
-        keys = [_unpack_keys(k) for k in packed]
-        sizes = np.cumsum([0, *map(len, keys)])
-        counts = np.concatenate([unpack_integers(c, np.uint32) for c in table.column("counts").to_pylist()]).astype(np.int64)
-        keys = np.concatenate(keys)
+        counts = [unpack_integers(c, np.uint32) for c in table.column("counts").to_pylist()]
+        sizes = np.cumsum([0, *map(len, counts)])
+        keys = np.concatenate([_unpack_keys(k, len(n)) for k, n in zip(packed, counts)])
+        counts = np.concatenate(counts).astype(np.int64)
         if kind == _WORDS:
-            checks = np.frombuffer(b"".join(table.column("checks").to_pylist()), np.uint32)
+            checks = np.frombuffer(b"".join(table.column("checks").to_pylist()), np.uint16)
             order = np.lexsort((checks, keys))
             head = np.ones(len(keys), bool)
             head[1:] = (np.diff(keys[order]) != 0) | (np.diff(checks[order]) != 0)
@@ -454,7 +474,7 @@ def corpus_counts(chunks: DataFrame) -> DataFrame:
     return materialize(sent.groupBy("kind", "bucket").applyInArrow(add, _ANSWERS), "answers")
 
 
-_COUNTED = "held array<boolean>, n_bytes array<bigint>, ends array<bigint>, codes binary, hashes binary, shapes binary, c binary, after binary, rare array<binary>, " + SUM_SCHEMA
+_COUNTED = "held array<boolean>, n_bytes array<bigint>, ends array<bigint>, codes binary, hashes binary, shapes binary, c binary, after binary, rare binary, " + SUM_SCHEMA
 
 
 def with_counts(chunks: DataFrame, answers: DataFrame) -> DataFrame:
@@ -473,18 +493,18 @@ def with_counts(chunks: DataFrame, answers: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts()
         for one, ends, held in (r for batch in batches for r in _read(batch)):
-            words = one.column("words")[0].as_py()
-            chunk = Chunk(_hashes(words), one.column("codes")[0].as_py(), ends, held)
+            words = Words(one.column("words")[0].as_py())
+            chunk = Chunk(words.hashes(), one.column("codes")[0].as_py(), ends, held)
             parts = one.column("answers")[0].as_py()
             totals = {kind: np.concatenate([unpack_integers(a["totals"], np.int64) for a in parts if a["kind"] == kind]) for kind in (_WORDS, _PAIRS)}
             c = np.empty(len(words), np.int64)
             c[np.argsort(chunk.hashes, kind="stable")] = totals[_WORDS]
             after = Distinct(chunk.pairs()).back(totals[_PAIRS])
-            shapes = _shapes(words)
-            rare = [words[i] for i in np.flatnonzero(c <= 1)]
-            counts.take(chunk, c, after, shapes, rare)
-            made = [chunk.hashes.tobytes(), shapes.tobytes(), pack_integers(c), pack_integers(after)]
-            columns = [*[one.column(n) for n in ("ids", "held", "n_bytes", "ends", "codes")], *[pa.array([x], pa.binary()) for x in made], pa.array([rare], pa.list_(pa.binary())), *[pa.nulls(1, f.type) for f in arrow][10:]]
+            shapes = words.shapes()
+            rare = words.only(c <= 1)
+            counts.take(chunk, c, after, shapes, Words(rare))
+            made = [chunk.hashes.tobytes(), shapes.tobytes(), pack_integers(c), pack_integers(after), rare]
+            columns = [*[one.column(n) for n in ("ids", "held", "n_bytes", "ends", "codes")], *[pa.array([x], pa.binary()) for x in made], *[pa.nulls(1, f.type) for f in arrow][10:]]
             yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, arrow)], names=schema.names)
         for sums in counts.rows(TaskContext.get().partitionId()):
             yield pa.RecordBatch.from_arrays([*[pa.nulls(sums.num_rows, f.type) for f in arrow][:10], *sums.columns], names=schema.names)
@@ -575,7 +595,7 @@ class Counts:
         self.decisions = [[np.zeros(2 * n, np.int64) for n in _DECISION_SLOTS] for _ in range(3)]
         self.classes = np.zeros(256, np.int64)
 
-    def take(self, chunk: Chunk, c: np.ndarray, after: np.ndarray, shapes: np.ndarray, rare: list[bytes]) -> None:
+    def take(self, chunk: Chunk, c: np.ndarray, after: np.ndarray, shapes: np.ndarray, rare: Words) -> None:
         facts = Facts(chunk, c, after, True)
         for k in range(3):
             _, slots, _, _, outcome = facts.decision(k, chunk.learns)
@@ -586,7 +606,7 @@ class Counts:
         at = np.flatnonzero(chunk.learns & (facts.depth == 1))
         for total, slot in zip(self.words, _class_slots(chunk, shapes, at)):
             total += np.bincount(slot * 256 + kinds[at], minlength=len(total)).astype(np.int32)
-        contexts, symbols, _ = _letters([rare[i] for i in _spelling(chunk, c)[0]])
+        contexts, symbols, _ = _letters(Words(rare.only(_spelling(chunk, c))))
         for total, slot in zip(self.letters, contexts):
             total += np.bincount(slot * 256 + symbols, minlength=len(total)).astype(np.int32)
 
@@ -597,15 +617,16 @@ class Counts:
         yield from sum_rows("classes", part, self.classes)
 
 
-def _letters(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _letters(words: Words) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Contexts, letters and owners of words spelt out, each with a space at its end."""
-    sizes = np.array([len(w) + 1 for w in words], np.int64)
-    letters = np.frombuffer(b" ".join([*words, b""]), np.uint8).astype(np.int64)
-    place = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    letters = words.bytes.astype(np.int64)
+    sizes = words.stops - words.starts + 1
+    owner = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(letters)) - words.starts[owner]
     past = [np.where(place >= k, np.concatenate([np.full(k, 32), letters[:-k]])[: len(letters)], 32) for k in (1, 2, 3)]
     two = (past[0] * 256 + past[1]).astype(np.uint64)
     three = two * np.uint64(256) + past[2].astype(np.uint64)
-    return [past[0], _slot(two, _LETTERS), _slot(three, _LETTERS)], letters, np.repeat(np.arange(len(words)), sizes)
+    return [past[0], _slot(two, _LETTERS), _slot(three, _LETTERS)], letters, owner
 
 
 class Tables:
@@ -670,19 +691,17 @@ def _round_of(hashes: np.ndarray) -> np.ndarray:
     return (_mix(hashes, hashes) >> np.uint64(40)) % np.uint64(4) != 0
 
 
-def _spelling(chunk: Chunk, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words that training has once, in this chunk, as places among its rare words and among all: each teaches its spelling."""
+def _spelling(chunk: Chunk, c: np.ndarray) -> np.ndarray:
+    """A mask over the chunk's rare words of those that training has once, here: each teaches its spelling."""
     rare = np.flatnonzero(c <= 1)
-    trained = chunk.trained()[rare]
-    at = np.flatnonzero((c[rare] == 1) & (trained == 1) & (rare < len(c) - 1))  # the end of a text, which is last, isn't spelt
-    return at, rare[at]
+    return (c[rare] == 1) & (chunk.trained()[rare] == 1) & (rare < len(c) - 1)  # the end of a text, which is last, isn't spelt
 
 
-def _counted(one: pa.RecordBatch, ends: np.ndarray, held: np.ndarray) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def _counted(one: pa.RecordBatch, ends: np.ndarray, held: np.ndarray) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray, Words]:
     """The chunk of a row of :func:`with_counts`, its words' counts, its tokens' counts, its words' shapes and its rare words."""
     hashes, codes, shapes, c, after = (one.column(n)[0].as_py() for n in ("hashes", "codes", "shapes", "c", "after"))
     chunk = Chunk(np.frombuffer(hashes, np.uint64), codes, ends, held)
-    return chunk, unpack_integers(c, np.int64), unpack_integers(after, np.int64), np.frombuffer(shapes, np.uint32), one.column("rare")[0].as_py()
+    return chunk, unpack_integers(c, np.int64), unpack_integers(after, np.int64), np.frombuffer(shapes, np.uint32), Words(one.column("rare")[0].as_py())
 
 
 def train(counted: DataFrame) -> Model:
@@ -717,8 +736,8 @@ def _teach(model: Model, turn: int):
                 lessons["decisions"].take(k, tables.about(k, slots, history, outcome.astype(np.float32)), gate, outcome)
             at = np.flatnonzero(learns & (facts.depth == 1))
             lessons["words"].symbols(tables.words, _class_slots(chunk, shapes, at), (shapes >> np.uint32(24)).astype(np.int64)[chunk.codes[at]])
-            places, rare = _spelling(chunk, c)
-            contexts, symbols, _ = _letters([words[i] for i in places[_round_of(chunk.hashes[rare]) == bool(turn)]])
+            now = _round_of(chunk.hashes[c <= 1]) == bool(turn)
+            contexts, symbols, _ = _letters(Words(words.only(_spelling(chunk, c) & now)))
             lessons["letters"].symbols(tables.letters, contexts, symbols)
         part = TaskContext.get().partitionId()
         for name, lesson in lessons.items():
@@ -774,7 +793,7 @@ def score_texts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return tied(rows.mapInArrow(run, schema), counted)
 
 
-def _spelt(model: Model, c: np.ndarray, words: list[bytes]) -> np.ndarray:
+def _spelt(model: Model, c: np.ndarray, words: Words) -> np.ndarray:
     """Bits of the letters of each word that training has once or never; the end of a text has one to spell."""
     out = np.zeros(len(c))
     rare = np.flatnonzero(c <= 1)

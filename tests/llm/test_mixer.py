@@ -53,7 +53,7 @@ def test_keys_travel_and_come_back():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 1000):
         keys = np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
-        assert (scoring._unpack_keys(scoring._pack_keys(keys)) == keys).all()
+        assert (scoring._unpack_keys(scoring._pack_keys(keys), n) == keys).all()
     keys = rng.integers(0, 9, 100).astype(np.uint64)
     found = scoring.Distinct(keys)
     expected = Counter(keys.tolist())
