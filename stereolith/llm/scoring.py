@@ -341,7 +341,9 @@ def _chunk(number: int, pieces: list[pa.RecordBatch], names: list[str]) -> pa.Re
     codes = words.indices.to_numpy().astype(np.int32)
     codes = np.insert(codes, ends, np.int32(len(words.dictionary)))
     ends = ends + np.arange(1, len(ends) + 1)
-    vocabulary = b" ".join([*words.dictionary.cast(pa.large_binary()).to_pylist(), b"", b""])
+    spelt = words.dictionary.cast(pa.large_binary())
+    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(spelt)], pa.int64()), spelt), pa.scalar(b" ", pa.large_binary()))[0].as_py()
+    vocabulary = joined + b"  " if len(spelt) else b" "
 
     def whole(values: pa.Array) -> pa.Array:
         values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
@@ -519,9 +521,12 @@ _WORD_SLOTS = (1, _TWO, _SHAPE, _ONE)
 _LETTER_SLOTS = (256, _LETTERS, _LETTERS)
 
 
+_SIZES = np.array([n.bit_length() for n in range(65)], np.int8)
+
+
 def _size(n: np.ndarray) -> np.ndarray:
     """0 for 0, else the number of bits of a count, 7 at most."""
-    return np.minimum(np.frexp(np.maximum(n, 0).astype(np.float64))[1], 7).astype(np.int64)
+    return _SIZES.take(np.minimum(n, 64))
 
 
 class Facts:
@@ -538,21 +543,19 @@ class Facts:
         known, one, two = c[chunk.codes], after[:n], after[n:]
         self.n1 = np.maximum(chunk.shift(known, 1, texts) - own, 0)
         self.n2 = np.maximum(chunk.shift(one, 1, texts) - own, 0)
+        # What was seen after two words was seen after one, and so on, but for hashes that are the same.
         self.c0 = np.maximum(known - own, 0)
-        self.c1 = np.clip(one - own, 0, self.n1)
-        self.c2 = np.clip(two - own, 0, self.n2)
+        self.c1 = np.minimum(np.minimum(np.maximum(one - own, 0), self.n1), self.c0)
+        self.c2 = np.minimum(np.minimum(np.maximum(two - own, 0), self.n2), self.c1)
         self.own = own
-        self.depth = np.where(self.c2 > 0, 3, np.where(self.c1 > 0, 2, np.where(self.c0 > 0, 1, 0)))
-        at = np.arange(n)
-        miss = np.where(self.depth == 3, -1, at)
-        first = chunk.starts[chunk.starts < n]
-        miss[first] = np.maximum(miss[first], first - 1)
-        reached = np.maximum.accumulate(miss) if n else miss
-        run = np.minimum(at - reached, 3)
-        self.run = chunk.shift(np.where(self.depth == 3, run, 0), 1, 0)
-        self.last = chunk.shift(self.depth, 1, 0) * 4 + chunk.shift(self.depth, 2, 0)
+        self.depth = (self.c0 > 0).view(np.int8) + (self.c1 > 0).view(np.int8) + (self.c2 > 0).view(np.int8)
+        full = self.depth == 3
+        one_, two_ = chunk.shift(full, 1, False), chunk.shift(full, 2, False)
+        two_ &= one_
+        self.run = one_.view(np.int8) + two_.view(np.int8) + (two_ & chunk.shift(full, 3, False)).view(np.int8)
+        self.last = chunk.shift(self.depth, 1, 0) * np.int8(4) + chunk.shift(self.depth, 2, 0)
         self._l1, self._l2 = _size(self.n1), _size(self.n2)
-        self._before = _slot(chunk.before, _DECISION_SLOTS[2])
+        self._before = _slot(chunk.before, _DECISION_SLOTS[2]).astype(np.int32)
 
     def decision(self, k: int, among: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """The tokens at which decision ``k`` (2: seen after two words, 1: after one, 0: at all) is taken, its contexts, the log-odds of the text's own history, the gate and the outcome.
@@ -563,18 +566,19 @@ class Facts:
         hit = self.depth == k + 1
         history = self._so_far(hit & offered, offered)
         at = np.flatnonzero(offered if among is None else offered & among)
-        level = (np.zeros_like(self._l1), self._l1, self._l2)[k][at]
-        slots = [level * 16 + self.last[at], (self._l1[at] * 8 + self._l2[at]) * 4 + self.run[at], self._before[at]]
-        gate = self.last[at] // 4 if k == 0 else np.clip((level - 1) // (3 - k), 0, 3)
-        return at, slots, history[at], gate, hit[at].astype(np.int64)
+        level = (self._l1 * np.int8(0), self._l1, self._l2)[k].take(at)
+        last, wide = self.last.take(at), np.int32
+        slots = [level.astype(wide) * 16 + last, (self._l1.take(at).astype(wide) * 8 + self._l2.take(at)) * 4 + self.run.take(at), self._before.take(at)]
+        gate = last >> 2 if k == 0 else np.clip((level - 1) // (3 - k), 0, 3)
+        return at, slots, history.take(at), gate, hit.take(at).view(np.int8).astype(wide)
 
     def _so_far(self, hit: np.ndarray, offered: np.ndarray) -> np.ndarray:
         """Log-odds of a decision from its outcomes earlier in the same text."""
         chunk = self.chunk
         sums = []
         for x in (hit, offered):
-            total = np.cumsum(x) - x
-            begin = np.zeros(len(chunk.ends), np.int64)
+            total = np.cumsum(x, dtype=np.int32) - x.view(np.int8)
+            begin = np.zeros(len(chunk.ends), np.int32)
             inside = chunk.starts < len(x)
             begin[inside] = total[chunk.starts[inside]]
             sums.append((total - np.repeat(begin, chunk.ends - chunk.starts)).astype(np.float32))
@@ -640,7 +644,8 @@ class Tables:
 
         self.words = [BitTable(leaves(f"w{i}", n * 256), learning) for i, n in enumerate(_WORD_SLOTS)]
         self.letters = [BitTable(leaves(f"l{i}", n * 256), learning) for i, n in enumerate(_LETTER_SLOTS)]
-        self.decisions = [[leaves(f"d{k}{i}", 2 * n).astype(np.float32).reshape(-1, 2) for i, n in enumerate(_DECISION_SLOTS)] for k in range(3)]
+        counts = [[leaves(f"d{k}{i}", 2 * n).astype(np.float32).view(np.complex64) for i, n in enumerate(_DECISION_SLOTS)] for k in range(3)]
+        self.decisions = [[(t, _stretch(t.imag, t.real, None)) for t in own] for own in counts]
 
     @classmethod
     def of(cls, sent: Sent, learning: bool) -> Tables:
@@ -652,7 +657,10 @@ class Tables:
 
     def about(self, k: int, slots: list[np.ndarray], history: np.ndarray, without: np.ndarray | None) -> list[np.ndarray]:
         """The predictors' log-odds of decision ``k``; the outcomes of ``without`` are taken out of the counts."""
-        return [*[_stretch(t[s, 1], t[s, 0], without) for t, s in zip(self.decisions[k], slots)], history]
+        if without is None:
+            return [*[odds.take(s) for (_, odds), s in zip(self.decisions[k], slots)], history]
+        pairs = [counts.take(s) for (counts, _), s in zip(self.decisions[k], slots)]
+        return [*[_stretch(x.imag, x.real, without) for x in pairs], history]
 
 
 @dataclass
