@@ -38,14 +38,11 @@ def mean_distance(points: DataFrame, *, group: str, a: tuple[str, str], b: tuple
 def line_residuals(points: DataFrame, *, line: tuple[str, ...], x: str, y: str) -> DataFrame:
     """Each line's number of points and least sum of squared distances from a straight line.
 
-    Moments are taken about a point of the line, which keeps their digits.
+    One aggregate of central moments, which keep their digits.
     """
-    origin = points.groupBy(*line).agg(F.min(x).alias("__ox"), F.min(y).alias("__oy"))
-    dx, dy = F.col(x) - F.col("__ox"), F.col(y) - F.col("__oy")
-    sums = points.join(origin, list(line)).groupBy(*line).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(dx).alias("sx"), F.sum(dy).alias("sy"), F.sum(dx * dx).alias("sxx"), F.sum(dy * dy).alias("syy"), F.sum(dx * dy).alias("sxy")
-    )
-    return sums.select(*line, "n", geometry.orthogonal_residual(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]).alias("ssq"))
+    moments = points.groupBy(*line).agg(F.count(F.lit(1)).alias("n"), F.var_pop(x).alias("xx"), F.var_pop(y).alias("yy"), F.covar_pop(x, y).alias("xy"))
+    n, zero = F.col("n"), F.lit(0.0)
+    return moments.select(*line, "n", geometry.orthogonal_residual(n, zero, zero, n * F.col("xx"), n * F.col("yy"), n * F.col("xy")).alias("ssq"))
 
 
 def distortion_quality(initial: Column, final: Column, n: Column) -> Column:

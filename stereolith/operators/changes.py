@@ -16,14 +16,17 @@ def remove_links(bridge: DataFrame, links: DataFrame) -> DataFrame:
     return bridge.join(links, list(links.columns), "left_anti")
 
 
-def upsert_types(old: DataFrame, new: DataFrame, *, name: str = "name", flags: tuple[str, ...] = (), notes: str = "notes") -> DataFrame:
+def upsert_types(old: DataFrame, new: DataFrame, *, name: str = "name", flags: tuple[str, ...] = (), notes: str = "notes", order: Column | None = None) -> DataFrame:
     """``old`` with the types of ``new`` in: those of a known name are overwritten, all of that name; others are added.
 
     Flags that a new type lacks become false. Notes that read ``nil`` or are null
-    keep the old ones. A name that ``new`` has twice counts with its last notes.
+    keep the old ones. Of a name that ``new`` has twice the last row by ``order`` counts,
+    as a whole; without an order the greatest.
     """
     rest = [c for c in new.columns if c != name]
-    once = new.groupBy(name).agg(*[F.max(c).alias(f"__{c}") for c in rest], F.lit(True).alias("__given"))
+    row = F.struct(*rest)
+    last = new.groupBy(name).agg(F.max_by(row, row if order is None else F.struct(order.alias("at"), row.alias("row"))).alias("__row"))
+    once = last.select(name, *[F.col("__row")[c].alias(f"__{c}") for c in rest], F.lit(True).alias("__given"))
 
     def value(c: str) -> Column:
         given = F.col(f"__{c}")
@@ -109,6 +112,53 @@ def set_master(clips: DataFrame, master: object, *, clip: str = "clip_id", offse
     return clips.withColumn("is_master", own).withColumn(offset, F.when(own, F.lit(0.0)).otherwise(F.col(offset)))
 
 
+def remove_clip(clips: DataFrame, gone: Column, *, project: str, clip: str = "clip_id", offset: str = "sync_offset") -> DataFrame:
+    """The clips without those ``gone``; the last clip left of a project becomes its master, whose offset is zero."""
+    left = clips.where(~gone)
+    single = left.groupBy(project).agg(F.count(F.lit(1)).alias("__n")).where("__n = 1")
+    joined = left.join(single, project, "left")
+    last = F.col("__n").isNotNull()
+    return joined.withColumn("is_master", F.col("is_master") | last).withColumn(offset, F.when(last, F.lit(0.0)).otherwise(F.col(offset))).select(*clips.columns)
+
+
+def propagate_sync(clips: DataFrame, *, project: str, locked: str = "sync_is_locked") -> DataFrame:
+    """A master counts as locked if any other clip of its project is."""
+    others = clips.where(~F.col("is_master")).groupBy(project).agg(F.bool_or(locked).alias("__any"))
+    return clips.join(others, project, "left").withColumn(locked, F.when(F.col("is_master"), F.coalesce("__any", F.lit(False))).otherwise(F.col(locked))).select(*clips.columns)
+
+
+def append_row(rows: DataFrame, values: DataFrame, *, group: str, index: str) -> DataFrame:
+    """``rows`` and, for each row of ``values``, one more of its group, with the next index there."""
+    last = rows.groupBy(group).agg(F.max(index).alias("__last"))
+    added = values.join(last, group, "left").withColumn(index, (F.coalesce("__last", F.lit(0)) + 1).cast(rows.schema[index].dataType))
+    return rows.unionByName(added.select(*rows.columns))
+
+
+def add_lines(old: DataFrame, new: DataFrame, *, clip: str, line: str, just_add: bool) -> DataFrame:
+    """Imported plumb lines: instead of the old ones of their clips, or numbered after them."""
+    if not just_add:
+        return old.join(new.select(clip).distinct(), clip, "left_anti").select(*old.columns).unionByName(new)
+    last = old.groupBy(clip).agg(F.max(line).alias("__last"))
+    moved = new.join(last, clip, "left").withColumn(line, (F.col(line) + F.coalesce("__last", F.lit(0))).cast(old.schema[line].dataType))
+    return old.unionByName(moved.select(*old.columns))
+
+
+def clear_lines(lines: DataFrame, clips: DataFrame, *, clip: str) -> DataFrame:
+    """The plumb lines without those of the given clips."""
+    return lines.join(clips.select(clip).distinct(), clip, "left_anti")
+
+
+def mark_dirty(points: DataFrame, solved: DataFrame, *, point: str, flag: str = "dirty") -> DataFrame:
+    """Sets the flag of each point that was solved anew; others keep theirs."""
+    again = solved.select(point).distinct().withColumn("__again", F.lit(True))
+    return points.join(again, point, "left").withColumn(flag, F.col(flag) | F.col("__again").isNotNull()).select(*points.columns)
+
+
+def relocate(clips: DataFrame, where: Column, path: Column, is_valid: Column, *, path_col: str = "path") -> DataFrame:
+    """Points the chosen clips to another file, unless that isn't a valid one."""
+    return clips.withColumn(path_col, F.when(where & is_valid, path).otherwise(F.col(path_col)))
+
+
 def lock_sync(clips: DataFrame, master_time: float, *, clip_time: str, where: Column, offset: str = "sync_offset", locked: str = "sync_is_locked") -> DataFrame:
     """Locks clips at what they show now: the offset is the master's time less the clip's."""
     return clips.withColumn(offset, F.when(where, master_time - F.col(clip_time)).otherwise(F.col(offset))).withColumn(locked, F.when(where, F.lit(True)).otherwise(F.col(locked)))

@@ -6,6 +6,10 @@ it, so that Spark shuffles on a key instead of comparing all pairs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,16 +38,29 @@ def within(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: float,
     return spread.join(right.withColumn("__b", _bucket(F.col(b), tolerance)), [*keys, "__b"]).where(F.abs(F.col(a) - F.col(b)) < tolerance).drop("__b")
 
 
+SMALL_ROWS = 100_000  # rows of a clip table up to which every executor gets it
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, to be sent to every executor if it is small."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def other_clips(points: DataFrame, clips: DataFrame, *, clip: str, project: str) -> DataFrame:
     """Every point beside every other clip of its project, as ``other``."""
     others = clips.select(F.col(project), F.col(clip).alias("other"))
-    return points.join(others, project).where(F.col(clip) != F.col("other"))
+    return points.join(_small(others), project).where(F.col(clip) != F.col("other"))
 
 
 def unpaired(points: DataFrame, clips: DataFrame, *, point: str, clip: str, project: str) -> DataFrame:
-    """Every point beside the other clips on which it has not been clicked."""
-    clicked = points.select(F.col(point), F.col(clip).alias("other")).distinct()
-    return other_clips(points, clips, clip=clip, project=project).join(clicked, [point, "other"], "left_anti")
+    """Every point beside the other clips of its project on which it has not been clicked.
+
+    A point's clicks come together once, and a project's clips are one array.
+    """
+    every = clips.groupBy(project).agg(F.collect_set(clip).alias("__clips"))
+    rows = points.groupBy(point, project).agg(F.collect_list(F.struct(*points.columns)).alias("__rows"), F.collect_set(clip).alias("__clicked"))
+    open_ = rows.join(_small(every), project).select("__rows", F.explode(F.array_except("__clips", "__clicked")).alias("other"))
+    return open_.select(F.explode("__rows").alias("__row"), "other").select("__row.*", "other").where(F.col(clip) != F.col("other"))
 
 
 def not_attached(all_objects: DataFrame, bridge: DataFrame, event: object, *, obj: str = "object_id", event_col: str = "event_id") -> DataFrame:
@@ -57,14 +74,31 @@ def same_type_others(objects: DataFrame, *, key: str, kind: str) -> DataFrame:
 
 
 def nearest(queries: DataFrame, points: DataFrame, *, query: str, point: str, coordinates: tuple[tuple[str, str], ...], cell: float, reach: float, least: float = 1e-4) -> DataFrame:
-    """Each query's nearest point within ``reach``, farther than ``least``: ``query``, ``point``, ``distance``.
+    """Each query's nearest point, farther than ``least``: ``query``, ``point``, ``distance``.
 
     ``coordinates`` pairs a query's columns with a point's. The first two are cut
-    into cells; a query looks into those that its reach touches. Queries without
-    such a point are absent. Ties go to the smaller point.
+    into cells; a query looks into those that its reach touches. Queries that find none
+    look again four times as far, until the points' whole extent has been seen. Ties go to the smaller point.
     """
     if cell <= 0 or reach <= 0:
         raise ValueError("cell and reach must be positive")
+    axes = [(F.col(q), F.col(p)) for q, p in coordinates]
+    spans = [queries.agg(*[f(q) for q, _ in axes for f in (F.min, F.max)]).first(), points.agg(*[f(p) for _, p in axes for f in (F.min, F.max)]).first()]
+    if any(x is None for r in spans for x in r):
+        extent = 0.0
+    else:
+        extent = sum((max(r[2 * i + 1] for r in spans) - min(r[2 * i] for r in spans)) ** 2 for i in range(len(axes))) ** 0.5
+    found = _nearest_within(queries, points, query, point, coordinates, cell, reach, least)
+    while reach < extent:
+        left = queries.join(found.select(query), query, "left_anti")
+        if left.isEmpty():
+            break
+        cell, reach = cell * 4, reach * 4
+        found = found.unionByName(_nearest_within(left, points, query, point, coordinates, cell, reach, least))
+    return found
+
+
+def _nearest_within(queries: DataFrame, points: DataFrame, query: str, point: str, coordinates: tuple[tuple[str, str], ...], cell: float, reach: float, least: float) -> DataFrame:
     seen = queries
     for i, (q, _) in enumerate(coordinates[:2]):
         seen = seen.withColumn(f"__c{i}", F.explode(F.sequence(_bucket(F.col(q) - reach, cell), _bucket(F.col(q) + reach, cell))))
@@ -78,16 +112,53 @@ def nearest(queries: DataFrame, points: DataFrame, *, query: str, point: str, co
     return pairs.groupBy(query).agg(best).select(query, F.col(f"m.{point}").alias(point), F.col("m.distance").alias("distance"))
 
 
-def nearest_vector(vectors: DataFrame, queries: DataFrame, *, key: str, vector: str, least: float = 1e-4) -> DataFrame:
-    """Each query vector's nearest other vector: ``query``, ``key``, ``distance``. Exact, for a small stated query set.
+def nearest_vector(vectors: DataFrame, queries: DataFrame, *, key: str, vector: str, least: float = 1e-4, block_bytes: int = 16 << 20) -> DataFrame:
+    """Each query vector's nearest other vector: ``query``, ``key``, ``distance``. Exact, for a stated query set.
 
-    ``queries`` is a stated set that is compared with all rows, so it is the side
-    that Spark may send to every executor.
+    Queries are sent to the executors in blocks of ``block_bytes``. A task keeps its best row for each query of a
+    block, so what is shuffled has a row for each query and task, not for each pair. Ties go to the smaller key.
     """
-    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"))
-    square = F.aggregate(F.zip_with(vector, "__q", lambda a, b: (a.cast("double") - b.cast("double")) ** 2), F.lit(0.0), lambda a, x: a + x)
-    pairs = vectors.join(asked, F.col(key) != F.col("query")).select("query", key, F.sqrt(square).alias("distance")).where(F.col("distance") > least)
-    return pairs.groupBy("query").agg(F.min(F.struct("distance", key)).alias("m")).select("query", F.col(f"m.{key}").alias(key), F.col("m.distance").alias("distance"))
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    schema = f"query {queries.schema[key].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, distance double"
+
+    def scan(ids: list, asked: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast((ids, asked))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, asked = sent.value
+            best: list[tuple[float, object] | None] = [None] * len(ids)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys = np.array(batch.column("key").to_pylist(), object)
+                matrix = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+                for i, (own, q) in enumerate(zip(ids, asked)):
+                    far = np.sqrt(((matrix - q) ** 2).sum(1))
+                    far[(far <= least) | (keys == own)] = np.inf
+                    low = far.min()
+                    if np.isfinite(low) and (best[i] is None or low <= best[i][0]):
+                        found = (float(low), min(keys[far == low]))
+                        best[i] = found if best[i] is None else min(best[i], found)
+            out = [(q, b[1], b[0]) for q, b in zip(ids, best) if b is not None]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["query", key, "distance"])
+
+        return rows.mapInArrow(run, schema)
+
+    found, ids, held = [], [], []
+    for row in queries.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).toLocalIterator():
+        ids.append(row.k)
+        held.append(row.v)
+        if 8 * len(held) * len(row.v) >= block_bytes:
+            found.append(scan(ids, np.array(held)))
+            ids, held = [], []
+    if held or not found:
+        found.append(scan(ids, np.array(held)))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("query").agg(F.min(F.struct("distance", key)).alias("m")).select("query", F.col(f"m.{key}").alias(key), F.col("m.distance").alias("distance"))
 
 
 def screen_point_of(points: DataFrame, screen_points: DataFrame, clip: object, *, point: str, clip_col: str, index: str) -> DataFrame:

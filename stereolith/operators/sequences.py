@@ -41,10 +41,30 @@ def roll_over_by_time(points: DataFrame, *, event: str, t: str) -> DataFrame:
     return points.withColumn("part", F.dense_rank().over(Window.partitionBy(event).orderBy(t)) - 1)
 
 
-def lowest_without(points: DataFrame, screen_points: DataFrame, *, point: str, event: str, index: str, clip_col: str, clip: object, near: Column) -> DataFrame:
-    """Each event's lowest point for which ``near`` holds and that lacks a screen point on ``clip``."""
+def roll_over_both(points: DataFrame, *, event: str, order: tuple[str, ...], most: int, t: str) -> DataFrame:
+    """Adds ``part`` and ``index``: a new event begins when one holds ``most`` points (0: never) or the time changes."""
+    here = F.row_number().over(Window.partitionBy(event, t).orderBy(*order)) - 1
+    run = F.floor(F.col("__n") / most).cast("int") if most > 0 else F.lit(0)
+    placed = points.withColumn("__n", here).withColumn("__run", run)
+    part = F.dense_rank().over(Window.partitionBy(event).orderBy(t, "__run")) - 1
+    return placed.withColumn("part", part).withColumn("index", (F.col("__n") % most if most > 0 else F.col("__n")) + 1).drop("__n", "__run")
+
+
+def placed(rows: DataFrame, *, first: str, rest: tuple[str, ...], name: str = "place") -> DataFrame:
+    """Adds each row's place from 1 in the order of ``first`` and then ``rest``.
+
+    Rows are numbered within each value of ``first``; only these values' counts are summed in one task.
+    """
+    before = Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(first).agg(F.count(F.lit(1)).alias("__c")).select(first, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"))
+    own = F.row_number().over(Window.partitionBy(first).orderBy(*rest))
+    return rows.withColumn("__own", own).join(starts, first).withColumn(name, F.col("__start") + F.col("__own")).drop("__own", "__start")
+
+
+def lowest_without(points: DataFrame, screen_points: DataFrame, *, point: str, event: str, index: str, clip_col: str, clip: object, near: Column, shown: str | None = None) -> DataFrame:
+    """Each event's lowest point for which ``near`` holds and that lacks a screen point on ``clip``, or its ``shown`` column."""
     taken = screen_points.where(F.col(clip_col) == clip).select(point).distinct()
-    return points.where(near).join(taken, point, "left_anti").groupBy(event).agg(F.min_by(point, index).alias(point))
+    return points.where(near).join(taken, point, "left_anti").groupBy(event).agg(F.min_by(shown or point, index).alias(shown or point))
 
 
 def tip_to_tip(points: DataFrame, *, line: str, order: str, x: str, y: str) -> DataFrame:
@@ -61,11 +81,14 @@ def grid_spacing(points: DataFrame, *, group: str, axes: tuple[str, ...]) -> Dat
     return above.select(group, F.least(*[F.col(f"__{a}") for a in axes]).alias("spacing"))
 
 
-def first_range(items: DataFrame, *, group: str, order: tuple[str, ...]) -> DataFrame:
-    """Where each group's items begin in the list of all, and how many they are.
+def first_range(items: DataFrame, *, group: str, width: int = 1 << 16) -> DataFrame:
+    """Where each group's items begin in the list of all, and how many they are; ``group`` is a number.
 
-    Sums the groups' sizes, not the items, so the window sees a row for each group.
+    Groups are summed in ranges of ``width`` numbers, and only the ranges' sums in one task.
     """
-    sizes = items.groupBy(group).agg(F.count(F.lit(1)).alias("length"))
-    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(group, F.coalesce(F.sum("length").over(before), F.lit(0)).alias("start"), "length")
+    sizes = items.groupBy(group).agg(F.count(F.lit(1)).alias("length")).withColumn("__range", F.floor(F.col(group) / width))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sizes.groupBy("__range").agg(F.sum("length").alias("__sum")).select("__range", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start"))
+    before = Window.partitionBy("__range").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    inside = sizes.withColumn("__inside", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    return inside.join(ranges, "__range").select(group, (F.col("__start") + F.col("__inside")).alias("start"), "length")

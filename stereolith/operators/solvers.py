@@ -76,8 +76,9 @@ def homography(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, floa
     """The 3x3 matrix from ``source`` to ``target`` (n x 2, n from 4 on), last cell positive, and the residual of the normalized system per point.
 
     Direct linear transform: both sides are moved to their centroid and scaled to a
-    mean distance of the root of 2; the null vector of the full right singular basis
-    is taken, which four points need.
+    mean distance of the root of 2. The system is reduced to its triangular factor
+    first, nine columns whatever the number of points; the last vector of the full right singular
+    basis of that is taken, which four points need.
     """
     if len(source) < 4:
         raise ValueError("a homography needs four points")
@@ -88,12 +89,20 @@ def homography(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, floa
         return (p - c) * s, np.array([[s, 0, -s * c[0]], [0, s, -s * c[1]], [0, 0, 1]])
 
     (a, ta), (b, tb) = normal(source), normal(target)
+    return _from_factor(transform_factor(a, b), len(a), ta, tb)
+
+
+def transform_factor(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The triangular factor of the direct linear transform's system for normalized points; factors of parts stack."""
     one, zero = np.ones((len(a), 1)), np.zeros((len(a), 3))
     p = np.hstack([a, one])
-    rows = np.vstack([np.hstack([p, zero, -b[:, :1] * p]), np.hstack([zero, p, -b[:, 1:] * p])])
-    h = np.linalg.svd(rows, full_matrices=True)[2][8]
+    return np.linalg.qr(np.vstack([np.hstack([p, zero, -b[:, :1] * p]), np.hstack([zero, p, -b[:, 1:] * p])]), mode="r")
+
+
+def _from_factor(factor: np.ndarray, n: int, ta: np.ndarray, tb: np.ndarray) -> tuple[np.ndarray, float]:
+    h = np.linalg.svd(factor, full_matrices=True)[2][8]
     m = np.linalg.inv(tb) @ h.reshape(3, 3) @ ta
-    return m / np.linalg.norm(m) * (1 if m[2, 2] >= 0 else -1), float(np.linalg.norm(rows @ h) / len(a))
+    return m / np.linalg.norm(m) * (1 if m[2, 2] >= 0 else -1), float(np.linalg.norm(factor @ h) / n)
 
 
 def apply_homography(m: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -372,15 +381,37 @@ def redistort_points(df: DataFrame, d: Distortion, *, x: str, y: str) -> DataFra
 
 
 def homographies(points: DataFrame, *, group: str, source: tuple[str, str], target: tuple[str, str]) -> DataFrame:
-    """A matrix for each clip and plane with four points at least: ``group``, ``matrix``, ``residual``."""
+    """A matrix for each clip and plane with four points at least: ``group``, ``matrix``, ``residual``.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) < 4:
-            return pd.DataFrame({group: [], "matrix": [], "residual": []})
-        m, r = homography(frame[list(source)].to_numpy(float), frame[list(target)].to_numpy(float))
-        return pd.DataFrame({group: [frame[group].iloc[0]], "matrix": [m.tolist()], "residual": [r]})
-
-    return points.groupBy(group).applyInPandas(run, f"`{group}` {points.schema[group].dataType.simpleString()}, matrix array<array<double>>, residual double")
+    Centroids and scales are aggregates. Each batch of points then gives the
+    triangular factor of its part of a group's system, and only these 9 x 9 factors come together, so
+    a group may have any number of points.
+    """
+    named = points.select(F.col(group).alias("g"), *[F.col(c).cast("double").alias(n) for n, c in zip(("ax", "ay", "bx", "by"), (*source, *target))])
+    centre = named.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{c}") for c in ("ax", "ay", "bx", "by")]).where("n >= 4")
+    far = [F.avg(F.hypot(F.col(f"{s}x") - F.col(f"m{s}x"), F.col(f"{s}y") - F.col(f"m{s}y"))) for s in "ab"]
+    keep = ["n", "max", "may", "mbx", "mby"]
+    scaled = named.join(centre, "g").groupBy("g").agg(*[F.first(c).alias(c) for c in keep], *[(F.sqrt(F.lit(2.0)) / x).alias(f"s{s}") for s, x in zip("ab", far)])
+    keep += ["sa", "sb"]
+    kind = points.schema[group].dataType.simpleString()
+
+    def factors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for _, own in frame.groupby("g", sort=False, dropna=False):
+                a, b = (((own[[f"{s}x", f"{s}y"]].to_numpy() - own[[f"m{s}x", f"m{s}y"]].to_numpy()) * own[[f"s{s}"]].to_numpy()) for s in "ab")
+                out.append((*own[["g", *keep]].iloc[0], transform_factor(a, b).ravel().tolist()))
+            yield pd.DataFrame(out, columns=["g", *keep, "factor"])
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        one = frame.iloc[0]
+        stacked = np.vstack([np.array(f).reshape(-1, 9) for f in frame["factor"]])
+        ta, tb = (np.array([[one[f"s{s}"], 0, -one[f"s{s}"] * one[f"m{s}x"]], [0, one[f"s{s}"], -one[f"s{s}"] * one[f"m{s}y"]], [0, 0, 1]]) for s in "ab")
+        m, r = _from_factor(np.linalg.qr(stacked, mode="r"), int(one["n"]), ta, tb)
+        return pd.DataFrame({group: [one["g"]], "matrix": [m.tolist()], "residual": [r]})
+
+    parts = named.join(scaled, "g").mapInPandas(factors, f"g {kind}, n long, {', '.join(f'{c} double' for c in keep[1:])}, factor array<double>")
+    return parts.groupBy("g").applyInPandas(merge, f"`{group}` {kind}, matrix array<array<double>>, residual double")
 
 
 def fit_distortions(points: DataFrame, *, clip: str, line: str, x: str, y: str, centre: tuple[float, float], most: int = 10_000) -> DataFrame:

@@ -87,10 +87,10 @@ def w5_roll_over_by_time(spark, d):
 @query("""SELECT l_orderkey, min_by(l_linenumber, l_linenumber) AS l_linenumber FROM lineitem l WHERE l_quantity > 20 AND NOT EXISTS
 (SELECT 1 FROM events e WHERE e.event_id = l.l_orderkey AND e.event_type = 'click') GROUP BY l_orderkey""")
 def w6_lowest_without(spark, d):
-    lines = table(spark, d, "lineitem")
-    clicks = table(spark, d, "events").select(F.col("event_id").alias("l_orderkey"), "event_type")
-    taken = clicks.where("event_type = 'click'").select("l_orderkey").distinct()
-    return lines.where("l_quantity > 20").join(taken, "l_orderkey", "left_anti").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("l_linenumber"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_orderkey").alias("point"))
+    clicks = table(spark, d, "events").select(F.col("event_id").alias("point"), "event_type")
+    lowest = sequences.lowest_without(lines, clicks, point="point", event="l_orderkey", index="l_linenumber", clip_col="event_type", clip="click", near=F.col("l_quantity") > 20, shown="l_linenumber")
+    return lowest.select("l_orderkey", "l_linenumber")
 
 
 @query("""WITH s AS (SELECT p_brand, min(p_size) a, min(p_retailprice) b FROM part GROUP BY 1),
@@ -110,7 +110,7 @@ def w8_tip_to_tip(spark, d):
 @query("""WITH n AS (SELECT conv_id, count(*) AS length FROM conversations GROUP BY 1)
 SELECT conv_id, CAST(coalesce(sum(length) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, length FROM n""")
 def a5_portrait_ranges(spark, d):
-    return sequences.first_range(table(spark, d, "conversations"), group="conv_id", order=("turn",))
+    return sequences.first_range(table(spark, d, "conversations"), group="conv_id")
 
 
 # Filters and joins in time and space
@@ -236,7 +236,7 @@ def j11_nearest_vector(spark, d):
 
 
 @query("""WITH q AS (SELECT event_id AS query, x AS qx, y AS qy FROM {P} WHERE event_type = 'error'), c AS (SELECT event_id AS point, x, y FROM {P} WHERE event_type <> 'error'),
-p AS (SELECT query, point, sqrt((qx-x)*(qx-x)+(qy-y)*(qy-y)) AS dd FROM q, c) SELECT query, min_by(point, (dd, point)) AS point, round(min(dd), 6) AS distance FROM p WHERE dd > 0.0001 AND dd <= 10 GROUP BY query""")
+p AS (SELECT query, point, sqrt((qx-x)*(qx-x)+(qy-y)*(qy-y)) AS dd FROM q, c) SELECT query, min_by(point, (dd, point)) AS point, round(min(dd), 6) AS distance FROM p WHERE dd > 0.0001 GROUP BY query""")
 def j12_nearest_point(spark, d):
     p = points(spark, d)
     asked = p.where("event_type = 'error'").select(F.col("event_id").alias("query"), F.col("x").alias("qx"), F.col("y").alias("qy"))
@@ -329,10 +329,10 @@ def a25_none_synced(spark, d):
     return aggregates.none_synced(clips, project="s_nationkey", synced="synced", is_master="m")
 
 
-@query("SELECT v.vec_id AS vec_id, round(min(sqrt((e0-cx)*(e0-cx)+(e1-cy)*(e1-cy)+(e2-cz)*(e2-cz))), 6) AS camera_distance FROM {V} v JOIN (SELECT label, vec_id AS cid, e3 cx, e4 cy, e5 cz FROM {V} WHERE vec_id < 40) c ON c.label = v.label GROUP BY v.vec_id")
+@query("SELECT v.vec_id AS vec_id, round(min(sqrt((e0-cx)*(e0-cx)+(e1-cy)*(e1-cy)+(e2-cz)*(e2-cz))), 6) AS camera_distance FROM {V} v JOIN (SELECT label, vec_id % 3 AS cid, avg(e3) cx, avg(e4) cy, avg(e5) cz FROM {V} GROUP BY 1, 2) c ON c.label = v.label GROUP BY v.vec_id")
 def a13_nearest_camera(spark, d):
     v = vectors(spark, d)
-    cameras = v.where("vec_id < 40").select("label", F.col("e3").alias("cx"), F.col("e4").alias("cy"), F.col("e5").alias("cz"))
+    cameras = v.groupBy("label", F.col("vec_id") % 3).agg(F.avg("e3").alias("cx"), F.avg("e4").alias("cy"), F.avg("e5").alias("cz"))
     rows = v.select("vec_id", "label", F.col("e0").alias("x"), F.col("e1").alias("y"), F.col("e2").alias("z"))
     return aggregates.nearest_camera(rows, cameras, point="vec_id", key="label").select("vec_id", r6("camera_distance", "camera_distance"))
 
@@ -343,9 +343,7 @@ def a13_nearest_camera(spark, d):
 @query("SELECT n_name, s_suppkey, s_name, row_number() OVER (ORDER BY n_name, s_suppkey, s_name) AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def o1_by_type_index_name(spark, d):
     both = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    ordered = both.select("n_name", "s_suppkey", "s_name").orderBy("n_name", "s_suppkey", "s_name")
-    placed = ordered.agg(F.array_sort(F.collect_list(F.struct("n_name", "s_suppkey", "s_name"))).alias("all"))
-    return placed.select(F.posexplode("all").alias("i", "r")).select("r.*", (F.col("i") + 1).cast("long").alias("place"))
+    return sequences.placed(both.select("n_name", "s_suppkey", "s_name"), first="n_name", rest=("s_suppkey", "s_name"))
 
 
 @query("""WITH x AS (SELECT n_name, list_sort(list_distinct(list(s_name))) AS names FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)
@@ -683,10 +681,10 @@ def _plumb_points(spark) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame(rows, columns=["clip_id", "line", "x", "y"]))
 
 
-@query()
+@query("SELECT CAST(i AS BIGINT) AS clip_id, true AS straight, true AS close FROM range(0, 2) AS r(i)")
 def i1_fit_distortion(spark, d):
     """The lens that straightens plumb lines. The surface is flat in 13 dimensions, so the reduction is shown, not the parameters."""
-    fit = solvers.fit_distortions(_plumb_points(spark), clip="clip_id", line="line", x="x", y="y", centre=(960.0, 540.0), most=3000)
+    fit = solvers.fit_distortions(_plumb_points(spark), clip="clip_id", line="line", x="x", y="y", centre=(960.0, 540.0))
     return fit.select("clip_id", (F.col("reduction") > 0.99).alias("straight"), (F.col("rms") < 0.1).alias("close"))
 
 

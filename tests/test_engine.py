@@ -77,11 +77,12 @@ def test_tolerance_is_strict_and_symmetric(spark):
     assert sorted((r.a, r.b) for r in joins.within(a, b, "a", "b", 0.004).collect()) == [(-0.001, 0.001), (1.0, 1.0039)]
 
 
-def test_nearest_without_a_neighbour_is_absent(spark):
+def test_nearest_looks_farther_until_it_finds(spark):
     q = spark.createDataFrame([(1, 0.0, 0.0), (2, 99.0, 99.0)], "q int, qx double, qy double")
     p = spark.createDataFrame([(7, 0.0, 0.0), (9, 1.0, 0.0), (8, -1.0, 0.0)], "p int, x double, y double")
     rows = joins.nearest(q, p, query="q", point="p", coordinates=(("qx", "x"), ("qy", "y")), cell=2.0, reach=3.0).collect()
-    assert [(r.q, r.p, r.distance) for r in rows] == [(1, 8, 1.0)]
+    assert [(r.q, r.p, round(r.distance, 6)) for r in rows] == [(1, 8, 1.0), (2, 9, round((98**2 + 99**2) ** 0.5, 6))]
+    assert joins.nearest(q, p.limit(0), query="q", point="p", coordinates=(("qx", "x"), ("qy", "y")), cell=2.0, reach=3.0).count() == 0
 
 
 def test_parallel_lines_meet_nowhere(spark):
