@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry, text, timecode
-from .operators import aggregates, changes, joins, sequences, solvers
+from .operators import aggregates, changes, joins, selection, sequences, solvers
 from .plans import measure
 from .sources import exports
 
@@ -241,7 +241,7 @@ def j12_nearest_point(spark, d):
     p = points(spark, d)
     asked = p.where("event_type = 'error'").select(F.col("event_id").alias("query"), F.col("x").alias("qx"), F.col("y").alias("qy"))
     rest = p.where("event_type <> 'error'").select(F.col("event_id").alias("point"), "x", "y")
-    return joins.nearest(asked, rest, query="query", point="point", coordinates=(("qx", "x"), ("qy", "y")), cell=10.0, reach=10.0).select("query", "point", r6("distance", "distance"))
+    return joins.nearest(asked, rest, query="query", point="point", coordinates=(("qx", "x"), ("qy", "y")), cell=2.0, reach=2.0).select("query", "point", r6("distance", "distance"))
 
 
 @query("""SELECT a.l_orderkey AS l_orderkey, a.l_linenumber AS line_a, b.l_linenumber AS line_b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND a.l_returnflag = b.l_returnflag""")
@@ -782,3 +782,163 @@ def t13_dates(spark, d):
 def o5_first_events(spark, d):
     first = F.min(F.struct("t", "event_id")).alias("m")
     return points(spark, d).groupBy("user_id").agg(first).select("user_id", F.col("m.event_id").alias("event_id"))
+
+
+# Filters, orders and changes of clips, lines and events
+
+
+@query("SELECT r_regionkey, r_name FROM region WHERE r_name = 'ASIA' AND (SELECT count(*) FROM region WHERE r_name = 'ASIA') = 1")
+def s3_singleton(spark, d):
+    asia = table(spark, d, "region").where("r_name = 'ASIA'")
+    found = selection.the_only(asia)
+    return (asia.limit(0) if found is None else found).select("r_regionkey", "r_name")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_name = 'Supplier#000000003' OR s_name = 'supplier 3'")
+def f9_clips_to_export(spark, d):
+    clips = table(spark, d, "supplier")
+    return selection.clips_to_export(clips, "Supplier#000000003", name_col="s_name").unionByName(selection.clips_to_export(clips, "supplier 3", name_col="s_name")).select("s_suppkey", "s_name")
+
+
+@query("SELECT event_id FROM {P} WHERE abs(t - floor(t / 60) * 60) < 0.004")
+def f10_lines_at_time(spark, d):
+    return selection.lines_shown(points(spark, d), F.floor(F.col("t") / 60) * 60).select("event_id")
+
+
+@query("SELECT p_brand, bool_and(p_size > 2) AND bool_and(p_retailprice > 0) AS positive, sum(CASE WHEN f IS NOT NULL AND b IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS calibrated FROM (SELECT *, CASE WHEN p_size > 10 THEN p_size END AS f, CASE WHEN p_retailprice > 1000 THEN p_retailprice END AS b FROM part) GROUP BY 1")
+def f12_calibrated(spark, d):
+    part = table(spark, d, "part").withColumn("f", F.when(F.col("p_size") > 10, F.col("p_size"))).withColumn("b", F.when(F.col("p_retailprice") > 1000, F.col("p_retailprice")))
+    ok = selection.is_calibrated(F.col("f"), F.col("b")).cast("long")
+    return part.groupBy("p_brand").agg(F.bool_and((F.col("p_size") > 2) & (F.col("p_retailprice") > 0)).alias("positive"), F.sum(ok).alias("calibrated"))
+
+
+@query("SELECT event_id FROM {P} WHERE abs(t - 3600.0 * (user_id % 3) - floor(t)) < 0.004")
+def f13_at_calibration_time(spark, d):
+    at = selection.at_calibration_time(F.col("t"), F.floor("t"), 3600.0 * (F.col("user_id") % 3))
+    return points(spark, d).where(at).select("event_id")
+
+
+@query("SELECT s_suppkey, (s_suppkey % 3 = 0) OR s_acctbal > 5000 AS responds FROM supplier")
+def f14_responds(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", selection.responds_to_controls(F.col("s_suppkey") % 3 == 0, F.col("s_acctbal") > 5000).alias("responds"))
+
+
+@query("SELECT o_orderkey FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F' AND n > 1 AND (o_custkey % 3 = 1 OR o_custkey % 3 = 2 AND o_orderpriority LIKE '1%')")
+def f19_drawn_events(spark, d):
+    n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    orders = table(spark, d, "orders").join(n, "o_orderkey")
+    kind = F.when(F.col("o_orderstatus") == "F", "None").otherwise("Solid")
+    labelled = F.col("o_custkey") % 3
+    return orders.where(selection.draws_line(kind, F.col("n")) & selection.exports_length(labelled) & selection.labels_line(labelled, F.col("o_orderpriority").startswith("1"))).select("o_orderkey")
+
+
+@query("SELECT event_id FROM {P} WHERE x BETWEEN -10 AND 310 AND y BETWEEN -10 AND 60")
+def f20_inside_padded(spark, d):
+    return points(spark, d).where(selection.inside(F.col("x"), F.col("y"), 300, 50, 10)).select("event_id")
+
+
+@query("SELECT user_id, event_id, x FROM {P} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
+def a26_any_member(spark, d):
+    return selection.members(points(spark, d).select("user_id", "event_id", "x"), group="user_id", index="event_id")
+
+
+@query("SELECT user_id, earliest, row_number() OVER (ORDER BY earliest, user_id) AS place FROM (SELECT user_id, min(t) AS earliest FROM {P} GROUP BY 1)")
+def o5_events_in_order(spark, d):
+    first = selection.event_order(points(spark, d), event="user_id", t="t")
+    return sequences.placed(first, first="earliest", rest=("user_id",))
+
+
+@query("SELECT o_custkey, list_reverse(list_sort(list({'x': o_totalprice, 'y': o_orderkey}))) [1].x AS first_x, list_reverse(list_sort(list({'x': o_totalprice, 'y': o_orderkey}))) [-1].x AS last_x FROM orders GROUP BY 1")
+def o7_samples_by_x(spark, d):
+    own = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_totalprice").alias("x"), F.collect_list("o_orderkey").alias("y"))
+    ordered = own.select("o_custkey", selection.samples_by_x(F.col("x"), F.col("y")).alias("s"))
+    return ordered.select("o_custkey", F.col("s")[0]["x"].alias("first_x"), F.element_at("s", -1)["x"].alias("last_x"))
+
+
+@query("SELECT l_orderkey, string_agg(format('{}: ({:.2f}, {:.2f})', l_linenumber, l_quantity, l_discount), '; ' ORDER BY l_linenumber, l_quantity, l_discount) AS screen_points FROM lineitem GROUP BY 1")
+def p12_screen_points(spark, d):
+    lines = table(spark, d, "lineitem").withColumn("clip", F.col("l_linenumber").cast("string"))
+    return selection.screen_points_text(lines, point="l_orderkey", clip="clip", x="l_quantity", y="l_discount")
+
+
+@query("""WITH q AS (SELECT *, floor((row_number() OVER (PARTITION BY user_id, floor(t / 86400) ORDER BY t, event_id) - 1) / 3) AS run, (row_number() OVER (PARTITION BY user_id, floor(t / 86400) ORDER BY t, event_id) - 1) % 3 + 1 AS index FROM {P})
+SELECT user_id, event_id, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY floor(t / 86400), run) - 1 AS INT) AS part, CAST(index AS INT) AS index FROM q""")
+def w5_roll_over_both(spark, d):
+    days = points(spark, d).withColumn("day", F.floor(F.col("t") / 86400))
+    return sequences.roll_over_both(days, event="user_id", order=("t", "event_id"), most=3, t="day").select("user_id", "event_id", "part", "index")
+
+
+@query("""WITH l AS (SELECT s_nationkey, s_suppkey, s_suppkey % 3 = 0 AS m, s_acctbal AS o, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT s_nationkey, s_suppkey, m OR n = 1 AS is_master, CASE WHEN n = 1 THEN 0.0 ELSE o END AS sync_offset FROM l""")
+def m14_remove_clip(spark, d):
+    clips = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_suppkey") % 3 == 0).alias("is_master"), F.col("s_acctbal").alias("sync_offset"))
+    return changes.remove_clip(clips, F.col("s_suppkey") % 2 != 0, project="s_nationkey", clip="s_suppkey")
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN coalesce(bool_or(CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal > 5000 END) OVER (PARTITION BY s_nationkey), false) ELSE s_acctbal > 5000 END AS sync_is_locked FROM supplier""")
+def m16_propagate_sync(spark, d):
+    clips = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_suppkey") % 3 == 0).alias("is_master"), (F.col("s_acctbal") > 5000).alias("sync_is_locked"))
+    return changes.propagate_sync(clips, project="s_nationkey").select("s_suppkey", "sync_is_locked")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem UNION ALL SELECT o_orderkey, CAST(coalesce((SELECT max(l_linenumber) FROM lineitem WHERE l_orderkey = o_orderkey), 0) + 1 AS INT) FROM orders WHERE o_orderkey % 5 = 0")
+def m8_append_row(spark, d):
+    new = table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    return changes.append_row(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), new, group="l_orderkey", index="l_linenumber")
+
+
+@query("SELECT user_id, event_id FROM {P} WHERE event_type <> 'click' UNION ALL SELECT user_id, event_id + coalesce((SELECT max(event_id) FROM events e WHERE e.user_id = p.user_id AND event_type <> 'click'), 0) FROM {P} p WHERE event_type = 'click'")
+def u3_add_lines(spark, d):
+    p = points(spark, d)
+    old, new = (p.where(f"event_type {op} 'click'").select("user_id", "event_id") for op in ("<>", "="))
+    return changes.add_lines(old, new, clip="user_id", line="event_id", just_add=True)
+
+
+@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 450)")
+def m17_clear_lines(spark, d):
+    p = points(spark, d)
+    return changes.clear_lines(p, p.where("x > 450"), clip="user_id").select("event_id")
+
+
+@query("SELECT o_orderkey, o_orderstatus = 'P' OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) AS dirty FROM orders")
+def m18_mark_dirty(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderstatus") == "P").alias("dirty"))
+    solved = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return changes.mark_dirty(orders, solved, point="o_orderkey")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey = 3 AND s_acctbal > 0 THEN 'moved' ELSE s_name END AS path FROM supplier")
+def m20_relocate(spark, d):
+    clips = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal", F.col("s_name").alias("path"))
+    return changes.relocate(clips, F.col("s_nationkey") == 3, F.lit("moved"), F.col("s_acctbal") > 0).select("s_suppkey", "path")
+
+
+@query("SELECT event_id, round(t + 2, 6) AS start, round(t + 3, 6) AS fade_start, round(t + 3.5, 6) AS \"end\", t >= 1705000000 AS stopped_forward, t <= 1705000000 AS stopped_back FROM {P}")
+def t12_visible_range(spark, d):
+    p = points(spark, d).withColumn("v", timecode.visible_until(F.col("t") + 2, F.lit(1.0), F.lit(0.5)))
+    stop = F.lit(1705000000.0)
+    return p.select("event_id", *[r6(F.col("v")[c], c) for c in ("start", "fade_start", "end")], timecode.has_stopped(F.col("t"), stop, F.lit(1.0)).alias("stopped_forward"), timecode.has_stopped(F.col("t"), stop, F.lit(-1.0)).alias("stopped_back"))
+
+
+@query("SELECT o_orderkey, n_name || ' ' || c_custkey || CASE WHEN c_mktsegment <> 'BUILDING' THEN ' (' || c_name || '): ' || o_orderpriority ELSE '' END AS label FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def p10_labels_with_notes(spark, d):
+    both = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    name = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_name"))
+    return both.select("o_orderkey", text.label_with_notes(F.col("n_name"), F.col("c_custkey"), name, F.col("o_orderpriority")).alias("label"))
+
+
+@query("""SELECT l_orderkey, first(n_o) AS events, count(*) AS pairs FROM (SELECT l_orderkey, l_suppkey, o_orderkey AS n_o FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY 1""")
+def u5_event_objects(spark, d):
+    bridge = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    pairs = bridge.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("n_o")), F.col("n_o") == F.col("l_orderkey"))
+    return pairs.groupBy("l_orderkey").agg(F.first("n_o").alias("events"), F.count(F.lit(1)).alias("pairs"))
+
+
+@query("""SELECT o_clerk, event, x, y FROM (SELECT c_name AS o_clerk, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS event, round(o_totalprice, 3) AS x, round(o_totalprice / 2, 3) AS y, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey) WHERE x > 1000""")
+def k1_measured_points(spark, d):
+    from pyspark.sql import Window
+
+    orders = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    rows = orders.withColumn("event", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))).withColumn("o_clerk", F.col("c_name"))
+    rows = rows.withColumn("x", F.when(F.round("o_totalprice", 3) > 1000, F.round("o_totalprice", 3))).withColumn("y", F.round(F.col("o_totalprice") / 2, 3))
+    return selection.measured_points(rows, order=("o_clerk", "event"), shown={"x": F.col("x"), "y": F.col("y")})

@@ -15,9 +15,21 @@ def nodes(frame: DataFrame, text_col: str) -> DataFrame:
     return numbered.select((F.col("i") + 1).alias("index"), F.col("n.node.h").alias("world_h"), F.col("n.node.v").alias("world_v"))
 
 
-def write_points_csv(points: DataFrame, path: str, order: list[str]) -> None:
-    """The point table as CSV with a header, quoted where a field holds a comma."""
-    points.orderBy(*order).write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+def write_points_csv(points: DataFrame, path: str, order: list[str], title: str | None = None, sep: str = ",") -> bool:
+    """The point table as delimited text with a header, quoted where a field holds the separator; nothing for an empty table.
+
+    With a ``title`` that is the first line, before the header. Returns whether anything was written.
+    """
+    if points.isEmpty():
+        return False
+    if title is None:
+        points.orderBy(*order).write.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(path)
+        return True
+    options = {"sep": sep, "quote": '"', "escape": '"'}
+    lines = points.orderBy(*order).select(F.to_csv(F.struct(*points.columns), options).alias("line"))
+    head = points.sparkSession.createDataFrame([(i, line) for i, line in enumerate((title, sep.join(points.columns)))], "i int, line string").coalesce(1).sortWithinPartitions("i").select("line")
+    head.unionByName(lines).write.text(path)  # the parts of a union keep their order
+    return True
 
 
 def write_lines_tsv(lines: DataFrame, path: str, order: list[str]) -> None:
