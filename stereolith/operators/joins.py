@@ -88,13 +88,15 @@ def nearest(queries: DataFrame, points: DataFrame, *, query: str, point: str, co
         extent = 0.0
     else:
         extent = sum((max(r[2 * i + 1] for r in spans) - min(r[2 * i] for r in spans)) ** 2 for i in range(len(axes))) ** 0.5
-    found = _nearest_within(queries, points, query, point, coordinates, cell, reach, least)
+    left = queries
+    now = found = _nearest_within(left, points, query, point, coordinates, cell, reach, least)
     while reach < extent:
-        left = queries.join(found.select(query), query, "left_anti")
+        left = left.join(now.select(query), query, "left_anti")
         if left.isEmpty():
             break
         cell, reach = cell * 4, reach * 4
-        found = found.unionByName(_nearest_within(left, points, query, point, coordinates, cell, reach, least))
+        now = _nearest_within(left, points, query, point, coordinates, cell, reach, least)
+        found = found.unionByName(now)
     return found
 
 

@@ -241,7 +241,7 @@ def j12_nearest_point(spark, d):
     p = points(spark, d)
     asked = p.where("event_type = 'error'").select(F.col("event_id").alias("query"), F.col("x").alias("qx"), F.col("y").alias("qy"))
     rest = p.where("event_type <> 'error'").select(F.col("event_id").alias("point"), "x", "y")
-    return joins.nearest(asked, rest, query="query", point="point", coordinates=(("qx", "x"), ("qy", "y")), cell=2.0, reach=2.0).select("query", "point", r6("distance", "distance"))
+    return joins.nearest(asked, rest, query="query", point="point", coordinates=(("qx", "x"), ("qy", "y")), cell=1.0, reach=1.0).select("query", "point", r6("distance", "distance"))
 
 
 @query("""SELECT a.l_orderkey AS l_orderkey, a.l_linenumber AS line_a, b.l_linenumber AS line_b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND a.l_returnflag = b.l_returnflag""")
