@@ -473,12 +473,17 @@ def corpus_counts(chunks: DataFrame) -> DataFrame:
         return pa.table([table.column("kind"), table.column("bucket"), table.column("chunk"), pa.array(parts, pa.binary()), once((sums > 0).sum()), once((sums == 1).sum())], names=[x.split()[0] for x in _ANSWERS.split(", ")])
 
     sent = chunks.select("chunk", "held", "ends", "words", "codes").mapInArrow(send, _SENT)
+    sent = sent.repartition(_tasks(pair_buckets + word_buckets), "kind", "bucket")
     return materialize(sent.groupBy("kind", "bucket").applyInArrow(add, _ANSWERS), "answers")
 
 
 _COUNTED = "held array<boolean>, n_bytes array<bigint>, ends array<bigint>, codes binary, hashes binary, shapes binary, c binary, after binary, rare binary, " + SUM_SCHEMA
 
 
+def _tasks(groups: int) -> int:
+    return max(1, -(-groups // 4))
+
+
 def with_counts(chunks: DataFrame, answers: DataFrame) -> DataFrame:
     """The chunk table with what the corpus says, and what the predictors' tables count; written down.
 
@@ -487,8 +492,9 @@ def with_counts(chunks: DataFrame, answers: DataFrame) -> DataFrame:
     ``rare``, the words that training has once or never. Rows with ``name`` are the
     sums of a task for :func:`tree_sum`.
     """
-    mine = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("kind", "bucket", "totals"))).alias("answers"))
-    rows = chunks.join(mine, "chunk").select("ids", "held", "n_bytes", "ends", "words", "codes", "answers")
+    tasks = _tasks(chunks.count())  # so that a task's share stays the same, however many chunks there are
+    mine = answers.repartition(tasks, "chunk").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("kind", "bucket", "totals"))).alias("answers"))
+    rows = chunks.repartition(tasks, "chunk").join(mine.hint("merge"), "chunk").select("ids", "held", "n_bytes", "ends", "words", "codes", "answers")
     schema = T.StructType([rows.schema[0], *T._parse_datatype_string(_COUNTED).fields])
     arrow = to_arrow_schema(schema)
 
