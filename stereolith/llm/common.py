@@ -42,8 +42,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     and both passes of a two-pass operator see the same rows in the same parts.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/stereolith/{tag}-{uuid.uuid4().hex}"
-    _kept.add(path)
+    path = new_folder(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return tied(spark.read.schema(df.schema).parquet(path), path)
 
@@ -51,6 +50,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 _kept: set[str] = set()  # folders of tables that have not been released
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """The name of a folder in the shared one, for a table to be written there."""
+    path = f"{work_dir(spark)}/stereolith/{tag}-{uuid.uuid4().hex}"
+    _kept.add(path)
+    return path
+
+
 def tied(df: DataFrame, *owners: str | DataFrame) -> DataFrame:
     """``df``, which reads the folders of ``owners``: :func:`release` of it deletes them."""
     df._folders = [f for o in owners for f in ([o] if isinstance(o, str) else getattr(o, "_folders", []))]

@@ -11,7 +11,6 @@ scored exactly. Queries come in blocks of a fixed number of bytes, each scanned
 from __future__ import annotations
 
 import copy
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, release, tied, work_dir
+from .common import materialize, new_folder, release, tied
 
 QUERY_BYTES = 16 << 20  # of query vectors that one scan answers and every executor gets
 SEEDS = 4096  # longest vectors that give each query its first threshold
@@ -136,7 +135,7 @@ def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
         raise ValueError("inner products of these vectors go past what doubles hold exactly")
     block_rows = max(1, QUERY_BYTES // (8 * max(1, width)))
     out = T.StructType([T.StructField("at", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
-    path = f"{work_dir(spark)}/stereolith/topk-{uuid.uuid4().hex}"
+    path = new_folder(spark, "topk")
     spark.createDataFrame([], out).write.parquet(path)
     rotation = _rotation(rows, width)
     longest = rows.orderBy(F.col("length").desc(), "id").select("id", "v").limit(SEEDS).toArrow() if width else None

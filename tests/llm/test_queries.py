@@ -99,7 +99,9 @@ def test_clashing_names(spark, tmp_path):
 def test_nothing_stays_once_released(spark, tables):
     path, _ = tables
     common.release_all(spark)
-    for name in ("op1_packing", "op2_scoring", "op3_private", "op5_media", "op7_simhash", "op10_sharding"):
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(200)], "vec_id long, embedding array<float>")
+    vectors.write.mode("overwrite").parquet(path + "/embeddings.parquet")
+    for name in ("op1_packing", "op2_scoring", "op3_private", "op4_topk", "op5_media", "op7_simhash", "op10_sharding"):
         queries.QUERIES[name](spark, path).collect()
     corpus_pipeline.run(spark, path).collect()
     folder = Path(re.sub("^file:/*", "/", common.work_dir(spark))) / "stereolith"
