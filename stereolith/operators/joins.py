@@ -6,6 +6,9 @@ it, so that Spark shuffles on a key instead of comparing all pairs.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,45 +76,84 @@ def same_type_others(objects: DataFrame, *, key: str, kind: str) -> DataFrame:
     return objects.join(objects.select(F.col(key).alias("other"), F.col(kind)), kind).where(F.col(key) != F.col("other"))
 
 
-def nearest(queries: DataFrame, points: DataFrame, *, query: str, point: str, coordinates: tuple[tuple[str, str], ...], cell: float, reach: float, least: float = 1e-4) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, *, query: str, point: str, coordinates: tuple[tuple[str, str], ...], cell: float, reach: float, least: float = 1e-4, crowd: int = 64) -> DataFrame:
     """Each query's nearest point, farther than ``least``: ``query``, ``point``, ``distance``.
 
     ``coordinates`` pairs a query's columns with a point's. The first two are cut
     into cells; a query looks into those that its reach touches. Queries that find none
     look again four times as far, until the points' whole extent has been seen. Ties go to the smaller point.
+
+    Points at one place count once, as do queries. Where a cell holds more than ``crowd`` places, the first
+    look is at smaller cells, so crowded regions are settled before wider looks. A row without finite coordinates takes no part.
     """
     if cell <= 0 or reach <= 0:
         raise ValueError("cell and reach must be positive")
-    axes = [(F.col(q), F.col(p)) for q, p in coordinates]
-    spans = [queries.agg(*[f(q) for q, _ in axes for f in (F.min, F.max)]).first(), points.agg(*[f(p) for _, p in axes for f in (F.min, F.max)]).first()]
+    if any(name.startswith("__") for name in (query, point)):
+        raise ValueError("names that begin with two underscores are taken")
+    at = [f"__x{i}" for i in range(len(coordinates))]
+    to = [f"__y{i}" for i in range(len(coordinates))]
+    asked = queries.select(F.col(query).alias("__query"), *[F.col(q).cast("double").alias(n) for (q, _), n in zip(coordinates, at)]).where(_finite(at))
+    places = points.select(F.col(point).alias("__point"), *[F.col(p).cast("double").alias(n) for (_, p), n in zip(coordinates, to)]).where(_finite(to))
+    places = _cut(places.groupBy(*to).agg(F.min("__point").alias("__point")))
+    sites = _cut(asked.select(*at).distinct())
+    spans = [df.agg(*[f(c) for c in names for f in (F.min, F.max)]).first() for df, names in ((sites, at), (places, to))]
     if any(x is None for r in spans for x in r):
         extent = 0.0
     else:
-        extent = sum((max(r[2 * i + 1] for r in spans) - min(r[2 * i] for r in spans)) ** 2 for i in range(len(axes))) ** 0.5
-    left = queries
-    now = found = _nearest_within(left, points, query, point, coordinates, cell, reach, least)
-    while reach < extent:
-        left = left.join(now.select(query), query, "left_anti")
-        if left.isEmpty():
+        extent = sum((max(r[2 * i + 1] for r in spans) - min(r[2 * i] for r in spans)) ** 2 for i in range(len(at))) ** 0.5
+    while cell > extent / (1 << 24) > 0:
+        full = places.groupBy(*[_bucket(F.col(c), cell).alias(c) for c in to[:2]]).count().agg(F.max("count")).first()[0]
+        if full <= crowd:
+            break
+        cell, reach = cell / 4, reach / 4
+    left, n = sites, sites.count()
+    found = None
+    while n:
+        now = _cut(_nearest_within(left, places, at, to, cell, reach, least))
+        found = now if found is None else found.unionByName(now)
+        n -= now.count()
+        if reach >= extent:
             break
+        left = left.join(now.select(*at), at, "left_anti")
         cell, reach = cell * 4, reach * 4
-        now = _nearest_within(left, points, query, point, coordinates, cell, reach, least)
-        found = found.unionByName(now)
-    return found
-
-
-def _nearest_within(queries: DataFrame, points: DataFrame, query: str, point: str, coordinates: tuple[tuple[str, str], ...], cell: float, reach: float, least: float) -> DataFrame:
-    seen = queries
-    for i, (q, _) in enumerate(coordinates[:2]):
+    if found is None:
+        found = _nearest_within(sites, places, at, to, cell, reach, least)
+    return asked.join(found, at).select(F.col("__query").alias(query), F.col("__point").alias(point), F.col("__distance").alias("distance"))
+
+
+def _finite(names: list[str]) -> Column:
+    ok = F.lit(True)
+    for n in names:
+        ok = ok & (F.abs(F.col(n)) < float("inf"))
+    return ok
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` written once in the cluster's folder for checkpoints, so that what reads it does not start over."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="stereolith-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def _nearest_within(sites: DataFrame, places: DataFrame, at: list[str], to: list[str], cell: float, reach: float, least: float) -> DataFrame:
+    seen = sites
+    for i, q in enumerate(at[:2]):
         seen = seen.withColumn(f"__c{i}", F.explode(F.sequence(_bucket(F.col(q) - reach, cell), _bucket(F.col(q) + reach, cell))))
-    placed = points
-    for i, (_, p) in enumerate(coordinates[:2]):
+    placed = places
+    for i, p in enumerate(to[:2]):
         placed = placed.withColumn(f"__c{i}", _bucket(F.col(p), cell))
-    cells = [f"__c{i}" for i in range(len(coordinates[:2]))]
-    square = sum(((F.col(q) - F.col(p)) ** 2 for q, p in coordinates[1:]), (F.col(coordinates[0][0]) - F.col(coordinates[0][1])) ** 2)
-    pairs = seen.join(placed, cells).withColumn("distance", F.sqrt(square)).where((F.col("distance") > least) & (F.col("distance") <= reach))
-    best = F.min(F.struct("distance", point)).alias("m")
-    return pairs.groupBy(query).agg(best).select(query, F.col(f"m.{point}").alias(point), F.col("m.distance").alias("distance"))
+    cells = [f"__c{i}" for i in range(len(at[:2]))]
+    square = sum(((F.col(q) - F.col(p)) ** 2 for q, p in zip(at[1:], to[1:])), (F.col(at[0]) - F.col(to[0])) ** 2)
+    pairs = seen.join(placed, cells).withColumn("__distance", F.sqrt(square)).where((F.col("__distance") > least) & (F.col("__distance") <= reach))
+    best = F.min(F.struct("__distance", "__point")).alias("m")
+    return pairs.groupBy(*at).agg(best).select(*at, F.col("m.__point").alias("__point"), F.col("m.__distance").alias("__distance"))
 
 
 def nearest_vector(vectors: DataFrame, queries: DataFrame, *, key: str, vector: str, least: float = 1e-4, block_bytes: int = 16 << 20) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from stereolith.functions import geometry, text, timecode
@@ -85,6 +87,23 @@ def test_nearest_looks_farther_until_it_finds(spark):
     assert joins.nearest(q, p.limit(0), query="q", point="p", coordinates=(("qx", "x"), ("qy", "y")), cell=2.0, reach=3.0).count() == 0
 
 
+def test_nearest_point_in_crowds(spark):
+    rng = np.random.default_rng(5)
+    spots = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.round(np.concatenate([rng.normal(0, 0.05, (400, 2)), rng.uniform(-90, 90, (40, 2))]), 3))]
+    copies = [(1000 + i, 0.01, 0.01) for i in range(300)] + [(2000, None, 1.0), (2001, float("nan"), 1.0), (2002, float("inf"), 1.0)]
+    p = spark.createDataFrame(spots + copies, "p long, x double, y double")
+    asked = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.round(np.concatenate([rng.normal(0, 0.05, (80, 2)), rng.uniform(-300, 300, (20, 2)), np.zeros((50, 2)) + 0.01]), 3))] + [(900, None, 0.0)]
+    q = spark.createDataFrame(asked, "q long, qx double, qy double")
+    found = joins.nearest(q, p, query="q", point="p", coordinates=(("qx", "x"), ("qy", "y")), cell=1.0, reach=1.0, crowd=8).collect()
+    every = [r for r in spots + copies if r[1] is not None and math.isfinite(r[1])]
+    want = {}
+    for k, x, y in asked[:-1]:
+        far = [(math.sqrt((x - px) ** 2 + (y - py) ** 2), n) for n, px, py in every]
+        want[k] = min(f for f in far if f[0] > 1e-4)
+    assert {r.q: r.p for r in found} == {k: n for k, (_, n) in want.items()}
+    assert all(abs(r.distance - want[r.q][0]) < 1e-9 for r in found)
+
+
 def test_parallel_lines_meet_nowhere(spark):
     rows = [("a", 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), ("a", 1.0, 0.0, 0.0, 1.0, 0.0, 1.0), ("b", 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)]
     df = spark.createDataFrame(rows, "g string, a double, b double, c double, d double, e double, f double")
