@@ -176,3 +176,28 @@ def rectangle(ax: Column, ay: Column, bx: Column, by: Column, height: Column) ->
 def label_angle(dx: Column, dy: Column) -> Column:
     """The angle, in degrees, at which a label along a line isn't upside down."""
     return F.when(dx == 0, F.lit(90.0)).otherwise(F.degrees(F.atan(dy / F.nullif(dx, F.lit(0.0)))))
+
+
+def plane_points(axes: str, depth: Column) -> tuple[Vector, Vector, Vector]:
+    """Three points that span the plane at ``depth``: its origin and a step along each of its axes, z first where it has that, else x."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    first = "z" if "z" in AXES[axes][:2] else "x"
+    steps = ((one, zero), (zero, one)) if AXES[axes][0] == first else ((zero, one), (one, zero))
+    return tuple(to_space(axes, h, v, depth) for h, v in ((zero, zero), *steps))
+
+
+def line_samples(a: Vector, b: Vector, width: float, height: float, step: float, pad: float = 0.0) -> Column:
+    """Samples of the line through two screen points, every ``step`` in x and every ``step`` in y, inside the padded frame.
+
+    An array of ``struct<x, y>`` by descending x (then y). An upright line has only the samples in y, a level one only
+    those in x; a line without direction has none.
+    """
+    dx, dy = b[0] - a[0], b[1] - a[1]
+
+    def along(size: float, start: Column, way: Column) -> Column:
+        count = int((size + 2 * pad) // step)
+        return F.when(way != 0, F.transform(F.sequence(F.lit(0), F.lit(count)), lambda i: (F.lit(-pad) + i * F.lit(step) - start) / way)).otherwise(F.array().cast("array<double>"))
+
+    places = F.transform(F.concat(along(width, a[0], dx), along(height, a[1], dy)), lambda t: F.struct((a[0] + t * dx).alias("x"), (a[1] + t * dy).alias("y")))
+    inside = F.filter(places, lambda p: p["x"].between(-pad - 1e-9, width + pad + 1e-9) & p["y"].between(-pad - 1e-9, height + pad + 1e-9))
+    return F.reverse(F.array_sort(inside))

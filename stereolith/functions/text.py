@@ -29,12 +29,53 @@ def label(kind: Column, index: Column, name: Column) -> Column:
 def label_with_notes(kind: Column, index: Column, name: Column, notes: Column) -> Column:
     """As :func:`label`, with the notes of a named item after it."""
     named = name.isNotNull() & (name != "") & notes.isNotNull() & (notes != "")
-    return F.concat(label(kind, index, name), F.when(named, F.concat(F.lit(": "), notes)).otherwise(""))
+    return F.concat(label(kind, index, name), F.when(named, F.concat(F.lit(" (Notes: "), notes, F.lit(")"))).otherwise(""))
+
+
+def number(value: Column, digits: int) -> Column:
+    """A number with at most ``digits`` digits after the point, without zeros at the end."""
+    fixed = F.format_string(f"%.{digits}f", value.cast("double"))
+    return F.when(value.isNotNull(), F.regexp_replace(F.regexp_replace(fixed, r"(\.\d*?)0+$", "$1"), r"\.$", ""))
 
 
 def measure(value: Column, multiplier: Column, digits: int, unit: Column) -> Column:
-    """A length or speed in the type's unit, rounded."""
-    return F.concat(F.round(value * multiplier, digits).cast("string"), F.lit(" "), unit)
+    """A length or speed in the type's unit, with at most ``digits`` digits after the point."""
+    return F.concat(number(value * multiplier, digits), F.lit(" "), unit)
+
+
+def pair(x: Column, y: Column, digits: int) -> Column:
+    """Two coordinates as ``{x,y}`` with a fixed number of digits."""
+    return F.format_string(f"{{%.{digits}f,%.{digits}f}}", x.cast("double"), y.cast("double"))
+
+
+def screen_point_cell(clip: Column, screen: tuple[Column, Column], ideal: tuple[Column, Column], front: tuple[Column, Column], back: tuple[Column, Column], digits: int = 15) -> Column:
+    """A screen point as it stands in one cell of an export; a coordinate that is missing stays empty."""
+
+    def braces(p: tuple[Column, Column]) -> Column:
+        return F.concat(F.lit("{"), *[c for i, v in enumerate(p) for c in ((F.lit(","),) if i else ()) + (F.coalesce(number(v, digits), F.lit("")),)], F.lit("}"))
+
+    return F.concat(clip, F.lit(": screen="), braces(screen), F.lit(" undistorted="), braces(ideal), F.lit(" calibrationFrameFront="), braces(front), F.lit(" calibrationFrameBack="), braces(back))
+
+
+def resolution(width: Column, height: Column) -> Column:
+    return F.concat(width.cast("int").cast("string"), F.lit("x"), height.cast("int").cast("string"))
+
+
+def annotation(notes: Column, has_timer: Column, elapsed: Column) -> Column:
+    """An annotation's text, with the time code of what has elapsed on a line of its own if it has a timer."""
+    return F.concat(F.coalesce(notes, F.lit("")), F.when(F.coalesce(has_timer, F.lit(False)), F.concat(F.lit("\n"), elapsed)).otherwise(""))
+
+
+def capture_name(project: Column, time: Column, custom: Column, clip: Column, extension: str) -> Column:
+    """The file name of a capture: project, time in brackets, own text and clip, each left out where null or empty."""
+    times = F.when(time.isNotNull() & (time != ""), F.concat(F.lit("("), readable_time(time), F.lit(")")))
+    return F.concat(join_parts(project, times, custom, clip), F.lit(f".{extension}"))
+
+
+def portrait_name(project: Column, kind: Column, index: Column, name: Column, clip: Column, time: Column) -> Column:
+    """The path of a portrait below the folder for stills."""
+    safe = readable_time(project)
+    return F.concat(safe, F.lit(" Portraits/"), label(kind, index, name), F.lit(" from "), safe, F.lit(" ("), clip, F.lit(") at "), readable_time(time), F.lit(".jpg"))
 
 
 def rate_description(rate: Column) -> Column:

@@ -102,3 +102,13 @@ def frame_count(duration: Column, frame: Column) -> Column:
 def scrubber_ticks(duration: Column) -> Column:
     """A tick for each minute, and one for the start."""
     return F.round(duration / 60).cast("long") + 1
+
+
+def replay(now: Column, duration: Column) -> Column:
+    """``struct<start, stop>`` of a replay: it goes back by a duration and plays forward to now."""
+    return F.struct((now - duration).alias("start"), now.alias("stop"))
+
+
+def go_to(bookmark: Column, now: Column) -> Column:
+    """The time after going to a bookmark; one that isn't set leaves it as it is."""
+    return F.coalesce(bookmark, now)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import timecode
+
 
 def add_links(bridge: DataFrame, links: DataFrame) -> DataFrame:
     """The links of both, each once."""
@@ -162,3 +164,28 @@ def relocate(clips: DataFrame, where: Column, path: Column, is_valid: Column, *,
 def lock_sync(clips: DataFrame, master_time: float, *, clip_time: str, where: Column, offset: str = "sync_offset", locked: str = "sync_is_locked") -> DataFrame:
     """Locks clips at what they show now: the offset is the master's time less the clip's."""
     return clips.withColumn(offset, F.when(where, master_time - F.col(clip_time)).otherwise(F.col(offset))).withColumn(locked, F.when(where, F.lit(True)).otherwise(F.col(locked)))
+
+
+def set_values(rows: DataFrame, where: Column, **values: Column) -> DataFrame:
+    """Gives the chosen rows new values, such as a project's calibration time or the start and end of a capture."""
+    return rows.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def nudge_shown(df: DataFrame, where: Column, now: Column, dx: float, dy: float, *, t: str, x: str = "screen_x", y: str = "screen_y", by: float = 0.3) -> DataFrame:
+    """Moves the chosen screen points that were made at the time shown now; others stay."""
+    return nudge(df, where & timecode.same_time(F.col(t), now), dx, dy, x=x, y=y, by=by)
+
+
+def change_screen_points(points: DataFrame, before: DataFrame, after: DataFrame, *, point: str, solved: tuple[str, ...]) -> DataFrame:
+    """The points after their screen points changed from ``before`` to ``after``.
+
+    A point without a screen point goes. Of one whose screen points differ, what was solved is null until it is solved
+    again; others keep it.
+    """
+    columns = [c for c in before.columns if c != point]
+    state = [F.array_sort(F.collect_list(F.struct(*columns))).alias("s")]
+    old = before.groupBy(point).agg(*state).withColumnRenamed("s", "__old")
+    new = after.groupBy(point).agg(*state).withColumnRenamed("s", "__new")
+    joined = points.join(new, point).join(old, point, "left")
+    same = F.col("__old").eqNullSafe(F.col("__new"))
+    return joined.withColumns({c: F.when(same, F.col(c)) for c in solved}).select(*points.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import timecode
+from ..functions import text, timecode
 
 
 def the_only(df: DataFrame) -> DataFrame | None:
@@ -74,11 +74,26 @@ def samples_by_x(x: Column, y: Column) -> Column:
     return F.reverse(F.array_sort(both))
 
 
+def _texts(points: DataFrame, point: str, clip: str, shown: Column, name: str) -> DataFrame:
+    """Each point's texts ``shown`` one after another, by the clip's name; those that are null are left out."""
+    own = F.struct(F.col(clip), shown.alias("shown"))
+    return points.groupBy(point).agg(F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda p: p["shown"]), "").alias(name))
+
+
 def screen_points_text(points: DataFrame, *, point: str, clip: str, x: str, y: str, digits: int = 2) -> DataFrame:
-    """Each point's screen points as text, ``clip: (x, y)`` by the clip's name."""
-    form = f"%s: (%.{digits}f, %.{digits}f)"
-    own = F.struct(F.col(clip), F.col(x), F.col(y), F.format_string(form, F.col(clip), F.col(x).cast("double"), F.col(y).cast("double")).alias("shown"))
-    return points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(point).agg(F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda p: p["shown"]), "; ").alias("screen_points"))
+    """Each point's screen points as text, ``clip: {x,y}`` and three blanks, by the clip's name."""
+    known = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return _texts(known, point, clip, F.concat(F.col(clip), F.lit(": "), text.pair(F.col(x), F.col(y), digits), F.lit("   ")), "screen_points")
+
+
+def frame_points_text(points: DataFrame, *, point: str, clip: str, front: tuple[str, str], back: tuple[str, str], has_front: Column, has_back: Column, digits: int = 4) -> DataFrame:
+    """Each point's coordinates on the frame's planes as text, by the clip's name; of each clip the planes that are calibrated."""
+
+    def side(word: str, at: tuple[str, str], ok: Column) -> Column:
+        shown = F.concat(F.col(clip), F.lit(f"{word}: "), text.pair(F.col(at[0]), F.col(at[1]), digits), F.lit("   "))
+        return F.when(ok, F.coalesce(shown, F.lit(""))).otherwise("")
+
+    return _texts(points, point, clip, F.concat(side("Front", front, has_front), side("Back", back, has_back)), "frame_points")
 
 
 def measured_points(points: DataFrame, *, order: tuple[str, ...], shown: dict[str, Column]) -> DataFrame:

@@ -11,12 +11,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry, text, timecode
 from .operators import aggregates, changes, joins, selection, sequences, solvers
-from .plans import measure
+from .plans import measure, reports
 from .sources import exports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -855,7 +855,7 @@ def o7_samples_by_x(spark, d):
     return ordered.select("o_custkey", F.col("s")[0]["x"].alias("first_x"), F.element_at("s", -1)["x"].alias("last_x"))
 
 
-@query("SELECT l_orderkey, string_agg(format('{}: ({:.2f}, {:.2f})', l_linenumber, l_quantity, l_discount), '; ' ORDER BY l_linenumber, l_quantity, l_discount) AS screen_points FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, string_agg(shown, '' ORDER BY l_linenumber, shown) AS screen_points FROM (SELECT l_orderkey, l_linenumber, format('{}: {{{:.2f},{:.2f}}}   ', l_linenumber, l_quantity, l_discount) AS shown FROM lineitem) GROUP BY 1")
 def p12_screen_points(spark, d):
     lines = table(spark, d, "lineitem").withColumn("clip", F.col("l_linenumber").cast("string"))
     return selection.screen_points_text(lines, point="l_orderkey", clip="clip", x="l_quantity", y="l_discount")
@@ -920,7 +920,7 @@ def t12_visible_range(spark, d):
     return p.select("event_id", *[r6(F.col("v")[c], c) for c in ("start", "fade_start", "end")], timecode.has_stopped(F.col("t"), stop, F.lit(1.0)).alias("stopped_forward"), timecode.has_stopped(F.col("t"), stop, F.lit(-1.0)).alias("stopped_back"))
 
 
-@query("SELECT o_orderkey, n_name || ' ' || c_custkey || CASE WHEN c_mktsegment <> 'BUILDING' THEN ' (' || c_name || '): ' || o_orderpriority ELSE '' END AS label FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+@query("SELECT o_orderkey, n_name || ' ' || c_custkey || CASE WHEN c_mktsegment <> 'BUILDING' THEN ' (' || c_name || ') (Notes: ' || o_orderpriority || ')' ELSE '' END AS label FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def p10_labels_with_notes(spark, d):
     both = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     name = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_name"))
@@ -942,3 +942,231 @@ def k1_measured_points(spark, d):
     rows = orders.withColumn("event", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))).withColumn("o_clerk", F.col("c_name"))
     rows = rows.withColumn("x", F.when(F.round("o_totalprice", 3) > 1000, F.round("o_totalprice", 3))).withColumn("y", F.round(F.col("o_totalprice") / 2, 3))
     return selection.measured_points(rows, order=("o_clerk", "event"), shown={"x": F.col("x"), "y": F.col("y")})
+
+
+# Exports, their texts, and what else the inventory has
+
+
+def _number(x: str, digits: int = 2) -> str:
+    """The SQL of :func:`text.number`."""
+    return f"regexp_replace(regexp_replace(format('{{:.{digits}f}}', CAST({x} AS DOUBLE)), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
+
+
+_OBJECT_LABELS = """(SELECT event_id, string_agg(n_name || ' ' || s_suppkey || ' (' || s_name || ')', ', ' ORDER BY n_name, s_suppkey) AS objects
+FROM (SELECT DISTINCT l_orderkey AS event_id, l_suppkey FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)"""
+
+
+def _project(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as events, suppliers as objects, and which event has which."""
+    orders = table(spark, d, "orders")
+    failed = F.col("o_orderstatus") == "F"
+    events = orders.select(F.col("o_orderkey").alias("event_id"), F.col("o_orderpriority").alias("type"), F.col("o_custkey").alias("index"), F.when(failed, F.col("o_orderstatus")).alias("name"), F.concat("o_orderstatus", F.lit("!")).alias("notes"), (F.col("o_custkey") % 3).alias("length_labeled"))
+    bridge = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("object_id")).distinct()
+    objects = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("object_id"), F.col("n_name").alias("type"), F.col("s_suppkey").alias("index"), F.col("s_name").alias("name"))
+    return events, bridge, objects
+
+
+_CELL = f"l_returnflag || ': screen={{' || {_number('l_quantity')} || ',' || {_number('l_discount')} || '}} undistorted={{' || {_number('l_discount')} || ',' || {_number('l_tax')} || '}} calibrationFrameFront={{' || {_number('l_tax')} || ',' || {_number('l_quantity')} || '}} calibrationFrameBack={{,' || {_number('l_tax')} || '}}'"
+
+
+def _cell() -> Column:
+    q, discount, tax = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
+    return text.screen_point_cell(F.col("l_returnflag"), (q, discount), (discount, tax), (tax, q), (F.lit(None).cast("double"), tax), digits=2)
+
+
+@query(f"""WITH o AS {_OBJECT_LABELS}, c AS (SELECT l_orderkey AS event_id, l_linenumber AS i, string_agg(cell, ' ' ORDER BY l_returnflag, cell) AS screen_coordinates FROM (SELECT l_orderkey, l_linenumber, l_returnflag, {_CELL} AS cell FROM lineitem) GROUP BY 1, 2)
+SELECT l_orderkey AS event_id, l_linenumber AS "index", objects, o_orderpriority || ' ' || o_custkey || CASE WHEN o_orderstatus = 'F' THEN ' (F) (Notes: F!)' ELSE '' END AS event, '0:00:0' || l_linenumber || '.300/600' AS timecode, CAST(l_linenumber + 0.5 AS DOUBLE) AS "time",
+l_quantity AS x, l_discount AS y, l_tax AS z, l_extendedprice AS pld_error, l_discount AS reprojection_error, l_tax AS nearest_camera_distance, screen_coordinates
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN o ON o.event_id = l_orderkey JOIN c ON c.event_id = l_orderkey AND c.i = l_linenumber WHERE l_quantity < 45""")
+def p1_point_rows(spark, d):
+    events, bridge, objects = _project(spark, d)
+    lines = table(spark, d, "lineitem").select("*", F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("index"))
+    code = F.concat(F.lit("0:00:0"), F.col("l_linenumber").cast("string"), F.lit(".300/600"))
+    measured = lines.select("event_id", "index", code.alias("timecode"), F.when(F.col("l_quantity") < 45, F.col("l_quantity")).alias("x"), F.col("l_discount").alias("y"), F.col("l_tax").alias("z"), F.col("l_extendedprice").alias("pld_error"), F.col("l_discount").alias("reprojection_error"), F.col("l_tax").alias("nearest_camera_distance"))
+    cells = lines.select("event_id", "index", F.col("l_returnflag").alias("clip"), _cell().alias("cell"))
+    return reports.point_rows(measured, events, bridge, objects, cells)
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_CELL} AS cell FROM lineitem")
+def p8_screen_point_cells(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", _cell().alias("cell"))
+
+
+@query(f"""WITH o AS {_OBJECT_LABELS} SELECT l_orderkey AS event_id, l_linenumber AS "index", objects AS object, o_orderpriority || ' ' || o_custkey || CASE WHEN o_orderstatus = 'F' THEN ' (F)' ELSE '' END AS event, l_extendedprice AS length, l_tax AS speed
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN o ON o.event_id = l_orderkey WHERE o_custkey % 3 <> 0""")
+def k3_line_rows(spark, d):
+    events, bridge, objects = _project(spark, d)
+    segments = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("index"), F.col("l_extendedprice").alias("length"), F.col("l_tax").alias("speed"))
+    return reports.line_rows(segments, events, bridge, objects)
+
+
+@query("""WITH b AS (SELECT s_nationkey AS n, s_suppkey AS e FROM supplier UNION ALL SELECT (s_nationkey + 1) % 25, s_suppkey FROM supplier), be AS (SELECT n_regionkey AS r, e FROM b JOIN nation ON n_nationkey = n),
+p AS (SELECT c_custkey AS c, c_custkey % 7 + 1 AS e FROM customer),
+ev AS (SELECT r, count(*) AS events, sum((SELECT count(*) FROM b b2 WHERE b2.e = be.e)) AS short FROM be GROUP BY 1), pt AS (SELECT r, count(*) AS points FROM be JOIN p USING (e) GROUP BY 1),
+sp AS (SELECT r, count(*) AS screenpoints, sum(o_orderkey) AS keys FROM be JOIN p USING (e) JOIN orders ON o_custkey = c GROUP BY 1),
+cl AS (SELECT p_partkey % 5 AS r, count(*) AS clips FROM part GROUP BY 1), an AS (SELECT l_partkey % 5 AS r, count(*) AS annotations FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1)
+SELECT r_regionkey AS project_id, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS objects, coalesce(events, 0) AS events, CAST(coalesce(short, 0) AS BIGINT) AS short, coalesce(points, 0) AS points, coalesce(screenpoints, 0) AS screenpoints, CAST(coalesce(keys, 0) AS BIGINT) AS keys, coalesce(clips, 0) AS clips, coalesce(annotations, 0) AS annotations
+FROM region LEFT JOIN ev ON ev.r = r_regionkey LEFT JOIN pt ON pt.r = r_regionkey LEFT JOIN sp ON sp.r = r_regionkey LEFT JOIN cl ON cl.r = r_regionkey LEFT JOIN an ON an.r = r_regionkey""")
+def k4_project_documents(spark, d):
+    """Projects as nested documents, shown by how much each level holds."""
+    supplier = table(spark, d, "supplier")
+    bridge = supplier.select(F.col("s_nationkey").alias("object_id"), F.col("s_suppkey").alias("event_id")).unionByName(supplier.select(((F.col("s_nationkey") + 1) % 25).alias("object_id"), F.col("s_suppkey").alias("event_id")))
+    whole = reports.project_documents(
+        table(spark, d, "region").select(F.col("r_regionkey").alias("project_id"), F.col("r_name").alias("name")),
+        table(spark, d, "nation").select(F.col("n_nationkey").alias("object_id"), F.col("n_regionkey").alias("project_id"), F.col("n_name").alias("type"), F.col("n_nationkey").alias("index")),
+        supplier.select(F.col("s_suppkey").alias("event_id"), F.col("s_suppkey").alias("index"), F.col("s_name").alias("name")),
+        bridge,
+        table(spark, d, "customer").select(F.col("c_custkey").alias("point_id"), (F.col("c_custkey") % 7 + 1).alias("event_id"), F.col("c_custkey").alias("index")),
+        table(spark, d, "orders").select(F.col("o_custkey").alias("point_id"), F.col("o_orderpriority").alias("clip"), F.col("o_orderkey").alias("key")),
+        table(spark, d, "part").select(F.col("p_partkey").alias("clip_id"), (F.col("p_partkey") % 5).cast("int").alias("project_id"), F.col("p_name").alias("name")),
+        table(spark, d, "lineitem").select(F.col("l_partkey").alias("clip_id"), F.col("l_linenumber").alias("timecode")),
+    )
+    events = F.flatten(F.transform("objects", lambda o: o["events"]))
+    shot = F.flatten(F.transform(events, lambda e: e["points"]))
+    shots = F.flatten(F.transform(shot, lambda p: p["screenpoints"]))
+    return whole.select(
+        "project_id", F.size("objects").cast("long").alias("objects"), F.size(events).cast("long").alias("events"), F.size(F.flatten(F.transform(events, lambda e: e["objects"]))).cast("long").alias("short"), F.size(shot).cast("long").alias("points"),
+        F.size(shots).cast("long").alias("screenpoints"), F.aggregate(shots, F.lit(0).cast("long"), lambda a, x: a + x["key"]).alias("keys"),
+        F.size("videoClips").cast("long").alias("clips"), F.size(F.flatten(F.transform("videoClips", lambda c: c["annotations"]))).cast("long").alias("annotations"),
+    )
+
+
+@query("""SELECT l_orderkey, string_agg(shown, '' ORDER BY l_linenumber, shown) AS frame_points FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'A' THEN format('{}Front: {{{:.4f},{:.4f}}}   ', l_linenumber, l_tax, l_discount) ELSE '' END
+|| CASE WHEN l_linestatus = 'O' THEN format('{}Back: {{{:.4f},{:.4f}}}   ', l_linenumber, l_discount, l_tax) ELSE '' END AS shown FROM lineitem) GROUP BY 1""")
+def p13_frame_points(spark, d):
+    lines = table(spark, d, "lineitem").withColumn("clip", F.col("l_linenumber").cast("string"))
+    return selection.frame_points_text(lines, point="l_orderkey", clip="clip", front=("l_tax", "l_discount"), back=("l_discount", "l_tax"), has_front=F.col("l_returnflag") != "A", has_back=F.col("l_linestatus") == "O")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_number('l_discount * 10')} || ' mm' AS length, {_number('l_quantity', 1)} || ' m/s' AS speed FROM lineitem")
+def p15_measures(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.measure(F.col("l_discount"), F.lit(10), 2, F.lit("mm")).alias("length"), text.measure(F.col("l_quantity"), F.lit(1), 1, F.lit("m/s")).alias("speed"))
+
+
+@query("SELECT p_partkey, p_size || 'x' || CAST(floor(p_retailprice) AS INT) AS resolution FROM part")
+def p18_resolution(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.resolution(F.col("p_size"), F.floor("p_retailprice")).alias("resolution"))
+
+
+@query("""SELECT event_id, event_type || CASE WHEN user_id % 2 = 0 THEN chr(10) || printf('%d:%02d:%02d.%d/%d', k // 600 // 3600, k // 600 // 60 % 60, k // 600 % 60, k % 600, 600) ELSE '' END AS shown FROM (SELECT *, CAST(event_id * 3777 AS BIGINT) AS k FROM events)""")
+def t10_annotation_timer(spark, d):
+    elapsed = timecode.render(F.col("event_id") * 3777, F.lit(600))
+    return points(spark, d).select("event_id", text.annotation(F.col("event_type"), F.col("user_id") % 2 == 0, elapsed).alias("shown"))
+
+
+@query("SELECT event_id, CAST(round(event_id * 1000 / 24.0) AS BIGINT) AS ticks FROM events")
+def t5_master_time(spark, d):
+    """The current time, of a clip of 24 frames a second, on a master's timescale of 1000."""
+    return points(spark, d).select("event_id", timecode.rescale(F.col("event_id"), F.lit(24), F.lit(1000)).alias("ticks"))
+
+
+@query("SELECT c_custkey, c_mktsegment || ' - ' || CASE WHEN c_custkey % 2 = 0 THEN '(0-00-0' || c_nationkey % 10 || '.0+600) - ' ELSE '' END || c_name || '.jpg' AS name FROM customer")
+def k15_capture_names(spark, d):
+    code = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("0:00:0"), (F.col("c_nationkey") % 10).cast("string"), F.lit(".0/600")))
+    return table(spark, d, "customer").select("c_custkey", text.capture_name(F.col("c_mktsegment"), code, F.lit(""), F.col("c_name"), "jpg").alias("name"))
+
+
+@query("SELECT c_custkey, 'A-B+C Portraits/' || c_mktsegment || ' ' || c_custkey || CASE WHEN c_nationkey > 9 THEN ' (' || c_name || ')' ELSE '' END || ' from A-B+C (' || c_nationkey || ') at 0-00-01.0+600.jpg' AS name FROM customer")
+def k12_portrait_names(spark, d):
+    name = F.when(F.col("c_nationkey") > 9, F.col("c_name")).otherwise("")
+    return table(spark, d, "customer").select("c_custkey", text.portrait_name(F.lit("A:B/C"), F.col("c_mktsegment"), F.col("c_custkey"), name, F.col("c_nationkey").cast("string"), F.lit("0:00:01.0/600")).alias("name"))
+
+
+@query("""WITH n AS (SELECT n_nationkey, CAST(n_nationkey AS DOUBLE) AS d FROM nation), p AS (SELECT n_nationkey, 'x' AS axis, d AS x0, 0 AS y0, 0 AS z0, d AS x1, 0 AS y1, 1 AS z1, d AS x2, 1 AS y2, 0 AS z2 FROM n
+UNION ALL SELECT n_nationkey, 'y', 0, d, 0, 0, d, 1, 1, d, 0 FROM n UNION ALL SELECT n_nationkey, 'z', 0, 0, d, 1, 0, d, 0, 1, d FROM n)
+SELECT n_nationkey, axis, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(z0 AS DOUBLE) AS z0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(z1 AS DOUBLE) AS z1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2, CAST(z2 AS DOUBLE) AS z2 FROM p""")
+def g13_plane_points(spark, d):
+    depth = F.col("n_nationkey").cast("double")
+    parts = []
+    for axis, axes in (("x", "z,y"), ("y", "z,x"), ("z", "x,y")):
+        spanning = geometry.plane_points(axes, depth)
+        parts.append(table(spark, d, "nation").select("n_nationkey", F.lit(axis).alias("axis"), *[c.alias(f"{n}{i}") for i, p in enumerate(spanning) for n, c in zip("xyz", p)]))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""WITH l AS (SELECT event_id, x, y, 10.0::DOUBLE AS dx, (event_id % 5 - 2)::DOUBLE AS dy FROM {P}),
+s AS (SELECT event_id, x, y, dx, dy, (-10.0::DOUBLE + i * 50 - x) / dx AS k FROM l, range(0, 11) r(i) UNION ALL SELECT event_id, x, y, dx, dy, (-10.0::DOUBLE + i * 50 - y) / dy FROM l, range(0, 3) r(i) WHERE dy <> 0),
+p AS (SELECT event_id, x + k * dx AS px, y + k * dy AS py FROM s WHERE x + k * dx BETWEEN -10.000000001 AND 510.000000001 AND y + k * dy BETWEEN -10.000000001 AND 110.000000001)
+SELECT event_id, count(*) AS n, round(max(px), 6) AS first_x, round(min(px), 6) AS last_x, round(sum(py), 4) AS sum_y FROM p GROUP BY 1""")
+def u4_line_samples(spark, d):
+    """A line sampled by x and by y inside a padded frame, by descending x; a line with no sample there is left out."""
+    x, y = F.col("x"), F.col("y")
+    found = geometry.line_samples((x, y), (x + 10.0, y + (F.col("event_id") % 5 - 2)), 500.0, 100.0, 50.0, 10.0)
+    rows = points(spark, d).select("event_id", found.alias("s")).where(F.size("s") > 0)
+    return rows.select("event_id", F.size("s").cast("long").alias("n"), r6(F.col("s")[0]["x"], "first_x"), r6(F.element_at("s", -1)["x"], "last_x"), F.round(F.aggregate("s", F.lit(0.0), lambda a, p: a + p["y"]), 4).alias("sum_y"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey < 5 THEN 12.5 ELSE s_acctbal END AS calibration_time, CASE WHEN s_nationkey < 5 THEN s_acctbal + 2 ELSE 0.0 END AS capture_end FROM supplier")
+def m19_set_times(spark, d):
+    clips = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.col("s_acctbal").alias("calibration_time"), F.lit(0.0).alias("capture_end"))
+    return changes.set_values(clips, F.col("s_nationkey") < 5, calibration_time=F.lit(12.5), capture_end=F.col("calibration_time") + 2).select("s_suppkey", "calibration_time", "capture_end")
+
+
+@query("SELECT event_id, round(CASE WHEN event_type = 'click' AND abs(t - floor(t)) < 0.004 THEN x + 15 * 0.3 ELSE x END, 6) AS x FROM {P}")
+def m10_nudge_shown(spark, d):
+    moved = changes.nudge_shown(points(spark, d), F.col("event_type") == "click", F.floor("t"), 15, 0, t="t", x="x", y="y")
+    return moved.select("event_id", r6("x", "x"))
+
+
+@query("""WITH o AS (SELECT l_orderkey AS k, count(*) AS n, count_if(l_quantity < 40) AS a, count_if(l_tax > 0.05 AND l_quantity < 40) AS moved FROM lineitem GROUP BY 1)
+SELECT o_orderkey, CASE WHEN n = a AND moved = 0 THEN o_totalprice END AS x FROM orders JOIN o ON k = o_orderkey WHERE a > 0""")
+def m2_change_screen_points(spark, d):
+    """Clicks of large quantity are deleted and those of high tax are moved; points without clicks go, changed ones are unsolved."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity", "l_tax")
+    after = lines.where("l_quantity < 40").withColumn("l_quantity", F.when(F.col("l_tax") > 0.05, F.col("l_quantity") + 0.3).otherwise(F.col("l_quantity")))
+    solved = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("x"))
+    return changes.change_screen_points(solved, lines, after, point="o_orderkey", solved=("x",))
+
+
+@query("SELECT event_id, round(t - 2, 6) AS start, round(t, 6) AS stop, round(CASE WHEN user_id % 3 = 0 THEN t ELSE x END, 6) AS bookmark FROM {P}")
+def l4_replay(spark, d):
+    p = points(spark, d).withColumn("r", timecode.replay(F.col("t"), F.lit(2.0)))
+    mark = F.when(F.col("user_id") % 3 != 0, F.col("x"))
+    return p.select("event_id", r6("r.start", "start"), r6("r.stop", "stop"), r6(timecode.go_to(mark, F.col("t")), "bookmark"))
+
+
+@query("SELECT user_id, event_id FROM events WHERE event_type = 'click' UNION ALL SELECT user_id, event_id FROM events WHERE event_type <> 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click')")
+def s8_replace_lines(spark, d):
+    p = points(spark, d)
+    old, new = (p.where(f"event_type {op} 'click'").select("user_id", "event_id") for op in ("<>", "="))
+    return changes.add_lines(old, new, clip="user_id", line="event_id", just_add=False)
+
+
+@query("SELECT event_id, round(abs(x - round(x)), 6) AS off, round(x) AS ideal_x FROM {P}")
+def p21_comparison(spark, d):
+    p = points(spark, d)
+    ideal = p.select("event_id", F.round("x").alias("screen_x"), F.col("y").alias("screen_y"))
+    both = reports.comparison(p.select("event_id", F.col("x").alias("screen_x"), F.col("y").alias("screen_y")), ideal, ["event_id"])
+    return both.select("event_id", r6("off", "off"), "ideal_x")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY floor(t / 3600), event_type, event_id) AS place FROM {P}")
+def o3_annotations_by_start(spark, d):
+    """By start, then by notes."""
+    return sequences.placed(points(spark, d).withColumn("hour", F.floor(F.col("t") / 3600)), first="hour", rest=("event_type", "event_id")).select("event_id", "place")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_retailprice, p_partkey) AS place FROM part")
+def o6_nodes_by_place(spark, d):
+    """By the horizontal and then the vertical coordinate."""
+    return sequences.placed(table(spark, d, "part"), first="p_size", rest=("p_retailprice", "p_partkey")).select("p_partkey", "place")
+
+
+@query("SELECT p_type, n, row_number() OVER (ORDER BY p_type) AS place FROM (SELECT p_type, count(*) AS n FROM part GROUP BY 1)")
+def o9_types_by_name(spark, d):
+    counts = table(spark, d, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
+    return sequences.placed(counts, first="p_type", rest=("n",))
+
+
+@query("SELECT vec_id, round(e0, 6) AS a, round(e5, 6) AS b FROM {V}")
+def r5_nested_matrix(spark, d):
+    """Six numbers and three more as rows of three: the first of the first row and the last of the second."""
+    rows = vectors(spark, d).withColumn("m", geometry.nested([F.col(f"e{i}") for i in range(6)] + [F.lit(0.0)] * 3))
+    return rows.select("vec_id", r6(F.col("m")[0][0], "a"), r6(F.col("m")[1][2], "b"))
+
+
+@query("SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS INT) AS place, l_partkey FROM lineitem")
+def r6_ordered_set(spark, d):
+    """An ordered set as an array by index, and back as rows with their places."""
+    arrays = exports.nest(table(spark, d, "lineitem").select("l_orderkey").distinct(), table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", "own", "l_linenumber")
+    return arrays.select("l_orderkey", F.posexplode("own").alias("i", "o")).select("l_orderkey", (F.col("i") + 1).alias("place"), F.col("o.l_partkey").alias("l_partkey"))
