@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +52,8 @@ def distortion_quality(initial: Column, final: Column, n: Column) -> Column:
     return F.struct(F.sqrt(final / n).alias("rms"), ((initial - final) / F.nullif(initial, F.lit(0.0))).alias("reduction"))
 
 
-def meet_lines(lines: DataFrame, *, group: str, front: tuple[str, str, str], back: tuple[str, str, str]) -> DataFrame:
-    """The point nearest to all lines of each group, ``x, y, z``, with ``n`` and the mean distance ``pld``.
+def meeting_points(lines: DataFrame, *, group: str, front: tuple[str, str, str], back: tuple[str, str, str], also: Sequence[Column] = ()) -> DataFrame:
+    """The point nearest to all lines of each group of two or more: ``group, n, x, y, z`` and the aggregates ``also``.
 
     Sums the projections off each line's way, nine numbers for a group, and solves
     a 3x3 system; null where all lines are parallel.
@@ -63,10 +65,16 @@ def meet_lines(lines: DataFrame, *, group: str, front: tuple[str, str, str], bac
     pairs = [(i, j) for i in range(3) for j in range(i, 3)]
     off = {(i, j): (F.lit(1.0) if i == j else F.lit(0.0)) - unit[i] * unit[j] for i, j in pairs}
     moved = [sum((off[min(i, j), max(i, j)] * f[j] for j in range(1, 3)), off[0, i] * f[0]) for i in range(3)]
-    sums = lines.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[F.sum(off[p]).alias(f"m{p[0]}{p[1]}") for p in pairs], *[F.sum(moved[i]).alias(f"v{i}") for i in range(3)])
-    m = [F.col(f"m{min(i, j)}{max(i, j)}") for i in range(3) for j in range(3)]
-    x, y, z = geometry.solve3(m, tuple(F.col(f"v{i}") for i in range(3)))
-    meeting = sums.where("n > 1").select(group, "n", x.alias("x"), y.alias("y"), z.alias("z"))
+    sums = lines.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[F.sum(off[p]).alias(f"__m{p[0]}{p[1]}") for p in pairs], *[F.sum(moved[i]).alias(f"__v{i}") for i in range(3)], *also)
+    m = [F.col(f"__m{min(i, j)}{max(i, j)}") for i in range(3) for j in range(3)]
+    x, y, z = geometry.solve3(m, tuple(F.col(f"__v{i}") for i in range(3)))
+    return sums.where("n > 1").withColumns({"x": x, "y": y, "z": z}).drop(*[c for c in sums.columns if c.startswith("__")])
+
+
+def meet_lines(lines: DataFrame, *, group: str, front: tuple[str, str, str], back: tuple[str, str, str]) -> DataFrame:
+    """As :func:`meeting_points`, with the lines' mean distance from the point as ``pld``. Groups may be of any size."""
+    f, b = tuple(F.col(c) for c in front), tuple(F.col(c) for c in back)
+    meeting = meeting_points(lines, group=group, front=front, back=back)
     gap = geometry.to_line((F.col("x"), F.col("y"), F.col("z")), f, b)
     return lines.join(meeting, group).groupBy(group).agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in "xyz"], F.avg(gap).alias("pld"))
 

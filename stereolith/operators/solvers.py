@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -289,38 +290,53 @@ def triangulate(start: np.ndarray, owner: np.ndarray, screen: np.ndarray, camera
 
     ``start`` (n x 3) are linear solutions, the other arrays have a row for each view
     and ``owner`` says of which point. Damped Gauss-Newton steps for all points at
-    once; a step that makes a point worse is undone and damped more.
+    once; a step that makes a point worse is undone and damped more, and a point whose
+    step no longer matters is left alone.
     """
     x = start.copy()
     n = len(x)
+    views = np.bincount(owner, minlength=n)
     damping = np.full(n, 1e-3)
-
-    def errors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        e = reproject(x[owner], camera, to_screen, depth) - screen
-        return e, np.bincount(owner, (e**2).sum(1), n)
-
-    e, value = errors(x)
-    for _ in range(rounds):
-        scale = 1e-6 * np.maximum(1, np.abs(x).max(1))
-        slopes = np.empty((len(owner), 2, 3))
+    cost = np.full(n, np.nan)
+    going, of = np.arange(n), owner  # the points not settled yet, and whose each of their views is
+    for turn in range(rounds):
+        own = x[going]
+        m = len(going)
+
+        def errors(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            e = reproject(at[of], camera, to_screen, depth) - screen
+            return e, np.bincount(of, (e**2).sum(1), m)
+
+        e, value = errors(own)
+        if not turn:
+            cost[:] = value
+        scale = 1e-6 * np.maximum(1, np.abs(own).max(1, initial=0))
+        slopes = np.empty((len(of), 2, 3))
         for k in range(3):
-            moved = x.copy()
+            moved = own.copy()
             moved[:, k] += scale
-            slopes[:, :, k] = (errors(moved)[0] - e) / scale[owner][:, None]
-        gram, grad = np.zeros((n, 3, 3)), np.zeros((n, 3))
-        np.add.at(gram, owner, np.einsum("nci,ncj->nij", slopes, slopes))
-        np.add.at(grad, owner, np.einsum("nci,nc->ni", slopes, e))
-        heavier = gram + damping[:, None, None] * (np.einsum("nii->ni", gram)[:, :, None] * np.eye(3) + 1e-12 * np.eye(3))
+            slopes[:, :, k] = (errors(moved)[0] - e) / scale[of][:, None]
+        gram, grad = np.empty((m, 3, 3)), np.empty((m, 3))
+        for i in range(3):
+            grad[:, i] = np.bincount(of, (slopes[:, :, i] * e).sum(1), m)
+            for j in range(i, 3):
+                gram[:, i, j] = gram[:, j, i] = np.bincount(of, (slopes[:, :, i] * slopes[:, :, j]).sum(1), m)
+        heavier = gram + damping[going, None, None] * (np.einsum("nii->ni", gram)[:, :, None] * np.eye(3) + 1e-12 * np.eye(3))
         step = np.linalg.solve(heavier, grad[:, :, None])[:, :, 0]
-        new_e, new_value = errors(x - step)
+        new_value = errors(own - step)[1]
         better = new_value < value
-        x[better] -= step[better]
-        damping = np.where(better, damping / 10, damping * 10)
-        e = np.where(better[owner][:, None], new_e, e)
-        value = np.where(better, new_value, value)
-        if not better.any() and (damping > 1e6).all():
+        x[going[better]] -= step[better]
+        cost[going] = np.where(better, new_value, value)
+        damping[going] = np.where(better, damping[going] / 10, damping[going] * 10)
+        small = np.abs(step).max(1, initial=0) <= 1e-12 * (1 + np.abs(own).max(1, initial=0))
+        on = ~(small | (~better & (damping[going] > 1e6)) | np.isnan(value))
+        if not on.any():
             break
-    return x, np.sqrt(value / np.bincount(owner, minlength=n))
+        if not on.all():
+            rows = on[of]
+            of = (np.cumsum(on) - 1)[of[rows]]
+            going, screen, camera, to_screen, depth = going[on], screen[rows], camera[rows], to_screen[rows], depth[rows]
+    return x, np.sqrt(cost / views)
 
 
 def grow_line(points: np.ndarray, first: int, second: int, *, tolerance: float = 0.3, margin: float = 4.0, size: tuple[float, float] = (np.inf, np.inf)) -> list[int]:
@@ -426,32 +442,42 @@ def fit_distortions(points: DataFrame, *, clip: str, line: str, x: str, y: str,
     return points.groupBy(clip).applyInPandas(run, f"`{clip}` {kind}, cx double, cy double, k array<double>, p array<double>, rms double, reduction double, rounds int")
 
 
-def triangulate_points(views: DataFrame, *, point: str, batch_views: int = 64) -> DataFrame:
+#: What a view of a point has: where it was clicked, the camera, the front plane's projection by rows and its depth.
+VIEW = ("screen_x", "screen_y", "camera_h", "camera_v", "camera_d", "to_screen", "front_depth")
+
+
+def triangulate_points(views: DataFrame, *, point: str) -> DataFrame:
     """3-D points from their views: ``point``, ``h``, ``v``, ``depth``, ``rms``.
 
     ``views`` has a row for each calibrated view: ``point``, a linear solution
-    ``h0, v0, d0`` of the point, ``screen_x, screen_y``, the camera's ``camera_h,
-    camera_v, camera_d``, ``to_screen`` (nine numbers by rows) and ``front_depth``.
-    Points with under two views are left out. A point's views come together in one
-    row, and batches of points are solved at once.
+    ``h0, v0, d0`` of the point, and :data:`VIEW`.
+    Points with under two views are left out. A point's views come together in one row.
     """
-    columns = ["screen_x", "screen_y", "camera_h", "camera_v", "camera_d", "to_screen", "front_depth"]
-    rows = views.groupBy(point).agg(*[F.first(c).alias(c) for c in ("h0", "v0", "d0")], F.sort_array(F.collect_list(F.struct(*columns))).alias("views")).where(F.size("views") >= 2)
+    rows = views.groupBy(point).agg(*[F.first(c).alias(c) for c in ("h0", "v0", "d0")], F.sort_array(F.collect_list(F.struct(*VIEW))).alias("views")).where(F.size("views") >= 2)
+    return triangulate_rows(rows).select(point, "h", "v", "depth", "rms")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame):
+
+def triangulate_rows(rows: DataFrame) -> DataFrame:
+    """Adds ``h``, ``v``, ``depth`` and ``rms`` to rows that have a linear solution ``h0, v0, d0`` and an array ``views`` of :data:`VIEW`.
+
+    ``views`` and the linear solution are dropped. Batches of points are solved at once.
+    """
+    width = len(VIEW) + 8
+    flat = F.flatten(F.transform("views", lambda v: F.concat(*[v[c] if c == "to_screen" else F.array(v[c]) for c in VIEW])))
+    kept = [c for c in rows.columns if c not in ("h0", "v0", "d0", "views")]
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} double" for c in ("h", "v", "depth", "rms")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            owner = np.repeat(np.arange(len(frame)), [len(v) for v in frame["views"]])
-            flat = [v for own in frame["views"] for v in own]
-            one = {c: np.array([v[c] for v in flat], float) for c in columns}
-            x, rms = triangulate(
-                frame[["h0", "v0", "d0"]].to_numpy(float), owner, np.column_stack([one["screen_x"], one["screen_y"]]),
-                np.column_stack([one["camera_h"], one["camera_v"], one["camera_d"]]), one["to_screen"].reshape(-1, 3, 3), one["front_depth"],
-            )
-            yield pd.DataFrame({point: frame[point], "h": x[:, 0], "v": x[:, 1], "depth": x[:, 2], "rms": rms})
-
-    return rows.mapInPandas(run, f"`{point}` {views.schema[point].dataType.simpleString()}, h double, v double, depth double, rms double")
+            sizes = np.diff(batch.column("__flat").offsets.to_numpy()) // width
+            one = batch.column("__flat").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            start = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("h0", "v0", "d0")])
+            x, rms = triangulate(start, np.repeat(np.arange(len(sizes)), sizes), one[:, :2], one[:, 2:5], one[:, 5:14].reshape(-1, 3, 3), one[:, 14])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(c) for c in (*x.T, rms)], names=[*kept, "h", "v", "depth", "rms"])
+
+    return rows.select(*kept, "h0", "v0", "d0", flat.alias("__flat")).mapInArrow(run, schema)
 
 
 def grow_lines(corners: DataFrame, seeds: DataFrame, *, frame: str, x: str, y: str, tolerance: float = 0.3, margin: float = 4.0, least: int = 4, size: tuple[float, float] = (float("inf"), float("inf"))) -> DataFrame:

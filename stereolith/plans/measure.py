@@ -11,7 +11,7 @@ from ..operators import aggregates, solvers
 
 CAMERA = (
     "clip_id long, to_front array<double>, to_back array<double>, front_to_screen array<double>, camera_h double, camera_v double, camera_d double, "
-    "camera_pld double, front_pixel double, front_world double, back_pixel double, back_world double"
+    "camera_pld double, front_pixel double, front_world double, back_pixel double, back_world double, front_dlt double, back_dlt double"
 )
 
 
@@ -30,7 +30,7 @@ def calibrate_clips(points: DataFrame, frame: solvers.Frame, distortions: dict[i
             return pd.DataFrame(columns=[f.split()[0] for f in CAMERA.split(", ")])
         c = solvers.calibrate(frame, sides["front"], sides["back"], lenses.get(clip, geometry.Distortion(0.0, 0.0)))
         inverse = solvers.np.linalg.inv(c.front)
-        return pd.DataFrame({"clip_id": [clip], "to_front": [c.front.ravel()], "to_back": [c.back.ravel()], "front_to_screen": [inverse.ravel()], "camera_h": c.position[0], "camera_v": c.position[1], "camera_d": c.position[2], "camera_pld": c.pld, **{k: v for k, v in c.residuals.items() if not k.endswith("dlt")}})[[f.split()[0] for f in CAMERA.split(", ")]]
+        return pd.DataFrame({"clip_id": [clip], "to_front": [c.front.ravel()], "to_back": [c.back.ravel()], "front_to_screen": [inverse.ravel()], "camera_h": c.position[0], "camera_v": c.position[1], "camera_d": c.position[2], "camera_pld": c.pld, **c.residuals})[[f.split()[0] for f in CAMERA.split(", ")]]
 
     return points.groupBy("clip_id").applyInPandas(run, CAMERA)
 
@@ -41,18 +41,23 @@ def recalculate(screen_points: DataFrame, cameras: DataFrame, frame: solvers.Fra
     Lines of sight, the linear meeting point with its mean distance, and, if asked
     for, the point with the least reprojection error; with the error's root mean
     square and the nearest camera's distance. A point needs two calibrated views.
+    Its views come together once, in one shuffle; they are no more than its project's clips.
     """
     seen = screen_points.join(cameras, "clip_id")
     p = (F.col("screen_x"), F.col("screen_y"))
     front = geometry.project([F.col("to_front")[i] for i in range(9)], p)
     back = geometry.project([F.col("to_back")[i] for i in range(9)], p)
     lines = seen.select("*", front[0].alias("fh"), front[1].alias("fv"), F.lit(frame.front).alias("fd"), back[0].alias("bh"), back[1].alias("bv"), F.lit(frame.back).alias("bd"))
-    linear = aggregates.meet_lines(lines, group="point_id", front=("fh", "fv", "fd"), back=("bh", "bv", "bd"))
+    here = F.struct("fh", "fv", "fd", "bh", "bv", "bd", "screen_x", "screen_y", "camera_h", "camera_v", "camera_d", F.col("front_to_screen").alias("to_screen"), F.lit(frame.front).alias("front_depth"))
+    met = aggregates.meeting_points(lines, group="point_id", front=("fh", "fv", "fd"), back=("bh", "bv", "bd"), also=[F.sort_array(F.collect_list(here)).alias("views")])
+    at = (F.col("x"), F.col("y"), F.col("z"))
+    gaps = F.transform("views", lambda v: geometry.to_line(at, (v["fh"], v["fv"], v["fd"]), (v["bh"], v["bv"], v["bd"])))
+    linear = met.withColumn("pld", F.aggregate(gaps, F.lit(0.0), lambda a, g: a + g) / F.col("n"))
+    cameras_of = F.transform("views", lambda v: F.array(v["camera_h"], v["camera_v"], v["camera_d"]))
     if iterative:
-        views = lines.join(linear.select("point_id", F.col("x").alias("h0"), F.col("y").alias("v0"), F.col("z").alias("d0")), "point_id")
-        solved = solvers.triangulate_points(views.withColumn("to_screen", F.col("front_to_screen")).withColumn("front_depth", F.lit(frame.front)), point="point_id")
-        points = linear.select("point_id", "n", "pld").join(solved, "point_id")
+        rows = linear.select("point_id", "n", "pld", F.col("x").alias("h0"), F.col("y").alias("v0"), F.col("z").alias("d0"), "views", cameras_of.alias("cameras"))
+        solved = solvers.triangulate_rows(rows)
     else:
-        points = linear.select("point_id", "n", "pld", F.col("x").alias("h"), F.col("y").alias("v"), F.col("z").alias("depth"), F.lit(None).cast("double").alias("rms"))
-    near = geometry.distance((F.col("h"), F.col("v"), F.col("depth")), (F.col("camera_h"), F.col("camera_v"), F.col("camera_d")))
-    return points.join(lines.select("point_id", "camera_h", "camera_v", "camera_d"), "point_id").groupBy("point_id", "n", "pld", "h", "v", "depth", "rms").agg(F.min(near).alias("camera_distance"))
+        solved = linear.select("point_id", "n", "pld", F.col("x").alias("h"), F.col("y").alias("v"), F.col("z").alias("depth"), F.lit(None).cast("double").alias("rms"), cameras_of.alias("cameras"))
+    near = F.array_min(F.transform("cameras", lambda c: geometry.distance((F.col("h"), F.col("v"), F.col("depth")), (c[0], c[1], c[2]))))
+    return solved.select("point_id", "n", "pld", "h", "v", "depth", "rms", near.alias("camera_distance"))

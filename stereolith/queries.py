@@ -651,7 +651,7 @@ def _plain_cameras(spark) -> DataFrame:
         t = (FRAME.back - camera[2]) / (FRAME.front - camera[2])
         out = np.array([[t, 0, (1 - t) * camera[0]], [0, t, (1 - t) * camera[1]], [0, 0, 1]])
         to_front = np.linalg.inv(screen)
-        rows.append((i, to_front.ravel().tolist(), (out @ to_front).ravel().tolist(), screen.ravel().tolist(), *c, 0.0, 0.0, 0.0, 0.0, 0.0))
+        rows.append((i, to_front.ravel().tolist(), (out @ to_front).ravel().tolist(), screen.ravel().tolist(), *c, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0))
     return spark.createDataFrame(rows, measure.CAMERA)
 
 
