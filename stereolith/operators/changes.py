@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timecode
+from ..settings import DEFAULTS
 
 
 def add_links(bridge: DataFrame, links: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def prune_points(points: DataFrame, screen_points: DataFrame, point: str) -> Dat
     return points.join(screen_points.select(point).distinct(), point, "left_semi")
 
 
-def nudge(df: DataFrame, where: Column, dx: float, dy: float, *, x: str = "screen_x", y: str = "screen_y", by: float = 0.3) -> DataFrame:
+def nudge(df: DataFrame, where: Column, dx: float, dy: float, *, x: str = "screen_x", y: str = "screen_y", by: float = DEFAULTS.nudge_pixels) -> DataFrame:
     """Moves the chosen points by steps of ``by`` pixels."""
     return df.withColumn(x, F.when(where, F.col(x) + dx * by).otherwise(F.col(x))).withColumn(y, F.when(where, F.col(y) + dy * by).otherwise(F.col(y)))
 
@@ -171,7 +172,7 @@ def set_values(rows: DataFrame, where: Column, **values: Column) -> DataFrame:
     return rows.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
-def nudge_shown(df: DataFrame, where: Column, now: Column, dx: float, dy: float, *, t: str, x: str = "screen_x", y: str = "screen_y", by: float = 0.3) -> DataFrame:
+def nudge_shown(df: DataFrame, where: Column, now: Column, dx: float, dy: float, *, t: str, x: str = "screen_x", y: str = "screen_y", by: float = DEFAULTS.nudge_pixels) -> DataFrame:
     """Moves the chosen screen points that were made at the time shown now; others stay."""
     return nudge(df, where & timecode.same_time(F.col(t), now), dx, dy, x=x, y=y, by=by)
 

@@ -1170,3 +1170,24 @@ def r6_ordered_set(spark, d):
     """An ordered set as an array by index, and back as rows with their places."""
     arrays = exports.nest(table(spark, d, "lineitem").select("l_orderkey").distinct(), table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", "own", "l_linenumber")
     return arrays.select("l_orderkey", F.posexplode("own").alias("i", "o")).select("l_orderkey", (F.col("i") + 1).alias("place"), F.col("o.l_partkey").alias("l_partkey"))
+
+
+@query("SELECT l_orderkey, round(sqrt(sum(l_quantity) / count(*)), 6) AS rms, round((sum(l_extendedprice) - sum(l_quantity)) / sum(l_extendedprice), 6) AS reduction FROM lineitem GROUP BY 1")
+def a17_distortion_quality(spark, d):
+    sums = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("initial"), F.sum("l_quantity").alias("final"), F.count(F.lit(1)).alias("n"))
+    rows = sums.withColumn("q", aggregates.distortion_quality(F.col("initial"), F.col("final"), F.col("n")))
+    return rows.select("l_orderkey", r6("q.rms", "rms"), r6("q.reduction", "reduction"))
+
+
+@query("SELECT event_id AS point_id, true AS exact, true AS near FROM {P}")
+def a14_reprojection_error(spark, d):
+    """Exact views leave no reprojection error, and no camera is nearer than the frame's depth allows."""
+    found = measure.recalculate(_views(spark, d), _plain_cameras(spark), FRAME)
+    return found.select("point_id", (F.col("rms") < 1e-4).alias("exact"), (F.col("camera_distance") > 1.4).alias("near"))
+
+
+@query("SELECT CAST(i AS BIGINT) AS clip_id, true AS front, true AS back FROM range(0, 3) AS r(i)")
+def a19_linear_residuals(spark, d):
+    """The synthetic cameras' linear fits leave next to nothing."""
+    cameras = measure.calibrate_clips(_calibration_points(spark), FRAME)
+    return cameras.select("clip_id", (F.col("front_dlt") < 1e-3).alias("front"), (F.col("back_dlt") < 1e-3).alias("back"))

@@ -3,11 +3,11 @@
 import math
 
 import numpy as np
-
 from pyspark.sql import functions as F
 
 from stereolith.functions import geometry, text, timecode
-from stereolith.operators import aggregates, changes, joins, sequences
+from stereolith.operators import aggregates, changes, joins, selection, sequences
+from stereolith.plans import reports
 from stereolith.sources import exports, plists
 from stereolith.streaming import visible
 
@@ -31,7 +31,7 @@ def test_fade(spark):
 
 def test_labels(spark):
     r = one(spark, text.label(F.lit("Fish"), F.lit(3), F.lit(None)), text.label(F.lit("Fish"), F.lit(3), F.lit("")), text.label_with_notes(F.lit("Fish"), F.lit(3), F.lit("Bo"), F.lit("old")), text.measure(F.lit(0.0123), F.lit(1000.0), 1, F.lit("mm")))
-    assert list(r) == ["Fish 3", "Fish 3", "Fish 3 (Bo): old", "12.3 mm"]
+    assert list(r) == ["Fish 3", "Fish 3", "Fish 3 (Bo) (Notes: old)", "12.3 mm"]
     assert one(spark, text.join_parts(F.lit(""), F.lit(None), F.lit("")))[0] == "Untitled"
     assert one(spark, text.matrix_text(F.array(F.array(F.lit(1.0), F.lit(0.5)))))[0] == "1.000000e+00, 5.000000e-01"
 
@@ -183,3 +183,63 @@ def test_stream_of_ticks(spark, tmp_path):
     q.stop()
     assert sorted((r.id, r.t) for r in spark.sql("SELECT * FROM shown").collect()) == [(1, 0.5), (2, 3.0)]
     assert not math.isnan(visible.TICK)
+
+
+def test_numbers_as_text(spark):
+    shown = one(spark, *[text.number(F.lit(x), d) for x, d in ((100.0, 0), (100.0, 2), (0.5, 3), (-1.25, 1), (0.0, 2))], text.number(F.lit(None).cast("double"), 2))
+    assert list(shown) == ["100", "100", "0.5", "-1.3", "0", None]
+    empty = F.lit(None).cast("double")
+    cell = one(spark, text.screen_point_cell(F.lit("L"), (F.lit(1.0), F.lit(2.5)), (empty, empty), (F.lit(0.0), empty), (empty, F.lit(3.0))))[0]
+    assert cell == "L: screen={1,2.5} undistorted={,} calibrationFrameFront={0,} calibrationFrameBack={,3}"
+
+
+def test_line_samples(spark):
+    def along(a, b):
+        return [(round(p.x, 6), round(p.y, 6)) for p in one(spark, geometry.line_samples(tuple(map(F.lit, a)), tuple(map(F.lit, b)), 100.0, 60.0, 50.0))[0]]
+
+    assert along((0.0, 10.0), (10.0, 10.0)) == [(100.0, 10.0), (50.0, 10.0), (0.0, 10.0)]
+    assert along((20.0, 0.0), (20.0, 5.0)) == [(20.0, 50.0), (20.0, 0.0)]
+    assert along((20.0, 5.0), (20.0, 5.0)) == []
+    assert along((0.0, -500.0), (1.0, -500.0)) == []
+
+
+def test_point_rows_of_bare_events(spark):
+    points = spark.createDataFrame([(1, 1, "0:00:02.0/600", 0.0, 1.0, 2.0, 0.1, 0.2, 0.3), (1, 2, None, None, None, None, None, None, None), (2, 1, None, 5.0, 1.0, 2.0, None, None, None)], "event_id long, index int, timecode string, x double, y double, z double, pld_error double, reprojection_error double, nearest_camera_distance double")
+    events = spark.createDataFrame([(1, "Fish", 3, "", "seen"), (2, "Fish", 4, "Ann", None)], "event_id long, type string, index int, name string, notes string")
+    bridge = spark.createDataFrame([(1, 10), (1, 9)], "event_id long, object_id long")
+    objects = spark.createDataFrame([(9, "B", 1, None), (10, "A", 2, "x")], "object_id long, type string, index int, name string")
+    screen = spark.createDataFrame([(1, 1, "R", "r"), (1, 1, "L", "l")], "event_id long, index int, clip string, cell string")
+    rows = {r.event_id: r for r in reports.point_rows(points, events, bridge, objects, screen).collect()}
+    assert set(rows) == {1, 2}  # a coordinate of zero counts, one that is missing does not
+    assert (rows[1].objects, rows[1].event, rows[1].time, rows[1].screen_coordinates) == ("A 2 (x), B 1", "Fish 3", 2.0, "l r")
+    assert (rows[2].objects, rows[2].event, rows[2].time, rows[2].screen_coordinates) == ("", "Fish 4 (Ann)", None, "")
+
+
+def test_project_documents_as_xml(spark, tmp_path):
+    def df(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    whole = reports.project_documents(
+        df([(1, "p"), (2, "q")], "project_id int, name string"), df([(1, 1, "A", 1), (2, 1, "A", 2)], "object_id int, project_id int, type string, index int"),
+        df([(1, 1), (2, 2)], "event_id int, index int"), df([(1, 1), (2, 1), (2, 2)], "object_id int, event_id int"), df([(1, 1, 2), (2, 1, 1), (3, 2, 1)], "point_id int, event_id int, index int"),
+        df([(1, "R", 1.0), (1, "L", 2.0)], "point_id int, clip string, x double"), df([(1, 1, "L")], "clip_id int, project_id int, name string"), df([], "clip_id int, timecode string"),
+    )
+    rows = {r.project_id: r for r in whole.collect()}
+    first = rows[1].objects[0].events[0]
+    assert [p["index"] for p in first.points] == [1, 2] and [s.clip for s in first.points[1].screenpoints] == ["L", "R"] and [o["index"] for o in first.objects] == [1, 2]
+    assert rows[1].videoClips[0].annotations == [] and rows[2].objects == [] and rows[2].videoClips == []
+    exports.write_project_xml(whole, str(tmp_path / "x"))
+    written = "".join(p.read_text() for p in (tmp_path / "x").glob("part*"))
+    assert written.count("<screenpoints>") == 4 and written.count("<project>") == 2
+
+
+def test_changed_screen_points(spark):
+    points = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0), (4, None)], "p int, x double")
+    before = spark.createDataFrame([(1, "L", 1.0), (2, "L", 1.0), (3, "L", 1.0)], "p int, clip string, sx double")
+    after = spark.createDataFrame([(1, "L", 1.0), (2, "L", 2.0), (4, "L", None)], "p int, clip string, sx double")
+    assert {r.p: r.x for r in changes.change_screen_points(points, before, after, point="p", solved=("x",)).collect()} == {1: 1.0, 2: None, 4: None}
+
+
+def test_texts_of_screen_points(spark):
+    rows = spark.createDataFrame([(1, "R", 1.0, 2.0), (1, "L", 3.456, 0.0), (2, "L", None, 1.0)], "p int, clip string, x double, y double")
+    assert [tuple(r) for r in selection.screen_points_text(rows, point="p", clip="clip", x="x", y="y").collect()] == [(1, "L: {3.46,0.00}   R: {1.00,2.00}   ")]
