@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, media, packing, pieces, private, quality, scoring, sharding, simhash, topk, urls
+from . import common, media, merkle, negatives, packing, pieces, private, quality, rans, scoring, sharding, simhash, topk, urls
 
 URL_RULES = (
     urls.Rule("com", "/en/", "block"),
@@ -100,6 +100,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.encode_documents(table(spark, sf_dir, "documents"), vocabulary=vocabulary("byte_bpe_50k.json"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False)) & F.col("n_chars").isNotNull()
+    tampered = F.when(changed, F.sha2(merkle.leaf_text(columns, n_chars=F.col("n_chars") + 1), 256))
+    docs = table(spark, sf_dir, "documents")
+    leaves = docs.select("doc_id", "lang", F.sha2(merkle.leaf_text(columns), 256).alias("leaf"), tampered.alias("claimed"))
+    proofs = merkle.manifest(leaves, order_col="doc_id", group_col="lang", leaf_col="leaf", carry=("claimed",))
+    return merkle.verify(proofs, claimed_col="claimed")
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), is_anchor=F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_scoring": op2_scoring,
@@ -111,8 +131,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op11_ids": op11_ids,
+    "op12_merkle": op12_merkle,
+    "op13_negatives": op13_negatives,
 }
 
+_PART = "CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR) END"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_PART.format(c=c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+#: Nodes and paths grow level by level; a path keeps its side beside each sibling, so that a fold needs no places.
+_MERKLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, n_chars, {_leaf_sql("n_chars")} AS leaf, {_leaf_sql("(n_chars + 1)")} AS changed,
+    list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+      lambda a, b: CASE WHEN xor(a, b) % 2 = 1 THEN xor(xor(a, b) >> 1, 3988292384) ELSE xor(a, b) >> 1 END) AS state FROM documents),
+leaves AS (SELECT *, n_chars IS NOT NULL AND doc_id IS NOT NULL AND xor(state, 4294967295) % 7 = 0 AS tampered, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS total FROM d),
+low AS (SELECT lang, 0 AS level, pos, total, leaf AS digest FROM leaves UNION ALL
+  SELECT lang, level + 1, pos // 2, (any_value(total) + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM low WHERE total > 1 GROUP BY lang, level, pos // 2),
+subroots AS (SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS total FROM low WHERE total = 1),
+high AS (SELECT 0 AS level, pos, total, digest FROM subroots UNION ALL
+  SELECT level + 1, pos // 2, (any_value(total) + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM high WHERE total > 1 GROUP BY level, pos // 2),
+walk AS (SELECT doc_id, lang, leaf, 0 AS phase, 0 AS level, pos, total, CASE WHEN tampered THEN changed ELSE leaf END AS folded, '' AS proof FROM leaves UNION ALL
+  SELECT w.doc_id, w.lang, w.leaf, CASE WHEN w.total = 1 THEN 1 ELSE w.phase END, CASE WHEN w.total = 1 THEN 0 ELSE w.level + 1 END,
+    CASE WHEN w.total = 1 THEN s.pos ELSE w.pos // 2 END, CASE WHEN w.total = 1 THEN s.total ELSE (w.total + 1) // 2 END,
+    CASE WHEN w.total = 1 THEN w.folded WHEN w.pos % 2 = 1 THEN sha256(coalesce(n.digest, h.digest) || w.folded) ELSE sha256(w.folded || coalesce(n.digest, h.digest, '')) END,
+    w.proof || CASE WHEN w.total = 1 THEN '' ELSE coalesce(n.digest, h.digest, '') END
+  FROM walk w LEFT JOIN low n ON w.phase = 0 AND w.total > 1 AND n.lang IS NOT DISTINCT FROM w.lang AND n.level = w.level AND n.pos = xor(w.pos, 1)
+  LEFT JOIN high h ON w.phase = 1 AND h.level = w.level AND h.pos = xor(w.pos, 1) LEFT JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang
+  WHERE w.phase = 0 OR w.total > 1)
+SELECT w.doc_id, w.leaf, s.digest AS subroot, r.digest AS root, sha256(w.proof) AS proof_sha256, w.folded AS folded_root, w.folded = r.digest AS verified
+FROM walk w JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang CROSS JOIN (SELECT digest FROM high WHERE total = 1) r WHERE w.phase = 1 AND w.total = 1
+"""
+
 ORACLE: dict[str, str] = {
     "op4_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
@@ -120,5 +173,15 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 *
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op12_merkle": _MERKLE,
+    "op13_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same) WHERE n <= 5),
+r AS (SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT * FROM r WHERE rank <= 3
 """,
 }
