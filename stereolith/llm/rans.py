@@ -46,6 +46,7 @@ BLOCK = 1 << 16
 GROUP = 32  # blocks that one numpy step advances together
 _LOW = np.uint64(1 << 31)  # states lie from here up to 2**63
 _WORD = np.uint64(32)
+_SHARE_BITS, _ID_BITS, _SHARE = np.uint64(SCALE_BITS + 1), np.uint64(2 * SCALE_BITS + 2), np.uint64((2 << SCALE_BITS) - 1)
 
 
 class FrequencyTable:
@@ -78,23 +79,21 @@ class FrequencyTable:
         (n,) = struct.unpack_from("<I", raw)
         return cls(np.frombuffer(raw, "<u4", n, 4), np.frombuffer(raw, "<u4", n, 4 + 4 * n))
 
-    def coder(self) -> tuple[np.ndarray, np.ndarray]:
-        """Share and start by id."""
-        size = int(self.ids[-1]) + 1 if len(self.ids) else 0
-        share, start = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
-        share[self.ids], start[self.ids] = self.shares, self.starts
-        return share, start
+    def coder(self) -> np.ndarray:
+        """By id, the start of its share in the high bits and the share in the low 21."""
+        found = np.zeros(int(self.ids[-1]) + 1 if len(self.ids) else 0, np.uint64)
+        found[self.ids] = self.starts << _SHARE_BITS | self.shares
+        return found
 
-    def slots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Id, share and offset in the share, by the low bits of a state."""
+    def slots(self) -> np.ndarray:
+        """By the low bits of a state, the id from bit 42 on, its share in 21 bits and the offset in the share in the low 21."""
         n = self.shares.astype(np.int64)
         offset = np.arange(int(n.sum()), dtype=np.uint64) - np.repeat(self.starts, n)
-        return np.repeat(self.ids, n), np.repeat(self.shares, n), offset
+        return np.repeat(self.ids.astype(np.uint64) << _ID_BITS | self.shares << _SHARE_BITS, n) | offset
 
 
-def encode_blocks(blocks: list[np.ndarray], table: FrequencyTable, by_id: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
-    """Each block's bytes; all blocks are coded side by side, from the last id to the first."""
-    share_of, start_of = by_id
+def encode_blocks(blocks: list[np.ndarray], table: FrequencyTable, by_id: np.ndarray) -> list[bytes]:
+    """Each block's bytes; all blocks are coded side by side, from the last id to the first. ``by_id`` is the table's ``coder``."""
     sizes = np.array([len(b) for b in blocks])
     steps = -(-int(sizes.max()) // LANES)
     ids = np.zeros((len(blocks), steps * LANES), np.int64)
@@ -106,27 +105,25 @@ def encode_blocks(blocks: list[np.ndarray], table: FrequencyTable, by_id: tuple[
     sent = np.zeros(ids.shape, bool)
     kept: dict[int, np.ndarray] = {}
     lane = np.arange(LANES)
-    ceiling = np.uint64(63 - SCALE_BITS)
+    ceiling, whole, five = np.uint64(63 - SCALE_BITS), np.uint64(1 << SCALE_BITS), np.uint64(5)
     per_segment = SEGMENT // LANES
     full = int(sizes.min()) // LANES  # steps that every lane of every block takes
     for t in range(steps - 1, -1, -1):
-        share, start = share_of[ids[t]], start_of[ids[t]]
-        if t < full:
-            out = state >= share << ceiling
-            words[t] = state
-            sent[t] = out
-            low = np.where(out, state >> _WORD, state)
-            turns = low // share
-            state = (turns << np.uint64(SCALE_BITS)) + (low - turns * share) + start
-        else:
+        entry = by_id.take(ids[t])
+        share = entry & _SHARE
+        on = None
+        if t >= full:
             on = t * LANES + lane < sizes[:, None]
             share = np.where(on, share, np.uint64(1))
-            out = on & (state >= share << ceiling)
-            words[t] = state
-            sent[t] = out
-            low = np.where(out, state >> _WORD, state)
-            turns = low // share
-            state = np.where(on, (turns << np.uint64(SCALE_BITS)) + (low - turns * share) + start, state)
+        out = state >= share << ceiling
+        if on is not None:
+            out &= on
+        words[t] = state
+        sent[t] = out
+        low = state >> (out.astype(np.uint64) << five)
+        # The quotient's multiple of the whole, the remainder and the start, at once.
+        after = low + (low // share) * (whole - share) + (entry >> _SHARE_BITS)
+        state = after if on is None else np.where(on, after, state)
         if t % per_segment == 0:
             kept[t // per_segment] = state.copy()
     found = []
@@ -151,9 +148,8 @@ def read_header(raw: bytes) -> tuple[int, int, list[tuple[int, int, int]]]:
     return crc, n, [struct.unpack_from("<III", raw, 16 + 12 * s) for s in range(segments)]
 
 
-def decode_blocks(blocks: list[bytes], table: FrequencyTable, slots: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[np.ndarray]:
-    """Each block's ids. Segments are checked and then decoded side by side, whatever block they are of."""
-    id_of, share_of, offset_of = slots
+def decode_blocks(blocks: list[bytes], table: FrequencyTable, slots: np.ndarray) -> list[np.ndarray]:
+    """Each block's ids. Segments are checked and then decoded side by side, whatever block they are of. ``slots`` is the table's."""
     states, words, sizes, first, owner = [], [], [], [], []
     at = 0
     for b, raw in enumerate(blocks):
@@ -179,7 +175,8 @@ def decode_blocks(blocks: list[bytes], table: FrequencyTable, slots: tuple[np.nd
     flat = np.concatenate(words).astype(np.uint64)
     # Longest first, so that the segments that still go on are always the leading ones.
     order = np.argsort(-np.array(sizes), kind="stable")
-    size, place = np.array(sizes)[order], np.array(first)[order]
+    size = np.array(sizes)[order]
+    last = np.array(first)[order][:, None] - 1  # the word that was taken last
     state = np.array(states, np.uint64)[order]
     steps = -(-int(size[0]) // LANES)
     ids = np.zeros((steps, len(size), LANES), np.uint32)
@@ -188,17 +185,20 @@ def decode_blocks(blocks: list[bytes], table: FrequencyTable, slots: tuple[np.nd
     for t in range(steps):
         going = int(np.searchsorted(-size, -t * LANES, side="left"))
         now = state[:going]
-        slot = (now & mask).astype(np.int64)
-        ids[t, :going] = id_of[slot]
-        after = share_of[slot] * (now >> bits) + offset_of[slot]
+        entry = slots.take((now & mask).view(np.int64))
+        ids[t, :going] = entry >> _ID_BITS
+        after = (now >> bits) * (entry >> _SHARE_BITS & _SHARE) + (entry & _SHARE)
         need = after < _LOW
         if size[going - 1] < (t + 1) * LANES:
             on = t * LANES + lane < size[:going, None]
-            after, need = np.where(on, after, now), need & on
-        rank = np.cumsum(need, 1)
-        word = flat[np.minimum(place[:going, None] + rank - 1, len(flat) - 1)]
-        state[:going] = np.where(need, (after << _WORD) | word, after)
-        place[:going] += rank[:, -1]
+            need &= on
+            after = np.where(on, after, now)
+        # A lane that needs a word takes the next one after those of the lanes before it.
+        rank = need.cumsum(1)
+        rank += last[:going]
+        np.copyto(after, after << _WORD | flat.take(rank), where=need)
+        state[:going] = after
+        last[:going] = rank[:, -1:]
     if np.any(state != _LOW) and not _ends_match(state, order, sizes, states, owner):
         raise ValueError("a block does not decode to its end")
     back = np.empty(len(order), np.int64)
@@ -369,7 +369,7 @@ def read_pieces(spark: SparkSession, path: str, *, with_ids: bool = False) -> Da
         slots = None
         for batch in batches:
             for low in range(0, batch.num_rows, GROUP):
-                slots = slots or table.slots()
+                slots = table.slots() if slots is None else slots
                 part = batch.slice(low, GROUP)
                 pieces = part.column("docs").flatten()
                 decoded = decode_blocks(part.column("block").to_pylist(), table, slots)
@@ -414,9 +414,10 @@ def read_digests(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> D
     """``id_col, start, n_tokens, ids_crc32`` of every document, from the files alone.
 
     A document that lies in one block needs no shuffle. The others' pieces meet by
-    ``start``, twenty bytes for 65,536 ids, and their checksums are combined.
+    ``start``, twenty bytes for 65,536 ids, and their checksums are combined. Pieces
+    are written down, some bytes each, so that blocks are decoded once.
     """
-    pieces = read_pieces(spark, path)
+    pieces = materialize(read_pieces(spark, path), "pieces")
     whole = F.col("length") == F.col("n_tokens")
     single = pieces.where(whole).select(F.col("doc").alias(id_col), "start", "n_tokens", "ids_crc32")
     grouped = pieces.where(~whole).groupBy("start").agg(F.first("doc").alias("doc"), F.first("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("piece", "length", "ids_crc32"))).alias("pieces"))
@@ -432,11 +433,12 @@ def read_digests(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> D
                 crcs.append(combine_crc32([(p["ids_crc32"], 4 * p["length"]) for p in own]))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("start"), batch.column("n_tokens"), pa.array(crcs, pa.int64())], names=schema.names)
 
-    return single.unionByName(grouped.mapInArrow(join, schema))
+    return tied(single.unionByName(grouped.mapInArrow(join, schema)), pieces)
 
 
 def encode_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str, end_id: int = 2) -> DataFrame:
     """:func:`write_ids` into the shared folder and :func:`read_digests` of what was written."""
     path = new_folder(df.sparkSession, "rans")
     write_ids(df, path, id_col=id_col, text_col=text_col, vocabulary=vocabulary, end_id=end_id)
-    return tied(read_digests(df.sparkSession, path, id_col=id_col), path)
+    found = read_digests(df.sparkSession, path, id_col=id_col)
+    return tied(found, found, path)
