@@ -44,6 +44,7 @@ LANES = 32
 SEGMENT = 1 << 14
 BLOCK = 1 << 16
 GROUP = 32  # blocks that one numpy step advances together
+SLICE_BYTES = 12 << 20  # of text that is encoded at once, each distinct word of it once
 _LOW = np.uint64(1 << 31)  # states lie from here up to 2**63
 _WORD = np.uint64(32)
 _SHARE_BITS, _ID_BITS, _SHARE = np.uint64(SCALE_BITS + 1), np.uint64(2 * SCALE_BITS + 2), np.uint64((2 << SCALE_BITS) - 1)
@@ -240,7 +241,7 @@ def _tokens(df: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.get(hash(sent.value)) or _ENCODERS.setdefault(hash(sent.value), ByteLevelEncoder(sent.value))
         part, start = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", limit=SLICE_BYTES):
             docs = encoder.encode(batch.column("text"), end_id)
             n = np.array([len(x) for x in docs], np.int64)
             starts = start + np.cumsum(n) - n
