@@ -238,17 +238,44 @@ def manifest(df: DataFrame, *, order_col: str, group_col: str, leaf_col: str, ca
     leaves, nodes = _tree(base, chunk_bits, round_bits)
     nodes = tied(materialize(nodes, "paths"), *_owned(nodes))
     # One row for each group, from the node of its first leaf.
-    subroots = leaves.where("pos = 0").select(F.col("g").alias("g_"), "level", "node")
-    first = nodes.join(subroots.select("g_", F.col("level").alias("level_"), F.col("node").alias("node_")), nodes["g"].eqNullSafe(F.col("g_")) & (F.col("level") == F.col("level_")) & (F.col("node") == F.col("node_")))
-    tops, top_nodes = _tree(first.select(F.lit(0).alias("g"), nodes["g"].alias("o"), F.col("subroot").alias("leaf")), chunk_bits, round_bits)
-    above = top_nodes.select("level", "node", "high", F.col("subroot").alias("root"))
-    groups = tops.join(above, ["level", "node"]).select(F.col("o").alias("g_"), F.concat("low", "high").alias("group_proof"), F.col("pos").alias("group_position"), F.col("total").alias("groups"), "root")
+    subroots = leaves.where("pos = 0").select(F.col("g").alias("g_"), F.col("level").alias("level_"), F.col("node").alias("node_"))
+    subroots = nodes.join(subroots, _on(nodes, subroots, "g", "level", "node")).select(nodes["g"].alias("o"), "subroot")
+    subroots = materialize(subroots, "subroots")
+    groups = _over_groups(subroots, chunk_bits, round_bits)
     paths = nodes.join(groups, nodes["g"].eqNullSafe(groups["g_"])).select(F.col("g").alias("g_"), F.col("level").alias("level_"), F.col("node").alias("node_"), "high", "subroot", "group_proof", "group_position", "groups", "root")
     # By node, of at most 2**chunk_bits leaves: no group comes together in one task.
     full = leaves.join(paths, _on(leaves, paths, "g", "level", "node"))
     shown = [F.col("o").alias(order_col), *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)]]
     out = full.select(*shown, "leaf", "subroot", "root", F.concat("low", "high").alias("proof"), F.col("pos").alias("position"), "total", "group_proof", "group_position", "groups")
-    return tied(out, *_owned(leaves), *_owned(nodes), *_owned(tops), *_owned(top_nodes))
+    release(subroots)
+    return tied(out, *_owned(leaves), *_owned(nodes), *_owned(groups))
+
+
+def _over_groups(subroots: DataFrame, chunk_bits: int, round_bits: int) -> DataFrame:
+    """``g_, group_proof, group_position, groups, root`` of each group, from ``o, subroot``.
+
+    As many groups as one chunk's leaves, whose tree any task would build alone,
+    make it on the driver, two megabytes at most; more are dealt like any other leaves.
+    """
+    spark = subroots.sparkSession
+    kind = subroots.schema["o"].dataType
+    schema = T.StructType([T.StructField("g_", kind), T.StructField("group_proof", T.BinaryType()), T.StructField("group_position", T.LongType()), T.StructField("groups", T.LongType()), T.StructField("root", T.BinaryType())])
+    total = subroots.count()
+    if total > 1 << chunk_bits:
+        tops, nodes = _tree(subroots.select(F.lit(0).alias("g"), "o", F.col("subroot").alias("leaf")), chunk_bits, round_bits)
+        above = nodes.select("level", "node", "high", F.col("subroot").alias("root"))
+        out = tops.join(above, ["level", "node"]).select(F.col("o").alias("g_"), F.concat("low", "high").alias("group_proof"), F.col("pos").alias("group_position"), F.col("total").alias("groups"), "root")
+        out = materialize(out, "groups")
+        release(tops, nodes)
+        return out
+    rows = subroots.orderBy("o").collect()  # nulls first
+    known: Nodes = {0: {i: bytes(r.subroot) for i, r in enumerate(rows)}}
+    grow(known, total, height(total))
+    found = []
+    for i, r in enumerate(rows):
+        level, place, siblings = climb(known, total, 0, i)
+        found.append((r.o, siblings, i, total, known[level][place]))
+    return spark.createDataFrame(found, schema)
 
 
 def _owned(df: DataFrame) -> list[str]:
