@@ -139,6 +139,31 @@ def to_line(p: Vector, front: Vector, back: Vector) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), dot(off, off) - dot(off, way) * dot(off, way) / F.nullif(dot(way, way), F.lit(0.0))))
 
 
+def apparent_position(real: Vector, camera: Vector, *, front: float, back: float, thickness: float, n_medium: float, n_surface: float, steps: int = 60) -> Vector:
+    """Where a point on the back plane seems to lie behind a slab, seen from ``camera`` (h, v, depth).
+
+    The surfaces are parallel, so a ray stays in the plane of the point, the camera
+    and the normal, and ``n * sin`` is the same in every layer: ``steps`` bisections find
+    it. Equal indices leave the point where it is.
+    """
+    way = subtract(real, camera[:2])
+    lateral = F.hypot(*way)
+    outside, behind = F.abs(front - camera[2]), abs(back - front) - thickness
+
+    def tangent(s: Column, n: float) -> Column:
+        return s / F.sqrt(n * n - s * s)
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = (span["low"] + span["high"]) / 2
+        short = (outside + behind) * tangent(middle, n_medium) + thickness * tangent(middle, n_surface) < lateral
+        return F.struct(F.when(short, middle).otherwise(span["low"]).alias("low"), F.when(short, span["high"]).otherwise(middle).alias("high"))
+
+    whole = F.struct(F.lit(0.0).alias("low"), F.lit(min(n_medium, n_surface) * (1 - 1e-12)).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), whole, halve, lambda span: (span["low"] + span["high"]) / 2)
+    scale = F.when(lateral > 0, tangent(found, n_medium) * (outside + abs(back - front)) / lateral).otherwise(1.0)
+    return tuple(c + w * scale for c, w in zip(camera[:2], way, strict=True))
+
+
 def orthogonal_residual(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
     """The least sum of squared distances of points from any line, from their moments."""
     xx, yy, xy = sxx - sx * sx / n, syy - sy * sy / n, sxy - sx * sy / n

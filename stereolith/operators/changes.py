@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timecode
@@ -130,10 +130,15 @@ def propagate_sync(clips: DataFrame, *, project: str, locked: str = "sync_is_loc
     return clips.join(others, project, "left").withColumn(locked, F.when(F.col("is_master"), F.coalesce("__any", F.lit(False))).otherwise(F.col(locked))).select(*clips.columns)
 
 
-def append_row(rows: DataFrame, values: DataFrame, *, group: str, index: str) -> DataFrame:
-    """``rows`` and, for each row of ``values``, one more of its group, with the next index there."""
+def append_row(rows: DataFrame, values: DataFrame, *, group: str, index: str, order: str | None = None) -> DataFrame:
+    """``rows`` and, for each row of ``values``, one more of its group, with the next indexes there.
+
+    Several new rows of a group are numbered by ``order``, or else by their other columns.
+    """
     last = rows.groupBy(group).agg(F.max(index).alias("__last"))
-    added = values.join(last, group, "left").withColumn(index, (F.coalesce("__last", F.lit(0)) + 1).cast(rows.schema[index].dataType))
+    by = [order] if order else [c for c in values.columns if c not in (group, index)] or [group]
+    new = values.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*by)))
+    added = new.join(last, group, "left").withColumn(index, (F.coalesce("__last", F.lit(0)) + F.col("__n")).cast(rows.schema[index].dataType))
     return rows.unionByName(added.select(*rows.columns))
 
 

@@ -161,9 +161,15 @@ def nearest_vector(vectors: DataFrame, queries: DataFrame, *, key: str, vector:
 
     Queries are sent to the executors in blocks of ``block_bytes``. A task keeps its best row for each query of a
     block, so what is shuffled has a row for each query and task, not for each pair. Ties go to the smaller key.
+    Rows and queries whose key or vector is null, or whose vector holds a null or non-finite component, take no part.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+
+    def sound(df: DataFrame, name: str) -> DataFrame:
+        cells = df.select(F.col(key).alias(name), F.col(vector).cast("array<double>").alias("v"))
+        return cells.where(F.col(name).isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+
+    rows = sound(vectors, "key")
     schema = f"query {queries.schema[key].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, distance double"
 
     def scan(ids: list, asked: np.ndarray) -> DataFrame:
@@ -191,7 +197,7 @@ def nearest_vector(vectors: DataFrame, queries: DataFrame, *, key: str, vector:
         return rows.mapInArrow(run, schema)
 
     found, ids, held = [], [], []
-    for row in queries.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).toLocalIterator():
+    for row in sound(queries, "k").toLocalIterator():
         ids.append(row.k)
         held.append(row.v)
         if 8 * len(held) * len(row.v) >= block_bytes:

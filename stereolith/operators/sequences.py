@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry
+from ..functions import geometry, timecode
 
 
 def segments(points: DataFrame, *, event: str, order: tuple[str, ...], coordinates: tuple[str, ...], t: str) -> DataFrame:
@@ -36,18 +39,46 @@ def roll_over(points: DataFrame, *, event: str, order: tuple[str, ...], most: in
     return points.withColumn("__n", n).withColumn("part", F.floor(F.col("__n") / most).cast("int")).withColumn("index", F.col("__n") % most + 1).drop("__n")
 
 
-def roll_over_by_time(points: DataFrame, *, event: str, t: str) -> DataFrame:
-    """Adds ``part``: a new event begins when a point's time differs from the one before."""
-    return points.withColumn("part", F.dense_rank().over(Window.partitionBy(event).orderBy(t)) - 1)
+def roll_over_by_time(points: DataFrame, *, event: str, t: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``part``: a new event begins when a point's time differs from that of the event so far; points come by ``order``, or else by time."""
+    return roll_over_both(points, event=event, order=order or (t,), most=0, t=t).drop("index")
+
 
+def roll_over_both(points: DataFrame, *, event: str, order: tuple[str, ...], most: int, t: str, tolerance: float = timecode.SAME_FRAME) -> DataFrame:
+    """Adds ``part`` and ``index``: in the order of clicks a new event begins when one holds ``most`` points (0: never) or the time changes.
 
-def roll_over_both(points: DataFrame, *, event: str, order: tuple[str, ...], most: int, t: str) -> DataFrame:
-    """Adds ``part`` and ``index``: a new event begins when one holds ``most`` points (0: never) or the time changes."""
-    here = F.row_number().over(Window.partitionBy(event, t).orderBy(*order)) - 1
-    run = F.floor(F.col("__n") / most).cast("int") if most > 0 else F.lit(0)
-    placed = points.withColumn("__n", here).withColumn("__run", run)
-    part = F.dense_rank().over(Window.partitionBy(event).orderBy(t, "__run")) - 1
-    return placed.withColumn("part", part).withColumn("index", (F.col("__n") % most if most > 0 else F.col("__n")) + 1).drop("__n", "__run")
+    A click has an event's time if it is less than ``tolerance`` from the event's first. A gap
+    of twice that to the click before always begins a new event, so clicks are cut there into
+    runs that are placed by themselves. A run within the tolerance needs its clicks' numbers alone; only one that
+    drifts, with steps under twice the tolerance each, is folded click by click. A null time is a run of its own.
+    """
+    by = Window.partitionBy(event).orderBy(*order)
+    gap = F.abs(F.col(t) - F.lag(t).over(by))
+    cut = F.coalesce(gap >= 2 * tolerance, F.lit(True)).cast("int")
+    runs = points.withColumn("__cut", cut).withColumn("__run", F.sum("__cut").over(by))
+    own = Window.partitionBy(event, "__run")
+    runs = runs.withColumn("__n", F.row_number().over(own.orderBy(*order))).withColumn("__drifts", F.coalesce(F.max(t).over(own) - F.min(t).over(own) >= tolerance, F.lit(False)))
+    n = F.col("__n") - 1
+    numbered = runs.withColumn("index", ((n % most if most > 0 else n) + 1).cast("int"))
+    drifting = numbered.where("__drifts").repartition(event, "__run").sortWithinPartitions(event, "__run", "__n")
+    at = [numbered.columns.index(c) for c in ("__n", t, "index")]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = held = 0
+        for batch in batches:
+            found = []
+            for place, when in zip(batch.column(at[0]).to_pylist(), batch.column(at[1]).cast(pa.float64()).to_pylist(), strict=True):
+                if place == 1 or held == most > 0 or abs(when - first) >= tolerance:
+                    first, held = when, 0
+                held += 1
+                found.append(held)
+            columns = list(batch.columns)
+            columns[at[2]] = pa.array(found, pa.int32())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    both = numbered.where("not __drifts").unionByName(drifting.mapInArrow(fold, numbered.schema))
+    opened = F.sum((F.col("index") == 1).cast("int")).over(Window.partitionBy(event).orderBy("__run", "__n"))
+    return both.withColumn("part", (opened - 1).cast("int")).drop("__cut", "__run", "__n", "__drifts")
 
 
 def placed(rows: DataFrame, *, first: str, rest: tuple[str, ...], name: str = "place") -> DataFrame:

@@ -238,45 +238,6 @@ class Frame:
     refracts: bool = False
 
 
-@dataclass(frozen=True)
-class Camera:
-    """A calibrated clip: screen to plane for both planes, with inverses, position and residuals."""
-
-    front: np.ndarray
-    back: np.ndarray
-    position: np.ndarray | None
-    pld: float | None
-    residuals: dict[str, float]
-
-
-def calibrate(frame: Frame, front: tuple[np.ndarray, np.ndarray], back: tuple[np.ndarray, np.ndarray] | None, distortion: Distortion) -> Camera:
-    """A clip's calibration from (screen, plane) points on the front and the back plane.
-
-    The back plane takes four passes with refraction, as its apparent points need the
-    camera's position, and one without.
-    """
-    seen_front = undistort(distortion, front[0])
-    m_front, r_front = homography(seen_front, front[1])
-    residuals = {"front_dlt": r_front, "front_world": _mean_gap(apply_homography(m_front, seen_front), front[1]), "front_pixel": _mean_gap(apply_homography(np.linalg.inv(m_front), front[1]), seen_front)}
-    if back is None:
-        return Camera(m_front, np.full((3, 3), np.nan), None, None, residuals)
-    seen_back = undistort(distortion, back[0])
-    target, position, pld = back[1], None, None
-    for turn in range(4 if frame.refracts else 1):
-        if turn and position is not None:
-            target = apparent_position(back[1], position, frame.front, frame.thickness, frame.n_medium, frame.n_surface, frame.back)
-        m_back, r_back = homography(seen_back, target)
-        near = apply_homography(m_front, seen_back)
-        ends = [np.column_stack([p, np.full(len(p), depth)]) for p, depth in ((near, frame.front), (apply_homography(m_back, seen_back), frame.back))]
-        position, pld = meet(*ends)
-    residuals |= {"back_dlt": r_back, "back_world": _mean_gap(apply_homography(m_back, seen_back), target), "back_pixel": _mean_gap(apply_homography(np.linalg.inv(m_back), target), seen_back)}
-    return Camera(m_front, m_back, position, pld, residuals)
-
-
-def _mean_gap(a: np.ndarray, b: np.ndarray) -> float:
-    return float(np.mean(np.hypot(*(a - b).T)))
-
-
 def reproject(points: np.ndarray, camera: np.ndarray, to_screen: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """Screen positions (n x 2) of points (n x 3: h, v, depth), each by its own camera, front-plane-to-screen matrix and front depth."""
     t = (depth - camera[:, 2]) / (points[:, 2] - camera[:, 2])
@@ -339,63 +300,9 @@ def triangulate(start: np.ndarray, owner: np.ndarray, screen: np.ndarray, camera
     return x, np.sqrt(cost / views)
 
 
-def grow_line(points: np.ndarray, first: int, second: int, *, tolerance: float = 0.3, margin: float = 4.0, size: tuple[float, float] = (np.inf, np.inf)) -> list[int]:
-    """The points of a chessboard line through two corners, in order.
-
-    From two points the next is expected a step on; the nearest corner is taken if
-    it lies within ``tolerance`` of a step, else one two steps on is tried, which
-    jumps a missing corner. The line ends there, or ``margin`` pixels from the
-    frame, and then grows from its other end.
-    """
-
-    def nearest(p: np.ndarray) -> tuple[int | None, float]:
-        far = np.hypot(*(points - p).T)
-        far[far <= 1e-4] = np.inf
-        i = int(np.argmin(far)) if len(far) else 0
-        return (i, float(far[i])) if len(far) and np.isfinite(far[i]) else (None, np.inf)
-
-    def inside(i: int) -> bool:
-        return bool(np.all(points[i] > margin) and np.all(points[i] < np.array(size) - margin))
-
-    def exact(p: np.ndarray) -> int | None:
-        same = np.flatnonzero(np.hypot(*(points - p).T) <= 1e-4)
-        return int(same[0]) if len(same) else None
-
-    line = [first, second]
-    for _ in range(2):
-        while True:
-            step = points[line[-1]] - points[line[-2]]
-            limit = tolerance * np.hypot(*step)
-            for jump in (1, 2):
-                goal = points[line[-1]] + jump * step
-                i = exact(goal)
-                far = 0.0
-                if i is None:
-                    i, far = nearest(goal)
-                if i is not None and far < limit and i not in line and inside(i):
-                    line.append(i)
-                    break
-            else:
-                break
-        line.reverse()
-    return line
-
-
 # DataFrame wrappers.
 
 
-def redistort_points(df: DataFrame, d: Distortion, *, x: str, y: str) -> DataFrame:
-    """Adds ``redistorted_x`` and ``redistorted_y``."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            p = redistort(d, frame[[x, y]].to_numpy(float))
-            yield frame.assign(redistorted_x=p[:, 0], redistorted_y=p[:, 1])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{fields}, redistorted_x double, redistorted_y double")
-
-
 def homographies(points: DataFrame, *, group: str, source: tuple[str, str], target: tuple[str, str]) -> DataFrame:
     """A matrix for each clip and plane with four points at least: ``group``, ``matrix``, ``residual``.
 
@@ -430,18 +337,6 @@ def homographies(points: DataFrame, *, group: str, source: tuple[str, str], targ
     return parts.groupBy("g").applyInPandas(merge, f"`{group}` {kind}, matrix array<array<double>>, residual double")
 
 
-def fit_distortions(points: DataFrame, *, clip: str, line: str, x: str, y: str, centre: tuple[float, float], most: int = 10_000) -> DataFrame:
-    """A distortion for each clip from its plumb lines: centre, coefficients, RMS and reduction."""
-    kind = points.schema[clip].dataType.simpleString()
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        fit = fit_distortion(frame[[x, y]].to_numpy(float), frame[line].to_numpy(), centre, most=most)
-        d = fit.distortion
-        return pd.DataFrame({clip: [frame[clip].iloc[0]], "cx": [d.cx], "cy": [d.cy], "k": [list(d.k)], "p": [list(d.p)], "rms": [fit.rms], "reduction": [fit.reduction], "rounds": [fit.rounds]})
-
-    return points.groupBy(clip).applyInPandas(run, f"`{clip}` {kind}, cx double, cy double, k array<double>, p array<double>, rms double, reduction double, rounds int")
-
-
 #: What a view of a point has: where it was clicked, the camera, the front plane's projection by rows and its depth.
 VIEW = ("screen_x", "screen_y", "camera_h", "camera_v", "camera_d", "to_screen", "front_depth")
 
@@ -478,26 +373,3 @@ def triangulate_rows(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(c) for c in (*x.T, rms)], names=[*kept, "h", "v", "depth", "rms"])
 
     return rows.select(*kept, "h0", "v0", "d0", flat.alias("__flat")).mapInArrow(run, schema)
-
-
-def grow_lines(corners: DataFrame, seeds: DataFrame, *, frame: str, x: str, y: str, tolerance: float = 0.3, margin: float = 4.0, least: int = 4, size: tuple[float, float] = (float("inf"), float("inf"))) -> DataFrame:
-    """The lines that grow in each frame from pairs of corners ``(ax, ay), (bx, by)``: ``frame, line, index, x, y``.
-
-    Lines of ``least`` points or fewer are left out. A frame's corners are at most a
-    few thousand, so each frame is one task's.
-    """
-    kind = corners.schema[frame].dataType.simpleString()
-
-    def run(key, points: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-        p = points[[x, y]].to_numpy(float)
-        out = []
-        for number, s in enumerate(starts.sort_values(["ax", "ay", "bx", "by"]).itertuples()):
-            if not len(p):
-                break
-            a, b = (int(np.argmin(np.hypot(*(p - q).T))) for q in ((s.ax, s.ay), (s.bx, s.by)))
-            grown = grow_line(p, a, b, tolerance=tolerance, margin=margin, size=size) if a != b else []
-            if len(grown) > least:
-                out += [(key[0], number, i, *p[j]) for i, j in enumerate(grown)]
-        return pd.DataFrame(out, columns=[frame, "line", "index", x, y])
-
-    return corners.groupBy(frame).cogroup(seeds.groupBy(frame)).applyInPandas(run, f"`{frame}` {kind}, line int, index int, `{x}` double, `{y}` double")

@@ -69,3 +69,9 @@ def comparison(clicked: DataFrame, reprojected: DataFrame, keys: list[str]) -> D
     """Where each screen point was clicked and where its solved point falls, with the distance between: ``keys, screen_x, screen_y, ideal_x, ideal_y, off``."""
     both = clicked.join(reprojected.select(*keys, F.col("screen_x").alias("ideal_x"), F.col("screen_y").alias("ideal_y")), keys)
     return both.select(*keys, "screen_x", "screen_y", "ideal_x", "ideal_y", F.hypot(F.col("ideal_x") - F.col("screen_x"), F.col("ideal_y") - F.col("screen_y")).alias("off"))
+
+
+def export_projects(documents: DataFrame, points: DataFrame, path: str, *, flag: str = "dirty") -> DataFrame:
+    """Write the project documents as XML under ``path``; returns the points with no flag set, as they now stand in a file. A failed write raises and leaves the flags."""
+    exports.write_project_xml(documents, path)
+    return points.withColumn(flag, F.lit(False))

@@ -10,12 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geometry, text, timecode
-from .operators import aggregates, changes, joins, selection, sequences, solvers
+from .operators import aggregates, changes, joins, lenses, plumblines, selection, sequences, solvers
 from .plans import measure, reports
 from .sources import exports
 
@@ -530,11 +529,31 @@ def g4_plane_and_back(spark, d):
     return there.select("event_id", F.round(back[0], 5).alias("x"), F.round(back[1], 5).alias("y"))
 
 
-@query("SELECT event_id, round(x, 4) AS x, round(y, 4) AS y FROM {P}")
+def _newton_sql(source: str, kept: str, steps: int = lenses.STEPS) -> str:
+    """SQL for ``steps`` Newton steps: ``source`` has ``kept`` and ``cx, cy, k1, k2, p1, p2, p3, qx, qy``; the result has ``kept`` and ``sx, sy``."""
+    kept += ", cx, cy, k1, k2, p1, p2, p3, tx, ty"
+    now = f"(SELECT *, qx - cx AS tx, qy - cy AS ty, qx - cx AS nx, qy - cy AS ny FROM {source})"
+    for _ in range(steps):
+        now = f"(SELECT *, nx*nx + ny*ny AS r FROM {now})"
+        now = f"(SELECT *, 1 + k1*r + k2*r*r AS g, k1 + 2*k2*r AS gd, 1 + p3*r AS tl, p1*(r + 2*nx*nx) + 2*p2*nx*ny AS a, 2*p1*nx*ny + p2*(r + 2*ny*ny) AS b FROM {now})"
+        now = f"""(SELECT *, nx*g + a*tl - tx AS eu, ny*g + b*tl - ty AS ev, g + 2*nx*nx*gd + (6*p1*nx + 2*p2*ny)*tl + 2*nx*a*p3 AS ja, 2*nx*ny*gd + 2*(p1*ny + p2*nx)*tl + 2*ny*a*p3 AS jb,
+            2*nx*ny*gd + 2*(p1*ny + p2*nx)*tl + 2*nx*b*p3 AS jc, g + 2*ny*ny*gd + (2*p1*nx + 6*p2*ny)*tl + 2*ny*b*p3 AS jd FROM {now})"""
+        now = f"(SELECT {kept}, nx - (jd*eu - jb*ev) / (ja*jd - jb*jc) AS nx, ny - (ja*ev - jc*eu) / (ja*jd - jb*jc) AS ny FROM {now})"
+    return f"(SELECT *, nx + cx AS sx, ny + cy AS sy FROM {now})"
+
+
+def _lens(cx: Column | float, cy: Column | float, k1: Column | float, k2: Column | float, p1: Column | float, p2: Column | float, p3: Column | float) -> Column:
+    """A lens as the tables have it."""
+    cells = [F.lit(c).cast("double") for c in (cx, cy, k1, k2, p1, p2, p3)]
+    return F.struct(cells[0].alias("cx"), cells[1].alias("cy"), F.array(cells[2], cells[3]).alias("k"), F.array(*cells[4:]).alias("p"))
+
+
+@query("SELECT event_id, round(sx, 4) AS x, round(sy, 4) AS y FROM " + _newton_sql("(SELECT event_id, x AS qx, y AS qy, 250.0 + user_id % 5 AS cx, 50.0 AS cy, 1e-7 * (1 + user_id % 3) AS k1, 2e-13 AS k2, 1e-6 AS p1, -2e-6 AS p2, 1e-8 AS p3 FROM {P})", "event_id"))
 def i2_redistort(spark, d):
-    """Undistorting and redistorting gives the point back."""
-    back = solvers.redistort_points(_ideal(spark, d).select("event_id", "ux", "uy"), LENS, x="ux", y="uy")
-    return back.select("event_id", F.round("redistorted_x", 4).alias("x"), F.round("redistorted_y", 4).alias("y"))
+    """The screen point of each ideal one, each user's by a lens of their own."""
+    lens = _lens(250.0 + F.col("user_id") % 5, 50.0, 1e-7 * (1 + F.col("user_id") % 3), 2e-13, 1e-6, -2e-6, 1e-8)
+    bent = lenses.redistorted(points(spark, d).withColumn("lens", lens), x="x", y="y")
+    return bent.select("event_id", F.round("screen_x", 4).alias("x"), F.round("screen_y", 4).alias("y"))
 
 
 @query("SELECT vec_id, round(e0 + (0.25-e2)/(e5-e2)*(e3-e0), 5) AS x, round(e1 + (0.25-e2)/(e5-e2)*(e4-e1), 5) AS y, 0.25 AS z FROM {V} WHERE abs(e5-e2) > 0.01")
@@ -607,9 +626,9 @@ def _to_screen(i: int) -> np.ndarray:
     return np.array([[900.0 + 20 * i, 5.0 * i, 300.0], [-4.0 * i, -880.0, 600.0 + 10 * i], [0.02 * i, 0.01, 1.0]])
 
 
-def _views(spark, d) -> DataFrame:
-    """Every point of the tracks, scaled into the frame, as three cameras see it."""
-    p = points(spark, d).select("event_id", (F.col("x") / 500).alias("h"), (F.col("y") / 100).alias("v"), (0.05 + (F.col("event_id") % 7) * 0.05).alias("d"))
+def _views(spark, d, x: Column | None = None) -> DataFrame:
+    """Every point of the tracks, scaled into the frame, as three cameras see it; ``x`` stands in for its first coordinate."""
+    p = points(spark, d).select("event_id", ((F.col("x") if x is None else x) / 500).alias("h"), (F.col("y") / 100).alias("v"), (0.05 + (F.col("event_id") % 7) * 0.05).alias("d"))
     views = []
     for i, (ch, cv, cd) in enumerate(CAMERAS):
         t = (FRAME.front - cd) / (F.col("d") - cd)
@@ -618,25 +637,64 @@ def _views(spark, d) -> DataFrame:
     return views[0].unionByName(views[1]).unionByName(views[2])
 
 
-def _calibration_points(spark) -> DataFrame:
-    """A frame's nodes as the synthetic cameras see them, through the refracting slab for the back plane."""
-    grid = np.array([(h, v) for h in np.linspace(0, 0.8, 5) for v in np.linspace(0, 0.6, 4)])
-    rows = []
-    for i, c in enumerate(CAMERAS):
-        camera, matrix = np.array(c), _to_screen(i)
-        seen = solvers.apparent_position(grid, camera, FRAME.front, FRAME.thickness, FRAME.n_medium, FRAME.n_surface, FRAME.back)
-        t = (FRAME.front - camera[2]) / (FRAME.back - camera[2])
-        for side, at in (("front", grid), ("back", camera[:2] + t * (seen - camera[:2]))):
-            screen = solvers.apply_homography(matrix, at)
-            rows += [(i, side, float(s[0]), float(s[1]), float(g[0]), float(g[1])) for s, g in zip(screen, grid)]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["clip_id", "surface", "screen_x", "screen_y", "world_h", "world_v"]))
+#: One clip for each user: a camera's place and its screen, by the user's remainder by 7.
+_CLIP = "user_id % 7"
+
+
+def _user_camera() -> tuple[Column, Column, Column]:
+    c = F.col("user_id") % 7
+    return 0.1 + 0.1 * c, 0.2 - 0.05 * c, -1.5 - 0.05 * c
+
 
+def _user_screen() -> list[Column]:
+    c = F.col("user_id") % 7
+    return [900.0 + 20 * c, 5.0 * c, F.lit(300.0), -4.0 * c, F.lit(-880.0), 600.0 + 10 * c, 0.02 * c, F.lit(0.01), F.lit(1.0)]
 
-@query("SELECT * FROM (VALUES (0, 0.1, 0.2, -1.5), (1, 0.7, 0.1, -1.4), (2, 0.4, -0.3, -1.6)) t(clip_id, camera_h, camera_v, camera_d)".replace("SELECT *", "SELECT CAST(clip_id AS BIGINT) AS clip_id, CAST(camera_h AS DOUBLE) AS camera_h, CAST(camera_v AS DOUBLE) AS camera_v, CAST(camera_d AS DOUBLE) AS camera_d"))
+
+def _calibration_points(spark, d) -> DataFrame:
+    """Events as nodes of the frame, even ones on its front plane, as their user's camera sees them; the back plane through the refracting slab."""
+    world = (F.col("x") / 500, F.col("y") / 100)
+    camera = _user_camera()
+    seen = geometry.apparent_position(world, camera, front=FRAME.front, back=FRAME.back, thickness=FRAME.thickness, n_medium=FRAME.n_medium, n_surface=FRAME.n_surface)
+    t = (FRAME.front - camera[2]) / (FRAME.back - camera[2])
+    is_front = F.col("event_id") % 2 == 0
+    rows = points(spark, d).select("user_id", is_front.alias("is_front"), *[c.alias(n) for n, c in zip(("world_h", "world_v"), world)], *[F.when(is_front, w).otherwise(c + t * (s - c)).alias(n) for n, w, c, s in zip("hv", world, camera, seen)])
+    sx, sy = geometry.project(_user_screen(), (F.col("h"), F.col("v")))
+    return rows.select(F.col("user_id").alias("clip_id"), F.when(F.col("is_front"), "front").otherwise("back").alias("surface"), sx.alias("screen_x"), sy.alias("screen_y"), "world_h", "world_v")
+
+
+_BOTH_PLANES = "GROUP BY user_id HAVING count_if(event_id % 2 = 0) >= 4 AND count_if(event_id % 2 = 1) >= 4"
+
+
+@query(f"SELECT user_id AS clip_id, round(0.1 + 0.1 * ({_CLIP}), 2) AS camera_h, round(0.2 - 0.05 * ({_CLIP}), 2) AS camera_v, round(-1.5 - 0.05 * ({_CLIP}), 2) AS camera_d FROM events {_BOTH_PLANES}")
 def i8_calibrate(spark, d):
-    """The synthetic cameras' positions, found again with refraction in four passes."""
-    cameras = measure.calibrate_clips(_calibration_points(spark), FRAME)
-    return cameras.select("clip_id", *[F.round(c, 3).alias(c) for c in ("camera_h", "camera_v", "camera_d")])
+    """Every user's camera, found again from the calibration points with refraction in four passes."""
+    cameras = measure.calibrate_clips(_calibration_points(spark, d), FRAME)
+    return cameras.select("clip_id", *[(F.round(c, 2) + 0.0).alias(c) for c in ("camera_h", "camera_v", "camera_d")])
+
+
+@query(f"""WITH b AS (SELECT user_id, event_id, x / 500 AS h, y / 100 AS v, 0.1 + 0.1 * ({_CLIP}) AS ch, 0.2 - 0.05 * ({_CLIP}) AS cv, 1.5 + 0.05 * ({_CLIP}) AS out FROM {{P}}),
+w AS (SELECT *, sqrt((h-ch)*(h-ch)+(v-cv)*(v-cv)) AS aside FROM b),
+n AS (SELECT *, list_reduce(list_prepend([0.0, 1.3364 * (1 - 1e-12)], list_transform(range(60), lambda i: [0.0, 0.0])), lambda a, x: CASE WHEN (out + 0.4305) * ((a[1]+a[2])/2) / sqrt(1.3364*1.3364 - ((a[1]+a[2])/2)*((a[1]+a[2])/2)) + 0.0095 * ((a[1]+a[2])/2) / sqrt(1.585*1.585 - ((a[1]+a[2])/2)*((a[1]+a[2])/2)) < aside THEN [(a[1]+a[2])/2, a[2]] ELSE [a[1], (a[1]+a[2])/2] END) AS span FROM w),
+s AS (SELECT *, (span[1] + span[2]) / 2 AS sine FROM n)
+SELECT event_id, round(ch + (h-ch) * CASE WHEN aside > 0 THEN sine / sqrt(1.3364*1.3364 - sine*sine) * (out + 0.44) / aside ELSE 1 END, 6) AS h, round(cv + (v-cv) * CASE WHEN aside > 0 THEN sine / sqrt(1.3364*1.3364 - sine*sine) * (out + 0.44) / aside ELSE 1 END, 6) AS v FROM s""")
+def i5_apparent_position(spark, d):
+    """Where points of the back plane seem to lie behind the slab, by as many bisections."""
+    at = geometry.apparent_position((F.col("x") / 500, F.col("y") / 100), _user_camera(), front=FRAME.front, back=FRAME.back, thickness=FRAME.thickness, n_medium=FRAME.n_medium, n_surface=FRAME.n_surface)
+    return points(spark, d).select("event_id", r6(at[0], "h"), r6(at[1], "v"))
+
+
+_STATUS = "CASE WHEN f < 4 AND b < 4 THEN 'too few' WHEN (f >= 4 AND fb > 0) OR (b >= 4 AND bb > 0) THEN 'incomplete' WHEN f >= 4 AND b >= 4 THEN 'both' WHEN f >= 4 THEN 'front' ELSE 'back' END"
+
+
+@query(f"""SELECT clip_id, f AS front, b AS back, {_STATUS} AS status FROM (SELECT o_custkey AS clip_id, count_if(o_orderstatus = 'O') AS f, count_if(o_orderstatus = 'F') AS b,
+  count_if(o_orderstatus = 'O' AND o_totalprice < 2000) AS fb, count_if(o_orderstatus = 'F' AND o_totalprice < 2000) AS bb FROM orders GROUP BY 1)""")
+def f8_two_planes(spark, d):
+    """What customers' orders would allow, were they calibration points: open ones on the front plane, cheap ones not clicked yet."""
+    place = F.when(F.col("o_totalprice") >= 2000, F.col("o_totalprice"))
+    side = F.when(F.col("o_orderstatus") == "O", "front").when(F.col("o_orderstatus") == "F", "back")
+    nodes = table(spark, d, "orders").select(F.col("o_custkey").alias("clip_id"), side.alias("surface"), place.alias("screen_x"), place.alias("screen_y"))
+    return measure.calibration_status(nodes)
 
 
 _TRUTH = "SELECT event_id AS point_id, 3 AS n, round(x, 2) AS x, round(y, 2) AS y, round(0.05 + (event_id % 7) * 0.05, 3) AS depth FROM {P}"
@@ -669,32 +727,77 @@ def i3_iterative_points(spark, d):
     return found.select("point_id", "n", F.round(F.col("h") * 500, 2).alias("x"), F.round(F.col("v") * 100, 2).alias("y"), F.round("depth", 3).alias("depth"))
 
 
-def _plumb_points(spark) -> DataFrame:
-    """Straight lines on two screens, bent by a known lens."""
-    lens = geometry.Distortion(960.0, 540.0, (5e-8, 1e-14), (1e-6,))
-    rows = []
-    for clip in (0, 1):
-        for line, y in enumerate(np.linspace(80, 1000, 12)):
-            x = np.linspace(60, 1860, 20)
-            ideal = np.column_stack([x, y + (x - 960) * 0.01 * (clip + 1)])
-            rows += [(clip, line, float(px), float(py)) for px, py in solvers.redistort(lens, ideal)]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["clip_id", "line", "x", "y"]))
+#: Straight lines on the ideal screen of each supplier: ten level ones and ten upright ones, a little aslant.
+_IDEAL = """(SELECT l_suppkey, l_partkey % 20 AS line, CASE WHEN l_partkey % 20 < 10 THEN u ELSE 100 + 190 * (l_partkey % 20 - 10) + 0.01 * w * (l_suppkey % 3) END AS qx, CASE WHEN l_partkey % 20 < 10 THEN 60 + 100 * (l_partkey % 20) + 0.02 * u * (l_suppkey % 3) ELSE w END AS qy,
+  960.0 + l_suppkey % 5 AS cx, 540.0 - l_suppkey % 4 AS cy, 5e-8 * (1 + l_suppkey % 2) AS k1, 1e-14 AS k2, 1e-6 AS p1, -5e-7 AS p2, 0.0 AS p3
+  FROM (SELECT *, 60 + CAST(round(l_extendedprice * 100) AS BIGINT) % 1800 AS u, 40 + CAST(round(l_extendedprice * 100) AS BIGINT) % 1000 AS w FROM lineitem))"""
+
+
+def _bent_lines(spark, d) -> DataFrame:
+    """Order lines as plumb points: straight on the ideal screen, bent by the lens of their supplier's camera."""
+    cents, line, s = F.round(F.col("l_extendedprice") * 100).cast("long"), F.col("l_partkey") % 20, F.col("l_suppkey")
+    u, w = 60 + cents % 1800, 40 + cents % 1000
+    level = line < 10
+    x = F.when(level, u.cast("double")).otherwise(100 + 190 * (line - 10) + 0.01 * w * (s % 3))
+    y = F.when(level, 60 + 100 * line + 0.02 * u * (s % 3)).otherwise(w.cast("double"))
+    lens = _lens(960.0 + s % 5, 540.0 - s % 4, 5e-8 * (1 + s % 2), 1e-14, 1e-6, -5e-7, 0.0)
+    rows = table(spark, d, "lineitem").select(s.alias("clip_id"), line.alias("line"), x.alias("ideal_x"), y.alias("ideal_y"), lens.alias("lens"))
+    return lenses.redistorted(rows, x="ideal_x", y="ideal_y").select("clip_id", "line", F.col("screen_x").alias("x"), F.col("screen_y").alias("y"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS clip_id, true AS straight, true AS close FROM range(0, 2) AS r(i)")
+@query(f"""WITH m AS (SELECT l_suppkey, line, count(*) AS n, var_pop(sx) * count(*) AS xx, var_pop(sy) * count(*) AS yy, covar_pop(sx, sy) * count(*) AS xy FROM {_newton_sql(_IDEAL, "l_suppkey, line")} GROUP BY 1, 2 HAVING count(*) > 2)
+SELECT l_suppkey AS clip_id, CAST(sum(n) AS BIGINT) AS points, round(sqrt(sum((xx + yy - sqrt((xx-yy)*(xx-yy) + 4*xy*xy)) / 2) / sum(n)), 3) AS initial_rms, 0.0 AS rms, 1.0 AS reduction FROM m GROUP BY 1""")
 def i1_fit_distortion(spark, d):
-    """The lens that straightens plumb lines. The surface is flat in 13 dimensions, so the reduction is shown, not the parameters."""
-    fit = solvers.fit_distortions(_plumb_points(spark), clip="clip_id", line="line", x="x", y="y", centre=(960.0, 540.0))
-    return fit.select("clip_id", (F.col("reduction") > 0.99).alias("straight"), (F.col("rms") < 0.1).alias("close"))
+    """The lens of every supplier's camera, from its bent lines. Many sets of coefficients straighten them, so what they leave is shown."""
+    fit = plumblines.fit_lenses(_bent_lines(spark, d), clip="clip_id", line="line", x="x", y="y", centre=(960.0, 540.0))
+    return fit.select("clip_id", "points", F.round("initial_rms", 3).alias("initial_rms"), F.round("rms", 2).alias("rms"), F.round("reduction", 4).alias("reduction"))
+
+
+def _corners(spark, d) -> DataFrame:
+    """Order lines as detected corners: each supplier's lie on a bent lattice of 24 columns, every seventeenth is missing and each is a little off."""
+    rank = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")) - 1
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    rows = table(spark, d, "lineitem").withColumn("n", rank).where(F.col("n") % 17 != 5)
+    column, row = F.col("n") % 24, F.floor(F.col("n") / 24)
+    x = 40 + 36 * column + 0.4 * row + 0.03 * column * column + (cents % 11 - 5) * 0.4
+    y = 30 + 38 * row - 0.3 * column + (cents % 7 - 3) * 0.5
+    return rows.select(F.col("l_suppkey").alias("frame"), x.alias("x"), y.alias("y"), F.col("l_quantity").alias("quality"))
+
+
+@query()
+def v1_plumb_lines(spark, d):
+    """The lines of every supplier's lattice, found without a seed; a frame keeps its 2,000 strongest corners."""
+    return plumblines.plumb_lines(_corners(spark, d), frame="frame", x="x", y="y", quality="quality")
 
 
-@query("SELECT CAST(i AS INT) AS frame, CAST(0 AS INT) AS line, CAST(6 AS BIGINT) AS points FROM range(0, 4) AS r(i)")
+@query()
 def w9_grow_lines(spark, d):
-    """A row of nine corners in each frame, the fifth missing; once the line has jumped it, its step stays twice as long."""
-    cells = [(f, 20.0 + 30 * c + 0.3 * r, 20.0 + 30 * r) for f in range(4) for r in range(5) for c in range(9) if (r, c) != (2, 4)]
-    corners = spark.createDataFrame(cells, "frame int, x double, y double")
-    seeds = spark.createDataFrame([(f, 50.6, 80.0, 80.6, 80.0) for f in range(4)], "frame int, ax double, ay double, bx double, by double")
-    return solvers.grow_lines(corners, seeds, frame="frame", x="x", y="y").groupBy("frame", "line").agg(F.count(F.lit(1)).alias("points"))
+    """In each frame the line through two neighbours: the corner that lies leftmost in its third row, and the next."""
+    corners = _corners(spark, d)
+    row = corners.where((F.col("y") > 92) & (F.col("y") < 120) & (F.col("x") < 150)).groupBy("frame").agg(F.slice(F.array_sort(F.collect_list(F.struct("x", "y"))), 1, 2).alias("two")).where(F.size("two") == 2)
+    seeds = row.select("frame", *[F.col("two")[i][c].alias(n + c) for i, n in enumerate("ab") for c in "xy"])
+    return plumblines.grow_lines(corners, seeds, frame="frame", x="x", y="y")
+
+
+@query("""WITH o AS (SELECT user_id, event_id % 4 AS line, count(*) AS n FROM {P} WHERE event_type = 'click' GROUP BY 1, 2),
+f AS (SELECT user_id, event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY event_id % 9) AS n FROM {P} WHERE event_type <> 'click')
+SELECT user_id, event_id, CAST(event_id % 4 AS BIGINT) AS line FROM {P} WHERE event_type = 'click' UNION ALL
+SELECT f.user_id, event_id, CAST(coalesce((SELECT max(line) + 1 FROM o WHERE o.user_id = f.user_id), 0) + n - 1 AS BIGINT) FROM f""")
+def m12_insert_lines(spark, d):
+    """Lines that were found, numbered on after those that a clip has."""
+    p = points(spark, d)
+    old = p.where("event_type = 'click'").select("user_id", "event_id", (F.col("event_id") % 4).alias("line"))
+    found = p.where("event_type <> 'click'").select("user_id", "event_id", (F.col("event_id") % 9).alias("line"))
+    return plumblines.insert_lines(old, found, clip="user_id")
+
+
+@query("""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS index, l_suppkey FROM lineitem WHERE l_quantity >= 20 UNION ALL
+SELECT l_orderkey, coalesce((SELECT max(l_linenumber) FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_quantity >= 20), -1) + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice), l_suppkey FROM lineitem a WHERE l_quantity < 20""")
+def m12_append_points(spark, d):
+    """Points at their lines' ends, several for a line."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("index"), "l_suppkey", "l_quantity", F.struct("l_linenumber", "l_partkey", "l_extendedprice").alias("clicked"))
+    both = plumblines.append_points(rows.where("l_quantity >= 20"), rows.where("l_quantity < 20"), line=("l_orderkey",), order="clicked")
+    return both.select("l_orderkey", "index", "l_suppkey")
 
 
 # More of the inventory
@@ -1186,8 +1289,152 @@ def a14_reprojection_error(spark, d):
     return found.select("point_id", (F.col("rms") < 1e-4).alias("exact"), (F.col("camera_distance") > 1.4).alias("near"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS clip_id, true AS front, true AS back FROM range(0, 3) AS r(i)")
+@query()
 def a19_linear_residuals(spark, d):
-    """The synthetic cameras' linear fits leave next to nothing."""
-    cameras = measure.calibrate_clips(_calibration_points(spark), FRAME)
-    return cameras.select("clip_id", (F.col("front_dlt") < 1e-3).alias("front"), (F.col("back_dlt") < 1e-3).alias("back"))
+    """What the linear fit of clicks that are some pixels off leaves, by kind of event."""
+    off = (F.col("event_id") % 11 - 5) * 0.2
+    p = points(spark, d).withColumns({"sx": F.col("x") + off, "sy": F.col("y") - off / 2})
+    h, v = geometry.project([F.lit(c) for c in MATRIX], (F.col("x"), F.col("y")))
+    found = solvers.homographies(p.withColumns({"h": h, "v": v}), group="event_type", source=("sx", "sy"), target=("h", "v"))
+    return found.select("event_type", F.round("residual", 8).alias("residual"), *[F.round(F.col("matrix")[i][j], 7).alias(f"m{i}{j}") for i in range(3) for j in range(3)])
+
+
+@query(f"""WITH q AS ({_TRUTH}) SELECT point_id, CAST(CASE WHEN point_id % 97 = 1 THEN 2 ELSE 3 END AS BIGINT) AS n, round(x + CASE WHEN point_id % 50 = 0 THEN 5 ELSE 0 END, 2) AS x, y, depth,
+point_id % 50 = 0 OR point_id % 97 = 1 AS dirty FROM q WHERE point_id % 101 <> 2""")
+def m1_recalculate_changed(spark, d):
+    """All points solved, then every fiftieth moved, a view of others deleted and all views of a few: what changed is solved again and is dirty."""
+    cameras = _plain_cameras(spark)
+    first = measure.recalculate_changed(None, _views(spark, d), cameras, FRAME, iterative=False).withColumn("dirty", F.lit(False))
+    edited = _views(spark, d, F.col("x") + F.when(F.col("event_id") % 50 == 0, 5.0).otherwise(0.0)).where("not (point_id % 97 = 1 and clip_id = 2) and point_id % 101 <> 2")
+    now = measure.recalculate_changed(first, edited, cameras, FRAME)
+    return now.select("point_id", "n", F.round(F.col("h") * 500, 2).alias("x"), F.round(F.col("v") * 100, 2).alias("y"), F.round("depth", 3).alias("depth"), "dirty")
+
+
+#: The lenses of the three cameras, and the tables that the projection chains read.
+_LENSES = ((250.0, 180.0, 1e-7, 2e-14, 1e-7, -2e-7, 0.0), (400.0, 300.0, 2e-7, 1e-14, 0.0, 3e-7, 0.0), (300.0, 200.0, 5e-8, 0.0, 1e-7, 0.0, 0.0))
+
+
+def _lens_table(spark) -> DataFrame:
+    rows = [(i, cx, cy, [k1, k2], [p1, p2, p3]) for i, (cx, cy, k1, k2, p1, p2, p3) in enumerate(_LENSES)]
+    return spark.createDataFrame(rows, "clip_id long, cx double, cy double, k array<double>, p array<double>")
+
+
+def _by_clip(values: list, clip: str) -> str:
+    return f"CASE {clip} " + " ".join(f"WHEN {i} THEN CAST({v!r} AS DOUBLE)" for i, v in enumerate(values)) + " END"
+
+
+def _lens_sql(clip: str) -> str:
+    return ", ".join(f"{_by_clip([lens[i] for lens in _LENSES], clip)} AS {n}" for i, n in enumerate(("cx", "cy", "k1", "k2", "p1", "p2", "p3")))
+
+
+def _matrix_sql(matrices: list[np.ndarray], clip: str, name: str) -> str:
+    return ", ".join(f"{_by_clip([float(m.ravel()[i]) for m in matrices], clip)} AS {name}{i}" for i in range(9))
+
+
+def _project_sql(m: str, x: str, y: str) -> tuple[str, str]:
+    w = f"({m}6*{x} + {m}7*{y} + {m}8)"
+    return f"({m}0*{x} + {m}1*{y} + {m}2) / {w}", f"({m}3*{x} + {m}4*{y} + {m}5) / {w}"
+
+
+def _plane_matrices() -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Screen to front plane and to back plane of the three cameras."""
+    front, back = [], []
+    for i, c in enumerate(CAMERAS):
+        t = (FRAME.back - c[2]) / (FRAME.front - c[2])
+        front.append(np.linalg.inv(_to_screen(i)))
+        back.append(np.array([[t, 0, (1 - t) * c[0]], [0, t, (1 - t) * c[1]], [0, 0, 1]]) @ front[-1])
+    return front, back
+
+
+_CLICKS = "(SELECT event_id, user_id % 3 AS clip_id, x, y * 5 AS y FROM {P})"
+_BENT = f"""(SELECT event_id, clip_id, x, y, x + dx*(k1*r + k2*r*r) + p1*(r + 2*dx*dx) + 2*p2*dx*dy AS ux, y + dy*(k1*r + k2*r*r) + 2*p1*dx*dy + p2*(r + 2*dy*dy) AS uy FROM
+  (SELECT *, dx*dx + dy*dy AS r FROM (SELECT *, x - cx AS dx, y - cy AS dy FROM (SELECT *, {_lens_sql("clip_id")} FROM {_CLICKS}))))"""
+
+
+def _clicks(spark, d) -> DataFrame:
+    return points(spark, d).select("event_id", (F.col("user_id") % 3).alias("clip_id"), F.col("x").alias("screen_x"), (F.col("y") * 5).alias("screen_y"))
+
+
+@query(f"""SELECT event_id, round({_project_sql("f", "ux", "uy")[0]}, 6) AS front_h, round({_project_sql("f", "ux", "uy")[1]}, 6) AS front_v, round({_project_sql("b", "ux", "uy")[0]}, 6) AS back_h, round({_project_sql("b", "ux", "uy")[1]}, 6) AS back_v
+FROM (SELECT *, {_matrix_sql(_plane_matrices()[0], "clip_id", "f")}, {_matrix_sql(_plane_matrices()[1][:2], "clip_id", "b")} FROM {_BENT})""")
+def p20_plane_coordinates(spark, d):
+    """Each click on each plane that its clip is calibrated on; the third clip has no back plane."""
+    cameras = _plain_cameras(spark).withColumn("to_back", F.when(F.col("clip_id") < 2, F.col("to_back")))
+    ideal = lenses.undistorted(lenses.with_lens(_clicks(spark, d), _lens_table(spark), clip="clip_id"), x="screen_x", y="screen_y")
+    on = measure.plane_coordinates(ideal.select("event_id", "clip_id", F.col("ideal_x").alias("screen_x"), F.col("ideal_y").alias("screen_y")), cameras)
+    return on.select("event_id", *[r6(F.col(c), c) for c in ("front_h", "front_v", "back_h", "back_v")])
+
+
+def _hint_sql() -> str:
+    front, back = _plane_matrices()
+    planes = f"(SELECT *, {', '.join(f'{c} AS {n}' for n, c in zip(('fh', 'fv', 'bh', 'bv'), (*_project_sql('f', 'ux', 'uy'), *_project_sql('b', 'ux', 'uy'))))} FROM (SELECT *, {_matrix_sql(front, 'clip_id', 'f')}, {_matrix_sql(back, 'clip_id', 'b')} FROM {_BENT}))"
+    shown = f"(SELECT event_id, to_clip, {', '.join(f'{c} AS {n}' for n, c in zip(('ax', 'ay', 'ex', 'ey'), (*_project_sql('g', 'fh', 'fv'), *_project_sql('h', 'bh', 'bv'))))} FROM (SELECT *, {_matrix_sql([np.linalg.inv(m) for m in front], 'to_clip', 'g')}, {_matrix_sql([np.linalg.inv(m) for m in back], 'to_clip', 'h')} FROM (SELECT *, (clip_id + 1) % 3 AS to_clip FROM {planes})))"
+    samples = f"""(SELECT event_id, to_clip, -100 + 100.0 * i AS qx, ay + (-100 + 100.0 * i - ax) / (ex - ax) * (ey - ay) AS qy FROM {shown}, range(0, 12) AS r(i) WHERE ex <> ax UNION ALL
+      SELECT event_id, to_clip, ax + (-100 + 100.0 * i - ay) / (ey - ay) * (ex - ax), -100 + 100.0 * i FROM {shown}, range(0, 9) AS r(i) WHERE ey <> ay)"""
+    inside = f"(SELECT event_id, qx, qy, {_lens_sql('to_clip')} FROM {samples} WHERE qx >= -100 AND qx <= 1000 AND qy >= -100 AND qy <= 700)"
+    return f"SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY qx DESC, qy DESC) AS INT) AS place, round(sx, 3) AS x, round(sy, 3) AS y FROM {_newton_sql(inside, 'event_id, qx, qy')}"
+
+
+@query(_hint_sql())
+def g14_hint_lines(spark, d):
+    """Every click's line of sight on the next clip: undistorted, through both planes, across to the other clip, sampled and bent by its lens."""
+    targets = spark.createDataFrame([(i, (i + 1) % 3) for i in range(3)], "clip_id long, to_clip long")
+    lines = measure.hint_lines(_clicks(spark, d), targets, _plain_cameras(spark), _lens_table(spark), key="event_id", width=900.0, height=600.0, step=100.0, pad=100.0)
+    return lines.select("event_id", "place", F.round("screen_x", 3).alias("x"), F.round("screen_y", 3).alias("y"))
+
+
+def _ideal_sql() -> str:
+    """Points in space as their clip shows them, bent by its lens, beside where they were clicked."""
+    ch, cv, cd = (_by_clip([c[i] for c in CAMERAS], "clip_id") for i in range(3))
+    at = f"(SELECT *, ch + (0 - cd) / (0.25 - cd) * (h - ch) AS ph, cv + (0 - cd) / (0.25 - cd) * (v - cv) AS pv FROM (SELECT *, x / 500 AS h, y / 500 AS v, {ch} AS ch, {cv} AS cv, {cd} AS cd FROM {_CLICKS}))"
+    x, y = _project_sql("s", "ph", "pv")
+    seen = f"(SELECT event_id, {x} AS qx, {y} AS qy, {_lens_sql('clip_id')} FROM (SELECT *, {_matrix_sql([_to_screen(i) for i in range(3)], 'clip_id', 's')} FROM {at}))"
+    return f"(SELECT n.event_id, n.sx, n.sy, c.x, c.y FROM {_newton_sql(seen, 'event_id')} n JOIN {_CLICKS} c ON c.event_id = n.event_id)"
+
+
+def _compared(spark, d) -> DataFrame:
+    clicks = _clicks(spark, d).withColumnRenamed("event_id", "point_id")
+    solved = points(spark, d).select(F.col("event_id").alias("point_id"), (F.col("x") / 500).alias("h"), (F.col("y") / 100).alias("v"), F.lit(0.25).alias("depth"))
+    ideal = measure.reprojected(solved, clicks, _plain_cameras(spark), _lens_table(spark), FRAME)
+    return reports.comparison(clicks, ideal, ["point_id", "clip_id"])
+
+
+@query(f"SELECT event_id AS point_id, round(sx, 3) AS ideal_x, round(sy, 3) AS ideal_y, round(sqrt((sx-x)*(sx-x)+(sy-y)*(sy-y)), 3) AS off FROM {_ideal_sql()}")
+def p21_reprojected(spark, d):
+    """Where each point was clicked and where its solved place falls on the screen, through the camera and the lens."""
+    return _compared(spark, d).select("point_id", *[F.round(c, 3).alias(c) for c in ("ideal_x", "ideal_y", "off")])
+
+
+@query(f"SELECT c.clip_id, round(avg(sqrt((q.sx-q.x)*(q.sx-q.x)+(q.sy-q.y)*(q.sy-q.y))), 3) AS pixels, count(*) AS n FROM {_ideal_sql()} q JOIN {_CLICKS} c USING (event_id) GROUP BY 1")
+def a10_pixel_residual(spark, d):
+    """The mean distance, in pixels, between clicks and what the solved points give on the screen."""
+    return _compared(spark, d).groupBy("clip_id").agg(F.round(F.avg("off"), 3).alias("pixels"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH RECURSIVE q AS (SELECT user_id, event_id, floor(x / 120) + (event_id % 4) * 0.0015 AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM {P}),
+f AS (SELECT user_id, event_id, n, t AS first, 0 AS part, 1 AS index FROM q WHERE n = 1 UNION ALL
+SELECT q.user_id, q.event_id, q.n, CASE WHEN f.index = 3 OR abs(q.t - f.first) >= 0.004 THEN q.t ELSE f.first END, CASE WHEN f.index = 3 OR abs(q.t - f.first) >= 0.004 THEN f.part + 1 ELSE f.part END, CASE WHEN f.index = 3 OR abs(q.t - f.first) >= 0.004 THEN 1 ELSE f.index + 1 END
+FROM f JOIN q ON q.user_id = f.user_id AND q.n = f.n + 1)
+SELECT user_id, event_id, CAST(part AS INT) AS part, CAST(index AS INT) AS index FROM f""")
+def w5_place_clicks(spark, d):
+    """Clicks in their order: an event of three is full, and a click at another time opens the next, also when the time goes back."""
+    clicks = points(spark, d).withColumn("t", F.floor(F.col("x") / 120) + (F.col("event_id") % 4) * 0.0015)
+    return sequences.roll_over_both(clicks, event="user_id", order=("event_id",), most=3, t="t").select("user_id", "event_id", "part", "index")
+
+
+@query("""SELECT l_orderkey, CAST(l_linenumber AS INT) AS l_linenumber FROM lineitem WHERE l_quantity < 25 UNION ALL
+SELECT l_orderkey, CAST(coalesce((SELECT max(l_linenumber) FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_quantity < 25), 0) + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS INT) FROM lineitem a WHERE l_quantity >= 25""")
+def m8_append_rows(spark, d):
+    """Several new rows of a group follow each other."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    new = rows.where("l_quantity >= 25").select("l_orderkey", F.col("l_linenumber").alias("clicked"))
+    return changes.append_row(rows.where("l_quantity < 25").select("l_orderkey", "l_linenumber"), new, group="l_orderkey", index="l_linenumber", order="clicked")
+
+
+@query("""SELECT conv_id, turn, CAST(i AS INT) AS index, CAST(i AS DOUBLE) AS world_h, CAST(length(text) + i AS DOUBLE) AS world_v FROM conversations, range(1, 4) AS r(i)""")
+def s10_nodes(spark, d):
+    """Each frame's text of nodes, by frame: lines that don't parse count for nothing."""
+    line = lambda i: F.concat(F.lit(f"{i}, "), (F.length("text") + i).cast("string"))
+    frames = table(spark, d, "conversations").select("conv_id", "turn", F.concat(line(1), F.lit("\nh, v\r\n"), line(2), F.lit("\r"), line(3)).alias("nodes"))
+    return exports.nodes(frames, "nodes", keys=("conv_id", "turn"))
+

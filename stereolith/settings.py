@@ -13,6 +13,9 @@ class Settings:
     grid_spacing: float = 0.1
     nudge_pixels: float = 0.3
     most_corners: int = 2000
+    least_line_corners: int = 4  # a line has more
+    corner_tolerance: float = 0.2  # of a step
+    corner_margin: float = 4.0  # pixels
     step_amount: float = 10.0
     step_unit: str = "frames"
     rates: tuple[float, float] = (0.33, 2.0)

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 
-def nodes(frame: DataFrame, text_col: str) -> DataFrame:
-    """The lines ``h,v`` of a frame's text as points: those that parse, numbered from 1."""
-    lines = frame.select(F.posexplode(F.split(text_col, "\r\n|\n|\r")).alias("pos", "line")).withColumn("node", text.parse_node(F.col("line"))).where("node is not null")
-    numbered = lines.agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("all")).select(F.posexplode("all").alias("i", "n"))
-    return numbered.select((F.col("i") + 1).alias("index"), F.col("n.node.h").alias("world_h"), F.col("n.node.v").alias("world_v"))
+def nodes(frames: DataFrame, text_col: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The lines ``h,v`` of each frame's text as points: those that parse, numbered from 1 in their frame, beside the frame's ``keys``.
+
+    A row is a frame, so nothing is shuffled. A frame whose text is null or has no such line gives no row.
+    """
+    parsed = F.filter(F.transform(F.split(text_col, "\r\n|\n|\r"), text.parse_node), lambda n: n.isNotNull())
+    numbered = frames.select(*keys, F.posexplode(parsed).alias("__i", "__n"))
+    return numbered.select(*keys, (F.col("__i") + 1).alias("index"), F.col("__n.h").alias("world_h"), F.col("__n.v").alias("world_v"))
 
 
 def write_points_csv(points: DataFrame, path: str, order: list[str], title: str | None = None, sep: str = ",") -> bool:

@@ -87,11 +87,3 @@ def test_fit_straightens_a_bent_grid():
     line, p = np.array([r[0] for r in lines]), np.array([r[1:] for r in lines])
     fit = solvers.fit_distortion(solvers.redistort(LENS, p), line, (960.0, 540.0), most=2500)
     assert fit.reduction > 0.99 and fit.rms < 0.2
-
-
-def test_growing_jumps_one_missing_corner_and_stops_at_the_edge():
-    p = np.array([(20.0 + 30 * c, 50.0) for c in range(8) if c != 4] + [(20.0, 500.0)])
-    grown = {float(p[i][0]) for i in solvers.grow_line(p, 1, 2)}
-    assert grown == {20.0, 50.0, 80.0, 110.0, 170.0, 230.0}
-    inner = {float(p[i][0]) for i in solvers.grow_line(p, 1, 2, size=(200.0, 600.0))}
-    assert 230.0 not in inner and 20.0 in inner
