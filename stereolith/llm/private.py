@@ -1,9 +1,10 @@
 """Personal data: pattern spans, and identifiers that their contexts give away.
 
-Fixed patterns find e-mail and IP addresses, card and phone numbers. These are
-the seeds of a bootstrap: the words beside them induce lexical patterns, a graph
-of patterns and instances is scored in turns, and the patterns that prove
-reliable discover identifiers of forms that no fixed pattern has.
+Fixed patterns find e-mail and IP addresses, card and phone numbers. These, and
+values that are assigned to one of :data:`SECRET_NAMES`, are the seeds of a bootstrap: the
+words beside them and their shapes induce lexical patterns, a graph of patterns and
+instances is scored in turns, and the patterns that prove reliable discover
+identifiers of forms that no fixed pattern has.
 
 Everything is a DataFrame expression. Regular expressions use possessive
 quantifiers, so that they neither backtrack over long runs nor recurse.
@@ -45,6 +46,10 @@ KINDS = (
 #: What may be an identifier: number groups that spaces or signs divide, and words with a digit.
 CANDIDATE = r"\+[0-9][ ().0-9-]+[0-9]|[0-9](?:[ -]?[0-9]){11,18}+(?![0-9])|(?<![A-Za-z0-9@._%+-])(?=[A-Za-z@._%+-]*+[0-9])[A-Za-z0-9@._%+-]++"
 CANDIDATES = "seen"
+#: Fixed values, the seed table: what a secret is called where it is assigned, also after a prefix such as ``my_``.
+SECRET_NAMES = ("token", "secret", "password", "passwd", "pwd", "passphrase", "apikey", "api_key", "api-key", "access_key", "secret_key", "private_key")
+_ASSIGNED = r"(?i)(?<![\p{L}\p{N}])(?:[\p{L}\p{N}]+[_-])*(?:" + "|".join(SECRET_NAMES) + r")[\"']?\s*(?::=|=>|[:=])\s*[\"']?$"
+CONTEXT = 80  # characters on either side in which a value's words are looked for
 
 
 def _digits(match: Column) -> Column:
@@ -94,14 +99,21 @@ def _cut(text: Column, pattern: str) -> Column:
 
 
 def _words_before(before: Column) -> Column:
-    """The last word of what stands before, and the last two, in lower case; empty where there are none."""
-    ends = r"(?<!\S)(?:(\S++)\s++)?(\S++)\s*+$"  # begins at words only, so that long runs cost no more
-    one, other = F.lower(F.regexp_extract(before, ends, 2)), F.lower(F.regexp_extract(before, ends, 1))
-    return F.struct(one.alias("left"), F.when(other != "", F.concat(other, F.lit(" "), one)).otherwise("").alias("left2"))
+    """The last word of what stands before, and the last two, in lower case and without the signs between; empty where there are none."""
+    ends = r"(?:(?<![\p{L}\p{N}_])([\p{L}\p{N}_]++)[^\p{L}\p{N}_]++)?(?<![\p{L}\p{N}_])([\p{L}\p{N}_]++)[^\p{L}\p{N}_]*+$"
+    near = F.right(before, F.lit(CONTEXT))
+    one, other = F.lower(F.regexp_extract(near, ends, 2)), F.lower(F.regexp_extract(near, ends, 1))
+    return F.struct(one.alias("left"), F.when(other != "", F.concat(other, F.lit(" "), one)).otherwise("").alias("left2"), near.rlike(_ASSIGNED).alias("assigned"))
 
 
 def _word_after(after: Column) -> Column:
-    return F.lower(F.regexp_extract(after, r"^\s*+(\S++)", 1))
+    return F.lower(F.regexp_extract(F.left(after, F.lit(CONTEXT)), r"^[^\p{L}\p{N}_]*+([\p{L}\p{N}_]++)", 1))
+
+
+def _shape(value: Column) -> Column:
+    """What a value is made of, and its length."""
+    kind = F.when(value.rlike("^[0-9]+$"), "digits").when(value.rlike("^[0-9a-fA-F]+$"), "hex").when(value.rlike("^[0-9A-Za-z]+$"), "letters").when(value.contains("@"), "mail").when(value.rlike("[A-Za-z]"), "mixed").otherwise("groups")
+    return F.concat_ws(" ", F.lit("#"), kind, F.length(value).cast("string"))
 
 
 def _with_spans(rows: DataFrame, min_digits: int) -> DataFrame:
@@ -134,7 +146,7 @@ def _spans(parts: Column, starts: Column, keep, context: bool) -> Column:
             span += [x["match"].alias("value"), _words_before(F.element_at(parts, x["i"])).alias("before"), _word_after(F.element_at(parts, x["i"] + 2)).alias("right")]
         return F.struct(*span)
 
-    empty = "array<struct<start:int,end:int,value:string,before:struct<left:string,left2:string>,right:string>>" if context else "array<struct<start:int,end:int>>"
+    empty = "array<struct<start:int,end:int,value:string,before:struct<left:string,left2:string,assigned:boolean>,right:string>>" if context else "array<struct<start:int,end:int>>"
     return F.coalesce(F.transform(found, show), F.array().cast(empty))
 
 
@@ -147,7 +159,9 @@ def detect(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min
     bootstrap found something), ``value`` and ``reliability``.
 
     An instance is a text form with ``min_digits`` digits or an at sign. Its patterns are the
-    word to its left, the two words there, the word to its right, and both sides together. A
+    word to its left, the two words there, the word to its right, both sides together, signs
+    left out, and its shape. Seeds are instances that one of :data:`KINDS` covers, and those that are
+    assigned to a name of :data:`SECRET_NAMES`, as in ``token = "..."``; the latter count as discovered, wherever they stand. A
     pattern's reliability is the mean of its distinct instances'; one with fewer than
     ``min_support`` instances says nothing. A seed's reliability is 1. That of any other
     instance is the sum over its patterns that have ``min_support`` trusted instances,
@@ -163,15 +177,19 @@ def detect(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min
 
     base = F.concat(*[F.col(f"__{k.name}") for k in KINDS])
     each = found.where(F.size(f"__{CANDIDATES}") > 0).select("row", base.alias("base"), F.explode(f"__{CANDIDATES}").alias("s"), "digest")
-    seed = F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (F.col("s.start") < b["end"]))
-    each = each.select("row", "digest", "s.start", "s.end", "s.value", "s.before", "s.right", seed.alias("seed"))
+    covered = F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (F.col("s.start") < b["end"]))
+    each = each.select("row", "digest", "s.start", "s.end", "s.value", "s.before", "s.right", covered.alias("covered"))
+    assigned = ~F.col("covered") & F.col("before.assigned")
+    each = each.withColumn("assigned", assigned).withColumn("seed", F.col("covered") | assigned)
     left, left2, right = F.col("before.left"), F.col("before.left2"), F.col("right")
-    sides = [F.when(left != "", F.concat(F.lit("< "), left)), F.when(left2 != "", F.concat(F.lit("<< "), left2)), F.when(right != "", F.concat(F.lit("> "), right)), F.when((left != "") & (right != ""), F.concat_ws(" ", F.lit("<>"), left, right))]
+    sides = [F.when(left != "", F.concat(F.lit("< "), left)), F.when(left2 != "", F.concat(F.lit("<< "), left2)), F.when(right != "", F.concat(F.lit("> "), right)), F.when((left != "") & (right != ""), F.concat_ws(" ", F.lit("<>"), left, right)), _shape(F.col("value"))]
     beside = F.explode(F.array_compact(F.array(*sides))).alias("pattern")
     edges = materialize(each.select("value", "seed", beside).groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "graph")
     values = _score(edges, min_support, min_reliability, rounds)
     release(edges)
-    hits = each.where(~F.col("seed")).join(values, "value")
+    given = each.where("assigned").select("value", F.lit(1.0).alias("reliability")).distinct()
+    known = values.unionByName(given).groupBy("value").agg(F.max("reliability").alias("reliability"))
+    hits = each.where(~F.col("covered")).join(known, "value")
     more = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__id"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     spans = found.join(more, "row", "left").select("row", id_col, *[f"__{k.name}" for k in KINDS], F.coalesce("__id", none).alias("__id"))

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -157,6 +158,35 @@ def test_contexts_discover_and_clean_texts_stay(spark):
     assert masked[len(texts) - 2] == texts[-2]
 
 
+SECRETS = ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "f33e61083db5dbdf4bd2369d2f80176e57f7fda2", "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e", "9b74c9897bac770ffc029102a200c5de01234567"]
+
+
+def test_assigned_secrets_are_seeds_of_others(spark):
+    texts = [f'words before token = "{s}" and after' for s in SECRETS[:3]] + [f"words before token {SECRETS[3]} then", f"the copy {SECRETS[0]} of one", 'my_password: "abc12345x"', "commit 4b825dc642cb6eb9a060e54bf8d69288fbee4904 in the log", "password of 12345 people", "tokens = 123456", None]
+    spans, found = private.detect(documents(spark, list(enumerate(texts))))
+    assert {r.value for r in found.collect()} == {*SECRETS, "abc12345x"}
+    masked = [r.text for r in private.mask(documents(spark, list(enumerate(texts))), found).orderBy("doc_id").collect()]
+    assert masked[0] == 'words before token = "[ID]" and after' and masked[3] == "words before token [ID] then" and masked[4] == "the copy [ID] of one" and masked[5] == 'my_password: "[ID]"'
+    assert masked[6:] == texts[6:]
+    rows = {r.doc_id: [(texts[r.doc_id][s.start : s.end]) for s in r["__id"]] for r in spans.collect() if r["__id"]}
+    assert rows == {0: [SECRETS[0]], 1: [SECRETS[1]], 2: [SECRETS[2]], 3: [SECRETS[3]], 4: [SECRETS[0]], 5: ["abc12345x"]}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_planted_secrets_are_found_and_little_else(spark):
+    """Recall and precision on a given table: 40 hex digits that are assigned to a token."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    spans, _ = private.detect(docs)
+    found = {r.doc_id: r["__id"] for r in spans.collect()}
+    planted = {r.doc_id: [(m.start(1), m.end(1)) for m in re.finditer('token = "([0-9a-f]{40})"', r.text)] for r in docs.collect() if r.text}
+    planted = {i: s for i, s in planted.items() if s}
+    assert len(planted) > 5
+    hit = sum(set(s) <= {(x.start, x.end) for x in found[i]} for i, s in planted.items())
+    assert hit == len(planted)
+    others = sum(len({(x.start, x.end) for x in s} - set(planted.get(i, []))) for i, s in found.items())
+    assert others <= 0.1 * sum(map(len, planted.values()))
+
+
 def test_private_edges(edges, empty):
     spans, found = private.detect(edges)
     assert spans.count() == len(EDGES) and found.count() == 0
