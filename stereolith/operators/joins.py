@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def _bucket(x: Column, width: float) -> Column:
@@ -172,6 +173,8 @@ def nearest_vector(vectors: DataFrame, queries: DataFrame, *, key: str, vector:
     rows = sound(vectors, "key")
     schema = f"query {queries.schema[key].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, distance double"
 
+    kinds = [to_arrow_type(df.schema[key].dataType) for df in (queries, vectors)] + [pa.float64()]
+
     def scan(ids: list, asked: np.ndarray) -> DataFrame:
         sent = spark.sparkContext.broadcast((ids, asked))
 
@@ -192,7 +195,7 @@ def nearest_vector(vectors: DataFrame, queries: DataFrame, *, key: str, vector:
                         best[i] = found if best[i] is None else min(best[i], found)
             out = [(q, b[1], b[0]) for q, b in zip(ids, best) if b is not None]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["query", key, "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["query", key, "distance"])
 
         return rows.mapInArrow(run, schema)
 
