@@ -195,3 +195,74 @@ def change_screen_points(points: DataFrame, before: DataFrame, after: DataFrame,
     joined = points.join(new, point).join(old, point, "left")
     same = F.col("__old").eqNullSafe(F.col("__new"))
     return joined.withColumns({c: F.when(same, F.col(c)) for c in solved}).select(*points.columns)
+
+
+def numbered(rows: DataFrame, key: str, *, width: int = 1 << 16) -> DataFrame:
+    """``key`` and ``n``, its place from 1 among all distinct keys; keys are whole numbers.
+
+    Places are counted within ranges of ``width`` keys, and only the ranges' counts are summed in one task.
+    """
+    keys = rows.select(key).where(F.col(key).isNotNull()).distinct().withColumn("__range", F.floor(F.col(key) / width))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = keys.groupBy("__range").agg(F.count(F.lit(1)).alias("__c")).select("__range", F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(key))
+    return keys.withColumn("__own", own).join(ranges, "__range").select(key, (F.col("__before") + F.col("__own")).alias("n"))
+
+
+def deep_clone(tables: dict[str, DataFrame], where: Column, *, keys: dict[str, str | None], links: dict[str, dict[str, str]]) -> dict[str, DataFrame]:
+    """All tables with copies of the chosen rows of the first one and of all that hangs on them.
+
+    ``tables`` come parents first. ``keys`` names each table's own key, a whole number, or None, and
+    ``links`` for each table its columns that point to another: ``{table: {column: parent}}``. A row is copied if any
+    row that it points to is; a link to a row that is not copied, or that is null, stays as it is. Copies' keys go on without
+    gaps after the highest one, in the order of the old keys, and links between copies lead to copies.
+    """
+    new_keys: dict[str, DataFrame] = {}
+    out: dict[str, DataFrame] = {}
+    for place, (name, rows) in enumerate(tables.items()):
+        columns = rows.columns
+        moved, chosen = rows, where if place == 0 else F.lit(False)
+        for i, (column, parent) in enumerate(links.get(name, {}).items()):
+            if parent not in new_keys:
+                continue
+            moved = moved.join(new_keys[parent].select(F.col("old").alias(column), F.col("new").alias(f"__new{i}")), column, "left")
+            chosen = chosen | F.col(f"__new{i}").isNotNull()
+        copies = moved.where(chosen)
+        for i, column in enumerate(links.get(name, {})):
+            if f"__new{i}" in copies.columns:
+                copies = copies.withColumn(column, F.coalesce(F.col(f"__new{i}").cast(rows.schema[column].dataType), F.col(column)))
+        key = keys.get(name)
+        if key is not None:
+            last = rows.agg(F.coalesce(F.max(key), F.lit(0)).alias("__last"))
+            ids = numbered(copies, key).crossJoin(F.broadcast(last)).select(F.col(key).alias("old"), (F.col("__last") + F.col("n")).alias("new"))  # beside one row
+            new_keys[name] = ids
+            copies = copies.join(ids.withColumnRenamed("old", key), key).withColumn(key, F.col("new").cast(rows.schema[key].dataType))
+        out[name] = rows.unionByName(copies.select(*columns))
+    return out
+
+
+def delete_screen_points(points: DataFrame, screen_points: DataFrame, where: Column, *, point: str) -> tuple[DataFrame, DataFrame]:
+    """Points and screen points without the chosen clicks; a point that has none left goes with them."""
+    left = screen_points.where(~F.coalesce(where, F.lit(False)))
+    touched = screen_points.where(where).select(point).distinct()
+    gone = touched.join(left.select(point).distinct(), point, "left_anti")
+    return points.join(gone, point, "left_anti"), left
+
+
+def delete_line_points(points: DataFrame, where: Column, *, line: tuple[str, ...], index: str = "index") -> DataFrame:
+    """Plumb points without the chosen ones, those of a line numbered anew from 0; a line that has none left is gone."""
+    left = points.where(~F.coalesce(where, F.lit(False)))
+    again = F.row_number().over(Window.partitionBy(*line).orderBy(index)) - 1
+    return left.withColumn(index, again.cast(points.schema[index].dataType))
+
+
+def stamp_saved(projects: DataFrame, where: Column, *, saved: Column, folder: Column, home: str, date_col: str = "date_last_saved", paths: dict[str, str]) -> DataFrame:
+    """The chosen projects as they are when saved: with the date, and with ``folder`` for each path of ``paths`` that is not set.
+
+    ``paths`` has the default folder below ``home`` of each path column; a path that is null, empty or this default counts as not set.
+    """
+    out = {date_col: F.when(where, saved).otherwise(F.col(date_col))}
+    for column, default in paths.items():
+        unset = F.col(column).isNull() | F.col(column).isin("", f"{home}/{default}")
+        out[column] = F.when(where & unset, folder).otherwise(F.col(column))
+    return projects.withColumns(out)

@@ -72,9 +72,10 @@ def not_attached(all_objects: DataFrame, bridge: DataFrame, event: object, *, ob
     return all_objects.join(bridge.where(F.col(event_col) == event).select(obj).distinct(), obj, "left_anti")
 
 
-def same_type_others(objects: DataFrame, *, key: str, kind: str) -> DataFrame:
-    """Every object beside the others of its type, as ``other``."""
-    return objects.join(objects.select(F.col(key).alias("other"), F.col(kind)), kind).where(F.col(key) != F.col("other"))
+def same_type_others(objects: DataFrame, *, key: str, kind: str, of: object | None = None) -> DataFrame:
+    """The object ``of`` beside the others of its type, as ``other``; without one every object, which is quadratic in a type's size."""
+    own = objects if of is None else objects.where(F.col(key) == of)
+    return own.join(objects.select(F.col(key).alias("other"), F.col(kind)), kind).where(F.col(key) != F.col("other"))
 
 
 def nearest(queries: DataFrame, points: DataFrame, *, query: str, point: str, coordinates: tuple[tuple[str, str], ...], cell: float, reach: float, least: float = 1e-4, crowd: int = 64) -> DataFrame:

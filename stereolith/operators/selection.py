@@ -64,8 +64,8 @@ def members(rows: DataFrame, *, group: str, index: str) -> DataFrame:
 
 
 def event_order(points: DataFrame, *, event: str, t: str) -> DataFrame:
-    """Events with their earliest time, to be sorted by it; those without a time come last."""
-    return points.groupBy(event).agg(F.min(t).alias("earliest")).orderBy(F.col("earliest").asc_nulls_last(), event)
+    """Events with their earliest time, by which they are ordered."""
+    return points.groupBy(event).agg(F.min(t).alias("earliest"))
 
 
 def samples_by_x(x: Column, y: Column) -> Column:
@@ -99,3 +99,24 @@ def frame_points_text(points: DataFrame, *, point: str, clip: str, front: tuple[
 def measured_points(points: DataFrame, *, order: tuple[str, ...], shown: dict[str, Column]) -> DataFrame:
     """The export of points: those with coordinates, with the columns shown, in order."""
     return points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*order, *[c.alias(n) for n, c in shown.items() if n not in order]).orderBy(*order)
+
+
+def clip_problems(clips: DataFrame, *, project: str, name: str = "name", path: str = "path", found: str = "found", tracks: str = "video_tracks", playable: str = "playable", timescale: str = "timescale", is_master: str = "is_master") -> DataFrame:
+    """Clips with ``is_usable`` and ``problem``, the message on opening one; null where there is nothing to say.
+
+    A clip whose file is missing, has no video track or can't be played is not usable; the first of these
+    counts, and what is not known counts as so. One whose time scale differs from its project's master's is usable, with a warning.
+    """
+    master = clips.where(F.col(is_master)).groupBy(project).agg(F.min(timescale).alias("__master"))
+    place = F.concat(F.lit("clip '"), F.col(name), F.lit("' at location "), F.col(path))
+    lost = ~F.coalesce(F.col(found), F.lit(False))
+    no_video = F.coalesce(F.col(tracks), F.lit(0)) < 1
+    still = ~F.coalesce(F.col(playable), F.lit(False))
+    differs = F.col(timescale) != F.col("__master")
+    message = (
+        F.when(lost, F.concat(F.lit("No file was found for "), place, F.lit(".")))
+        .when(no_video, F.concat(F.lit("A file was found for "), place, F.lit(", but it is not recognized as a playable video.")))
+        .when(still, F.concat(F.lit("A video file was found for "), place, F.lit(", but it is not playable.")))
+        .when(differs, F.concat(F.lit("The time scale of clip '"), F.col(name), F.lit("' differs from the master clip's.")))
+    )
+    return clips.join(master, project, "left").withColumn("is_usable", ~(lost | no_video | still)).withColumn("problem", message).drop("__master")

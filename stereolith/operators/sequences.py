@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, timecode
+from . import shared
 
 
 def segments(points: DataFrame, *, event: str, order: tuple[str, ...], coordinates: tuple[str, ...], t: str) -> DataFrame:
@@ -82,14 +83,21 @@ def roll_over_both(points: DataFrame, *, event: str, order: tuple[str, ...], mos
 
 
 def placed(rows: DataFrame, *, first: str, rest: tuple[str, ...], name: str = "place") -> DataFrame:
-    """Adds each row's place from 1 in the order of ``first`` and then ``rest``.
+    """Adds each row's place from 1 in the order of ``first`` and then ``rest``, nulls first.
 
-    Rows are numbered within each value of ``first``; only these values' counts are summed in one task.
+    Rows are dealt by ranges of the whole order, sorted and written down; each range numbers its own, and only
+    the ranges' counts, one row for each part, are summed in one task.
     """
-    before = Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(first).agg(F.count(F.lit(1)).alias("__c")).select(first, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"))
-    own = F.row_number().over(Window.partitionBy(first).orderBy(*rest))
-    return rows.withColumn("__own", own).join(starts, first).withColumn(name, F.col("__start") + F.col("__own")).drop("__own", "__start")
+    number = shared.fresh(rows.columns, "__number")
+    dealt = rows.repartitionByRange(first, *rest).sortWithinPartitions(first, *rest)
+    # The high bits are the part, the low 33 the row's number in it.
+    kept = shared.written(dealt.withColumn(number, F.monotonically_increasing_id()), "placed")
+    part = F.shiftrightunsigned(F.col(number), 33)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = kept.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__c"))
+    starts = counts.select("__part", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"))
+    place = (F.col("__start") + F.col(number).bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name)
+    return kept.join(starts, part == F.col("__part")).select(*rows.columns, place)
 
 
 def lowest_without(points: DataFrame, screen_points: DataFrame, *, point: str, event: str, index: str, clip_col: str, clip: object, near: Column, shown: str | None = None) -> DataFrame:

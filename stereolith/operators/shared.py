@@ -27,9 +27,13 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_kept: dict[str, SparkSession] = {}  # folders of tables that have not been deleted
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df``, written to the shared folder and read from there: a lost executor costs a read, not the rounds before."""
     path = f"{folder(df.sparkSession)}/stereolith/{tag}-{uuid.uuid4().hex}"
+    _kept[path] = df.sparkSession
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._folder = path
@@ -38,9 +42,19 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def delete(df: DataFrame) -> None:
     """Delete the files of a table from :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._folder)
+    _delete(df.sparkSession, df._folder)
+
+
+def release_all() -> None:
+    """Delete what operators have written for results that are lazily read; call it once those results are stored."""
+    for path, spark in list(_kept.items()):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _kept.pop(folder, None)
 
 
 def fresh(columns: list[str], name: str) -> str:

@@ -13,10 +13,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import geometry, text, timecode
+from .functions import draws, geometry, text, timecode
 from .operators import aggregates, changes, joins, lenses, plumblines, selection, sequences, solvers
 from .plans import measure, reports
+from .settings import DEFAULTS
 from .sources import exports
+from .streaming import playback
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -1438,3 +1440,92 @@ def s10_nodes(spark, d):
     frames = table(spark, d, "conversations").select("conv_id", "turn", F.concat(line(1), F.lit("\nh, v\r\n"), line(2), F.lit("\r"), line(3)).alias("nodes"))
     return exports.nodes(frames, "nodes", keys=("conv_id", "turn"))
 
+
+@query("""WITH c AS (SELECT c_custkey AS old, (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY c_custkey) AS new FROM customer WHERE c_custkey % 20 = 7),
+o AS (SELECT o_orderkey AS old, c.new AS cust, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY o_orderkey) AS new FROM orders JOIN c ON o_custkey = c.old)
+SELECT 'customer' AS kind, c_custkey AS key, CAST(c_nationkey AS BIGINT) AS parent FROM customer UNION ALL SELECT 'customer', new, (SELECT CAST(c_nationkey AS BIGINT) FROM customer WHERE c_custkey = old) FROM c
+UNION ALL SELECT 'orders', o_orderkey, o_custkey FROM orders UNION ALL SELECT 'orders', new, cust FROM o
+UNION ALL SELECT 'lineitem', CAST(l_linenumber AS BIGINT), l_orderkey FROM lineitem UNION ALL SELECT 'lineitem', CAST(l_linenumber AS BIGINT), new FROM lineitem JOIN o ON l_orderkey = old""")
+def m13_deep_clone(spark, d):
+    """Customers copied with their orders and these orders' lines."""
+    tables = {n: table(spark, d, n) for n in ("customer", "orders", "lineitem")}
+    whole = changes.deep_clone(tables, F.col("c_custkey") % 20 == 7, keys={"customer": "c_custkey", "orders": "o_orderkey"}, links={"orders": {"o_custkey": "customer"}, "lineitem": {"l_orderkey": "orders"}})
+    shown = (("customer", "c_custkey", "c_nationkey"), ("orders", "o_orderkey", "o_custkey"), ("lineitem", "l_linenumber", "l_orderkey"))
+    parts = [whole[n].select(F.lit(n).alias("kind"), F.col(k).cast("long").alias("key"), F.col(p).cast("long").alias("parent")) for n, k, p in shown]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _uniform_sql(seed: int, key: str, draw: int, low: float, high: float) -> str:
+    return f"{low} + CAST(CAST('0x' || substr(md5('{seed}:' || {key} || ':{draw}'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 * {high - low}"
+
+
+@query(f"""SELECT event_id, round({_uniform_sql(11, "event_id", 0, 2.0, 10.0)}, 9) AS duration, CAST(floor(({_uniform_sql(11, "event_id", 1, 0.0, 1.0)}) * 7) AS BIGINT) AS picked FROM events""")
+def g19_random_durations(spark, d):
+    """A playing time drawn for each event, between the default bounds, and one of seven; the same at every run."""
+    low, high = DEFAULTS.random_duration
+    return table(spark, d, "events").select("event_id", F.round(draws.uniform(11, F.col("event_id"), low=low, high=high), 9).alias("duration"), draws.pick(11, F.col("event_id"), F.lit(7), 1).alias("picked"))
+
+
+def _commands(spark, d) -> DataFrame:
+    """Clicks and views as starts, purchases as pauses; every third start has no stop."""
+    kind = F.when(F.col("event_type") == "purchase", "pause").when(F.col("event_type").isin("click", "view"), "play").otherwise("other")
+    rate = F.when(F.col("event_id") % 2 == 0, 0.25).otherwise(-0.01)
+    return points(spark, d).select(F.col("user_id").alias("key"), F.col("t").alias("wall"), F.col("event_id").alias("order"), kind.alias("kind"), F.col("x").alias("at"), rate.alias("rate"), F.when(F.col("event_id") % 3 != 0, F.col("y") * 5).alias("stop"))
+
+
+@query("""WITH c AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 0.25 ELSE -0.01 END AS rate, CASE WHEN event_id % 3 <> 0 THEN y * 5 END AS stop FROM {P} WHERE event_type IN ('click', 'view', 'purchase')),
+e AS (SELECT *, CASE WHEN event_type <> 'purchase' THEN t + greatest((stop - x) / rate, 0.0) END AS due FROM (SELECT * FROM c WHERE stop IS NOT NULL) UNION ALL SELECT *, NULL FROM c WHERE stop IS NULL),
+q AS (SELECT *, lead(t) OVER w AS nt, lag(event_type) OVER w AS lk, lag(t) OVER w AS lt, lag(x) OVER w AS lx, lag(rate) OVER w AS lr, lag(due) OVER w AS ld FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))
+SELECT user_id AS key, round(t, 6) AS wall, 'playing' AS what, round(x, 9) AS place FROM q WHERE event_type <> 'purchase'
+UNION ALL SELECT user_id, round(due, 6), 'stopped', round(stop, 9) FROM q WHERE due <= coalesce(nt, due)
+UNION ALL SELECT user_id, round(t, 6), 'paused', round(lx + (t - lt) * lr, 9) FROM q WHERE event_type = 'purchase' AND lk <> 'purchase' AND (ld IS NULL OR ld > t)""")
+def l2_playback(spark, d):
+    """What a log of commands leads to: starts, pauses and the stops that come by themselves."""
+    return playback.log(_commands(spark, d)).select("key", F.round("wall", 6).alias("wall"), "what", F.round("place", 9).alias("place"))
+
+
+@query("SELECT a.s_suppkey AS s_suppkey, b.s_suppkey AS other FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey WHERE a.s_suppkey = 3")
+def j7_same_type_of(spark, d):
+    """The objects that one could be joined with."""
+    return joins.same_type_others(table(spark, d, "supplier"), key="s_suppkey", kind="s_nationkey", of=3).select("s_suppkey", "other")
+
+
+@query("""SELECT 'point' AS kind, o_orderkey AS key, CAST(NULL AS INT) AS line FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity < 30)
+UNION ALL SELECT 'click', l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < 30""")
+def m9_delete_screen_points(spark, d):
+    """Clicks of large quantity deleted; points that lose their last one go, others without any stay."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), "l_quantity")
+    left, clicks = changes.delete_screen_points(orders, lines, F.col("l_quantity") >= 30, point="key")
+    return left.select(F.lit("point").alias("kind"), "key", F.lit(None).cast("int").alias("line")).unionByName(clicks.select(F.lit("click").alias("kind"), "key", "line"))
+
+
+@query("SELECT l_orderkey, l_suppkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) - 1 AS BIGINT) AS index FROM lineitem WHERE l_quantity < 30")
+def m9_delete_line_points(spark, d):
+    """Points of lines deleted, the rest numbered anew."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")).cast("long")
+    rows = table(spark, d, "lineitem").withColumn("index", place)
+    return changes.delete_line_points(rows, F.col("l_quantity") >= 30, line=("l_orderkey",)).select("l_orderkey", "l_suppkey", "index")
+
+
+@query("""WITH c AS (SELECT o_orderkey, o_custkey, '''' || o_orderkey || '''' AS name, '''' || o_orderkey || ''' at location /v/' || o_orderkey AS place, o_totalprice > 1000 AS found, o_orderkey % 7 > 0 AS video, o_orderstatus <> 'P' AS playable, CASE WHEN o_totalprice > 300000 THEN 600 ELSE 30000 END AS scale FROM orders),
+m AS (SELECT o_custkey, min(scale) AS master FROM c WHERE o_orderkey % 5 = 0 GROUP BY 1)
+SELECT o_orderkey, found AND video AND playable AS is_usable, CASE WHEN NOT found THEN 'No file was found for clip ' || place || '.' WHEN NOT video THEN 'A file was found for clip ' || place || ', but it is not recognized as a playable video.'
+WHEN NOT playable THEN 'A video file was found for clip ' || place || ', but it is not playable.' WHEN scale <> master THEN 'The time scale of clip ' || name || ' differs from the master clip''s.' END AS problem FROM c LEFT JOIN m USING (o_custkey)""")
+def s11_clip_problems(spark, d):
+    """What there is to say on opening each order, were it a clip of its customer's project."""
+    name = F.col("o_orderkey").cast("string")
+    clips = table(spark, d, "orders").select(
+        "o_orderkey", "o_custkey", name.alias("name"), F.concat(F.lit("/v/"), name).alias("path"), (F.col("o_totalprice") > 1000).alias("found"), (F.col("o_orderkey") % 7).alias("video_tracks"),
+        (F.col("o_orderstatus") != "P").alias("playable"), F.when(F.col("o_totalprice") > 300000, 600).otherwise(30000).alias("timescale"), (F.col("o_orderkey") % 5 == 0).alias("is_master"),
+    )
+    return selection.clip_problems(clips, project="o_custkey").select("o_orderkey", "is_usable", "problem")
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN '2024-05-01' ELSE 'never' END AS date_last_saved, CASE WHEN s_acctbal > 0 AND (s_nationkey % 3 <> 1) THEN '/p/' || s_suppkey WHEN s_nationkey % 3 = 0 THEN '' WHEN s_nationkey % 3 = 1 THEN '/own' ELSE '/home/Movies/' END AS movies FROM supplier""")
+def k10_stamp_saved(spark, d):
+    """Projects as saved: with the date, and with the file's folder for a path that was not set."""
+    path = F.when(F.col("s_nationkey") % 3 == 0, "").when(F.col("s_nationkey") % 3 == 1, "/own").otherwise("/home/Movies/")
+    projects = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.lit("never").alias("date_last_saved"), path.alias("movies"))
+    saved = changes.stamp_saved(projects, F.col("s_acctbal") > 0, saved=F.lit("2024-05-01"), folder=F.concat(F.lit("/p/"), F.col("s_suppkey").cast("string")), home="/home", paths={"movies": "Movies/"})
+    return saved.select("s_suppkey", "date_last_saved", "movies")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stereolith import queries
 from stereolith.functions.geometry import Distortion
-from stereolith.operators import changes, joins, lenses, plumblines, sequences, solvers
+from stereolith.operators import changes, joins, lenses, plumblines, sequences, shared, solvers
 from stereolith.plans import measure, reports
 from stereolith.sources import exports
 
@@ -308,3 +308,35 @@ def test_nearest_vector_of_rows_with_nulls(spark):
     df = spark.createDataFrame(rows, "k int, v array<double>")
     found = joins.nearest_vector(df, df, key="k", vector="v").collect()
     assert sorted(tuple(r) for r in found) == [(1, 2, 1.0), (2, 1, 1.0)]
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+def test_linear_residuals_against_a_full_decomposition(spark):
+    p = queries.points(spark, DATA).toPandas()
+    off = (p.event_id % 11 - 5) * 0.2
+    m = np.array(queries.MATRIX).reshape(3, 3)
+    target = solvers.apply_homography(m, p[["x", "y"]].to_numpy())
+    source = np.column_stack([p.x + off, p.y - off / 2])
+    for r in queries.a19_linear_residuals(spark, DATA).collect():
+        own = (p.event_type == r.event_type).to_numpy()
+        a, b = (((q - q.mean(0)) * (np.sqrt(2) / np.mean(np.hypot(*(q - q.mean(0)).T)))) for q in (source[own], target[own]))
+        rows = [row for (x, y), (u, v) in zip(a, b) for row in ((x, y, 1, 0, 0, 0, -u * x, -u * y, -u), (0, 0, 0, x, y, 1, -v * x, -v * y, -v))]
+        assert r.residual == pytest.approx(np.linalg.svd(np.array(rows))[1][-1] / own.sum(), abs=2e-8)
+
+
+def test_nothing_stays_once_released(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(20)], "a int, b int")
+    placed = sequences.placed(df, first="b", rest=("a",))
+    assert sorted(r.place for r in placed.collect()) == list(range(1, 21))
+    folder = Path(shared.folder(spark).removeprefix("file:")) / "stereolith"
+    assert any(p.name.startswith("placed") for p in folder.iterdir())
+    shared.release_all()
+    assert not any(p.name.startswith("placed") for p in folder.iterdir())
+
+
+def test_places_of_nulls_ties_and_many_equal_keys(spark):
+    rows = [(None, 3), (None, 1)] + [(5, i % 2) for i in range(50)] + [(-1, None)]
+    got = sequences.placed(spark.createDataFrame(rows, "a int, b int").repartition(6), first="a", rest=("b",)).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 54))
+    assert [(r.a, r.b) for r in got] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0))
+    assert sequences.placed(spark.createDataFrame([], "a int, b int"), first="a", rest=("b",)).collect() == []
