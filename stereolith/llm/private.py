@@ -111,9 +111,9 @@ def _word_after(after: Column) -> Column:
 
 
 def _shape(value: Column) -> Column:
-    """What a value is made of, and its length."""
-    kind = F.when(value.rlike("^[0-9]+$"), "digits").when(value.rlike("^[0-9a-fA-F]+$"), "hex").when(value.rlike("^[0-9A-Za-z]+$"), "letters").when(value.contains("@"), "mail").when(value.rlike("[A-Za-z]"), "mixed").otherwise("groups")
-    return F.concat_ws(" ", F.lit("#"), kind, F.length(value).cast("string"))
+    """What a value with letters is made of, and its length; null for bare numbers, whose kinds have checks of their own."""
+    kind = F.when(value.contains("@"), "mail").when(value.rlike("^[0-9a-fA-F]*[a-fA-F][0-9a-fA-F]*$"), "hex").when(value.rlike("^[0-9A-Za-z]*[A-Za-z][0-9A-Za-z]*$"), "letters").when(value.rlike("[A-Za-z]"), "mixed")
+    return F.when(kind.isNotNull(), F.concat_ws(" ", F.lit("#"), kind, F.length(value).cast("string")))
 
 
 def _with_spans(rows: DataFrame, min_digits: int) -> DataFrame:
@@ -160,7 +160,7 @@ def detect(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min
 
     An instance is a text form with ``min_digits`` digits or an at sign. Its patterns are the
     word to its left, the two words there, the word to its right, both sides together, signs
-    left out, and its shape. Seeds are instances that one of :data:`KINDS` covers, and those that are
+    left out, and the shape of one with letters. Seeds are instances that one of :data:`KINDS` covers, and those that are
     assigned to a name of :data:`SECRET_NAMES`, as in ``token = "..."``; the latter count as discovered, wherever they stand. A
     pattern's reliability is the mean of its distinct instances'; one with fewer than
     ``min_support`` instances says nothing. A seed's reliability is 1. That of any other
