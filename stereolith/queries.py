@@ -668,7 +668,7 @@ def _calibration_points(spark, d) -> DataFrame:
 _BOTH_PLANES = "GROUP BY user_id HAVING count_if(event_id % 2 = 0) >= 4 AND count_if(event_id % 2 = 1) >= 4"
 
 
-@query(f"SELECT user_id AS clip_id, round(0.1 + 0.1 * ({_CLIP}), 2) AS camera_h, round(0.2 - 0.05 * ({_CLIP}), 2) AS camera_v, round(-1.5 - 0.05 * ({_CLIP}), 2) AS camera_d FROM events {_BOTH_PLANES}")
+@query(f"SELECT user_id AS clip_id, CAST(round(0.1 + 0.1 * ({_CLIP}), 2) AS DOUBLE) AS camera_h, CAST(round(0.2 - 0.05 * ({_CLIP}), 2) AS DOUBLE) AS camera_v, CAST(round(-1.5 - 0.05 * ({_CLIP}), 2) AS DOUBLE) AS camera_d FROM events {_BOTH_PLANES}")
 def i8_calibrate(spark, d):
     """Every user's camera, found again from the calibration points with refraction in four passes."""
     cameras = measure.calibrate_clips(_calibration_points(spark, d), FRAME)
@@ -689,7 +689,7 @@ def i5_apparent_position(spark, d):
 _STATUS = "CASE WHEN f < 4 AND b < 4 THEN 'too few' WHEN (f >= 4 AND fb > 0) OR (b >= 4 AND bb > 0) THEN 'incomplete' WHEN f >= 4 AND b >= 4 THEN 'both' WHEN f >= 4 THEN 'front' ELSE 'back' END"
 
 
-@query(f"""SELECT clip_id, f AS front, b AS back, {_STATUS} AS status FROM (SELECT o_custkey AS clip_id, count_if(o_orderstatus = 'O') AS f, count_if(o_orderstatus = 'F') AS b,
+@query(f"""SELECT clip_id, CAST(f AS BIGINT) AS front, CAST(b AS BIGINT) AS back, {_STATUS} AS status FROM (SELECT o_custkey AS clip_id, count_if(o_orderstatus = 'O') AS f, count_if(o_orderstatus = 'F') AS b,
   count_if(o_orderstatus = 'O' AND o_totalprice < 2000) AS fb, count_if(o_orderstatus = 'F' AND o_totalprice < 2000) AS bb FROM orders GROUP BY 1)""")
 def f8_two_planes(spark, d):
     """What customers' orders would allow, were they calibration points: open ones on the front plane, cheap ones not clicked yet."""
@@ -748,7 +748,7 @@ def _bent_lines(spark, d) -> DataFrame:
 
 
 @query(f"""WITH m AS (SELECT l_suppkey, line, count(*) AS n, var_pop(sx) * count(*) AS xx, var_pop(sy) * count(*) AS yy, covar_pop(sx, sy) * count(*) AS xy FROM {_newton_sql(_IDEAL, "l_suppkey, line")} GROUP BY 1, 2 HAVING count(*) > 2)
-SELECT l_suppkey AS clip_id, CAST(sum(n) AS BIGINT) AS points, round(sqrt(sum((xx + yy - sqrt((xx-yy)*(xx-yy) + 4*xy*xy)) / 2) / sum(n)), 3) AS initial_rms, 0.0 AS rms, 1.0 AS reduction FROM m GROUP BY 1""")
+SELECT l_suppkey AS clip_id, CAST(sum(n) AS BIGINT) AS points, round(sqrt(sum((xx + yy - sqrt((xx-yy)*(xx-yy) + 4*xy*xy)) / 2) / sum(n)), 3) AS initial_rms, CAST(0 AS DOUBLE) AS rms, CAST(1 AS DOUBLE) AS reduction FROM m GROUP BY 1""")
 def i1_fit_distortion(spark, d):
     """The lens of every supplier's camera, from its bent lines. Many sets of coefficients straighten them, so what they leave is shown."""
     fit = plumblines.fit_lenses(_bent_lines(spark, d), clip="clip_id", line="line", x="x", y="y", centre=(960.0, 540.0))
