@@ -1353,7 +1353,7 @@ _BENT = f"""(SELECT event_id, clip_id, x, y, x + dx*(k1*r + k2*r*r) + p1*(r + 2*
   (SELECT *, dx*dx + dy*dy AS r FROM (SELECT *, x - cx AS dx, y - cy AS dy FROM (SELECT *, {_lens_sql("clip_id")} FROM {_CLICKS}))))"""
 
 
-def _clicks(spark, d) -> DataFrame:
+def _lens_clicks(spark, d) -> DataFrame:
     return points(spark, d).select("event_id", (F.col("user_id") % 3).alias("clip_id"), F.col("x").alias("screen_x"), (F.col("y") * 5).alias("screen_y"))
 
 
@@ -1362,7 +1362,7 @@ FROM (SELECT *, {_matrix_sql(_plane_matrices()[0], "clip_id", "f")}, {_matrix_sq
 def p20_plane_coordinates(spark, d):
     """Each click on each plane that its clip is calibrated on; the third clip has no back plane."""
     cameras = _plain_cameras(spark).withColumn("to_back", F.when(F.col("clip_id") < 2, F.col("to_back")))
-    ideal = lenses.undistorted(lenses.with_lens(_clicks(spark, d), _lens_table(spark), clip="clip_id"), x="screen_x", y="screen_y")
+    ideal = lenses.undistorted(lenses.with_lens(_lens_clicks(spark, d), _lens_table(spark), clip="clip_id"), x="screen_x", y="screen_y")
     on = measure.plane_coordinates(ideal.select("event_id", "clip_id", F.col("ideal_x").alias("screen_x"), F.col("ideal_y").alias("screen_y")), cameras)
     return on.select("event_id", *[r6(F.col(c), c) for c in ("front_h", "front_v", "back_h", "back_v")])
 
@@ -1381,7 +1381,7 @@ def _hint_sql() -> str:
 def g14_hint_lines(spark, d):
     """Every click's line of sight on the next clip: undistorted, through both planes, across to the other clip, sampled and bent by its lens."""
     targets = spark.createDataFrame([(i, (i + 1) % 3) for i in range(3)], "clip_id long, to_clip long")
-    lines = measure.hint_lines(_clicks(spark, d), targets, _plain_cameras(spark), _lens_table(spark), key="event_id", width=900.0, height=600.0, step=100.0, pad=100.0)
+    lines = measure.hint_lines(_lens_clicks(spark, d), targets, _plain_cameras(spark), _lens_table(spark), key="event_id", width=900.0, height=600.0, step=100.0, pad=100.0)
     return lines.select("event_id", "place", F.round("screen_x", 3).alias("x"), F.round("screen_y", 3).alias("y"))
 
 
@@ -1395,7 +1395,7 @@ def _ideal_sql() -> str:
 
 
 def _compared(spark, d) -> DataFrame:
-    clicks = _clicks(spark, d).withColumnRenamed("event_id", "point_id")
+    clicks = _lens_clicks(spark, d).withColumnRenamed("event_id", "point_id")
     solved = points(spark, d).select(F.col("event_id").alias("point_id"), (F.col("x") / 500).alias("h"), (F.col("y") / 100).alias("v"), F.lit(0.25).alias("depth"))
     ideal = measure.reprojected(solved, clicks, _plain_cameras(spark), _lens_table(spark), FRAME)
     return reports.comparison(clicks, ideal, ["point_id", "clip_id"])
